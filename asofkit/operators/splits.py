@@ -113,7 +113,8 @@ def balanced_folds(df: DataFrame, entity: str, k: int, seed: int) -> DataFrame:
                 ladders.append((size, f, load[f], n))
                 load[f] += n * size
     slots = (spark.createDataFrame(ladders, "size long, fold int, load long, n long")
-             .select("size", "fold", ((F.col("load") + F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)) * F.col("size")) * k + F.col("fold")).alias("slot")))
+             .select("size", "fold", "load", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("rung"))
+             .select("size", ((F.col("load") + F.col("rung") * F.col("size")) * k + F.col("fold")).alias("slot")))
     numbered = prefix_sums(slots, "slot", {"n": F.lit(1).cast("long")}, ["size"], descending=False).select(
         "size", F.col("cum_n").alias("rn"), F.pmod("slot", F.lit(k)).alias("fold"))
     ranked = rank_rows(sizes, "_u", entity, keys=["size"], descending=False).select(entity, "size", "rn")
