@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import stats
 from asofkit.operators.evaluate import with_rates
-from asofkit.operators.ordering import prefix_sums, rank_rows
+from asofkit.operators.ordering import prefix_sums, range_count, rank_rows, value_bounds
 
 
 def n_selected(permille: Column, n: Column) -> Column:
@@ -31,26 +31,29 @@ def top_mask(df: DataFrame, tie: str, frac: float, keys: Sequence[str] = ()) ->
     return ranked.withColumn("flagged", F.col("rn") <= top_count(frac, F.col("tot_n"))).drop("rn", "tot_n")
 
 
-def top_k_events(df: DataFrame, cuts: DataFrame, keys: Sequence[str], tie: str, *, weight: str | None = None) -> DataFrame:
+def top_k_events(df: DataFrame, cuts: DataFrame, keys: Sequence[str], tie: str, *, weight: str | None = None,
+                 source: DataFrame | None = None) -> DataFrame:
     """Events among the ``k`` highest-risk copies for each row of ``cuts`` (keys, cut, k).
 
     Result: keys, cut, k, tp, selected, boundary (the score of the last selected copy) and
-    ``tie_split`` (some copies of that score are selected and some are not).
+    ``tie_split`` (some copies of that score are selected and some are not). ``source`` is a
+    smaller table with the same spread of scores and tie keys, e.g. the rows before resampling.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1).cast("long")
+    source = df if source is None else source
     base = df.select(*keys, "p", tie, w.alias("_w"), (w * F.col("y")).alias("_wy"))
-    runs = prefix_sums(base, "p", {"w": F.col("_w"), "wy": F.col("_wy")}, keys)
-    joined = runs.join(cuts, keys) if keys else runs.withColumn("_j", F.lit(1)).join(cuts.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    runs = prefix_sums(base, "p", {"w": F.col("_w"), "wy": F.col("_wy")}, keys, bounds=value_bounds(source, "p", range_count(source)))
     before = F.col("cum_w") - F.col("w")
-    touched = joined.where(before < F.col("k"))
+    touched = runs.join(cuts, keys).where(before < F.col("k"))
     whole = F.col("cum_w") <= F.col("k")
     per_cut = touched.groupBy(*keys, "cut", "k").agg(
         F.sum(F.when(whole, F.col("wy")).otherwise(0)).alias("_full_tp"), F.sum(F.when(whole, F.col("w")).otherwise(0)).alias("_full_n"),
         F.min("p").alias("boundary"), F.max(~whole).alias("tie_split"))
     split = per_cut.where("tie_split").select(*keys, "cut", F.col("boundary").alias("p"), (F.col("k") - F.col("_full_n")).alias("_left"))
     block = base.join(split, [*keys, "p"])
-    order = prefix_sums(block, tie, {"w": F.col("_w"), "wy": F.col("_wy"), "left": F.col("_left")}, [*keys, "cut"], descending=False)
+    order = prefix_sums(block, tie, {"w": F.col("_w"), "wy": F.col("_wy"), "left": F.col("_left")}, [*keys, "cut"], descending=False,
+                        bounds=value_bounds(source, tie, range_count(source)))
     # tie is unique inside a block, so each group of the running sum is one row and "left" is that row's own value.
     part = F.least(F.greatest(F.col("left") - (F.col("cum_w") - F.col("w")), F.lit(0)), F.col("w"))
     extra = order.groupBy(*keys, "cut").agg(F.sum(part * F.when(F.col("w") > 0, F.col("wy") / F.col("w")).otherwise(0)).alias("_part_tp"),

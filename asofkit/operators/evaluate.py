@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from asofkit.functions import stats
 from asofkit.operators.ordering import prefix_sums, rank_rows
 
-ONE = F.lit
 
-
-def score_runs(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None = None, p: str = "p") -> DataFrame:
+def score_runs(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None = None, p: str = "p", bounds: Column | None = None) -> DataFrame:
     """Distinct scores, highest first, with events ``pos`` and non-events ``neg``, running sums and totals."""
     w = F.col(weight) if weight else F.lit(1).cast("long")
     return prefix_sums(df.select(*keys, F.col(p).alias("p"), (w * F.col("y")).alias("_pos"), (w * (1 - F.col("y"))).alias("_neg")),
-                       "p", {"pos": F.col("_pos"), "neg": F.col("_neg")}, keys)
+                       "p", {"pos": F.col("_pos"), "neg": F.col("_neg")}, keys, bounds=bounds)
 
 
 def auroc_of_runs() -> Column:

@@ -29,42 +29,45 @@ def range_count(df: DataFrame) -> int:
     return min(2048, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def with_range(df: DataFrame, col: str, n_ranges: int, name: str) -> DataFrame:
-    """Add the 0-based index of the value range of ``col``; a pure function of the value, so every use agrees.
+def value_bounds(df: DataFrame, col: str, n_ranges: int) -> Column:
+    """Approximate quantiles of ``col`` over the rows, as a scalar subquery of one pruned column.
 
-    The quantiles are a scalar subquery: one array of at most 2047 numbers inlined into the
-    plan. They only balance the work; any monotone cut gives the same result. The index is
-    looked up in two steps (every ``step``-th bound, then the bounds in between).
+    At most 2047 numbers are inlined into the plan. They only balance the work: any monotone
+    cut gives the same result. A range holds about 1/n of the rows, so at most that many
+    distinct values, whatever share of the rows a single value takes.
     """
     step = max(2, math.isqrt(n_ranges))
-    probs = F.array(*[F.lit(i / n_ranges) for i in range(1, n_ranges)])
+    probs = ", ".join(f"{i / n_ranges!r}D" for i in range(1, n_ranges))
+    quantiles = df.selectExpr(f"coalesce(percentile_approx(cast(`{col}` AS double), array({probs}), {n_ranges * 10}), cast(array() AS array<double>)) AS q")
+    return quantiles.selectExpr(f"struct(q AS all, filter(q, (x, i) -> (i + 1) % {step} = 0) AS steps, {step} AS step)").scalar()
+
+
+def with_range(df: DataFrame, col: str, bounds: Column, name: str) -> DataFrame:
+    """Add the 0-based index of the value range of ``col``: every ``step``-th bound first, then those in between."""
     value = F.col(col).cast("double")
-    bounds = (
-        df.select(F.percentile_approx(value, probs, F.lit(n_ranges * 10)).alias("q"))
-        .select(F.coalesce("q", F.array().cast("array<double>")).alias("q"))
-        .select(F.struct(F.col("q").alias("all"), F.filter("q", lambda _, i: (i + 1) % step == 0).alias("steps")))
-        .scalar()
-    )
     return (
         df.withColumn("_bounds", bounds)
-        .withColumn("_first", F.size(F.filter("_bounds.steps", lambda b: b < value)) * step)
-        .withColumn(name, F.col("_first") + F.size(F.filter(F.slice("_bounds.all", F.col("_first") + 1, F.lit(step)), lambda b: b < value)))
+        .withColumn("_first", F.size(F.filter("_bounds.steps", lambda b: b < value)) * F.col("_bounds.step"))
+        .withColumn(name, F.col("_first") + F.size(F.filter(F.slice("_bounds.all", F.col("_first") + 1, F.col("_bounds.step")), lambda b: b < value)))
         .drop("_bounds", "_first")
     )
 
 
 def prefix_sums(df: DataFrame, order: str, sums: Mapping[str, Column], keys: Sequence[str] = (), *,
-                descending: bool = True) -> DataFrame:
-    """One row per (keys, order) with own sums, inclusive running sums ``cum_*`` and key totals ``tot_*``."""
+                descending: bool = True, bounds: Column | None = None) -> DataFrame:
+    """One row per (keys, order) with own sums, inclusive running sums ``cum_*`` and key totals ``tot_*``.
+
+    Keys and order must not be NULL. ``bounds`` may come from a smaller table with the same spread of values.
+    """
     keys = list(keys)
-    names = list(sums)
     grouped = df.groupBy(*keys, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    return _running(grouped, order, names, keys, descending)
+    cut = with_range(grouped, order, value_bounds(df, order, range_count(df)) if bounds is None else bounds, "_range")
+    return _running(cut, order, list(sums), keys, descending)
 
 
-def _running(grouped: DataFrame, order: str, names: list[str], keys: list[str], descending: bool) -> DataFrame:
+def _running(cut: DataFrame, order: str, names: list[str], keys: list[str], descending: bool) -> DataFrame:
+    """Running sums of grouped rows that already carry ``_range``."""
     by = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    cut = with_range(grouped, order, range_count(grouped), "_range")
     # At most range_count rows per key reach this window.
     before = Window.partitionBy(*keys).orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -92,17 +95,20 @@ def rank_rows(df: DataFrame, order: str, tie: str, sums: Mapping[str, Column] |
     keys = list(keys)
     sums = {"n": F.lit(1).cast("long"), **(sums or {})}
     names = list(sums)
-    rows = with_range(df, tie, TIE_RANGES, "_tie_range")
+    rows = with_range(df, tie, value_bounds(df, tie, TIE_RANGES), "_tie_range")
     for n, c in sums.items():
         rows = rows.withColumn(f"_v_{n}", c)
     blocks = rows.groupBy(*keys, order, "_tie_range").agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
-    scores = _running(blocks.groupBy(*keys, order).agg(*[F.sum(n).alias(n) for n in names]),
-                      order, names, keys, descending)
-    # At most TIE_RANGES rows share a score here.
-    before = Window.partitionBy(*keys, order).orderBy("_tie_range").rowsBetween(Window.unboundedPreceding, -1)
+    # At most TIE_RANGES rows share a score here; the last one carries the score's own total.
+    tied = Window.partitionBy(*keys, order)
+    before = tied.orderBy("_tie_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(*keys, order, "_tie_range",
+                           *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in names],
+                           *[F.sum(n).over(tied).alias(n) for n in names])
+    per_score = placed.groupBy(*keys, order).agg(*[F.first(n).alias(n) for n in names])
+    scores = _running(with_range(per_score, order, value_bounds(df, order, range_count(df)), "_range"), order, names, keys, descending)
     offsets = (
-        blocks.select(*keys, order, "_tie_range",
-                      *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
+        placed.drop(*names)
         .join(scores.select(*keys, order, *[(F.col(f"cum_{n}") - F.col(n)).alias(f"_s_{n}") for n in names],
                             *[f"tot_{n}" for n in names]), [*keys, order])
         .select(*keys, order, "_tie_range",

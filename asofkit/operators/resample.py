@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from asofkit.functions import stats
 from asofkit.functions.hashing import fast_uniform, hash_uniform, poisson_one
 from asofkit.operators import capacity
-from asofkit.operators.evaluate import calibration_measures, point_aggregates, ranking_metrics, run_counts, score_runs
+from asofkit.operators.evaluate import (ap_of_runs, auroc_of_runs, calibration_measures, point_aggregates, ranking_metrics,
+                                        run_counts, score_runs)
+from asofkit.operators.ordering import range_count, value_bounds
 
 MIN_VALID_SHARE = 0.8
 
@@ -61,7 +63,10 @@ def replicate_metrics(df: DataFrame, models: Mapping[str, str], cluster: str, n_
     parts = point_aggregates(w=F.col("w"))
     wanted = ("n", "events", "brier", "logloss", "oe_ratio")
     points = long.groupBy("b", "model").agg(*[parts[k].alias(k) for k in wanted])
-    both = points.join(ranking_metrics(long, ["b", "model"], weight="w"), ["b", "model"])
+    source = unpivot_models(slim, models, ["y"])
+    runs = score_runs(long, ["b", "model"], weight="w", bounds=value_bounds(source, "p", range_count(source)))
+    ranking = runs.groupBy("b", "model").agg(auroc_of_runs().alias("auroc"), ap_of_runs().alias("ap"))
+    both = points.join(ranking, ["b", "model"])
     valid = (F.col("events") > 0) & (F.col("events") < F.col("n"))
     return both.select("b", "model", *[F.when(valid, F.col(c)).alias(c) for c in ("auroc", "ap", "brier", "logloss", "oe_ratio")])
 
@@ -125,7 +130,8 @@ def capture_replicates(df: DataFrame, models: Mapping[str, str], fraction: float
     long = unpivot_models(reps, models, ["b", tie, "y", "w"])
     cuts = totals.select("b", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), F.lit(fraction).alias("cut"),
                          capacity.top_count(fraction, F.col("_n")).alias("k"))
-    hits = capacity.top_k_events(long, cuts, ["b", "model"], tie, weight="w")
+    source = unpivot_models(df, models, [tie, "y"])
+    hits = capacity.top_k_events(long, cuts, ["b", "model"], tie, weight="w", source=source)
     return hits.join(totals, "b").select("b", "model", "k", F.col("tp").cast("long").alias("tp"), stats.ratio(F.col("tp"), F.col("events")).alias("capture"))
 
 
@@ -138,7 +144,8 @@ def capacity_bootstrap(df: DataFrame, models: Mapping[str, str], permille: int,
     alloc = capacity.allocate(sizes, total, ["b"])
     cuts = alloc.select("b", "fold", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), F.lit(permille).alias("cut"), "k")
     long = unpivot_models(reps, models, ["b", "fold", tie, "y", "w"])
-    hits = capacity.top_k_events(long, cuts, ["b", "fold", "model"], tie, weight="w")
+    source = unpivot_models(df, models, [tie, "y"])
+    hits = capacity.top_k_events(long, cuts, ["b", "fold", "model"], tie, weight="w", source=source)
     return hits.groupBy("b", "model").agg(F.sum("tp").cast("long").alias("tp"), F.sum("k").alias("selected"))
 
 
