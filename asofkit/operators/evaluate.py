@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions import stats
-from asofkit.operators.ordering import prefix_sums, rank_rows
+from asofkit.operators.ordering import prefix_sums, quantiles, rank_rows
 
 
 def score_runs(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None = None, p: str = "p", bounds: Column | None = None) -> DataFrame:
@@ -292,11 +292,18 @@ def curve_points(df: DataFrame, max_points: int = 300) -> DataFrame:
 
 def risk_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
     """Counts by class in equal bins from 0 to the 99.5th percentile; higher risks share the last bin."""
-    top = df.agg(F.percentile("p", 0.995)).scalar()
+    top = quantiles(df, "p", [0.995]).select("q0").scalar()
     b = F.least(F.floor(F.col("p") / F.col("_top") * bins), F.lit(bins - 1))
     return (df.withColumn("_top", top).groupBy(b.alias("bin")).agg(F.sum("y").alias("events"), F.sum(1 - F.col("y")).alias("non_events")))
 
 
+def prediction_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and deciles of the risk per key (model, outcome)."""
+    q = quantiles(df, "p", [0.1, 0.5, 0.9], keys)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean")).join(q, list(keys)).select(
+        *keys, "n", "mean", F.col("q0").alias("p10"), F.col("q1").alias("p50"), F.col("q2").alias("p90"))
+
+
 def unpivot_groups(df: DataFrame, groups: Sequence[str], carry: Sequence[str]) -> DataFrame:
     """Long form (stratifier, level) of several grouping columns; NULL becomes 'unknown'."""
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("stratifier"), F.coalesce(F.col(g).cast("string"), F.lit("unknown")).alias("level")) for g in groups]))

@@ -129,3 +129,22 @@ def midranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     run = prefix_sums(df, value, {"n": F.lit(1).cast("long")}, keys, descending=False)
     return run.select(*keys, value, "n", "tot_n",
                       (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("midrank"))
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), *, weight: str | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles ``q0``, ``q1``, ... per key, from running counts of distinct values.
+
+    Holds no value list in memory, so the number of distinct values may be anything.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull())
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    runs = prefix_sums(rows.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w")), "_v", {"n": F.col("_w")}, keys, descending=False)
+    parts = []
+    for i, p in enumerate(probs):
+        h = (F.col("tot_n") - 1) * F.lit(float(p))
+        parts += [F.min(F.when(F.col("cum_n") >= F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"),
+                  F.min(F.when(F.col("cum_n") >= F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"),
+                  F.max(h - F.floor(h)).alias(f"_f{i}")]
+    out = runs.groupBy(*keys).agg(F.max("tot_n").alias("n_observed"), *parts)
+    return out.select(*keys, "n_observed", *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}") for i in range(len(probs))])

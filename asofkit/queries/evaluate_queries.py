@@ -331,8 +331,7 @@ def _(t):
 @query("prediction_summary", "M32", "model:s y:l n:l mean:f p10:f p50:f p90:f", with_scores(MODELS_SQL + """
 SELECT model, y, count(*) AS n, avg(p) AS mean, quantile_cont(p, 0.1) AS p10, quantile_cont(p, 0.5) AS p50, quantile_cont(p, 0.9) AS p90 FROM mlong GROUP BY ALL"""))
 def _(t):
-    return models_long(t).groupBy("model", "y").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), *[F.percentile("p", q).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
+    return evaluate.prediction_summary(models_long(t), ["model", "y"])
 
 
 @query("per_fold_metrics", "M14 R22 W18", "fold:l auroc_new:f auroc_ref:f delta:f", with_scores(MODELS_SQL + ", " + runs_sql("mlong", keys="model, fold") + f""",
