@@ -259,7 +259,7 @@ def _(t):
 COEFS = {"n30": 0.3, "n365": -0.2, "balance_k": 0.05}
 
 
-@query("fixed_equation_scores", "P27 P37 P39", "entity_id:l index_date:d lp:f risk:f recalibrated:f", with_wide("""
+@query("fixed_equation_scores", "P27 P37 P39", "entity_id:l index_date:d lp:f8 risk:f recalibrated:f", with_wide("""
 SELECT entity_id, index_date, -1.5 + 0.3 * n30 - 0.2 * n365 + 0.05 * balance / 1000 AS lp, 1 / (1 + exp(-(-1.5 + 0.3 * n30 - 0.2 * n365 + 0.05 * balance / 1000))) AS risk,
  1 / (1 + exp(-(-0.4 + 0.9 * (-1.5 + 0.3 * n30 - 0.2 * n365 + 0.05 * balance / 1000)))) AS recalibrated FROM wide"""))
 def _(t):
@@ -268,7 +268,7 @@ def _(t):
     return w.select("entity_id", "index_date", lp.alias("lp"), stats.expit(lp).alias("risk"), stats.expit(-0.4 + 0.9 * lp).alias("recalibrated"))
 
 
-@query("top_contributions", "P40", "entity_id:l index_date:d place:l name:s value:f direction:s", with_wide("""
+@query("top_contributions", "P40", "entity_id:l index_date:d place:l name:s value:f8 direction:s", with_wide("""
 c AS (SELECT entity_id, index_date, 'n30' AS name, 0.3 * (n30 - 1) AS value FROM wide UNION ALL SELECT entity_id, index_date, 'n365', -0.2 * (n365 - 2) FROM wide UNION ALL SELECT entity_id, index_date, 'balance_k', CAST(0.05 AS DOUBLE) * (balance / 1000) FROM wide),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, index_date ORDER BY abs(value) DESC, name) AS place FROM c)
 SELECT entity_id, index_date, place, name, value, CASE WHEN value > 0 THEN 'raises' ELSE 'lowers' END AS direction FROM r WHERE place <= 2 AND value <> 0"""))
