@@ -91,6 +91,7 @@ def lasso_cv(df: DataFrame, features: Sequence[str], *, folds: int = 5, n_lambda
 
     ``df`` has y, fold and raw features; features are standardised with divisor N.
     """
+    df = df.persist()
     z = standardise(df, features)
     zs = [f"{f}__z" for f in features]
     top = lambda_max(df, features, "y").first()[0]
@@ -113,7 +114,7 @@ def coefficient_table(model, features: Sequence[str], spark) -> DataFrame:
     return t.withColumn("odds_ratio", F.exp("coefficient"))
 
 
-def fit_unpenalised(df: DataFrame, features: Sequence[str], offset: str | None = None):
+def fit_unpenalised(df: DataFrame, features: Sequence[str], offset: str | None = None, max_coef: float = 50.0):
     """Maximum-likelihood logistic with standard errors; separation shows as a diverged coefficient and is refused."""
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", featuresCol="features", maxIter=50, tol=1e-10)
     keep = ["y"]
@@ -121,7 +122,7 @@ def fit_unpenalised(df: DataFrame, features: Sequence[str], offset: str | None =
         glm = glm.setOffsetCol(offset)
         keep.append(offset)
     model = glm.fit(assemble(df, features, keep))
-    if any(abs(c) > 50 for c in model.coefficients):
+    if any(abs(c) > max_coef for c in model.coefficients):
         raise ContractError("separation: a coefficient diverged")
     return model
 
@@ -187,7 +188,7 @@ def separation_omissions(df: DataFrame, binary: Sequence[str], y: str) -> list[t
 
     Each round is one aggregate over the remaining rows. Result: (round, column, reason, rows dropped).
     """
-    left, rows, out = list(binary), df, []
+    left, rows, out = list(binary), df.select(y, *binary).persist(), []
     round_no = 0
     while left:
         round_no += 1
@@ -230,6 +231,7 @@ def power_candidates(max_degree: int = 2) -> list[tuple[float, ...]]:
 
 def power_deviances(df: DataFrame, variable: str, other: Sequence[str], candidates: Sequence[tuple[float, ...]]) -> DataFrame:
     """Model deviance per power set of one variable next to the other features (linear: power 1)."""
+    df = df.persist()
     s = power_scaling(df, variable).first()
     rows = []
     for powers in candidates:
@@ -238,6 +240,7 @@ def power_deviances(df: DataFrame, variable: str, other: Sequence[str], candidat
         data = df.withColumns(dict(zip(names, terms)))
         model = fit_unpenalised(data, [*names, *other])
         rows.append((variable, [float(p) for p in powers], len(powers), float(model.summary.deviance)))
+    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "variable string, powers array<double>, degree int, deviance double")
 
 

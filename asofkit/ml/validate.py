@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.hashing import hash_uniform
 from asofkit.ml.models import assemble
 from asofkit.operators.evaluate import calibration_measures, delong, point_metrics, ranking_metrics
-from asofkit.operators.ordering import rank_rows
+from asofkit.operators.ordering import even_bounds, range_count, rank_spread, value_bounds
 from asofkit.operators.resample import replicate_weight
 from asofkit.operators.splits import nested_fraction
 
@@ -18,33 +18,31 @@ FitScore = Callable[[DataFrame, DataFrame], DataFrame]
 """Fits on the first table and returns the second with its risk ``p``."""
 
 
-def shuffled(df: DataFrame, feature: str, key: str, seed: int, repeat: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The table with ``feature`` permuted inside ``keys``: the value at place i of a hashed order goes to the row at place i by key.
+def shuffled(df: DataFrame, features: Sequence[str], key: str, seed: int, repeats: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The table once per (feature, repeat) with that feature permuted inside ``keys``.
 
-    Two distributed rankings and one equi join; no task sees a whole column.
+    The value at place i of a hashed order goes to the row at place i by key: two distributed
+    rankings (one for all features and repeats together) and one equi join.
     """
     keys = list(keys)
-    by_hash = df.select(*keys, key, feature).withColumn("_u", hash_uniform(F.lit(str(seed)), F.lit(repeat), F.lit(feature), F.col(key)))
-    source = rank_rows(by_hash, "_u", key, keys=keys, descending=False).select(*keys, "rn", F.col(feature).alias("_value"))
-    target = rank_rows(df.withColumn("_k", F.col(key).cast("double")), "_k", key, keys=keys, descending=False)
-    return target.join(source, [*keys, "rn"]).select(*[F.col("_value").alias(c) if c == feature else F.col(c) for c in df.columns])
+    items = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(f).cast("double").alias("value")) for f in features for r in range(1, repeats + 1)]))
+    long = df.select(*keys, key, items.alias("_e")).select(*keys, key, "_e.feature", "_e.repeat", F.col("_e.value").alias("_value"))
+    by_hash = long.withColumn("_u", hash_uniform(F.lit(str(seed)), F.col("repeat"), F.col("feature"), F.col(key)))
+    source = rank_spread(by_hash, "_u", key, [*keys, "feature", "repeat"], bounds=even_bounds(df)).select(*keys, "feature", "repeat", "rn", "_value")
+    target = rank_spread(df, key, key, keys)
+    mixed = target.join(source, [*keys, "rn"])
+    return mixed.select("feature", "repeat", *[F.when(F.col("feature") == c, F.col("_value")).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
 def permutation_drops(df: DataFrame, features: Sequence[str], risk: Column, key: str, seed: int, repeats: int, keys: Sequence[str] = ()) -> DataFrame:
     """AUROC and AP drop per (keys, feature, repeat) when one raw feature is shuffled; ``risk`` scores a row from its features."""
     keys = list(keys)
-    base = ranking_metrics(df.withColumn("p", risk).withColumn("_all", F.lit(1)), keys or ["_all"])
-    parts = []
-    for f in features:
-        for r in range(1, repeats + 1):
-            s = shuffled(df, f, key, seed, r, keys).withColumn("p", risk).withColumn("_all", F.lit(1))
-            parts.append(s.select(*keys, "_all", "y", "p", F.lit(f).alias("feature"), F.lit(r).alias("repeat")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
     link = keys or ["_all"]
-    m = ranking_metrics(every, [*link, "feature", "repeat"])
-    b = base.select(*link, F.col("auroc").alias("_a"), F.col("ap").alias("_p"))
+    base = df if keys else df.withColumn("_all", F.lit(1))
+    scored = base.withColumn("p", risk)
+    bounds = value_bounds(scored, "p", range_count(df))  # shuffled risks spread over the same range
+    b = ranking_metrics(scored, link, bounds=bounds).select(*link, F.col("auroc").alias("_a"), F.col("ap").alias("_p"))
+    m = ranking_metrics(shuffled(base, features, key, seed, repeats, link).withColumn("p", risk), [*link, "feature", "repeat"], bounds=bounds)
     return m.join(b, link).select(*keys, "feature", "repeat", (F.col("_a") - F.col("auroc")).alias("auroc_drop"), (F.col("_p") - F.col("ap")).alias("ap_drop"))
 
 
@@ -60,20 +58,24 @@ def weighted_resample(df: DataFrame, cluster: str, seed: int, b: int) -> DataFra
 def replicate_coefficients(df: DataFrame, features: Sequence[str], cluster: str, seed: int, n_boot: int, make: Callable[[], object]) -> DataFrame:
     """Coefficients of a weighted refit per replicate: (replicate, feature, coefficient)."""
     rows = []
+    df = df.persist()
     for b in range(1, n_boot + 1):
         model = make().setWeightCol("w").fit(assemble(weighted_resample(df, cluster, seed, b), features, ["y", "w"]))
         rows += [(b, f, float(c)) for f, c in zip(features, model.coefficients)]
+    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "replicate int, feature string, coefficient double")
 
 
 def optimism(df: DataFrame, fit_score: FitScore, cluster: str, seed: int, n_boot: int) -> DataFrame:
     """Mean of (metric on the resample - metric on the original rows) over refits, per metric."""
     rows = []
+    df = df.persist()
     for b in range(1, n_boot + 1):
         boot = weighted_resample(df, cluster, seed, b)
         own = _metrics(fit_score(boot, boot), weight="w")
         orig = _metrics(fit_score(boot, df))
         rows += [(b, m, float(own[m] - orig[m])) for m in ("auroc", "brier")]
+    df.unpersist()
     t = df.sparkSession.createDataFrame(rows, "replicate int, metric string, optimism double")
     return t.groupBy("metric").agg(F.avg("optimism").alias("optimism"), F.count(F.lit(1)).alias("replicates"))
 
@@ -107,8 +109,12 @@ def heterogeneity(scored: DataFrame, cluster: str) -> DataFrame:
 def learning_curve(train: DataFrame, validation: DataFrame, entity: str, fractions: Sequence[float], seed: int, fit_score: FitScore) -> DataFrame:
     """Validation AUROC after refitting on nested stratified entity subsets."""
     rows = []
+    train, validation = train.persist(), validation.persist()
     for f in fractions:
-        part = nested_fraction(train, entity, f, seed)
+        part = nested_fraction(train, entity, f, seed).persist()
         m = _metrics(fit_score(part, validation))
         rows.append((float(f), part.count(), float(m["auroc"])))
+        part.unpersist()
+    train.unpersist()
+    validation.unpersist()
     return train.sparkSession.createDataFrame(rows, "fraction double, rows long, auroc double")

@@ -35,8 +35,9 @@ def ap_of_runs() -> Column:
     return F.when(F.max("tot_pos") > 0, F.sum(F.col("pos") / F.col("tot_pos") * stats.ratio(F.col("cum_pos"), flagged)))
 
 
-def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None = None, p: str = "p") -> DataFrame:
-    return score_runs(df, keys, weight=weight, p=p).groupBy(*keys).agg(auroc_of_runs().alias("auroc"), ap_of_runs().alias("ap"))
+def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None = None, p: str = "p", bounds: Column | None = None) -> DataFrame:
+    """AUROC and average precision per key; ``bounds`` as in ``prefix_sums``."""
+    return score_runs(df, keys, weight=weight, p=p, bounds=bounds).groupBy(*keys).agg(auroc_of_runs().alias("auroc"), ap_of_runs().alias("ap"))
 
 
 def delong(df: DataFrame, keys: Sequence[str] = (), *, p: str = "p") -> DataFrame:
@@ -89,7 +90,7 @@ def fit_calibration(df: DataFrame, keys: Sequence[str] = (), *, lp: str = "lp",
     spark = df.sparkSession
     keys = list(keys)
     data = df.select(*keys, F.col("y").cast("double").alias("_y"), F.col(lp).alias("_x"),
-                     (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+                     (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")).persist()
     start = data.groupBy(*keys).agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_y")), F.sum(F.col("_w") * F.col("_x"))).collect()
     state: dict[tuple, list[float]] = {}
     done: dict[tuple, tuple | None] = {}
@@ -122,6 +123,7 @@ def fit_calibration(df: DataFrame, keys: Sequence[str] = (), *, lp: str = "lp",
             _newton(k, r[len(keys):], state, done, offset_only, tol, max_coef)
     for k in state:
         done[k] = None
+    data.unpersist()
     rows = [(*k, *(v or (None, None, None, None))) for k, v in done.items()]
     out_schema = ", ".join([*key_fields, "intercept double", "slope double", "intercept_se double", "slope_se double"])
     return spark.createDataFrame(rows, out_schema)

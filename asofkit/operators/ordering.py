@@ -42,6 +42,15 @@ def value_bounds(df: DataFrame, col: str, n_ranges: int) -> Column:
     return quantiles.selectExpr(f"struct(q AS all, filter(q, (x, i) -> (i + 1) % {step} = 0) AS steps, {step} AS step)").scalar()
 
 
+def even_bounds(df: DataFrame) -> Column:
+    """Equal ranges of [0, 1) for a hashed order: no pass over the data is needed."""
+    n = range_count(df)
+    step = max(2, math.isqrt(n))
+    every = [i / n for i in range(1, n)]
+    array = lambda xs: "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
+    return F.expr(f"struct({array(every)} AS all, {array(every[step - 1::step])} AS steps, {step} AS step)")
+
+
 def with_range(df: DataFrame, col: str, bounds: Column, name: str) -> DataFrame:
     """Add the 0-based index of the value range of ``col``: every ``step``-th bound first, then those in between."""
     value = F.col(col).cast("double")
@@ -124,6 +133,20 @@ def rank_rows(df: DataFrame, order: str, tie: str, sums: Mapping[str, Column] |
     )
 
 
+def rank_spread(df: DataFrame, order: str, tie: str, keys: Sequence[str] = (), *, bounds: Column | None = None) -> DataFrame:
+    """Ascending positions ``rn`` and ``tot_n`` for an order column without hot values (a hash, a unique id).
+
+    Cuts on the order column alone, so the rows are shuffled once. Use ``rank_rows`` for scores.
+    """
+    keys = list(keys)
+    rows = with_range(df, order, value_bounds(df, order, range_count(df)) if bounds is None else bounds, "_range")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.sum("_n").over(Window.partitionBy(*keys)).alias("tot_n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order, tie))
+    return rows.join(offsets, [*keys, "_range"]).select(*df.columns, (F.col("_o") + place).alias("rn"), "tot_n")
+
+
 def midranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Average rank of each distinct value (ascending), with its row count ``n``."""
     run = prefix_sums(df, value, {"n": F.lit(1).cast("long")}, keys, descending=False)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions import dates, hashing
-from asofkit.operators.ordering import prefix_sums, rank_rows
+from asofkit.operators.ordering import even_bounds, prefix_sums, rank_spread
 
 SPLITS = ("train", "validation", "test")
 
@@ -74,7 +74,7 @@ def unknown_groups(df: DataFrame, group: str, listed: Sequence) -> DataFrame:
 def grouped_random_split(df: DataFrame, entity: str, validation: float, test: float, seed: int, *, y: str | None = "y") -> DataFrame:
     """Entities in hash order within outcome strata (entity maximum); the first parts are test and validation, sizes half up."""
     per = df.groupBy(entity).agg((F.max(y) if y else F.lit(0)).alias("_stratum")).withColumn("_u", hashing.hash_uniform(F.lit(str(seed)), F.col(entity)))
-    ranked = rank_rows(per, "_u", entity, keys=["_stratum"], descending=False)
+    ranked = rank_spread(per, "_u", entity, ["_stratum"], bounds=even_bounds(df))
     n_test = F.floor(F.col("tot_n") * test + 0.5)
     n_val = F.floor(F.col("tot_n") * validation + 0.5)
     split = F.when(F.col("rn") <= n_test, "test").when(F.col("rn") <= n_test + n_val, "validation").otherwise("train")
@@ -90,7 +90,7 @@ def hash_partition(entity: Column | str, salt: str, train: float, validation: fl
 def stratified_folds(df: DataFrame, key: str, k: int, seed: int, y: str = "y") -> DataFrame:
     """Fold = position mod k in hash order inside each class; ``key`` is a unique number per row."""
     rows = df.withColumn("_u", hashing.hash_uniform(F.lit(str(seed)), F.col(key)))
-    ranked = rank_rows(rows, "_u", key, keys=[y], descending=False)
+    ranked = rank_spread(rows, "_u", key, [y], bounds=even_bounds(df))
     return ranked.withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k))).drop("_u", "rn", "tot_n")
 
 
@@ -117,7 +117,7 @@ def balanced_folds(df: DataFrame, entity: str, k: int, seed: int) -> DataFrame:
              .select("size", ((F.col("load") + F.col("rung") * F.col("size")) * k + F.col("fold")).alias("slot")))
     numbered = prefix_sums(slots, "slot", {"n": F.lit(1).cast("long")}, ["size"], descending=False).select(
         "size", F.col("cum_n").alias("rn"), F.pmod("slot", F.lit(k)).alias("fold"))
-    ranked = rank_rows(sizes, "_u", entity, keys=["size"], descending=False).select(entity, "size", "rn")
+    ranked = rank_spread(sizes, "_u", entity, ["size"], bounds=even_bounds(df)).select(entity, "size", "rn")
     return ranked.join(numbered, ["size", "rn"]).select(entity, "size", "fold")
 
 
@@ -178,5 +178,5 @@ def forbidden_rows(fit_rows: DataFrame, held_back: DataFrame, keys: Sequence[str
 def nested_fraction(df: DataFrame, entity: str, fraction: float, seed: int, y: str = "y") -> DataFrame:
     """Nested stratified subset for learning curves: the first ``fraction`` of entities in hash order per stratum."""
     per = df.groupBy(entity).agg(F.max(y).alias("_stratum")).withColumn("_u", hashing.hash_uniform(F.lit(str(seed)), F.col(entity)))
-    ranked = rank_rows(per, "_u", entity, keys=["_stratum"], descending=False)
+    ranked = rank_spread(per, "_u", entity, ["_stratum"], bounds=even_bounds(df))
     return df.join(ranked.where(F.col("rn") <= F.ceil(F.col("tot_n") * fraction)).select(entity), entity, "left_semi")
