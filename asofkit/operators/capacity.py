@@ -110,7 +110,7 @@ def gains_curve(df: DataFrame, tie: str, points: int = 100) -> DataFrame:
     cuts = (totals.select("_all", "n", F.explode(F.sequence(F.lit(1), F.lit(points))).alias("cut"))
             .select("_all", "cut", F.greatest(F.lit(1), F.floor(F.col("cut") * F.col("n") / points)).alias("k")))
     return (top_k_events(base, cuts, ["_all"], tie).join(totals, "_all")
-            .select(F.col("cut").alias("point"), F.col("k"), (F.col("tp") / F.col("events")).alias("event_share")))
+            .select(F.col("cut").alias("point"), F.col("k"), stats.ratio(F.col("tp"), F.col("events")).alias("event_share")))
 
 
 # ------------------------------------------------------------------ folds

@@ -35,7 +35,7 @@ def bin_shares(df: DataFrame, cols: Sequence[str], edges: DataFrame) -> DataFram
     every = edges.select("column_name", F.explode(names).alias("bin"))
     full = every.join(got, ["column_name", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = full.groupBy("column_name").agg(F.sum("n").alias("_t"))
-    return full.join(total, "column_name").select("column_name", "bin", "n", (F.col("n") / F.col("_t")).alias("share"))
+    return full.join(total, "column_name").select("column_name", "bin", "n", stats.ratio(F.col("n"), F.col("_t")).alias("share"))
 
 
 def level_shares(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -46,7 +46,7 @@ def level_shares(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFram
     every = spark.range(1).select(F.explode(F.array(*declared)).alias("e")).select("e.*")
     total = counts.groupBy("column_name").agg(F.sum("n").alias("_t"))
     return (every.join(counts, ["column_name", "bin"], "left").join(total, "column_name")
-            .select("column_name", "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("_t")).alias("share")))
+            .select("column_name", "bin", F.coalesce("n", F.lit(0)).alias("n"), stats.ratio(F.coalesce("n", F.lit(0)), F.col("_t")).alias("share")))
 
 
 def psi(expected: DataFrame, actual: DataFrame, *, renormalise: bool = True) -> DataFrame:

@@ -32,7 +32,7 @@ def auroc_of_runs() -> Column:
 def ap_of_runs() -> Column:
     """Step-wise average precision, as an aggregate over ``score_runs``."""
     flagged = F.col("cum_pos") + F.col("cum_neg")
-    return F.when(F.max("tot_pos") > 0, F.sum(F.col("pos") / F.col("tot_pos") * stats.ratio(F.col("cum_pos"), flagged)))
+    return F.when(F.max("tot_pos") > 0, F.sum(stats.ratio(F.col("pos"), F.col("tot_pos")) * stats.ratio(F.col("cum_pos"), flagged)))
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None = None, p: str = "p", bounds: Column | None = None) -> DataFrame:
@@ -44,8 +44,8 @@ def delong(df: DataFrame, keys: Sequence[str] = (), *, p: str = "p") -> DataFram
     """AUROC with its DeLong variance and the SE of logit(AUROC), from placement values per distinct score."""
     runs = score_runs(df, keys, p=p)
     pos, neg, tp, tn = (F.col(c).cast("double") for c in ("pos", "neg", "tot_pos", "tot_neg"))
-    v10 = (tn - F.col("cum_neg") + neg / 2) / tn
-    v01 = (F.col("cum_pos") - pos / 2) / tp
+    v10 = stats.ratio(tn - F.col("cum_neg") + neg / 2, tn)
+    v01 = stats.ratio(F.col("cum_pos") - pos / 2, tp)
     sums = runs.groupBy(*keys).agg(
         F.max("tot_pos").alias("n1"), F.max("tot_neg").alias("n0"), auroc_of_runs().alias("auroc"),
         F.sum(pos * v10).alias("s1"), F.sum(pos * v10 * v10).alias("q1"), F.sum(neg * v01).alias("s0"), F.sum(neg * v01 * v01).alias("q0"))
@@ -274,7 +274,7 @@ def operating_points(df: DataFrame, targets: Sequence[float], keys: Sequence[str
     """HIGHEST threshold whose sensitivity reaches each target; tied scores are flagged together."""
     runs = run_counts(score_runs(df, keys, weight=weight))
     at = F.struct("p", "tp", "fp", "fn", "tn")
-    reached = [F.max(F.when(F.col("cum_pos") / F.col("tot_pos") >= t - 1e-12, at)) for t in targets]
+    reached = [F.max(F.when(stats.ratio(F.col("cum_pos"), F.col("tot_pos")) >= t - 1e-12, at)) for t in targets]
     row = runs.groupBy(*keys).agg(*[c.alias(f"_t{i}") for i, c in enumerate(reached)])
     each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("target"), F.col(f"_t{i}").alias("at")) for i, t in enumerate(targets)]))
     flat = row.select(*keys, each.alias("e")).select(*keys, "e.target", F.col("e.at.p").alias("threshold"), "e.at.tp", "e.at.fp", "e.at.fn", "e.at.tn")
@@ -288,14 +288,14 @@ def curve_points(df: DataFrame, max_points: int = 300) -> DataFrame:
     n = F.col("tot_pos") + F.col("tot_neg")
     k, own = F.col("tp") + F.col("fp"), F.col("pos") + F.col("neg")
     keep = F.floor(k * (max_points - 1) / n) > F.floor((k - own) * (max_points - 1) / n)
-    return runs.where(keep).select(F.col("p").alias("threshold"), (F.col("tp") / F.col("tot_pos")).alias("tpr"),
-                                   (F.col("fp") / F.col("tot_neg")).alias("fpr"), (F.col("tp") / k).alias("precision"))
+    return runs.where(keep).select(F.col("p").alias("threshold"), stats.ratio(F.col("tp"), F.col("tot_pos")).alias("tpr"),
+                                   stats.ratio(F.col("fp"), F.col("tot_neg")).alias("fpr"), (F.col("tp") / k).alias("precision"))
 
 
 def risk_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
     """Counts by class in equal bins from 0 to the 99.5th percentile; higher risks share the last bin."""
     top = quantiles(df, "p", [0.995]).select("q0").scalar()
-    b = F.least(F.floor(F.col("p") / F.col("_top") * bins), F.lit(bins - 1))
+    b = F.least(F.floor(F.coalesce(stats.ratio(F.col("p"), F.col("_top")), F.lit(0.0)) * bins), F.lit(bins - 1))
     return (df.withColumn("_top", top).groupBy(b.alias("bin")).agg(F.sum("y").alias("events"), F.sum(1 - F.col("y")).alias("non_events")))
 
 

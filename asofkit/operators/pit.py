@@ -200,7 +200,7 @@ def latest_day_mean(pairs: DataFrame, value: str, name: str) -> DataFrame:
     """Mean of ``value`` on the latest record day per row: per-day sums, then the latest day's pair."""
     days = pairs.groupBy(*ROW, "record_date").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     return (days.groupBy(*ROW).agg(F.max_by(F.struct("_s", "_n"), "record_date").alias("d"))
-            .select(*ROW, (F.col("d._s") / F.col("d._n")).alias(name)))
+            .select(*ROW, F.try_divide("d._s", "d._n").alias(name)))
 
 
 def nearest_match(pairs: DataFrame, left_kind: str, right_kind: str, gap_days: int) -> DataFrame:
@@ -241,7 +241,7 @@ def body_index(pairs: DataFrame, rules: DerivationRules) -> DataFrame:
     win = body_window(pairs, rules)
     recorded = latest_day_mean(win.where((F.col("kind") == "bmi") & F.col("value").between(lo, hi)), "value", "recorded")
     matched = nearest_match(win, "weight_kg", "height_m", rules.pair_gap_days)
-    index = matched.withColumn("bmi", F.col("value") / F.pow("match_value", 2)).where(F.col("bmi").between(lo, hi))
+    index = matched.withColumn("bmi", F.try_divide(F.col("value"), F.pow("match_value", 2))).where(F.col("bmi").between(lo, hi))
     computed = latest_day_mean(index, "bmi", "computed")
     return (recorded.join(computed, ROW, "full")
             .select(*ROW, F.coalesce("recorded", "computed").alias("body_index")))

@@ -110,7 +110,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], bases: Mapping[str, Colu
 
 def transformation_hint(profile: DataFrame) -> DataFrame:
     """Text hints from zero share, skewness, and the maximum against p99."""
-    zero = F.col("zeros") / F.col("n")
+    zero = stats.ratio(F.col("zeros"), F.col("n"))
     hints = F.concat_ws("; ", F.when(zero >= 0.5, "zero-inflated"), F.when((F.col("skewness") > 1) & (F.col("min") >= 0), "right-skewed"),
                         F.when((F.col("max") > 0) & (F.col("p99") > 0) & (F.col("max") > 3 * F.col("p99")), "heavy upper tail"))
     text = (F.when(F.col("n") == 0, "no data").when(F.col("distinct") <= 2, "binary").when(hints == "", "none").otherwise(hints))
@@ -221,7 +221,7 @@ def missing_against_outcome(df: DataFrame, cols: Sequence[str], y: str, *, min_s
     share = F.col("n_missing") / (F.col("n_missing") + F.col("n_observed"))
     pr = stats.prevalence_ratio(*[F.col(c) for c in ("events_missing", "n_missing", "events_observed", "n_observed")])
     return (s.where((share >= min_share) & (F.col("n_observed") > 0))
-            .select("*", (F.col("events_missing") / F.col("n_missing")).alias("rate_missing"), (F.col("events_observed") / F.col("n_observed")).alias("rate_observed"), *stats.columns(pr)))
+            .select("*", stats.ratio(F.col("events_missing"), F.col("n_missing")).alias("rate_missing"), stats.ratio(F.col("events_observed"), F.col("n_observed")).alias("rate_observed"), *stats.columns(pr)))
 
 
 # ------------------------------------------------------------------ cohort tables
@@ -382,7 +382,7 @@ def pairwise_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: Sequence[str], *, min_pairs: int = 30) -> DataFrame:
     """Pearson correlation per pair over rows where both are observed (NULL below ``min_pairs``)."""
     s = pairwise_sums(df, cols)
-    n = F.col("n")
+    n = F.nullif(F.col("n"), F.lit(0.0))
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
     r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
     return s.select("column_a", "column_b", F.col("n").cast("long").alias("n"), F.when((n >= min_pairs) & (vx > 0) & (vy > 0), r).alias("r"))

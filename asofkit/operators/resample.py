@@ -75,7 +75,7 @@ def percentile_ci(values: DataFrame, metrics: Sequence[str], keys: Sequence[str]
     """Percentile interval per key and metric; NULL below 80% valid replicates. Also the share of replicates above 0."""
     row = values.groupBy(*keys).agg(*[F.struct(
         F.lit(m).alias("metric"), F.count(m).alias("n_valid"), F.percentile(m, alpha / 2).alias("lo"), F.percentile(m, 1 - alpha / 2).alias("hi"),
-        (F.count_if(F.col(m) > 0) / F.count(m)).alias("share_above_0")).alias(f"_{i}") for i, m in enumerate(metrics)])
+        stats.ratio(F.count_if(F.col(m) > 0), F.count(m)).alias("share_above_0")).alias(f"_{i}") for i, m in enumerate(metrics)])
     long = row.select(*keys, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(metrics))])).alias("e")).select(*keys, "e.*")
     ok = F.col("n_valid") >= MIN_VALID_SHARE * n_boot
     return long.select(*keys, "metric", "n_valid", F.when(ok, F.col("lo")).alias("ci_low"), F.when(ok, F.col("hi")).alias("ci_high"), "share_above_0")
@@ -115,7 +115,7 @@ def operating_replicates(df: DataFrame, models: Mapping[str, str], targets: Sequ
     runs = run_counts(score_runs(unpivot_models(cells, models, ["b", "y", "w"]), ["b", "model"], weight="w"))
     at = F.struct("p", "tp", "fp")
     row = runs.groupBy("b", "model").agg(
-        *[F.max(F.when(F.col("cum_pos") / F.col("tot_pos") >= t - 1e-12, at)).alias(f"_t{i}") for i, t in enumerate(targets)],
+        *[F.max(F.when(stats.ratio(F.col("cum_pos"), F.col("tot_pos")) >= t - 1e-12, at)).alias(f"_t{i}") for i, t in enumerate(targets)],
         (F.max("tot_pos") + F.max("tot_neg")).alias("_n"))
     each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("target"), F.col(f"_t{i}").alias("at")) for i, t in enumerate(targets)]))
     flagged = F.col("e.at.tp") + F.col("e.at.fp")

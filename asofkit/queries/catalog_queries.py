@@ -60,10 +60,10 @@ def _(t):
     return sealed.join(profile.column_profile(wide(t), COLS).select("column_name", F.col("observed").alias("n_filled")), "column_name")
 
 
-@query("schema_diff", "J15 U03", "column_name:s in_old:b in_declared:b in_extract:b column_class:s", with_wide("""
+@query("schema_diff", "J15 U03", "column_name:s in_old:b in_declared:b in_extract:b column_class:s observed:l", with_wide("""
 c AS (SELECT * FROM (VALUES ('n30', true, true, true, 'UNCHANGED'), ('n365', true, true, true, 'CHANGED_DEFINITION'), ('mean_price', true, false, true, 'REVIEW'), ('old_score', true, false, false, 'REMOVED'), ('n_urgent', false, true, true, 'RENAMED'), ('balance', false, true, true, 'NEW_CANDIDATE'),
  ('segment', false, true, true, 'NEW_OTHER'), ('followup_end', false, false, true, 'FORBIDDEN'), ('version', false, false, true, 'REVIEW'), ('planned', false, true, false, 'DECLARED_ONLY')) v(column_name, in_old, in_declared, in_extract, column_class))
-SELECT c.* FROM c WHERE (SELECT count(*) FROM wide) > 0"""))
+SELECT c.*, o.n AS observed FROM c LEFT JOIN (""" + " UNION ALL ".join(f"SELECT '{c}' AS cn, count({c}) AS n FROM wide" for c in ("n30", "n365", "mean_price", "n_urgent", "balance", "segment", "followup_end", "version")) + ") o ON c.column_name = o.cn"))
 def _(t):
     spark = t.spark
     keep = {"n30", "n365", "mean_price", "n_urgent", "balance", "segment", "followup_end", "version"}
@@ -72,7 +72,8 @@ def _(t):
     new = spark.createDataFrame([("n30", "SAME", None, None, None), ("n365", "CHANGED", None, None, None), ("n_urgent", None, "PREDICTOR", "old_score", True), ("balance", None, "PREDICTOR", None, None),
                                  ("segment", None, "METADATA", None, None), ("planned", None, "PREDICTOR", None, None)],
                                 "column_name string, equivalence string, new_role string, replaces string, lineage_proven boolean")
-    return catalog.schema_diff(old, new, header, sealed_pattern="(?i)followup|next_")
+    seen = profile.column_profile(wide(t), sorted(keep)).select("column_name", "observed")
+    return catalog.enrich(catalog.schema_diff(old, new, header, sealed_pattern="(?i)followup|next_"), seen)
 
 
 @query("column_status", "A70 A72 A73", "column_name:s source:s n_on:l n_after:l status:s", with_wide(STATUS_SQL + " SELECT column_name, source, n_on, n_after, status FROM st"))
@@ -99,18 +100,23 @@ def _(t):
     return catalog.dependency_closure(t.spark, status, edges)
 
 
-@query("needed_columns", "C10", "column_name:s availability:s", with_wide(FEAT_SQL + """ SELECT DISTINCT column_name, CASE WHEN column_name = 'balance' THEN 'sealed' WHEN column_name = 'gone' THEN 'absent' ELSE 'available' END AS availability FROM feat WHERE (SELECT count(*) FROM wide) > 0"""))
+@query("needed_columns", "C10", "column_name:s availability:s observed:l", with_wide(FEAT_SQL + """, o AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS cn, count({c}) AS n FROM wide" for c in ("n30", "n365", "mean_price", "n_urgent", "balance")) + """)
+SELECT DISTINCT column_name, CASE WHEN column_name = 'balance' THEN 'sealed' WHEN column_name = 'gone' THEN 'absent' ELSE 'available' END AS availability, n AS observed FROM feat LEFT JOIN o ON cn = column_name"""))
 def _(t):
     header = t.spark.createDataFrame([(c,) for c in wide(t).columns], "column_name string")
     sealed = t.spark.createDataFrame([("balance",), ("y",)], "column_name string")
-    return catalog.needed_columns(features(t), header, sealed)
+    seen = profile.column_profile(wide(t), ["n30", "n365", "mean_price", "n_urgent", "balance"]).select("column_name", "observed")
+    return catalog.enrich(catalog.needed_columns(features(t), header, sealed), seen)
 
 
-@query("feature_coverage", "A50 A51", "features:l available:l unavailable:l mandatory_missing:l pct:f", with_wide(FEAT_SQL + """,
-ok AS (SELECT feature, bool_and(column_name <> 'gone') AS av FROM feat GROUP BY 1) SELECT count(*) AS features, count_if(av) AS available, count_if(NOT av) AS unavailable, count_if(NOT av AND feature IN ('recent', 'yearly', 'lost')) AS mandatory_missing, 100 * count_if(av) / count(*) AS pct FROM ok WHERE (SELECT count(*) FROM wide) > 0"""))
+@query("feature_coverage", "A50 A51", "features:l available:l unavailable:l mandatory_missing:l pct:f", with_wide(FEAT_SQL + """, o AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS cn, count({c}) / count(*) AS share FROM wide" for c in ("n30", "n365", "mean_price", "n_urgent", "balance")) + """),
+ok AS (SELECT feature, bool_and(coalesce(share >= 0.7, false)) AS av FROM feat LEFT JOIN o ON cn = column_name GROUP BY 1)
+SELECT count(*) AS features, count_if(av) AS available, count_if(NOT av) AS unavailable, count_if(NOT av AND feature IN ('recent', 'yearly', 'lost')) AS mandatory_missing, 100 * count_if(av) / count(*) AS pct FROM ok"""))
 def _(t):
-    header = t.spark.createDataFrame([(c,) for c in wide(t).columns], "column_name string")
-    need = features(t).select("feature", F.explode("inputs").alias("column_name")).join(header.withColumn("h", F.lit(True)), "column_name", "left")
+    prof = profile.column_profile(wide(t), ["n30", "n365", "mean_price", "n_urgent", "balance"])
+    usable = prof.where(F.col("observed") / F.col("rows") >= 0.7).select("column_name", F.lit(True).alias("h"))
+    need = features(t).select("feature", F.explode("inputs").alias("column_name")).join(usable, "column_name", "left")
     ok = need.groupBy("feature").agg(F.every(F.coalesce("h", F.lit(False))).alias("a")).where("a").select("feature")
     return catalog.coverage(features(t), ok)
 

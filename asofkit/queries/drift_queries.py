@@ -217,11 +217,14 @@ def _(t):
 FEATURES = {"orders_90": ("n90", "last_order_date"), "orders_365": ("n365", "last_order_date"), "price": ("mean_price", "last_order_date"), "urgent": ("n_urgent", "death_date")}
 
 
-@query("recovery_registry", "A60 A66", "feature:s rows:l n_unknown:l n_informative:l n_known_train:l n_on:l n_after:l n_undated:l unknown_share:f unknown_share_informative:f gate_class:s", with_wide("r AS (" + " UNION ALL ".join(
+REG_SQL = with_wide("r AS (" + " UNION ALL ".join(
     f"""SELECT '{f}' AS feature, count(*) AS rows, count_if(coalesce({d} > index_date, false) OR (coalesce({v} <> 0, false) AND {d} IS NULL)) AS n_unknown, count_if({d} IS NOT NULL AND NOT coalesce({d} > index_date, false)) AS n_informative,
- count({v}) FILTER (WHERE split = 'train' AND NOT (coalesce({d} > index_date, false) OR (coalesce({v} <> 0, false) AND {d} IS NULL))) AS n_known_train, count_if({d} = index_date) AS n_on, count_if({d} > index_date) AS n_after, count_if(coalesce({v} <> 0, false) AND {d} IS NULL) AS n_undated FROM wide"""
+ count({v}) FILTER (WHERE split = 'train' AND NOT (coalesce({d} > index_date, false) OR (coalesce({v} <> 0, false) AND {d} IS NULL))) AS n_known_train, coalesce(min({v}) FILTER (WHERE split = 'train' AND NOT (coalesce({d} > index_date, false) OR (coalesce({v} <> 0, false) AND {d} IS NULL))) = max({v}) FILTER (WHERE split = 'train' AND NOT (coalesce({d} > index_date, false) OR (coalesce({v} <> 0, false) AND {d} IS NULL))), true) AS cst, count_if({d} = index_date) AS n_on, count_if({d} > index_date) AS n_after, count_if(coalesce({v} <> 0, false) AND {d} IS NULL) AS n_undated FROM wide"""
     for f, (v, d) in FEATURES.items()) + """), s AS (SELECT *, n_unknown / rows AS unknown_share, n_unknown / greatest(1, n_unknown + n_informative) AS unknown_share_informative FROM r)
-SELECT *, CASE WHEN n_known_train < 50 THEN 'NOT_RECOVERABLE_DATA' WHEN n_unknown > 0 AND (unknown_share > 0.05 OR unknown_share_informative > 0.2) THEN 'NOT_RECOVERABLE_FUTURE' WHEN n_unknown > 0 THEN 'SAFE_BOUNDED' ELSE 'SAFE_VERIFIED' END AS gate_class FROM s"""))
+SELECT *, CASE WHEN n_known_train < 50 OR cst THEN 'NOT_RECOVERABLE_DATA' WHEN n_unknown > 0 AND (unknown_share > 0.05 OR unknown_share_informative > 0.2) THEN 'NOT_RECOVERABLE_FUTURE' WHEN n_unknown > 0 THEN 'SAFE_BOUNDED' ELSE 'SAFE_VERIFIED' END AS gate_class FROM s""")
+
+
+@query("recovery_registry", "A60 A66", "feature:s rows:l n_unknown:l n_informative:l n_known_train:l n_on:l n_after:l n_undated:l unknown_share:f unknown_share_informative:f gate_class:s", REG_SQL)
 def _(t):
     return timing.recovery_registry(wide(t), FEATURES, "index_date", train=F.col("split") == "train", min_known=50, max_population=0.05, max_informative=0.2)
 
@@ -233,7 +236,11 @@ def _(t):
     return timing.unknown_masks(wide(t), FEATURES, "index_date", ["entity_id", "index_date"]).groupBy("orders_90", "price", "urgent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("remediation_rows", "A61", "source:s n_blocked:l blocked:s n_bounded:l bounded:s", None)
+@query("remediation_rows", "A61", "source:s n_blocked:l blocked:s n_bounded:l bounded:s", f"""
+SELECT source, count_if(gate_class LIKE 'NOT_RECOVERABLE%') AS n_blocked, coalesce(string_agg(feature, '; ' ORDER BY feature) FILTER (WHERE gate_class LIKE 'NOT_RECOVERABLE%'), '') AS blocked,
+ count_if(gate_class = 'SAFE_BOUNDED') AS n_bounded, coalesce(string_agg(feature, '; ' ORDER BY feature) FILTER (WHERE gate_class = 'SAFE_BOUNDED'), '') AS bounded
+FROM ({REG_SQL}) g JOIN (SELECT * FROM (VALUES ('orders_90', 'orders'), ('orders_365', 'orders'), ('price', 'orders'), ('price', 'prices'), ('urgent', 'deaths'), ('urgent', 'orders')) v(f, source)) m ON g.feature = m.f
+GROUP BY 1 HAVING count_if(gate_class LIKE 'NOT_RECOVERABLE%') + count_if(gate_class = 'SAFE_BOUNDED') > 0""")
 def _(t):
     reg = timing.recovery_registry(wide(t), FEATURES, "index_date", train=F.col("split") == "train", min_known=50, max_population=0.05, max_informative=0.2)
     src = t.spark.createDataFrame([("orders_90", "orders"), ("orders_365", "orders"), ("price", "orders; prices"), ("urgent", "deaths; orders")], "feature string, sources string")

@@ -111,10 +111,15 @@ def _(t):
     return profile.missing_bands(wide(t), MISS)
 
 
-@query("identical_columns", "A20 A67", "column_a:s column_b:s differing:l", with_wide("SELECT 'n365' AS column_a, 'n365_copy' AS column_b, 0 AS differing WHERE (SELECT count(*) FROM wide) > 0"))
+SAME = ["n30", "n90", "n365", "n365_copy", "mean_price", "segment"]
+
+
+@query("identical_columns", "A20 A67", "column_a:s column_b:s differing:l", with_wide("w AS (SELECT *, n365 AS n365_copy FROM wide), p AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, count_if(CAST({a} AS VARCHAR) IS DISTINCT FROM CAST({b} AS VARCHAR)) AS differing FROM w"
+    for i, a in enumerate(SAME) for b in SAME[i + 1:]) + ") SELECT * FROM p WHERE differing = 0"))
 def _(t):
     w = wide(t).withColumn("n365_copy", F.col("n365"))
-    return profile.identical_columns(w, ["n30", "n90", "n365", "n365_copy", "mean_price", "segment"], ["entity_id", "index_date"])
+    return profile.identical_columns(w, SAME, ["entity_id", "index_date"])
 
 
 @query("co_missingness", "A21", "column_a:s column_b:s phi:f jaccard:f both:l", with_wide("f AS (SELECT " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}" for c in MISS) + " FROM wide)" + ", p AS (" + " UNION ALL ".join(
