@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions import stats
@@ -15,6 +15,14 @@ FLOOR = 1e-4
 SEVERITY = ("ok", "warn", "alert")
 
 
+def small_table(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """A table whose size follows the schema (columns x bins), held as literal rows so later steps need not recompute it."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} profile rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def decile_edges(df: DataFrame, cols: Sequence[str], n_bins: int = 10) -> DataFrame:
     """Distinct interior quantile edges per column: (column_name, edges)."""
     long = unpivot(df, cols).where("value IS NOT NULL")
@@ -26,16 +34,17 @@ def decile_edges(df: DataFrame, cols: Sequence[str], n_bins: int = 10) -> DataFr
 def bin_shares(df: DataFrame, cols: Sequence[str], edges: DataFrame) -> DataFrame:
     """Share of ALL rows per bin [edge, next edge), with a bin of its own for NULL; empty bins are present with 0.
 
-    The edge table has one row per column, so the join adds one small array to each value.
+    The edge table has one row per column, so the join adds one small array to each value and only
+    bin counts are shuffled.
     """
-    counts = unpivot(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
+    values = unpivot(df, cols)
     slot = F.when(F.col("value").isNull(), F.lit("missing")).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("value"))).cast("string"))
-    got = counts.join(edges, "column_name").groupBy("column_name", slot.alias("bin")).agg(F.sum("_c").alias("n"))
+    got = values.join(edges, "column_name").groupBy("column_name", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     names = F.concat(F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: i.cast("string")), F.array(F.lit("missing")))
     every = edges.select("column_name", F.explode(names).alias("bin"))
     full = every.join(got, ["column_name", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = full.groupBy("column_name").agg(F.sum("n").alias("_t"))
-    return full.join(total, "column_name").select("column_name", "bin", "n", stats.ratio(F.col("n"), F.col("_t")).alias("share"))
+    total = F.sum("n").over(Window.partitionBy("column_name"))  # one row per bin
+    return full.select("column_name", "bin", "n", stats.ratio(F.col("n"), total).alias("share"))
 
 
 def level_shares(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -76,8 +85,8 @@ def worst(statuses: Column) -> Column:
 
 def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], *, warn: float = 0.1, alert: float = 0.25, missing_warn: float = 0.05) -> DataFrame:
     """Per feature: stability index on the reference's decile bins, missing rates, status."""
-    edges = decile_edges(reference, cols)
-    ref, cur = bin_shares(reference, cols, edges), bin_shares(current, cols, edges)
+    edges = small_table(decile_edges(reference, cols))
+    ref, cur = small_table(bin_shares(reference, cols, edges)), small_table(bin_shares(current, cols, edges))
     miss = [t.where("bin = 'missing'").select("column_name", F.col("share").alias(n)) for t, n in ((ref, "missing_reference"), (cur, "missing_current"))]
     out = psi(ref, cur).join(miss[0], "column_name").join(miss[1], "column_name")
     moved = F.abs(F.col("missing_current") - F.col("missing_reference")) >= missing_warn - 1e-12
@@ -110,7 +119,7 @@ def predictor_shift(old: DataFrame, new: DataFrame, kinds: Mapping[str, str], *,
     cols = list(kinds)
     a = shift_stats(old, cols).select("column_name", F.struct("*").alias("a"))
     b = shift_stats(new, cols).select("column_name", F.struct("*").alias("b"))
-    edges = decile_edges(old, cols)
+    edges = small_table(decile_edges(old, cols))
     p = psi(_observed_shares(bin_shares(old, cols, edges)), _observed_shares(bin_shares(new, cols, edges)), renormalise=False)
     t = a.join(b, "column_name").join(p, "column_name", "left")
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("column_name"))

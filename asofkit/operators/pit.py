@@ -240,10 +240,7 @@ def body_index(pairs: DataFrame, rules: DerivationRules) -> DataFrame:
     lo, hi = rules.body_range
     win = body_window(pairs, rules)
     recorded = latest_day_mean(win.where((F.col("kind") == "bmi") & F.col("value").between(lo, hi)), "value", "recorded")
-    matched = nearest_match(win, "weight_kg", "height_m", rules.pair_gap_days)
-    index = matched.withColumn("bmi", F.try_divide(F.col("value"), F.pow("match_value", 2))).where(F.col("bmi").between(lo, hi))
-    computed = latest_day_mean(index, "bmi", "computed")
-    return (recorded.join(computed, ROW, "full")
+    return (recorded.join(_matched_index(win, rules), ROW, "full")
             .select(*ROW, F.coalesce("recorded", "computed").alias("body_index")))
 
 
@@ -257,7 +254,8 @@ def level_rank(col: str, levels: Sequence[str]) -> Column:
 
 
 def level_name(rank: Column, levels: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in levels]), (rank + 1).cast("int"))
+    # element_at over a literal array reads a NULL index as -1, so NULL is kept apart.
+    return F.when(rank.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in levels]), (rank + 1).cast("int")))
 
 
 def latest_status(pairs: DataFrame) -> DataFrame:
@@ -408,48 +406,109 @@ def outcome_audit(statused: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ whole derivation
 def derive(tables: Mapping[str, DataFrame], index: DataFrame, code_rules: DataFrame, code_lengths: Sequence[int],
            rules: DerivationRules) -> DataFrame:
-    """All parts joined on the row key: keys, latest evidence date, outcome, predictors, follow-up end."""
+    """All parts joined on the row key: keys, latest evidence date, outcome, predictors, follow-up end.
+
+    Each event table is joined to the rows once and reduced in one chain of aggregates that gives all
+    its features together with the latest date it used. The parts are then joined on the row key they
+    are already partitioned by.
+    """
     rows = eligible_rows(index, tables["persons"], rules.age_min)
 
     def pairs(name: str) -> DataFrame:
         return usable_records(rows, tables[name], declared=name not in rules.undeclared, lag_days=rules.lag_days)
 
-    cond, rx, meas, life = (pairs(n) for n in ("conditions", "prescriptions", "measurements", "lifestyle"))
-    ev = evidence(cond, meas, rules)
+    meas = pairs("measurements")
     enc = longest_prefix(outcome_pairs(rows, tables["encounters"], rules.outcome), "code", code_rules, code_lengths)
-    first = first_event(outcome_status(enc, rules.outcome))
-    reading_kinds = sorted({k for r in rules.readings for k, _, _ in r.criteria} | {r.kind for r in rules.sex_cuts})
-    used = [ev, rx.where(drug_in_window(rules.item_window_days, rules.excluded_chapters)), body_window(meas, rules),
-            life.where("kind = 'smoking'"), alcohol_window(life, rules.alcohol_window_years)]
-    if reading_kinds:
-        used.append(_windowed_readings(meas, rules))
     parts = [
-        latest_evidence(used),
-        first,
-        distinct_items(rx, window_days=rules.item_window_days, excluded_chapters=rules.excluded_chapters),
-        body_index(meas, rules),
-        latest_status(life),
-        highest_level(life, rules.alcohol_window_years),
-        pivot_evidence(ev, rules.windows),
+        _condition_part(pairs("conditions"), rules), _prescription_part(pairs("prescriptions"), rules), _measurement_part(meas, rules),
+        _matched_index(body_window(meas, rules), rules), _lifestyle_part(pairs("lifestyle"), rules), first_event(outcome_status(enc, rules.outcome)),
     ]
     out = reduce(lambda acc, part: acc.join(part, ROW, "left"), parts, rows)
+    coded = {w.feature for w in rules.windows}
+    measured = {r.feature for r in (*rules.readings, *rules.sex_cuts)}
+    none = F.lit(None).cast("date")
+    latest = {f: F.greatest(F.col(f"_c_{f}"), F.col(f"_m_{f}") if f in measured else none, none) for f in coded}
     end = dates.window_end("index_date", years=rules.outcome.years, days=rules.outcome.days)
     return out.select(
-        *ROW, "max_record_date", F.col("first_event_date").isNotNull().cast("int").alias("outcome"), "first_event_date",
-        "age", "sex", "site", F.coalesce("item_count", F.lit(0)).alias("item_count"), "body_index", "smoking_status", "alcohol_level",
-        *[F.coalesce(w.feature, F.lit(0)).alias(w.feature) for w in rules.windows],
+        *ROW, F.greatest("_cond_date", "_rx_date", "_meas_date", "_life_date").alias("max_record_date"),
+        F.col("first_event_date").isNotNull().cast("int").alias("outcome"), "first_event_date",
+        "age", "sex", "site", F.coalesce("item_count", F.lit(0)).alias("item_count"), F.coalesce("recorded", "computed").alias("body_index"),
+        "smoking_status", "alcohol_level", *[_resolved(w, latest).alias(w.feature) for w in rules.windows],
         F.least("death_date", "end_date", end).alias("followup_end_date"),
     )
 
 
-def _windowed_readings(meas: DataFrame, rules: DerivationRules) -> DataFrame:
+def _resolved(w: WindowRule, latest: Mapping[str, Column]) -> Column:
+    on = latest[w.feature].isNotNull()
+    if w.resolved_by:
+        resolver = F.greatest(*[latest[r] for r in w.resolved_by], F.lit(None).cast("date"))
+        on = on & ~F.coalesce(resolver >= latest[w.feature], F.lit(False))
+    return on.cast("int")
+
+
+def _condition_part(pairs: DataFrame, rules: DerivationRules) -> DataFrame:
+    """Latest coded date per feature and over all of them."""
+    hits = {w.feature: (F.col("feature") == w.feature) & w.inside() for w in rules.windows}
+    out = pairs.groupBy(*ROW).agg(*[F.max(F.when(h, F.col("record_date"))).alias(f"_c_{f}") for f, h in hits.items()])
+    return out.withColumn("_cond_date", F.greatest(*[F.col(f"_c_{f}") for f in hits], F.lit(None).cast("date")))
+
+
+def _prescription_part(pairs: DataFrame, rules: DerivationRules) -> DataFrame:
+    keep = drug_in_window(rules.item_window_days, rules.excluded_chapters)
+    return pairs.where(keep).groupBy(*ROW).agg(F.count_distinct("item").alias("item_count"), F.max("record_date").alias("_rx_date"))
+
+
+def _measurement_part(pairs: DataFrame, rules: DerivationRules) -> DataFrame:
+    """Recorded index, reading rules, sex cuts and the latest used date, from per-day sums."""
     by_name = {w.feature: w for w in rules.windows}
-    keep = F.lit(False)
+    lo, hi = rules.body_range
+    body = (F.col("record_date") >= dates.window_start("index_date", years=rules.body_window_years)) & F.col("kind").isin("bmi", "weight_kg", "height_m")
+    valid = body & (F.col("kind") == "bmi") & F.col("value").between(lo, hi)
+    used = body
+    daily: list[Column] = [F.sum(F.when(valid, F.col("value"))).alias("_s"), F.count_if(valid).alias("_n")]
+    final: list[Column] = []
+    outs: list[Column] = []
     for r in rules.readings:
-        keep = keep | (F.col("kind").isin(*sorted({k for k, _, _ in r.criteria})) & by_name[r.feature].inside())
+        inside = by_name[r.feature].inside()
+        used = used | (F.col("kind").isin(*sorted({k for k, _, _ in r.criteria})) & inside)
+        for i, (kind, op, cut) in enumerate(r.criteria):
+            n = f"_r_{r.feature}_{i}"
+            daily.append(F.count_if((F.col("kind") == kind) & inside & _COMPARE[op](F.col("value"), cut)).alias(n))
+            final += [F.sum(n).alias(f"{n}_n"), F.max(F.when(F.col(n) > 0, F.col("record_date"))).alias(f"{n}_d")]
+        enough = [F.when(F.col(f"_r_{r.feature}_{i}_n") >= r.min_readings, F.col(f"_r_{r.feature}_{i}_d")) for i in range(len(r.criteria))]
+        outs.append(F.greatest(*enough, F.lit(None).cast("date")).alias(f"_m_{r.feature}"))
     for r in rules.sex_cuts:
-        keep = keep | ((F.col("kind") == r.kind) & by_name[r.feature].inside())
-    return meas.where(keep)
+        inside = (F.col("kind") == r.kind) & by_name[r.feature].inside()
+        used = used | inside
+        low = F.col("value") < F.coalesce(*[F.when(F.col("sex") == s, F.lit(v)) for s, v in r.below.items()])
+        daily += [F.max(inside & low).alias(f"_l_{r.feature}"), F.max(inside & ~low).alias(f"_h_{r.feature}")]
+        final += [F.max(F.when(F.col(f"_{x}_{r.feature}"), F.col("record_date"))).alias(f"_{x}d_{r.feature}") for x in "lh"]
+        low_date, normal = F.col(f"_ld_{r.feature}"), F.col(f"_hd_{r.feature}")
+        outs.append(F.when(~F.coalesce(normal > low_date, F.lit(False)), low_date).alias(f"_m_{r.feature}"))
+    days = pairs.where(used).groupBy(*ROW, "record_date").agg(*daily)
+    row = days.groupBy(*ROW).agg(F.max("record_date").alias("_meas_date"), F.max_by(F.struct("_s", "_n"), F.when(F.col("_n") > 0, F.col("record_date"))).alias("_b"), *final)
+    return row.select(*ROW, "_meas_date", F.try_divide("_b._s", "_b._n").alias("recorded"), *outs)
+
+
+def _matched_index(window: DataFrame, rules: DerivationRules) -> DataFrame:
+    matched = nearest_match(window, "weight_kg", "height_m", rules.pair_gap_days)
+    index = matched.withColumn("bmi", F.try_divide(F.col("value"), F.pow("match_value", 2))).where(F.col("bmi").between(*rules.body_range))
+    return latest_day_mean(index, "bmi", "computed")
+
+
+def _lifestyle_part(pairs: DataFrame, rules: DerivationRules) -> DataFrame:
+    """Smoking status, alcohol level and the latest used date, from one row per (row, day)."""
+    inside = F.col("record_date") >= dates.window_start("index_date", years=rules.alcohol_window_years)
+    smoke = F.when(F.col("kind") == "smoking", level_rank("value", SMOKING_LEVELS))
+    coded = F.when((F.col("kind") == "alcohol") & inside, level_rank("value", ALCOHOL_LEVELS))
+    units = F.when((F.col("kind") == "alcohol_units_week") & inside, unit_level_rank(F.col("units")))
+    days = pairs.groupBy(*ROW, "record_date").agg(F.max(smoke).alias("_smoke"), F.max(coded).alias("_c"), F.max(units).alias("_u"))
+    day = F.col("record_date")
+    level = F.coalesce("_c", "_u")
+    row = days.groupBy(*ROW).agg(F.max_by("_smoke", F.when(F.col("_smoke").isNotNull(), day)).alias("_last"), F.max("_smoke").alias("_most"), F.max(level).alias("_level"),
+                                 F.max(F.when(F.col("_smoke").isNotNull() | level.isNotNull(), day)).alias("_life_date"))
+    status = F.when((F.col("_last") == 0) & (F.col("_most") > 0), "ex").otherwise(level_name(F.col("_last"), SMOKING_LEVELS))
+    return row.select(*ROW, status.alias("smoking_status"), level_name(F.col("_level"), ALCOHOL_LEVELS).alias("alcohol_level"), "_life_date")
 
 
 def leak_count(frame: DataFrame) -> DataFrame:

@@ -177,3 +177,7 @@ def test_outcome_statuses_in_order(spark):
              (with_(admission_method="elective"), "admission_not_non_elective"), (with_(position=2), "position_rule"), (with_(position=2, kind="fall"), "qualifying")]
     got = pit.outcome_status(frame(spark, [c for c, _ in cases], cols).withColumn("i", F.monotonically_increasing_id()), pit.OutcomeRules()).orderBy("i").collect()
     assert [r.status for r in got] == [s for _, s in cases]
+
+
+def test_missing_status_stays_null(spark):
+    assert [r.v for r in spark.createDataFrame([(None,), (2,)], "r int").select(pit.level_name(F.col("r"), pit.SMOKING_LEVELS).alias("v")).collect()] == [None, "current"]
