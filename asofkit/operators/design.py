@@ -86,3 +86,13 @@ def linear_design(spec: Mapping[str, tuple]) -> dict[str, Column]:
         else:
             out[name] = F.col(name)
     return out
+
+
+def absent_terms(df: DataFrame, coefs: Mapping[str, float], unavailable: Sequence[str]) -> DataFrame:
+    """Intercept shift sum(beta * mean) of terms that cannot be computed, and the share of score variance still available."""
+    items = [F.struct(F.lit(float(b)).alias("beta"), F.lit(n in set(unavailable)).alias("gone"), F.avg(F.col(n).cast("double")).alias("m"), F.var_pop(F.col(n).cast("double")).alias("v")) for n, b in coefs.items()]
+    t = df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("e")).select("e.*")
+    part = F.col("beta") * F.col("beta") * F.col("v")
+    total = F.sum(part)
+    return t.agg(F.sum(F.when(F.col("gone"), F.col("beta") * F.col("m")).otherwise(0.0)).alias("intercept_shift"),
+                 F.when(total > 0, F.sum(F.when(~F.col("gone"), part).otherwise(0.0)) / total).alias("variance_share"), F.count_if("gone").alias("terms_absent"))

@@ -79,6 +79,37 @@ def point_metrics(df: DataFrame, keys: Sequence[str] = (), *, weight: str | None
     return df.groupBy(*keys).agg(*stats.columns(parts))
 
 
+SCALAR_METRICS = ("auroc", "pr_auc", "brier", "calibration_slope", "calibration_intercept", "citl", "oe_ratio")  # fixed names
+
+
+def parse_metric(name: str) -> tuple[str, float | None]:
+    """A scalar metric name, or ``net_benefit@t`` with 0 < t < 1."""
+    if name in SCALAR_METRICS:
+        return name, None
+    head, _, t = name.partition("@")
+    if head != "net_benefit" or not t or not 0.0 < float(t) < 1.0:
+        raise ValueError(f"unknown metric {name!r}")
+    return head, float(t)
+
+
+def performance_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per named metric; only the parts the names need are computed."""
+    parsed = {n: parse_metric(n) for n in names}
+    base = df.withColumn("_k", F.lit(1))
+    benefit = {n: stats.net_benefit(F.sum(F.when(F.col("p") >= t, F.col("y")).otherwise(0)), F.sum(F.when(F.col("p") >= t, 1 - F.col("y")).otherwise(0)), F.count(F.lit(1)), F.lit(t))
+               for n, (head, t) in parsed.items() if head == "net_benefit"}
+    points = point_aggregates()
+    wanted = {n: points[n] for n in ("brier", "oe_ratio") if n in parsed}
+    out = base.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in {**wanted, **benefit}.items()])
+    if {"auroc", "pr_auc"} & set(parsed):
+        out = out.join(ranking_metrics(base, ["_k"]).withColumnRenamed("ap", "pr_auc"), "_k")
+    if {"calibration_slope", "calibration_intercept", "citl"} & set(parsed):
+        cal = calibration_measures(base, ["_k"]).select("_k", F.col("slope").alias("calibration_slope"), F.col("intercept").alias("calibration_intercept"), "citl")
+        out = out.join(cal, "_k")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names]))
+    return out.select(each.alias("e")).select("e.*")
+
+
 # ------------------------------------------------------------------ calibration by Newton steps
 def fit_calibration(df: DataFrame, keys: Sequence[str] = (), *, lp: str = "lp", weight: str | None = None, offset_only: bool = False,
                     max_iter: int = 50, tol: float = 1e-10, max_coef: float = 50.0) -> DataFrame:

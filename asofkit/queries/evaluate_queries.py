@@ -348,3 +348,18 @@ SELECT row_key, ln(p) - ln(1 - p) AS lp, 1 / (1 + exp(-(ln(p) - ln(1 - p) - 0.25
 def _(t):
     lp = stats.logit(F.col("p"))
     return scored(t).select("row_key", lp.alias("lp"), stats.expit(lp - 0.25).alias("shifted"), stats.expit(-0.1 + 0.8 * lp).alias("scaled"))
+
+
+@query("performance_summary", "M13", "metric:s value:f", with_newton(", " + runs_sql("scored") + f""",
+s AS (SELECT {AUROC} AS auroc, {AP} AS pr_auc FROM runs)
+SELECT 'auroc' AS metric, auroc AS value FROM s UNION ALL SELECT 'pr_auc', pr_auc FROM s UNION ALL SELECT 'brier', avg((p - y) * (p - y)) FROM scored UNION ALL SELECT 'calibration_slope', b FROM fin UNION ALL
+SELECT 'citl', citl FROM fin0 UNION ALL SELECT 'net_benefit@0.4', count_if(p >= 0.4 AND y = 1) / count(*) - count_if(p >= 0.4 AND y = 0) / count(*) * CAST(0.4 AS DOUBLE) / CAST(0.6 AS DOUBLE) FROM scored"""))
+def _(t):
+    return evaluate.performance_summary(scored(t), ["auroc", "pr_auc", "brier", "calibration_slope", "citl", "net_benefit@0.4"])
+
+
+@query("model_rows_stacked", "U05", "model:s n:l events:l brier:f", with_scores(MODELS_SQL + " SELECT model, count(*) AS n, sum(y) AS events, avg((p - y) * (p - y)) AS brier FROM mlong GROUP BY 1"))
+def _(t):
+    s = scored(t)
+    parts = [evaluate.point_metrics(s.withColumn("model", F.lit(m)), ["model"], p=c) for m, c in (("new", "p"), ("ref", "p_ref"))]
+    return parts[0].unionByName(parts[1])

@@ -332,3 +332,9 @@ def _(t):
 @query("raw_tree_matrix", "P30 P52", "entity_id:l index_date:d seg:f price:f days:f", with_wide("SELECT entity_id, index_date, CASE segment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 0 END AS seg, mean_price AS price, days_since AS days FROM wide"))
 def _(t):
     return wide(t).select("entity_id", "index_date", F.when(F.col("segment") == "BUILDING", 1.0).when(F.col("segment") == "MACHINERY", 0.0).alias("seg"), F.col("mean_price").cast("double").alias("price"), F.col("days_since").cast("double").alias("days"))
+
+
+@query("absent_term_shift", "P38", "intercept_shift:f variance_share:f terms_absent:l", with_wide("""
+SELECT 0.05 * avg(balance / 1000) AS intercept_shift, (0.09 * var_pop(n30) + 0.04 * var_pop(n365)) / (0.09 * var_pop(n30) + 0.04 * var_pop(n365) + 0.0025 * var_pop(balance / 1000)) AS variance_share, 1 AS terms_absent FROM wide"""))
+def _(t):
+    return design.absent_terms(wide(t).withColumn("balance_k", F.col("balance") / 1000), {"n30": 0.3, "n365": -0.2, "balance_k": 0.05}, ["balance_k"])

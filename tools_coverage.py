@@ -10,8 +10,7 @@ from asofkit.queries import load_all
 CODE_ONLY = {
     "S01": "sources/tables.py read_dataset (test: round trip and tampering)", "S03": "sources/tables.py subset_schema", "S04": "sources/tables.py read_csv (test)",
     "S06": "sources/tables.py header (test)", "S11": "sources/tables.py write_predictions (test)", "S12": "sources/tables.py read_predictions (test)", "S13": "sources/tables.py read_runs (test)",
-    "S15": "sources/tables.py register_evaluation (test)", "R09": "operators/splits.py HeldBackRows (test)", "U05": "unionByName in evaluate and plans",
-    "P38": "functions/scalars.py contributions over a coefficient table", "C02": "operators/pit.py WindowRule",
+    "S15": "sources/tables.py register_evaluation (test)", "R09": "operators/splits.py HeldBackRows (test)", "C02": "operators/pit.py WindowRule",
 }
 
 
