@@ -51,8 +51,8 @@ def lambda_grid(top: float, n: int = 100, ratio: float = 1e-4) -> list[float]:
     return [top * ratio ** (i / (n - 1)) for i in range(n)]
 
 
-def penalised(lam: float, l1_ratio: float, max_iter: int = 200) -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol="y", regParam=lam, elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter, tol=1e-8)
+def penalised(lam: float, l1_ratio: float, max_iter: int = 100) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="y", regParam=lam, elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter, tol=1e-6)
 
 
 def fold_deviance(df: DataFrame, features: Sequence[str], lambdas: Sequence[float], *, l1_ratio: float = 1.0, folds: int = 5) -> DataFrame:

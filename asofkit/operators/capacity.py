@@ -44,12 +44,13 @@ def top_k_events(df: DataFrame, cuts: DataFrame, keys: Sequence[str], tie: str,
     source = df if source is None else source
     base = df.select(*keys, "p", tie, w.alias("_w"), (w * F.col("y")).alias("_wy"))
     runs = prefix_sums(base, "p", {"w": F.col("_w"), "wy": F.col("_wy")}, keys, bounds=value_bounds(source, "p", range_count(source)))
+    # Exactly one score per cut holds the k-th copy; a k beyond the total takes the last score.
     before = F.col("cum_w") - F.col("w")
-    touched = runs.join(cuts, keys).where(before < F.col("k"))
+    at = (before < F.col("k")) & ((F.col("k") <= F.col("cum_w")) | (F.col("cum_w") == F.col("tot_w")))
     whole = F.col("cum_w") <= F.col("k")
-    per_cut = touched.groupBy(*keys, "cut", "k").agg(
-        F.sum(F.when(whole, F.col("wy")).otherwise(0)).alias("_full_tp"), F.sum(F.when(whole, F.col("w")).otherwise(0)).alias("_full_n"),
-        F.min("p").alias("boundary"), F.max(~whole).alias("tie_split"))
+    per_cut = runs.join(cuts, keys).where(at).select(
+        *keys, "cut", "k", F.when(whole, F.col("cum_wy")).otherwise(F.col("cum_wy") - F.col("wy")).alias("_full_tp"),
+        F.when(whole, F.col("cum_w")).otherwise(before).alias("_full_n"), F.col("p").alias("boundary"), (~whole).alias("tie_split"))
     split = per_cut.where("tie_split").select(*keys, "cut", F.col("boundary").alias("p"), (F.col("k") - F.col("_full_n")).alias("_left"))
     block = base.join(split, [*keys, "p"])
     order = prefix_sums(block, tie, {"w": F.col("_w"), "wy": F.col("_wy"), "left": F.col("_left")}, [*keys, "cut"], descending=False,

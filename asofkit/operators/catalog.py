@@ -111,9 +111,9 @@ def relative_coefficients(coefs: DataFrame) -> DataFrame:
 
 
 def dependency_closure(spark, statuses: DataFrame, edges: DataFrame) -> DataFrame:
-    """Worst status over a column and everything it is derived from, transitively; a cycle counts as UNRESOLVED.
+    """Worst status over a column and everything it is derived from, transitively.
 
-    ``statuses``: (column_name, status); ``edges``: (column_name, parent). UNION without ALL ends at the fixpoint, so cycles stop too.
+    ``statuses``: (column_name, status); ``edges``: (column_name, parent). A cycle, or a chain of 32 steps, counts as UNRESOLVED.
     """
     statuses.createOrReplaceTempView("_closure_status")
     edges.createOrReplaceTempView("_closure_edges")
@@ -126,7 +126,7 @@ def dependency_closure(spark, statuses: DataFrame, edges: DataFrame) -> DataFram
         SELECT column_name, ancestor, min(depth) AS depth FROM reach GROUP BY column_name, ancestor""")
     inherited = (reach.where("ancestor <> column_name").join(statuses.withColumnRenamed("column_name", "ancestor"), "ancestor", "left")
                  .select("column_name", F.coalesce("status", F.lit("UNRESOLVED")).alias("status")))
-    cycles = reach.where("ancestor = column_name").select("column_name", F.lit("UNRESOLVED").alias("status"))
+    cycles = reach.where("ancestor = column_name OR depth = 32").select("column_name", F.lit("UNRESOLVED").alias("status"))
     every = statuses.unionByName(inherited).unionByName(cycles)
     return (statuses.withColumnRenamed("status", "own_status")
             .join(every.groupBy("column_name").agg(worst_status(F.col("status")).alias("status"), (F.count(F.lit(1)) - 1).alias("n_inherited")), "column_name"))
