@@ -48,7 +48,12 @@ def top_k_events(df: DataFrame, cuts: DataFrame, keys: Sequence[str], tie: str,
     before = F.col("cum_w") - F.col("w")
     at = (before < F.col("k")) & ((F.col("k") <= F.col("cum_w")) | (F.col("cum_w") == F.col("tot_w")))
     whole = F.col("cum_w") <= F.col("k")
-    per_cut = runs.join(cuts, keys).where(at).select(
+    if keys:
+        with_cuts = runs.join(cuts, keys)
+    else:  # the few cuts as one array, so that nothing is joined without a key
+        arr = cuts.agg(F.collect_list(F.struct("cut", "k"))).scalar()
+        with_cuts = runs.withColumn("_cuts", arr).select("*", F.explode("_cuts").alias("_c")).select(*runs.columns, "_c.cut", "_c.k")
+    per_cut = with_cuts.where(at).select(
         *keys, "cut", "k", F.when(whole, F.col("cum_wy")).otherwise(F.col("cum_wy") - F.col("wy")).alias("_full_tp"),
         F.when(whole, F.col("cum_w")).otherwise(before).alias("_full_n"), F.col("p").alias("boundary"), (~whole).alias("tie_split"))
     split = per_cut.where("tie_split").select(*keys, "cut", F.col("boundary").alias("p"), (F.col("k") - F.col("_full_n")).alias("_left"))
@@ -68,6 +73,13 @@ def _totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
 
 
+def _with_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if keys:
+        return df.join(totals, list(keys))
+    one = totals.select(F.struct("n", "events")).scalar()
+    return df.withColumn("_t", one).select(*df.columns, "_t.n", "_t.events")
+
+
 def fraction_cuts(totals: DataFrame, keys: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("cut"), top_count(q, F.col("n")).alias("k")) for q in fractions]))
     return totals.select(*keys, "n", "events", each.alias("_c")).select(*keys, "_c.cut", "_c.k")
@@ -75,10 +87,9 @@ def fraction_cuts(totals: DataFrame, keys: Sequence[str], fractions: Sequence[fl
 
 def capacity_table(df: DataFrame, tie: str, fractions: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and rates with the ceil(q * n) highest risks flagged, for each q."""
-    link = list(keys) or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(1))
-    totals = _totals(base, link)
-    hits = top_k_events(base, fraction_cuts(totals, link, fractions), link, tie).join(totals, link)
+    keys = list(keys)
+    totals = _totals(df, keys)
+    hits = _with_totals(top_k_events(df, fraction_cuts(totals, keys, fractions), keys, tie), totals, keys)
     counts = hits.select(*keys, F.col("cut").alias("capacity"), "boundary", "tie_split", F.col("tp").cast("long").alias("tp"), (F.col("k") - F.col("tp")).cast("long").alias("fp"),
                          (F.col("events") - F.col("tp")).cast("long").alias("fn"),
                          (F.col("n") - F.col("events") - (F.col("k") - F.col("tp"))).cast("long").alias("tn"))
@@ -106,11 +117,10 @@ def apply_cutoffs(df: DataFrame, cutoffs: DataFrame, groups: Sequence[str] = ())
 
 def gains_curve(df: DataFrame, tie: str, points: int = 100) -> DataFrame:
     """Share of events among the first i/points of the rows in risk order, i = 1..points."""
-    base = df.withColumn("_all", F.lit(1))
-    totals = _totals(base, ["_all"])
-    cuts = (totals.select("_all", "n", F.explode(F.sequence(F.lit(1), F.lit(points))).alias("cut"))
-            .select("_all", "cut", F.greatest(F.lit(1), F.floor(F.col("cut") * F.col("n") / points)).alias("k")))
-    return (top_k_events(base, cuts, ["_all"], tie).join(totals, "_all")
+    totals = _totals(df, [])
+    cuts = (totals.select("n", F.explode(F.sequence(F.lit(1), F.lit(points))).alias("cut"))
+            .select("cut", F.greatest(F.lit(1), F.floor(F.col("cut") * F.col("n") / points)).alias("k")))
+    return (_with_totals(top_k_events(df, cuts, [], tie), totals, [])
             .select(F.col("cut").alias("point"), F.col("k"), stats.ratio(F.col("tp"), F.col("events")).alias("event_share")))
 
 

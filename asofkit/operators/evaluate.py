@@ -95,17 +95,16 @@ def parse_metric(name: str) -> tuple[str, float | None]:
 def performance_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per named metric; only the parts the names need are computed."""
     parsed = {n: parse_metric(n) for n in names}
-    base = df.withColumn("_k", F.lit(1))
     benefit = {n: stats.net_benefit(F.sum(F.when(F.col("p") >= t, F.col("y")).otherwise(0)), F.sum(F.when(F.col("p") >= t, 1 - F.col("y")).otherwise(0)), F.count(F.lit(1)), F.lit(t))
                for n, (head, t) in parsed.items() if head == "net_benefit"}
     points = point_aggregates()
     wanted = {n: points[n] for n in ("brier", "oe_ratio") if n in parsed}
-    out = base.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in {**wanted, **benefit}.items()])
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in {**wanted, **benefit}.items()])]
     if {"auroc", "pr_auc"} & set(parsed):
-        out = out.join(ranking_metrics(base, ["_k"]).withColumnRenamed("ap", "pr_auc"), "_k")
+        parts.append(ranking_metrics(df).withColumnRenamed("ap", "pr_auc"))
     if {"calibration_slope", "calibration_intercept", "citl"} & set(parsed):
-        cal = calibration_measures(base, ["_k"]).select("_k", F.col("slope").alias("calibration_slope"), F.col("intercept").alias("calibration_intercept"), "citl")
-        out = out.join(cal, "_k")
+        parts.append(calibration_measures(df).select(F.col("slope").alias("calibration_slope"), F.col("intercept").alias("calibration_intercept"), "citl"))
+    out = side_by_side(parts, [])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names]))
     return out.select(each.alias("e")).select("e.*")
 
@@ -192,22 +191,30 @@ def _newton(k, sums, state, done, offset_only, tol, max_coef) -> None:
     state[k] = [a + da, b + db, ll, 1.0, da, db]
 
 
+def side_by_side(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Metric tables joined on their keys; one-row tables without keys become scalars of the first."""
+    out = parts[0]
+    for i, part in enumerate(parts[1:]):
+        if keys:
+            out = out.join(part, list(keys))
+        else:
+            one = part.select(F.struct(*part.columns)).scalar()
+            out = out.withColumn(f"_s{i}", one).select(*[F.col(f"`{c}`") for c in out.columns], *[F.col(f"_s{i}.`{c}`").alias(c) for c in part.columns])
+    return out
+
+
 def calibration_measures(df: DataFrame, keys: Sequence[str] = (), *, p: str = "p", weight: str | None = None) -> DataFrame:
     """Slope and intercept, and calibration-in-the-large, per key."""
     lp = df.withColumn("lp", stats.logit(F.col(p)))
     full = fit_calibration(lp, keys, weight=weight)
     large = fit_calibration(lp, keys, weight=weight, offset_only=True).select(*keys, F.col("intercept").alias("citl"), F.col("intercept_se").alias("citl_se"))
-    if not keys:
-        return full.withColumn("_k", F.lit(1)).join(large.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return full.join(large, list(keys))
+    return side_by_side([full, large], keys)
 
 
 def metric_bundle(df: DataFrame, keys: Sequence[str] = (), *, p: str = "p") -> DataFrame:
     """Ranking, accuracy and calibration metrics in one row per key."""
-    link = list(keys) or ["_k"]
-    base = df if keys else df.withColumn("_k", F.lit(1))
-    return (point_metrics(base, link, p=p).join(ranking_metrics(base, link, p=p), link)
-            .join(calibration_measures(base, link, p=p), link).drop(*([] if keys else ["_k"])))
+    keys = list(keys)
+    return side_by_side([point_metrics(df, keys, p=p), ranking_metrics(df, keys, p=p), calibration_measures(df, keys, p=p)], keys)
 
 
 # ------------------------------------------------------------------ calibration tables

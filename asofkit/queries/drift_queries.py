@@ -78,7 +78,7 @@ m AS (SELECT 'auroc' AS metric, (SELECT {AUROC} FROM ro) AS reference, (SELECT {
 SELECT metric, reference, current, current - reference AS change, CASE WHEN abs(current - reference) >= a THEN 'alert' WHEN abs(current - reference) >= w THEN 'warn' ELSE 'ok' END AS status FROM m"""))
 def _(t):
     old, new = halves(t)
-    both = [evaluate.point_metrics(h.withColumn("k", F.lit(1)), ["k"]).join(evaluate.ranking_metrics(h.withColumn("k", F.lit(1)), ["k"]), "k") for h in (old, new)]
+    both = [evaluate.side_by_side([evaluate.point_metrics(h), evaluate.ranking_metrics(h)], []) for h in (old, new)]
     return drift.performance_drift(both[0], both[1], {"auroc": (0.02, 0.05), "prevalence": (0.02, 0.1), "oe_ratio": (0.1, 0.25)})
 
 
