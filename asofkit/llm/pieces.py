@@ -66,20 +66,6 @@ class DoubleArray:
         for name in ("base", "check", "value"):
             setattr(self, name, getattr(self, name)[:end])
 
-    def prefixes(self, text: str, start: int) -> Iterator[tuple[int, int]]:
-        """(end, value) of every word that starts at ``start``, shortest first."""
-        node = 0
-        for i in range(start, len(text)):
-            code = self.codes.get(text[i])
-            if code is None:
-                return
-            child = self.base[node] + code
-            if self.check[child] != node or not self.base[node]:
-                return
-            node = child
-            if self.value[node] >= 0:
-                yield i + 1, self.value[node]
-
 
 @dataclass(frozen=True)
 class PieceSet:
@@ -115,21 +101,31 @@ class PieceCoder:
         self.raw = [p.replace(MARK, " ").encode() if u else b"" for p, u in zip(source.pieces, source.usable, strict=True)]
         for b, i in enumerate(source.byte_ids):
             self.raw[i] = bytes([b])
-        self.by_run = Memo(lambda run: tuple(self.best_path(MARK + run)), 200_000)
+        self.by_run = Memo(lambda run: tuple(self.best_path(MARK + run)), 500_000)
 
     def best_path(self, text: str) -> list[int]:
         """Viterbi over all segmentations; on equal sums the longest first piece of those found first stays."""
-        n, scores = len(text), self.source.scores
+        n, scores, trie = len(text), self.source.scores, self.trie
+        base, check, value = trie.base, trie.check, trie.value
+        codes = [trie.codes.get(c, 0) for c in text]
         best, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            single = False
-            for end, piece in self.trie.prefixes(text, i):
-                single |= end == i + 1
-                if (s := best[i] + scores[piece]) > best[end]:
-                    best[end], back[end] = s, (i, piece)
-            if not single and (s := best[i] + self.unknown) > best[i + 1]:
-                best[i + 1], back[i + 1] = s, (i, -1)
+            here, node, single = best[i], 0, False
+            for j in range(i, n):  # down the trie along the text
+                code = codes[j]
+                child = base[node] + code
+                if not code or check[child] != node or not base[node]:
+                    break
+                node = child
+                piece = value[node]
+                if piece >= 0:
+                    single |= j == i
+                    s = here + scores[piece]
+                    if s > best[j + 1]:
+                        best[j + 1], back[j + 1] = s, (i, piece)
+            if not single and here + self.unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + self.unknown, (i, -1)
         out: list[int] = []
         at = n
         while at:

@@ -16,38 +16,45 @@ rows score alike; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.text import Memo, checkpointed, map_rows, mixed
+from asofkit.llm.text import checkpointed, map_rows, mixed, word_hashes
 
 BITS = 18
 CLASSES = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
-RUN = re.compile(rb"(.)\1+", re.S)
-WORD = Memo(lambda w: xxhash.xxh64_intdigest(w.lower()))
-SHAPE = Memo(lambda w: xxhash.xxh64_intdigest(RUN.sub(rb"\1\1", w.translate(CLASSES)), 7))
+
+
+def shapes(text: bytes) -> bytes:
+    """The text with characters replaced by their class, runs of a class cut to two."""
+    c = np.frombuffer(text.translate(CLASSES), np.uint8)
+    if len(c) < 3:
+        return c.tobytes()
+    keep = np.ones(len(c), bool)
+    keep[2:] = (c[2:] != c[1:-1]) | (c[1:-1] != c[:-2])
+    return c[keep].tobytes()
 
 
 def indicators(text: bytes | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a text."""
-    words = (text or b"").split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int32)
+    """Sorted distinct feature numbers of a text: 1- and 2-grams of words and of word shapes, and of stuttering."""
+    text = text or b""
     found = []
-    for memo, salt in ((WORD, 11), (SHAPE, 13)):
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
-        found += [mixed(h + np.uint64(salt)), mixed((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) ^ np.uint64(salt))]
-        if salt == 11:
-            found.append(np.full(min(1, int((h[1:] == h[:-1]).sum()) // 5), 17, np.uint64))
-    bits = np.zeros(1 << BITS, bool)
-    bits[np.concatenate(found) >> np.uint64(64 - BITS)] = True
-    return np.flatnonzero(bits).astype(np.int32) if n > 20_000 else np.unique((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32))
+    for salt, h in ((11, word_hashes(text.lower())), (13, word_hashes(shapes(text)))):
+        if len(h):
+            found += [mixed(h + np.uint64(salt)), mixed((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) ^ np.uint64(salt))]
+            if salt == 11 and 10 * (h[1:] == h[:-1]).sum() >= len(h):
+                found.append(np.full(1, 17, np.uint64))
+    if not found:
+        return np.zeros(0, np.int32)
+    places = (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32)
+    if len(places) < 20_000:
+        return np.unique(places)
+    seen = np.zeros(1 << BITS, bool)
+    seen[places] = True
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass(frozen=True)

@@ -18,9 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.text import Memo, gram_hashes, keep_rows, map_rows, word_hashes
+from asofkit.llm.text import WHITE, gram_hashes, keep_rows, map_rows, word_hashes
 
-WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 LETTERS = UPPER + LOWER + bytes(range(128, 256))
@@ -31,18 +30,16 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 def features(text: bytes | None) -> dict[str, int]:
     """Counts of one text; words are runs of bytes other than ASCII white space."""
     text = text or b""
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    n, repeated, stuttered = len(words), 0, 0
-    classes = list(map(WORD_CLASS.__getitem__, words))
-    dense = text.translate(None, WHITE)
+    h = word_hashes(text)
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+    n, repeated, stuttered = len(h), 0, 0
     if n >= 2:
-        h = word_hashes(words)
         stuttered = int((h[1:] == h[:-1]).sum())
         if n >= 3:
             g = gram_hashes(h, 3)
             order = np.argsort(g)
-            same = g[order[1:]] == g[order[:-1]]
+            inorder = g[order]
+            same = inorder[1:] == inorder[:-1]
             if same.any():
                 twice = np.zeros(n - 2, bool)
                 twice[order[1:][same]] = twice[order[:-1][same]] = True
@@ -50,6 +47,7 @@ def features(text: bytes | None) -> dict[str, int]:
                 for i in range(3):
                     covered[i : n - 2 + i] |= twice
                 repeated = int(covered.sum())
+    dense = text.translate(None, WHITE)
     return {
         "n_words": n,
         "word_chars": len(dense.decode()),
@@ -62,8 +60,8 @@ def features(text: bytes | None) -> dict[str, int]:
         "n_lower": len(text) - len(text.translate(None, LOWER)),
         "n_shouts": text.count(b"!"),
         "n_ends": text.count(b"."),
-        "n_function": classes.count(1),
-        "n_marked": classes.count(2),
+        "n_function": int((FUNCTION_HASHES[np.minimum(np.searchsorted(FUNCTION_HASHES, h), len(FUNCTION_HASHES) - 1)] == h).sum()),
+        "n_marked": marked_words(text),
         "n_bytes": len(dense),
         "n_other_bytes": len(dense.translate(None, LETTERS)),
     }
@@ -110,12 +108,14 @@ FUNCTION_WORDS = frozenset(
 MARKS = b"#*$%&|<>!~^=_{}[]\\/`@"
 
 
-def _word_class(word: bytes) -> int:
-    """1: a function word; 2: a word with marks that prose rarely has; 0: other."""
-    return 1 if word.rstrip(b".,;:?") in FUNCTION_WORDS else 2 if len(word.translate(None, MARKS)) < len(word) else 0
+FUNCTION_HASHES = np.sort(word_hashes(b" ".join(sorted(FUNCTION_WORDS))))
 
 
-WORD_CLASS = Memo(_word_class)
+def marked_words(text: bytes) -> int:
+    """Words with a character that prose rarely has."""
+    if len(text.translate(None, MARKS)) == len(text):
+        return 0
+    return sum(len(w.translate(None, MARKS)) < len(w) for w in text.split())
 
 
 def measures(f: dict[str, int]) -> dict[str, float]:

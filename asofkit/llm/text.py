@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -25,12 +25,59 @@ class Memo(dict):
         return value
 
 
-WORD_HASH = Memo(xxhash.xxh64_intdigest)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words, in order."""
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
+WHITE = b" \t\n\x0b\x0c\r"
+CHUNK = 1 << 20
+_IN_WORD = np.array([b not in WHITE for b in range(256)])
+_VALUES = np.where(_IN_WORD, np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0))
+_BASE = 0x9E3779B97F4A7C17
+_NEXT_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64; kept for later texts."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            table = np.full(size, np.uint64(base))
+            table[0] = 1
+            _POWERS[i] = np.cumprod(table)
+    return _POWERS
+
+
+def _hash_chunk(text: bytes) -> np.ndarray:
+    a = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(a) + 2, bool)
+    inside[1:-1] = _IN_WORD[a]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(len(a))
+    total = _VALUES[a]
+    total *= power[: len(a)]
+    np.cumsum(total, out=total)
+    at_end = total[ends - 1]
+    own = at_end.copy()
+    own[1:] -= at_end[:-1]
+    return own * inverse[starts]
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text (runs of bytes other than ASCII white space), in order.
+
+    A word's hash is a polynomial in its bytes, so all words of a text are hashed at
+    once by a running sum; long texts are taken in chunks that end between words.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    if len(text) <= CHUNK:
+        return _hash_chunk(text)
+    parts, at = [], 0
+    while at < len(text):
+        m = _NEXT_WHITE.search(text, min(len(text), at + CHUNK))
+        end = m.start() if m else len(text)
+        parts.append(_hash_chunk(text[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -51,9 +51,12 @@ class MergeCounter:
         self.inner = [ids[c] for c in signs]
         self.final = [ids[c + suffix] for c in signs]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rules = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.by_word = Memo(self.count_word)
-        self.by_chunk = Memo(lambda chunk: sum(map(self.by_word.__getitem__, WORDS.findall(chunk))))
+        self.rank, self.joined = {}, []
+        for rank, (a, b) in enumerate(pairs):
+            self.rank[ids[a] << 16 | ids[b]] = rank
+            self.joined.append(ids[a + b])
+        self.by_word = Memo(self.count_word, 700_000)
+        self.by_chunk = Memo(lambda chunk: sum(map(self.by_word.__getitem__, WORDS.findall(chunk))), 400_000)
 
     def count_word(self, word: str) -> int:
         raw = word.encode()
@@ -62,24 +65,32 @@ class MergeCounter:
         return len(symbols) - self.merges(symbols)
 
     def merges(self, symbols: list[int]) -> int:
-        """How many merges end with no rule left to apply; lowest rank first, leftmost on ties."""
-        n, rules, done = len(symbols), self.rules, 0
+        """How many merges end with no rule left to apply; lowest rank first, leftmost on ties.
+
+        A heap entry is rank << 32 | place of the left symbol; symbols of 16 bits make a pair's key.
+        """
+        n, rank_of, joined, done = len(symbols), self.rank.get, self.joined, 0
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(rules[p][0], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rules]
+        heap = []
+        for i in range(n - 1):
+            if (r := rank_of(symbols[i] << 16 | symbols[i + 1])) is not None:
+                heap.append(r << 32 | i)
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
             j = right[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 16 | symbols[j]) != rank:
                 continue  # a symbol of this pair has been merged since
-            symbols[i], symbols[j] = rules[a, b][1], -1
+            symbols[i], symbols[j] = joined[rank], -1
             right[i] = k = right[j]
+            done += 1
             if k < n:
                 left[k] = i
-            done += 1
-            for x, y in ((left[i], i), (i, k)):
-                if x >= 0 and y < n and (p := (symbols[x], symbols[y])) in rules:
-                    heapq.heappush(heap, (rules[p][0], x, *p))
+                if (r := rank_of(symbols[i] << 16 | symbols[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            if (h := left[i]) >= 0 and (r := rank_of(symbols[h] << 16 | symbols[i])) is not None:
+                heapq.heappush(heap, r << 32 | h)
         return done
 
     def plain(self, text: str) -> int:
