@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import chat_format, pieces, pii, quality_classifier, quality_rules, sharding, token_counts
+from asofkit.llm import chat_format, decontaminate, jaccard_join, pieces, pii, quality_classifier, quality_rules, sharding, token_counts
 from asofkit.llm.text import table
 
 
@@ -47,8 +47,17 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    hits = decontaminate.hit_table(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join_table(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op8_sharding)
+    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op8_sharding, op9_decontamination, op10_jaccard_join)
 }
 
 #: Control strings gain one character when escaped; 12 + 1 + 10 + 1 characters frame each turn.
