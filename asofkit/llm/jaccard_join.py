@@ -337,7 +337,7 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     entries = rows.agg(F.sum(F.col("n") - F.ceil(0.8 * F.col("n")) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET_ENTRIES + 1)
     bodies = source.select("body")
-    lists = bodies.mapInArrow(_index(order, buckets), "bucket int, entries binary").repartition(buckets, "bucket").mapInArrow(_lists, LIVE)
+    lists = bodies.mapInArrow(_index(order, 4 * buckets), "bucket int, entries binary").repartition(buckets, "bucket").mapInArrow(_lists, LIVE)
     lists = checkpointed(lists)
     asked = lists.where("lead IS NOT NULL").select("name", F.col("lead").alias("other")).union(lists.where("near IS NOT NULL").select("name", F.col("near").alias("other")))
     ordered = lambda p: p.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()

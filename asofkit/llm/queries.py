@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import chat_format, decontaminate, jaccard_join, pieces, pii, quality_classifier, quality_rules, sharding, token_counts
+from asofkit.llm import chat_format, decontaminate, jaccard_join, pieces, pii, quality_classifier, quality_rules, sharding, suffix_family, token_counts
 from asofkit.llm.text import table
 
 
@@ -43,6 +43,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_family.remove_repeats(table(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
@@ -57,7 +61,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op8_sharding, op9_decontamination, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_decontamination, op10_jaccard_join)
 }
 
 #: Control strings gain one character when escaped; 12 + 1 + 10 + 1 characters frame each turn.

@@ -34,7 +34,7 @@ _NEXT_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64; kept for later texts."""
     if len(_POWERS[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -51,7 +51,7 @@ def _hash_chunk(text: bytes) -> np.ndarray:
     inside[1:-1] = _IN_WORD[a]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(a))
+    power, inverse = powers(len(a))
     total = _VALUES[a]
     total *= power[: len(a)]
     np.cumsum(total, out=total)
