@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,22 @@ def gather(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     for r in word.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toLocalIterator():
         words[r["w"]] = np.int64(r["b"]).astype(np.uint64)
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def split(df: DataFrame, column: str, listed: DataFrame, listed_column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be listed, rows whose hash surely is not); only the first need a join.
+
+    Hashes are signed 64-bit columns. The filter has 2^22 places however many are listed.
+    """
+    wanted = df.sparkSession.sparkContext.broadcast(gather(listed, listed_column))
+    at = df.columns.index(column)
+
+    def only(inside: bool):
+        def run(batches):
+            for batch in batches:
+                hit = wanted.value[places(batch.column(at).to_numpy().view(np.uint64))]
+                yield batch.filter(pa.array(hit if inside else ~hit))
+
+        return df.mapInArrow(run, df.schema)
+
+    return only(True), only(False)

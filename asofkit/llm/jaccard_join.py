@@ -365,10 +365,15 @@ def join_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the row with the smallest key (null first; then the smallest text hash); rows without a set stay."""
-    rows = checkpointed(membership(docs, key, text))
-    group = F.coalesce("root", "name")
-    kept = rows.where("n > 0").groupBy(group.alias("group")).agg(F.min(F.struct("k", "row")).alias("m")).select(F.col("m.k").alias("__k"), F.col("m.row").alias("__row"))
-    empty = F.coalesce(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")), F.lit(0)) == 0
-    keyed = docs.withColumn("__k", F.col(key)).withColumn("__row", F.xxhash64(text))
-    chosen = keyed.where(~empty).join(kept.withColumnsRenamed({"__k": "__kk", "__row": "__rr"}), F.col("__k").eqNullSafe(F.col("__kk")) & (F.col("__row") == F.col("__rr")), "left_semi").dropDuplicates(["__k", "__row"])
-    return chosen.select(*docs.columns).union(docs.where(empty))
+    rows = checkpointed(membership(docs, key, text)).where("n > 0").withColumn("group", F.coalesce("root", "name"))
+    lowest = rows.groupBy("group").agg(F.min(F.struct("k", "row")).alias("m"))
+    seen = rows.groupBy("k", "row", "group").agg(F.count(F.lit(1)).alias("c")).join(lowest, "group")
+    stays = F.col("k").eqNullSafe(F.col("m.k")) & (F.col("row") == F.col("m.row"))
+    # rows that go, and rows that stay once of several: all others pass without a join
+    touched = checkpointed(seen.where(~stays | (F.col("c") > 1)).select(F.xxhash64("k", "row").alias("__t"), F.col("k").alias("__k"), F.col("row").alias("__row"), stays.alias("__stays")))
+    hashed = docs.withColumn("__h", F.xxhash64(F.col(key), F.xxhash64(text)))
+    maybe, clear = bits.split(hashed, "__h", touched, "__t")
+    same = (F.col("__h") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__row"))
+    untouched = maybe.join(touched, same, "left_anti")
+    once = maybe.join(touched.where("__stays"), same, "left_semi").dropDuplicates(["__h"])
+    return clear.union(untouched).union(once).drop("__h")

@@ -219,21 +219,6 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compare()
 
 
-def _maybe(wanted, column: int = 0):
-    """Rows whose value may be among the wanted ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(column).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(wanted.value[bits.places(rows)]))
-
-    return run
-
-
-def _row_filter(df: DataFrame):
-    return df.sparkSession.sparkContext.broadcast(bits.gather(df, "row"))  # 2^22 places, whatever the corpus
-
-
 def repeated_ranges(source: DataFrame) -> DataFrame:
     """(row, first, last): the strings starting at first..last of a row are repeated. ``source``: row, body."""
     spark = source.sparkSession
@@ -244,7 +229,7 @@ def repeated_ranges(source: DataFrame) -> DataFrame:
     marked = checkpointed(long_enough.mapInArrow(_batches(4 * buckets), "bucket int, suffixes binary").repartition(buckets, "bucket").mapInArrow(_families, MARKED))
     undecided = marked.where("NOT resolved")
     by_row = undecided.groupBy("row").agg(F.collect_list(F.struct("key", "first", "last")).alias("blocks"))  # of one text
-    near = long_enough.mapInArrow(_maybe(_row_filter(undecided)), long_enough.schema).dropDuplicates(["row"])
+    near = bits.split(long_enough, "row", undecided, "row")[0].dropDuplicates(["row"])
 
     def fetch(row, body, blocks):
         for b in blocks:
@@ -260,17 +245,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     source = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.xxhash64(text)).alias("row"), body.alias("body"))
     ranges = repeated_ranges(source.select("row", "body"))
-    wanted = _row_filter(ranges)
+    some, rest = bits.split(source, "row", ranges, "row")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = batch.filter(pa.array(~wanted.value[bits.places(batch.column(1).to_numpy().view(np.uint64))]))
-            bodies = [x.as_py() for x in out.column(2)]
-            none = pa.array(np.zeros(len(bodies), np.int64))
-            yield pa.RecordBatch.from_arrays([out.column(0), pa.array([len(x) for x in bodies], pa.int64()), none, none, pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
     def cut(k, body, found):
         digest, at, removed, spans, reach = hashlib.sha256(), 0, 0, 0, -1
         for r in sorted(found or [], key=lambda r: r["first"]):
@@ -288,5 +266,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         yield k, len(body), removed, spans, digest.hexdigest()
 
     per_row = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found"))  # of one text
-    some = source.mapInArrow(_maybe(wanted, 1), source.schema).join(per_row, "row", "left").select("k", "body", "found")
-    return source.mapInArrow(whole, schema).union(map_rows(some, cut, schema))
+    cuts = map_rows(some.join(per_row, "row", "left").select("k", "body", "found"), cut, schema)
+    none = F.lit(0).cast("long")
+    return cuts.union(rest.select(F.col("k").alias(key), F.octet_length("body").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256")))
