@@ -10,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from asofkit.session import cut_lineage as checkpointed
+from asofkit.session import shared_folder
+
+__all__ = ["Memo", "WHITE", "checkpointed", "gram_hashes", "keep_rows", "map_rows", "mixed", "powers", "shared_folder", "table", "word_hashes"]
+
 
 class Memo(dict):
     """Remembers ``fn(key)``; emptied when full, so that a worker's memory stays bounded."""
@@ -135,22 +140,5 @@ def keep_rows(df: DataFrame, column: str, keep: Callable[[bytes | str | None], b
     return df.mapInArrow(run, df.schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names, or what the session was given."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and continued from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
