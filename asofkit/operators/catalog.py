@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.operators.pit import first_match
+from asofkit.session import cut_lineage
 
 STATUS_ORDER = ("SAFE", "UNRESOLVED", "UNSAFE")
 
@@ -19,6 +20,12 @@ def worst_status(c: Column) -> Column:
     return F.element_at(order, F.max(F.array_position(order, c)).cast("int"))
 
 
+def worst_of(*statuses: Column) -> Column:
+    """Worst of several statuses of one row."""
+    order = F.array(*[F.lit(s) for s in STATUS_ORDER])
+    return F.element_at(order, F.greatest(*[F.array_position(order, s) for s in statuses]).cast("int"))
+
+
 def schema_diff(old: DataFrame, declared: DataFrame, header: DataFrame, *, sealed_pattern: str) -> DataFrame:
     """Class of every column over the old contract (column_name, role), the declared new schema
     (column_name, equivalence, new_role, replaces, lineage_proven) and the extract header (column_name).
@@ -110,24 +117,36 @@ def relative_coefficients(coefs: DataFrame) -> DataFrame:
     return coefs.withColumn("relative", F.col("coefficient") - F.coalesce(ref, F.lit(0.0)))
 
 
-def dependency_closure(spark, statuses: DataFrame, edges: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame) -> DataFrame:
+    """Distinct (column_name, ancestor) pairs over paths of any length.
+
+    Path lengths double from round to round until no pair is new, so a chain of n steps
+    takes log2(n) rounds; cycles and layered graphs add each pair once.
+    """
+    pairs = cut_lineage(edges.select("column_name", F.col("parent").alias("ancestor")).distinct())
+    known = pairs.count()
+    while True:
+        onward = pairs.select(F.col("column_name").alias("ancestor"), F.col("ancestor").alias("_far"))
+        pairs = cut_lineage(pairs.union(pairs.join(onward, "ancestor").select("column_name", "_far")).distinct())
+        now = pairs.count()
+        if now == known:
+            return pairs
+        known = now
+
+
+def dependency_closure(statuses: DataFrame, edges: DataFrame) -> DataFrame:
     """Worst status over a column and everything it is derived from, transitively.
 
-    ``statuses``: (column_name, status); ``edges``: (column_name, parent). A cycle, or a chain of 32 steps, counts as UNRESOLVED.
+    ``statuses``: (column_name, status); ``edges``: (column_name, parent). A column on a cycle is
+    UNRESOLVED, and so is whatever derives from it, at any distance. ``n_inherited`` counts the
+    distinct columns it derives from, itself not included, and one more if it lies on a cycle.
     """
-    statuses.createOrReplaceTempView("_closure_status")
-    edges.createOrReplaceTempView("_closure_edges")
-    reach = spark.sql("""
-        WITH RECURSIVE reach(column_name, ancestor, depth) AS (
-            SELECT column_name, parent, 1 FROM _closure_edges
-            UNION ALL
-            SELECT r.column_name, e.parent, r.depth + 1 FROM reach r JOIN _closure_edges e ON r.ancestor = e.column_name
-            WHERE r.depth < 32 AND r.ancestor <> r.column_name)
-        SELECT column_name, ancestor, min(depth) AS depth FROM reach GROUP BY column_name, ancestor""")
-    inherited = (reach.where("ancestor <> column_name").join(statuses.withColumnRenamed("column_name", "ancestor"), "ancestor", "left")
-                 .select("column_name", F.coalesce("status", F.lit("UNRESOLVED")).alias("status")))
-    cycles = reach.where("ancestor = column_name OR depth = 32").select("column_name", F.lit("UNRESOLVED").alias("status"))
-    every = statuses.unionByName(inherited).unionByName(cycles)
+    pairs = reachable(edges)
+    looped = pairs.where("column_name = ancestor").select("column_name", F.lit("UNRESOLVED").alias("status"))
+    inherited = (pairs.where("column_name <> ancestor").join(statuses.withColumnRenamed("column_name", "ancestor"), "ancestor", "left")
+                 .join(looped.select(F.col("column_name").alias("ancestor"), F.lit("UNRESOLVED").alias("_loop")), "ancestor", "left")
+                 .select("column_name", worst_of(F.coalesce("status", F.lit("UNRESOLVED")), F.coalesce("_loop", F.lit("SAFE"))).alias("status")))
+    every = statuses.unionByName(inherited).unionByName(looped)
     return (statuses.withColumnRenamed("status", "own_status")
             .join(every.groupBy("column_name").agg(worst_status(F.col("status")).alias("status"), (F.count(F.lit(1)) - 1).alias("n_inherited")), "column_name"))
 

@@ -88,16 +88,37 @@ def _(t):
     return catalog.feature_sets(features(t), catalog.column_status(cat(t), dated_counts(t)))
 
 
-@query("dependency_closure", "J23", "column_name:s own_status:s status:s n_inherited:l", with_wide(STATUS_SQL + """,
-e AS (SELECT * FROM (VALUES ('n30', 'n365'), ('balance', 'mean_price'), ('mean_price', 'death_date'), ('n_urgent', 'y'), ('entity_id', 'balance')) v(c, p)), 
-r AS (SELECT c, p FROM e UNION SELECT a.c, b.p FROM e a JOIN e b ON a.p = b.c UNION SELECT a.c, d.p FROM e a JOIN e b ON a.p = b.c JOIN e d ON b.p = d.c),
-a AS (SELECT column_name, status FROM st UNION ALL SELECT r.c, st.status FROM r JOIN st ON r.p = st.column_name)
-SELECT st.column_name, st.status AS own_status, CASE max(CASE a.status WHEN 'SAFE' THEN 1 WHEN 'UNRESOLVED' THEN 2 ELSE 3 END) WHEN 1 THEN 'SAFE' WHEN 2 THEN 'UNRESOLVED' ELSE 'UNSAFE' END AS status, count(*) - 1 AS n_inherited
-FROM st JOIN a ON st.column_name = a.column_name GROUP BY ALL"""))
+# A graph from the data: order months in a chain, quarters and years over them (diamonds), and regions in loops with a nation.
+GRAPH_SQL = """m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS d FROM orders), 
+e AS (SELECT 'month ' || strftime(d, '%Y-%m') AS c, 'month ' || strftime(lag(d) OVER (ORDER BY d), '%Y-%m') AS p FROM m
+ UNION SELECT 'quarter ' || strftime(date_trunc('quarter', d), '%Y-%m'), 'month ' || strftime(d, '%Y-%m') FROM m
+ UNION SELECT 'year ' || strftime(d, '%Y'), 'quarter ' || strftime(date_trunc('quarter', d), '%Y-%m') FROM m
+ UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation
+ UNION SELECT 'region ' || n_regionkey, 'nation ' || min(n_nationkey) FROM nation WHERE n_regionkey > 0 GROUP BY n_regionkey),
+st AS (SELECT 'month ' || strftime(d, '%Y-%m') AS column_name, CASE WHEN d = (SELECT min(d) FROM m) THEN 'UNSAFE' ELSE 'SAFE' END AS status FROM m
+ UNION SELECT c, 'SAFE' FROM e WHERE c NOT LIKE 'month%' UNION SELECT p, 'SAFE' FROM e WHERE p LIKE 'region%')"""
+
+
+@query("dependency_closure", "J23", "column_name:s own_status:s status:s n_inherited:l", "WITH RECURSIVE " + GRAPH_SQL + """,
+r AS (SELECT c, p FROM e WHERE p IS NOT NULL UNION SELECT r.c, e.p FROM r JOIN e ON r.p = e.c WHERE e.p IS NOT NULL),
+a AS (SELECT column_name AS c, status FROM st UNION ALL SELECT c, CASE WHEN p IN (SELECT c FROM r WHERE c = p) AND status = 'SAFE' THEN 'UNRESOLVED' ELSE status END FROM r JOIN st ON p = column_name WHERE c <> p
+ UNION ALL SELECT c, 'UNRESOLVED' FROM r WHERE c = p)
+SELECT column_name, st.status AS own_status, CASE max(CASE a.status WHEN 'SAFE' THEN 1 WHEN 'UNRESOLVED' THEN 2 ELSE 3 END) WHEN 1 THEN 'SAFE' WHEN 2 THEN 'UNRESOLVED' ELSE 'UNSAFE' END AS status, count(*) - 1 AS n_inherited
+FROM st JOIN a ON column_name = c GROUP BY ALL""")
 def _(t):
-    status = catalog.column_status(cat(t), dated_counts(t)).select("column_name", "status")
-    edges = t.spark.createDataFrame([("n30", "n365"), ("balance", "mean_price"), ("mean_price", "death_date"), ("n_urgent", "y"), ("entity_id", "balance")], "column_name string, parent string")
-    return catalog.dependency_closure(t.spark, status, edges)
+    month = t.orders.select(F.trunc("o_orderdate", "month").alias("d")).distinct()
+    label = lambda kind, d, f="yyyy-MM": F.concat(F.lit(f"{kind} "), F.date_format(d, f))
+    quarter = label("quarter", F.trunc("d", "quarter"))
+    before = month.select(F.add_months("d", 1).alias("d"), F.col("d").alias("before"))  # every month of the range has orders
+    nation, region = F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")), F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))
+    looped = t.nation.where("n_regionkey > 0").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    edges = (month.join(before, "d").select(label("month", F.col("d")).alias("column_name"), label("month", F.col("before")).alias("parent"))
+             .union(month.select(quarter, label("month", F.col("d")))).union(month.select(label("year", F.col("d"), "yyyy"), quarter))
+             .union(t.nation.select(nation, region)).union(looped.select(region, nation)).distinct())
+    first = month.agg(F.min("d")).scalar()
+    rest = edges.select(F.explode(F.array("column_name", "parent")).alias("column_name")).where("column_name NOT LIKE 'month%'").distinct()
+    status = month.select(label("month", F.col("d")).alias("column_name"), F.when(F.col("d") == first, "UNSAFE").otherwise("SAFE").alias("status")).union(rest.select("column_name", F.lit("SAFE")))
+    return catalog.dependency_closure(status, edges)
 
 
 @query("needed_columns", "C10", "column_name:s availability:s observed:l", with_wide(FEAT_SQL + """, o AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS cn, count({c}) AS n FROM wide" for c in ("n30", "n365", "mean_price", "n_urgent", "balance")) + """)

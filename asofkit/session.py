@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,26 +21,19 @@ def local_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8)
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master without
-    one gets a temporary folder, because driver and executors share its disk.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, it is
+    the session's own checkpoint folder or a folder beside the warehouse tables.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="asofkit-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
+    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Write ``df`` to the shared folder and continue from there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
