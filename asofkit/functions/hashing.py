@@ -7,8 +7,20 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STEPS = 12
-POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(_STEPS)]
+
+
+def _poisson_cdf() -> list[float]:
+    """Distribution function of Poisson(1), as far as it still grows in double precision."""
+    out, total, k = [], 0.0, 0
+    while not out or total + math.exp(-1) / math.factorial(k) > total:
+        total += math.exp(-1) / math.factorial(k)
+        out.append(total)
+        k += 1
+    return out
+
+
+POISSON_CDF = _poisson_cdf()
+_STEPS = len(POISSON_CDF)
 
 
 def hash_number(*parts: Column | str) -> Column:
@@ -50,5 +62,16 @@ def secret_key(secret: str, col: Column | str, length: int) -> Column:
 
 
 def content_number(*cols: str) -> Column:
-    """Order-free content number of a set of rows: the exact sum of the rows' hash numbers."""
-    return F.sum(hash_number(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).cast("decimal(38,0)"))
+    """Order-free content number of a set of rows: the exact sum of the rows' hash numbers.
+
+    Each value is written as its length, a colon and its text, NULL as a minus sign, so no two rows are written alike.
+    """
+    text = lambda c: F.col(c).cast("string")
+    parts = [F.when(text(c).isNull(), F.lit("-")).otherwise(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c))) for c in cols]
+    return F.sum(hash_number(*parts).cast("decimal(38,0)"))
+
+
+def content_sql(*expressions: str) -> str:
+    """The same number of one row in SQL."""
+    parts = [f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in expressions]
+    return "CAST('0x' || substr(sha256(" + " || '|' || ".join(parts) + "), 1, 13) AS BIGINT)"

@@ -329,22 +329,30 @@ def one_to_one(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def one_index_date(df: DataFrame, index: str) -> str:
     """The only index date of a table; several stop the job and are listed."""
-    found = [r[0] for r in df.groupBy(index).count().orderBy(index).limit(20).collect()]
+    found = [r[0] for r in df.groupBy(index).count().orderBy(index).collect()]  # one row per date
     if len(found) != 1:
         raise ContractError(f"expected one index date, found {[str(d) for d in found]}")
     return str(found[0])
 
 
 # ------------------------------------------------------------------ declarative mapping
+def unmapped_values(df: DataFrame, recodes: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """(column_name, value, n) of every value that its column's recode table lacks."""
+    return reduce(DataFrame.unionByName, [scalars.unmapped(df, c, m).withColumn("column_name", F.lit(c)) for c, m in recodes.items()])
+
+
 def apply_mapping(df: DataFrame, rename: Mapping[str, str], recodes: Mapping[str, Mapping[str, str]], drop: Sequence[str] = ()) -> DataFrame:
-    """Rename, recode and drop by declaration; undeclared or absent columns and unmapped values stop with the full list."""
+    """Rename, recode and drop by declaration; undeclared or absent columns and unmapped values stop the job.
+
+    The message lists the columns and how many values each lacks; ``unmapped_values`` gives the values.
+    """
     known = set(rename) | set(drop)
     absent, extra = sorted(known - set(df.columns)), sorted(set(df.columns) - known)
     problems = [f"absent: {absent}"] if absent else []
     problems += [f"undeclared: {extra}"] if extra else []
     if not problems and recodes:
-        counts = reduce(DataFrame.unionByName, [scalars.unmapped(df, c, m).withColumn("column_name", F.lit(c)) for c, m in recodes.items()])
-        problems += [f"{r['column_name']}={r['value']} ({r['n']} rows)" for r in counts.orderBy("column_name", "value").limit(50).collect()]
+        per_column = unmapped_values(df, recodes).groupBy("column_name").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"), F.min("value").alias("first"))
+        problems += [f"{r['column_name']}={r['first']} and {r['values'] - 1} more unmapped values ({r['n']} rows)" for r in per_column.orderBy("column_name").collect()]
     if problems:
         raise ContractError("; ".join(problems))
     return df.select(*[(scalars.recode(s, recodes[s]) if s in recodes else F.col(s)).alias(t) for s, t in rename.items()])

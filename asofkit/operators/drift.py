@@ -10,19 +10,12 @@ from pyspark.sql import functions as F
 from asofkit.functions import stats
 from asofkit.operators.ordering import quantiles
 from asofkit.operators.profile import unpivot
+from asofkit.session import cut_lineage
 
 FLOOR = 1e-4
 SEVERITY = ("ok", "warn", "alert")
 
 
-def small_table(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """A table whose size follows the schema (columns x bins), held as literal rows so later steps need not recompute it."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} profile rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def decile_edges(df: DataFrame, cols: Sequence[str], n_bins: int = 10) -> DataFrame:
     """Distinct interior quantile edges per column: (column_name, edges)."""
     long = unpivot(df, cols).where("value IS NOT NULL")
@@ -85,8 +78,8 @@ def worst(statuses: Column) -> Column:
 
 def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], *, warn: float = 0.1, alert: float = 0.25, missing_warn: float = 0.05) -> DataFrame:
     """Per feature: stability index on the reference's decile bins, missing rates, status."""
-    edges = small_table(decile_edges(reference, cols))
-    ref, cur = small_table(bin_shares(reference, cols, edges)), small_table(bin_shares(current, cols, edges))
+    edges = cut_lineage(decile_edges(reference, cols))
+    ref, cur = cut_lineage(bin_shares(reference, cols, edges)), cut_lineage(bin_shares(current, cols, edges))
     miss = [t.where("bin = 'missing'").select("column_name", F.col("share").alias(n)) for t, n in ((ref, "missing_reference"), (cur, "missing_current"))]
     out = psi(ref, cur).join(miss[0], "column_name").join(miss[1], "column_name")
     moved = F.abs(F.col("missing_current") - F.col("missing_reference")) >= missing_warn - 1e-12
@@ -119,7 +112,7 @@ def predictor_shift(old: DataFrame, new: DataFrame, kinds: Mapping[str, str], *,
     cols = list(kinds)
     a = shift_stats(old, cols).select("column_name", F.struct("*").alias("a"))
     b = shift_stats(new, cols).select("column_name", F.struct("*").alias("b"))
-    edges = small_table(decile_edges(old, cols))
+    edges = cut_lineage(decile_edges(old, cols))
     p = psi(_observed_shares(bin_shares(old, cols, edges)), _observed_shares(bin_shares(new, cols, edges)), renormalise=False)
     t = a.join(b, "column_name").join(p, "column_name", "left")
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("column_name"))

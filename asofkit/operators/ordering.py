@@ -21,19 +21,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TIE_RANGES = 64
-
 
 def range_count(df: DataFrame) -> int:
-    """Value ranges to cut: as many as the session has shuffle partitions, within fixed limits."""
-    return min(2048, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Value ranges to cut: as many as the session has shuffle partitions, 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def value_bounds(df: DataFrame, col: str, n_ranges: int) -> Column:
     """Approximate quantiles of ``col`` over the rows, as a scalar subquery of one pruned column.
 
-    At most 2047 numbers are inlined into the plan. They only balance the work: any monotone
-    cut gives the same result. A range holds about 1/n of the rows, so at most that many
+    The cuts only balance the work: any monotone cut gives the same result. A range holds about 1/n of the rows, so at most that many
     distinct values, whatever share of the rows a single value takes.
     """
     step = max(2, math.isqrt(n_ranges))
@@ -104,11 +101,11 @@ def rank_rows(df: DataFrame, order: str, tie: str, sums: Mapping[str, Column] |
     keys = list(keys)
     sums = {"n": F.lit(1).cast("long"), **(sums or {})}
     names = list(sums)
-    rows = with_range(df, tie, value_bounds(df, tie, TIE_RANGES), "_tie_range")
+    rows = with_range(df, tie, value_bounds(df, tie, range_count(df)), "_tie_range")
     for n, c in sums.items():
         rows = rows.withColumn(f"_v_{n}", c)
     blocks = rows.groupBy(*keys, order, "_tie_range").agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
-    # At most TIE_RANGES rows share a score here; the last one carries the score's own total.
+    # At most range_count rows share a score here; the last one carries the score's own total.
     tied = Window.partitionBy(*keys, order)
     before = tied.orderBy("_tie_range").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.select(*keys, order, "_tie_range",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions import dates, hashing
-from asofkit.operators.ordering import even_bounds, prefix_sums, rank_spread
+from asofkit.operators.ordering import even_bounds, rank_spread
 
 SPLITS = ("train", "validation", "test")
 
@@ -100,25 +100,38 @@ def balanced_folds(df: DataFrame, entity: str, k: int, seed: int) -> DataFrame:
     The greedy rule is sequential only between distinct group sizes. Inside one size s the m
     groups take the m smallest numbers of the k ladders load_f, load_f + s, load_f + 2s, ...
     So the driver walks the table of (size, count) and works out how many rungs each ladder
-    gives; the rungs and the groups are then numbered and matched in Spark.
+    gives; where the i-th group of a size goes follows from i by division.
     """
     spark = df.sparkSession
     sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("size")).withColumn("_u", hashing.hash_uniform(F.lit(str(seed)), F.col(entity)))
     classes = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("size").desc()).collect()
     load = [0] * k
-    ladders = []
+    pieces = []
     for size, m in ((r["size"], r["m"]) for r in classes):
-        for f, n in enumerate(_rungs(load, size, m)):
-            if n:
-                ladders.append((size, f, load[f], n))
-                load[f] += n * size
-    slots = (spark.createDataFrame(ladders, "size long, fold int, load long, n long")
-             .select("size", "fold", "load", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("rung"))
-             .select("size", ((F.col("load") + F.col("rung") * F.col("size")) * k + F.col("fold")).alias("slot")))
-    numbered = prefix_sums(slots, "slot", {"n": F.lit(1).cast("long")}, ["size"], descending=False).select(
-        "size", F.col("cum_n").alias("rn"), F.pmod("slot", F.lit(k)).alias("fold"))
+        pieces.append((size, _pieces(load, size)))
+        load = [x + n * size for x, n in zip(load, _rungs(load, size, m), strict=True)]
+    table = spark.createDataFrame(pieces, "size long, pieces array<struct<first:long,folds:array<int>>>")
     ranked = rank_spread(sizes, "_u", entity, ["size"], bounds=even_bounds(df)).select(entity, "size", "rn")
-    return ranked.join(numbered, ["size", "rn"]).select(entity, "size", "fold")
+    own = F.element_at(F.filter("pieces", lambda p: p["first"] < F.col("rn")), -1)
+    return ranked.join(table, "size").withColumn("_p", own).select(entity, "size", F.element_at("_p.folds", (F.pmod(F.col("rn") - 1 - F.col("_p.first"), F.size("_p.folds")) + 1).cast("int")).alias("fold"))
+
+
+def _pieces(load: list[int], size: int) -> list[tuple[int, list[int]]]:
+    """(groups before, folds in turn): how groups of one size go round the folds.
+
+    Seen in steps of one size above the lowest load, fold f joins in with step q_f, and within
+    a step the folds take turns by what their load leaves over, then by number. A new piece begins
+    whenever further folds join, so there are at most as many as folds.
+    """
+    low = min(load)
+    joins = sorted(((x - low) // size, (x - low) % size, f) for f, x in enumerate(load))
+    out, first, before = [], 0, 0
+    for q in sorted({j[0] for j in joins}):
+        if out:
+            first += (q - before) * len(out[-1][1])
+        out.append((first, [f for _, f in sorted((left, f) for at, left, f in joins if at <= q)]))
+        before = q
+    return out
 
 
 def _rungs(load: list[int], size: int, m: int) -> list[int]:

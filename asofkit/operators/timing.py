@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import stats
 from asofkit.operators.contracts import _rows_from_aggregate
-from asofkit.operators.ordering import quantiles
+from asofkit.operators.ordering import prefix_sums, quantiles
+from asofkit.session import cut_lineage
 
 
 def offsets(df: DataFrame, date_cols: Sequence[str], index: str, carry: Sequence[str] = (), sentinels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -277,34 +278,54 @@ def feasibility(masks: DataFrame, domains: Mapping[str, Sequence[str]], y: str,
 
 
 # ------------------------------------------------------------------ bounds over unknown states
-MAX_LEVELS = 20_000
-
 
 def state_profiles(df: DataFrame, cols: Sequence[str], contribution: Column) -> DataFrame:
     """Distinct joint states with their contribution to the score."""
     return df.select(*cols).distinct().withColumn("contribution", contribution)
 
 
+def _ranked(unknown: DataFrame, profiles: DataFrame, col: str) -> DataFrame:
+    """Per distinct value: ``bound_rank`` (its rank among the bounds) and ``state_rank`` (that of the lowest bound that admits it).
+
+    Rank 0 never occurs; the rank above all bounds, ``top``, stands for no bound and for states that no bound admits.
+    """
+    both = unknown.select(F.col(col).cast("double").alias("v"), F.lit(1).alias("b")).union(profiles.select(F.col(col).cast("double"), F.lit(0)))
+    values = both.where("v IS NOT NULL").groupBy("v").agg(F.max("b").alias("b"))
+    runs = prefix_sums(values, "v", {"b": F.col("b")}, descending=False)
+    return runs.select("v", F.col("cum_b").alias("bound_rank"), (F.col("cum_b") - F.col("b") + 1).alias("state_rank"), (F.col("tot_b") + 1).alias("top"))
+
+
+def _levels(top: Column) -> Column:
+    return F.sequence(F.lit(0), F.length(F.bin(top)))
+
+
 def profile_bounds(unknown: DataFrame, profiles: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
     """Lowest and highest contribution of any observed state that stays at or below the row's upper bounds (NULL = no bound).
 
-    Rows and states are never paired. One dimension at a time, a state's value is raised to each
-    bound that admits it and equal cells are reduced to their minimum and maximum, so the work
-    follows the number of distinct bounds, not of rows. A row that admits no state gets the
-    range over all states. More than MAX_LEVELS distinct bounds in a column stop the job.
+    Rows and states are never paired. Per column, ranks are cut into halves again and again: a
+    state counts in the one block of each level that holds its rank, and the ranks up to a bound are
+    one block for each binary digit of the bound's rank. States are reduced to minima and maxima
+    per combination of blocks, rows look up their few combinations. A row that admits no state gets
+    the range over all states.
     """
-    cells = profiles.select(*cols, F.col("contribution").alias("lo"), F.col("contribution").alias("hi"))
-    for c in cols:
-        levels = unknown.select(F.collect_set(F.col(c).cast("double"))).scalar()
-        cells = cells.withColumn("_levels", levels).withColumn("_levels", F.when(F.size("_levels") <= MAX_LEVELS, F.col("_levels")).otherwise(
-            F.raise_error(F.lit(f"too many distinct bounds in {c}"))))
-        # NULL in the exploded array is the unrestricted bound, which admits every state.
-        admitted = F.concat(F.filter("_levels", lambda b: b >= F.col(c)), F.array(F.lit(None).cast("double")))
-        cells = cells.withColumn(c, F.explode(admitted)).drop("_levels").groupBy(*cols).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    renamed = cells.select(*[F.col(c).alias(f"_{c}") for c in cols], "lo", "hi")
-    same = F.lit(True)
+    states = profiles.select(*cols, "contribution")
+    rows = unknown.select(F.col(key).alias("_key"), *cols).distinct()
     for c in cols:
-        same = same & F.col(c).cast("double").eqNullSafe(F.col(f"_{c}"))
+        ranked = cut_lineage(_ranked(unknown, profiles, c))
+        top = F.coalesce(ranked.agg(F.max("top")).scalar(), F.lit(1).cast("long"))
+        by_value = ranked.select(F.col("v").alias(f"_v_{c}"), "bound_rank", "state_rank")
+        place = F.coalesce("state_rank", "_top") - 1
+        states = (states.join(by_value, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").withColumn("_top", top)
+                  .withColumn(f"_b_{c}", F.explode(F.transform(_levels(F.col("_top")), lambda k: F.struct(k.alias("k"), F.call_function("shiftright", place, k).alias("n")))))
+                  .drop(f"_v_{c}", "bound_rank", "state_rank", "_top"))
+        bound = F.coalesce("bound_rank", "_top")
+        digits = F.filter(_levels(F.col("_top")), lambda k: F.call_function("shiftright", bound, k) % 2 == 1)
+        rows = (rows.join(by_value, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").withColumn("_top", top)
+                .withColumn(f"_b_{c}", F.explode(F.transform(digits, lambda k: F.struct(k.alias("k"), (F.call_function("shiftright", bound, k) - 1).alias("n")))))
+                .drop(f"_v_{c}", "bound_rank", "state_rank", "_top"))
+    blocks = [f"_b_{c}" for c in cols]
+    cells = states.groupBy(*blocks).agg(F.min("contribution").alias("lo"), F.max("contribution").alias("hi"))
+    found = rows.join(cells, blocks).groupBy("_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     every = profiles.agg(F.struct(F.min("contribution").alias("lo"), F.max("contribution").alias("hi"))).scalar()
-    out = unknown.select(key, *cols).join(renamed, same, "left").withColumn("_all", every)
+    out = unknown.select(key).join(found, F.col(key) == F.col("_key"), "left").withColumn("_all", every)
     return out.select(key, F.coalesce("lo", "_all.lo").alias("lo"), F.coalesce("hi", "_all.hi").alias("hi"), F.col("lo").isNull().alias("fallback"))

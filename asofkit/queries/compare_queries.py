@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions import scalars, suppress
+from asofkit.functions.hashing import content_sql
 from asofkit.operators import capacity, compare, contracts, evaluate, resample, splits
 from asofkit.plans import cohorts
 from asofkit.queries.evaluate_queries import FOLD_SQL, MODELS_SQL, models_long
@@ -337,7 +338,7 @@ def _(t):
 
 @query("dataset_manifest", "S01 S02 S15", "rows:l entities:l first_index_date:d last_index_date:d prevalence:f content:s", with_scores("""
 SELECT count(*) AS rows, count(DISTINCT entity_id) AS entities, min(index_date) AS first_index_date, max(index_date) AS last_index_date, avg(y) AS prevalence,
- CAST(sum(CAST('0x' || substr(sha256(CAST(entity_id AS VARCHAR) || '|' || CAST(index_date AS VARCHAR) || '|' || CAST(row_key AS VARCHAR) || '|' || CAST(y AS VARCHAR)), 1, 13) AS BIGINT)) AS VARCHAR) AS content FROM scored"""))
+ CAST(sum(""" + content_sql("entity_id", "index_date", "row_key", "y") + """) AS VARCHAR) AS content FROM scored"""))
 def _(t):
     return tables.manifest(scored(t).select("entity_id", "index_date", "row_key", "y"), entity="entity_id", index="index_date", y="y", versions={"version": "1"})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from asofkit.functions import hashing
-from asofkit.functions.hashing import hash_uniform_sql, poisson_one_sql
+from asofkit.functions.hashing import content_sql, hash_uniform_sql, poisson_one_sql
 from asofkit.operators import evaluate, resample, splits
 from asofkit.queries.registry import query
 from asofkit.queries.scores import AP, AUROC, runs_sql, scored, with_scores
@@ -201,7 +201,7 @@ def _(t):
     return splits.stratified_folds(scored(t).drop("fold"), "row_key", 5, SEED)
 
 
-CONTENT = "CAST('0x' || substr(sha256(CAST(row_key AS VARCHAR) || '|' || CAST(index_date AS VARCHAR)), 1, 13) AS BIGINT)"
+CONTENT = content_sql("row_key", "index_date")
 
 
 @query("test_rows_content", "R09 A69", "rows:l content:s", with_scores(TSPLIT_SQL + f" SELECT count(*) AS rows, CAST(sum({CONTENT}) AS VARCHAR) AS content FROM s3 WHERE removed IS NULL AND split = 'test'"))

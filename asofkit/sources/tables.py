@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +22,13 @@ def manifest(df: DataFrame, *, entity: str, index: str, y: str, versions: Mappin
 
 
 def write_dataset(df: DataFrame, path: str, *, entity: str, index: str, y: str, versions: Mapping[str, str]) -> None:
-    """Immutable write: version columns added, partitioned by index date, manifest next to the data; an existing target is refused.
+    """Immutable write: version columns added, one folder per index date, manifest next to the data; an existing target is refused.
 
+    Rows of an index date are dealt to several tasks by entity, so a date may hold any share of them.
     The manifest is computed from the written files, so it describes what a reader will find.
     """
     out = df.withColumns({k: F.lit(v) for k, v in versions.items()})
-    out.write.mode("errorifexists").parquet(f"{path}/data")
+    out.repartition(index, F.pmod(F.xxhash64(entity), F.lit(16))).write.partitionBy(index).mode("errorifexists").parquet(f"{path}/data")
     written = df.sparkSession.read.schema(out.schema).parquet(f"{path}/data")
     manifest(written, entity=entity, index=index, y=y, versions=versions).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
@@ -34,13 +36,20 @@ def write_dataset(df: DataFrame, path: str, *, entity: str, index: str, y: str,
 MANIFEST_SCHEMA = "rows long, entities long, first_index_date string, last_index_date string, prevalence double, content string"
 
 
-def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str, *, verify: bool = True) -> DataFrame:
-    """Read with the declared schema; refuse when row count or content differ from the manifest."""
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str, *, verify: str = "rows") -> DataFrame:
+    """Read with the declared schema and column order; refuse when the data differ from the manifest.
+
+    ``verify``: "rows" compares the row count, which the files' footers give; "content" hashes every row; "" skips it.
+    A filter on the index date reads the folders of its dates only.
+    """
     df = spark.read.schema(schema).parquet(f"{path}/data")
+    df = df.select(*(schema.fieldNames() if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fieldNames()))
     if verify:
         want = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest").first()
-        got = df.agg(F.count(F.lit(1)).alias("rows"), content_number(*sorted(df.columns)).cast("string").alias("content")).first()
-        if want is None or (want["rows"], want["content"]) != (got["rows"], got["content"]):
+        got = {"rows": spark.read.option("recursiveFileLookup", True).parquet(f"{path}/data").count()}  # stray files too
+        if verify == "content":
+            got |= df.agg(content_number(*sorted(df.columns)).cast("string").alias("content")).first().asDict()
+        if want is None or any(want[k] != v for k, v in got.items()):
             raise ContractError(f"{path}: data do not match the manifest")
     return df
 
@@ -68,13 +77,13 @@ def read_wide_text(spark: SparkSession, path: str, columns: Sequence[str], *, se
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("nullValue", "NULL").csv(path)
 
 
-def header(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
-    """Column names only; duplicated names are refused. No row is read."""
+def header(spark: SparkSession, path: str, fmt: str = "parquet", sep: str = ",") -> list[str]:
+    """Column names only; duplicated names are refused. Of a text file the first line is read, with its separator and quoting."""
     if fmt == "parquet":
         names = spark.read.parquet(path).schema.names
     else:
-        first = spark.read.option("header", False).text(path).limit(1).first()
-        names = [] if first is None else [c.strip() for c in first[0].split(",")]
+        first = spark.read.option("header", False).option("sep", sep).option("inferSchema", False).csv(path).limit(1).first()
+        names = [] if first is None else [(c or "").strip() for c in first]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise ContractError(f"duplicate columns: {twice}")
@@ -136,13 +145,21 @@ REGISTRY_SCHEMA = "evaluation string, data_hash string, rows_hash string, config
 
 
 def register_evaluation(spark: SparkSession, path: str, data_hash: str, rows_hash: str, config_hash: str, *, exists: bool = True) -> str:
-    """Append one evaluation BEFORE the test rows are released; the same (data, rows, config) may be evaluated once."""
+    """Append one evaluation BEFORE the test rows are released; the same (data, rows, config) may be evaluated once.
+
+    Each evaluation is a folder named by its hash, written with errorifexists, so a second writer of
+    the same evaluation meets the folder and fails.
+    """
     row = spark.range(1).select(F.sha2(F.concat_ws("|", F.lit(data_hash), F.lit(rows_hash), F.lit(config_hash)), 256).alias("evaluation"), F.lit(data_hash).alias("data_hash"),
                                 F.lit(rows_hash).alias("rows_hash"), F.lit(config_hash).alias("config_hash"), F.current_timestamp().alias("registered"))
+    name = row.first()["evaluation"]
     if exists:
         prior = spark.read.schema(REGISTRY_SCHEMA).parquet(path)
         same = (F.col("data_hash") == data_hash) & (F.col("rows_hash") == rows_hash) & (F.col("config_hash") == config_hash)
         if not prior.where(same).isEmpty():
             raise ContractError("this evaluation was registered before")
-    row.write.mode("append").parquet(path)
-    return row.first()["evaluation"]
+    try:
+        row.drop("evaluation").write.mode("errorifexists").parquet(f"{path}/evaluation={name}")
+    except AnalysisException as e:
+        raise ContractError("this evaluation was registered before") from e
+    return name

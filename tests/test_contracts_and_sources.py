@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from asofkit.functions.hashing import content_number
 from asofkit.functions import dates, scalars, suppress
 from asofkit.operators import contracts
 from asofkit.operators.contracts import ColumnRule, Contract, ContractError
@@ -125,3 +126,26 @@ def test_second_evaluation_is_refused(spark, tmp_path):
     tables.register_evaluation(spark, path, "d", "r", "c2")
     with pytest.raises(ContractError):
         tables.register_evaluation(spark, path, "d", "r", "c")
+
+
+def test_unmapped_values_and_content(spark):
+    df = spark.createDataFrame([(str(i), "x") for i in range(120)], "k string, v string")
+    assert contracts.unmapped_values(df, {"k": {"0": "a"}}).count() == 119
+    number = lambda rows: spark.createDataFrame(rows, "a string, b string").agg(content_number("a", "b")).first()[0]
+    assert len({number([r]) for r in [("", None), (None, ""), ("1:x", "y"), ("1", "x|y"), ("", "")]}) == 5
+
+
+def test_dataset_prunes_by_index_date_and_checks_on_request(spark, tmp_path):
+    df = spark.sql("SELECT id AS entity_id, date_add(DATE'2020-01-01', cast(id % 3 AS int)) AS index_date, cast(id % 2 AS int) AS y FROM range(90)")
+    tables.write_dataset(df, f"{tmp_path}/d", entity="entity_id", index="index_date", y="y", versions={"v": "1"})
+    schema = "entity_id long, index_date date, y int, v string"
+    back = tables.read_dataset(spark, f"{tmp_path}/d", schema, verify="content")
+    assert back.columns == ["entity_id", "index_date", "y", "v"] and back.count() == 90
+    one = back.where("index_date = DATE'2020-01-02'")
+    assert len(one.inputFiles()) > 0 and all("index_date=2020-01-02" in f for f in one.select("_metadata.file_path").distinct().toPandas()["file_path"])
+    assert "PartitionFilters: [isnotnull(index_date" in one._jdf.queryExecution().toString()
+
+
+def test_header_of_quoted_text(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a;"b;c";d\n1;2;3\n')
+    assert tables.header(spark, f"{tmp_path}/t.csv", "csv", sep=";") == ["a", "b;c", "d"]
