@@ -38,9 +38,10 @@ from asofkit.llm.text import checkpointed, map_rows, mixed, powers
 SPAN, START = 200, 100
 REACH = SPAN - START + 1
 CHUNK = 1 << 18  # strings of one text sampled at a time
-HELD = 1_000_000  # suffixes of one batch
-BUCKET_BYTES = 48 << 20
+HELD = 300_000  # suffixes of one batch
+BUCKET_BYTES = 16 << 20
 VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COMPARED = 2 << 20  # bytes of open blocks compared at a time, unless one beginning has more
 PLACE = np.uint64((1 << 20) - 1)
 
 SUFFIX = np.dtype([("key", "<u8"), ("block", "<u8"), ("row", "<i8"), ("first", "<i4"), ("more", "<i2"), ("found", "?"), ("open", "?")])
@@ -209,7 +210,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for value in zip(*batch.columns, strict=True):
             key, row, first, count, body = (x.as_py() for x in value)
-            if size > 8 << 20 and key != last:
+            if size > COMPARED and key != last:
                 yield compare()
                 held, size = [], 0
             last = key
