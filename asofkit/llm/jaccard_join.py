@@ -11,8 +11,9 @@ The prefixes form an index of lists, one per element, kept sorted by set size.
 * Skipping in a list: an entry meets only entries of sizes from 0.8 of its own, found
   by binary search, and only if the elements after the shared position could still
   reach the needed overlap.
-* Skipping by answers: the first round asks each entry only for the first fitting
-  entry of its list and for its neighbour. Sets joined by these answers are
+* Skipping by answers: the first round asks each entry only for the fitting entry of
+  its list that has the fewest elements before the shared one, mostly the text that the
+  others were copied from, and for its neighbour. Sets joined by these answers are
   one component, and any further pair inside a component adds no link to it, so the
   second round asks only for pairs whose components still differ. It asks for all of
   these; no component is missed.
@@ -42,8 +43,8 @@ from asofkit.llm.components import components
 from asofkit.llm.text import checkpointed, gram_hashes, map_rows, mixed, word_hashes
 
 SHINGLE = 5
-FREQUENT = 50_000  # elements in the order's frequent part
-PER_PART = 4_000  # summary entries of one chunk
+FREQUENT = 300_000  # elements in the order's frequent part (16 bytes each)
+PER_PART = 20_000  # summary entries of one chunk
 CHUNK = 2_000_000  # elements summarised at a time
 BUCKET_ENTRIES = 2_000_000
 
@@ -71,9 +72,8 @@ def prefix_size(n: int) -> int:
 class Order:
     """The common order: elements that are not frequent by hash, then frequent ones, rarest first."""
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        ranked = sorted(frequent, key=lambda x: (x[1], x[0]))
-        names = np.array([x for x, _ in ranked], np.int64).view(np.uint64)
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        names = names[np.lexsort((names, counts))].view(np.uint64)
         self.by_name = np.argsort(names)
         self.names = names[self.by_name]
 
@@ -98,7 +98,7 @@ def _profile(key_kind: str):
         def summary() -> pa.RecordBatch:
             names, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             top = np.argsort(-counts, kind="stable")[:PER_PART]
-            top = top[counts[top] > 2]
+            top = top[counts[top] > 1]
             return batch_of(1, [None] * len(top), np.zeros(len(top), np.int64), names[top].view(np.int64), counts[top])
 
         def batch_of(kind, keys, rows, names, numbers) -> pa.RecordBatch:
@@ -186,7 +186,7 @@ def first_fitting(run: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.searchsorted(key, run.astype(np.int64) * width + -(-4 * n.astype(np.int64) // 5))
 
 
-LIVE = "element long, name long, n int, at int, lead long, lead_n int, near long, near_n int"
+LIVE = "element long, name long, n int, at int, lead long, near long"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,33 +211,63 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part
 
 
+def last_fitting(run: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry one past the last of its list of which its own size is 0.8 or more."""
+    width = 2 * int(n.max()) + 2
+    key = run.astype(np.int64) * width + n
+    return np.searchsorted(key, run.astype(np.int64) * width + 5 * n.astype(np.int64) // 4, "right")
+
+
+def lowest_in(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest of ``values[first:end]`` for every pair of bounds, by minima over powers of two."""
+    out = np.empty(len(first), values.dtype)
+    level = np.frompyfunc(int.bit_length, 1, 1)(end - first).astype(int) - 1
+    low, width = values.copy(), 1
+    for k in range(int(level.max()) + 1):
+        mine = level == k
+        out[mine] = np.minimum(low[first[mine]], low[end[mine] - width])
+        low = np.minimum(low[:-width], low[width:]) if len(low) > width else low
+        width *= 2
+    return out
+
+
+def hubs(e: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each entry the one of its list, of fitting size, with the fewest elements before the shared one.
+
+    Edits put elements of their own in front, so this tends to be the text that others were copied from.
+    """
+    key = e["at"].astype(np.int64) << 32 | np.arange(len(e))
+    return (lowest_in(key, first_fitting(run, e["n"]), last_fitting(run, e["n"])) & 0xFFFFFFFF).astype(np.int64)
+
+
 def _asked(e: np.ndarray) -> Iterator[pa.RecordBatch]:
     run = runs_of(e)
     here = np.arange(len(e))
     asks = []
-    for other in (first_fitting(run, e["n"]), np.maximum(here - 1, 0)):
-        ok = (other < here) & (run[other] == run) & (5 * e["n"][other].astype(np.int64) >= 4 * e["n"]) & fits(e["n"], e["at"], e["n"][other], e["at"][other])
+    for other in (hubs(e, run), np.maximum(here - 1, 0)):
+        ok = (other != here) & (run[other] == run) & fits(e["n"], e["at"], e["n"][other], e["at"][other])
         asks.append((other, ~ok))
     (lead, no_lead), (near, no_near) = asks
     no_near |= (lead == near) & ~no_lead
     columns = [e["element"].view(np.int64), e["set"], e["n"], e["at"]]
     arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
     for other, no in ((lead, no_lead), (near, no_near)):
-        arrays += [pa.array(np.ascontiguousarray(e["set"][other]), mask=no), pa.array(np.ascontiguousarray(e["n"][other]), mask=no)]
-    whole = pa.RecordBatch.from_arrays(arrays, names=["element", "name", "n", "at", "lead", "lead_n", "near", "near_n"])
+        arrays.append(pa.array(np.ascontiguousarray(e["set"][other]), mask=no))
+    whole = pa.RecordBatch.from_arrays(arrays, names=["element", "name", "n", "at", "lead", "near"])
     for at in range(0, whole.num_rows, 50_000):
         yield whole.slice(at, 50_000)
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All fitting pairs of a list whose components differ, each once per part."""
+    """All fitting pairs of a list whose components differ and that the list did not ask for, each once per part."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    c = {x: table.column(x).to_numpy() for x in table.column_names}
+    c = {x: table.column(x).to_numpy() for x in ("element", "name", "n", "at", "root")}
+    asked = {x: table.column(x).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for x in ("lead", "near")}
     turn = np.lexsort((c["name"], c["n"], c["element"]))
-    c = {k: v[turn] for k, v in c.items()}
+    c, asked = {k: v[turn] for k, v in c.items()}, {k: v[turn] for k, v in asked.items()}
     run = np.cumsum(np.r_[False, c["element"][1:] != c["element"][:-1]])
     longest = np.arange(len(run)) - first_fitting(run, c["n"])  # entries before each that its size allows
     out, size = [], 0
@@ -253,6 +283,8 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             break
         other = active - step
         ok = (c["root"][active] != c["root"][other]) & fits(c["n"][active], c["at"][active], c["n"][other], c["at"][other])
+        for x, y in ((active, other), (other, active)):  # not what this list asked before
+            ok &= (asked["lead"][x] != c["name"][y]) & (asked["near"][x] != c["name"][y])
         i, j = active[ok], other[ok]
         if len(i):
             swap = c["name"][i] > c["name"][j]
@@ -333,7 +365,8 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     profile = checkpointed(source.mapInArrow(run, schema))
     rows = profile.where("kind = 0").drop("kind")
     frequent = profile.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(FREQUENT)
-    order = spark.sparkContext.broadcast(Order([(r["name"], r["n"]) for r in frequent.collect()]))  # FREQUENT rows at most
+    top = frequent.toArrow()  # FREQUENT rows at most
+    order = spark.sparkContext.broadcast(Order(top.column("name").to_numpy().astype(np.int64), top.column("n").to_numpy().astype(np.int64)))
     entries = rows.agg(F.sum(F.col("n") - F.ceil(0.8 * F.col("n")) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET_ENTRIES + 1)
     bodies = source.select("body")
@@ -345,7 +378,7 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     linked = checkpointed(_verified(bodies, first))
     roots = components(linked)
     # Round 2: lists that still meet several components
-    placed = lists.select("element", "name", "n", "at").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    placed = lists.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     mixed_lists = placed.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("element")
     still = placed.join(mixed_lists, "element").repartition("element").mapInArrow(_open_pairs, "a long, b long").distinct()
     second = checkpointed(still.join(first, ["a", "b"], "left_anti"))
