@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions import scalars, stats
+from asofkit.ml.paths import Path, logistic_fits
 from asofkit.operators.contracts import ContractError
 from asofkit.operators.design import power_scaling, standardise
 from asofkit.operators.splits import forbidden_rows
@@ -46,74 +47,53 @@ def lambda_max(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     return sums.select(F.greatest(*features, F.lit(0.0)).alias("lambda_max"))
 
 
-def lambda_grid(top: float, n: int = 100, ratio: float = 1e-4) -> list[float]:
-    """Log-spaced penalties from ``top`` down to ``ratio * top``."""
-    return [top * ratio ** (i / (n - 1)) for i in range(n)]
-
-
 def penalised(lam: float, l1_ratio: float, max_iter: int = 100) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="y", regParam=lam, elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter, tol=1e-6)
 
 
-def fold_deviance(df: DataFrame, features: Sequence[str], lambdas: Sequence[float], *, l1_ratio: float = 1.0, folds: int = 5) -> DataFrame:
-    """Mean deviance of every held-out fold per penalty: (lambda, fold, n, deviance). ``df`` has y, fold and standardised features."""
-    data = assemble(df, features, ["y", "fold"]).persist()
-    parts = []
-    for k in range(folds):
-        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        for lam, model in zip(lambdas, _fit_all(train, lambdas, l1_ratio)):
-            p = stats.clip(vector_to_array("probability")[1], 1e-15, 1 - 1e-15)
-            dev = -2 * (F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
-            parts.append(model.transform(test).agg(F.lit(float(lam)).alias("lambda"), F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg(dev).alias("deviance")))
-    rows = [tuple(p.first()) for p in parts]
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "lambda double, fold int, n long, deviance double")
-
-
-def _fit_all(train: DataFrame, lambdas: Sequence[float], l1_ratio: float) -> list:
-    est = penalised(lambdas[0], l1_ratio)
-    grid = [{est.regParam: float(lam)} for lam in lambdas]
-    return [m for _, m in sorted(est.fitMultiple(train, grid), key=lambda im: im[0])]
-
-
 def deviance_table(folds: DataFrame) -> DataFrame:
-    """Mean deviance and its standard error per penalty over folds."""
-    return folds.groupBy("lambda").agg(F.avg("deviance").alias("mean_deviance"), (F.stddev_samp("deviance") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.count(F.lit(1)).alias("folds"))
+    """Mean deviance and its standard error per mixing and penalty over folds."""
+    return folds.groupBy("l1_ratio", "lambda").agg(F.avg("deviance").alias("mean_deviance"), (F.stddev_samp("deviance") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.count(F.lit(1)).alias("folds"))
 
 
-def choose_lambda(table: DataFrame) -> float:
-    """Penalty with the lowest mean deviance; a tie takes the larger penalty."""
-    return table.agg(F.min_by("lambda", F.struct("mean_deviance", -F.col("lambda")))).first()[0]
+def path_coefficients(path: Path, spark) -> DataFrame:
+    """Coefficients at the mixing and penalty with the lowest mean fold deviance, with rank, odds ratio and the choice itself."""
+    i, j, identified = path.chosen()
+    return (ranked_coefficients(path.features, path.coefficients(i, j), spark)
+            .withColumns({"l1_ratio": F.lit(float(path.l1_ratios[i])), "lambda": F.lit(float(path.lambdas[i, j])), "identified": F.lit(identified)}))
 
 
-def lasso_cv(df: DataFrame, features: Sequence[str], *, folds: int = 5, n_lambdas: int = 10, ratio: float = 1e-3, l1_ratios: Sequence[float] = (1.0,)):
-    """Penalised logistic with the penalty (and mixing) chosen by fold deviance: (model, l1_ratio, lambda, table).
+def optimality(df: DataFrame, path: Path) -> DataFrame:
+    """(feature, residual): how far the chosen model is from its optimality conditions, computed from the rows.
 
-    ``df`` has y, fold and raw features; features are standardised with divisor N.
+    For a coefficient other than 0 the derivative of the penalised objective, for 0 what the derivative exceeds the penalty by.
     """
-    df = df.persist()
-    z = standardise(df, features)
-    zs = [f"{f}__z" for f in features]
-    top = lambda_max(df, features, "y").first()[0]
-    best = None
-    for a in l1_ratios:
-        table = deviance_table(fold_deviance(z, zs, lambda_grid(top / max(a, 1e-3), n_lambdas, ratio), l1_ratio=a, folds=folds))
-        lam = choose_lambda(table)
-        dev = table.where(F.col("lambda") == lam).first()["mean_deviance"]
-        if best is None or dev < best[0]:
-            best = (dev, a, lam, table)
-    _, a, lam, table = best
-    model = penalised(lam, a).fit(assemble(z, zs, ["y"]))
-    return model, a, lam, table
-
-
-def coefficient_table(model, features: Sequence[str], spark) -> DataFrame:
+    i, j, _ = path.chosen()
+    lam, a, b = float(path.lambdas[i, j]), float(path.l1_ratios[i]), [float(x) for x in path.coefficients(i, j)]
+    z = {f: (F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(path.features, path.mean[-1], path.sd[-1], strict=True)}
+    eta = F.lit(float(path.intercept[-1, i, j]))
+    for f, c in zip(path.features, b, strict=True):
+        eta = eta + F.lit(c) * z[f]
+    g = df.withColumn("_r", 1 / (1 + F.exp(-eta)) - F.col("y")).agg(F.avg("_r").alias("(intercept)"), *[F.avg(F.col("_r") * z[f]).alias(f) for f in path.features])
+    each = [F.struct(F.lit("(intercept)").alias("feature"), F.abs("(intercept)").alias("residual"))]
+    for f, c in zip(path.features, b, strict=True):
+        slope = F.col(f) + F.lit(lam * (1 - a) * c)
+        residual = F.greatest(F.abs(slope) - lam * a, F.lit(0.0)) if c == 0 else F.abs(slope + F.lit(lam * a * (1 if c > 0 else -1)))
+        each.append(F.struct(F.lit(f).alias("feature"), residual.alias("residual")))
+    return g.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+
+
+def ranked_coefficients(features: Sequence[str], values, spark) -> DataFrame:
     """Feature, coefficient, odds ratio and rank by absolute size."""
-    rows = sorted(zip(features, (float(c) for c in model.coefficients)), key=lambda r: (-abs(r[1]), r[0]))
+    rows = sorted(zip(features, (float(c) for c in values), strict=True), key=lambda r: (-abs(r[1]), r[0]))
     t = spark.createDataFrame([(f, c, i + 1) for i, (f, c) in enumerate(rows)], "feature string, coefficient double, rank int")
     return t.withColumn("odds_ratio", F.exp("coefficient"))
 
 
+def coefficient_table(model, features: Sequence[str], spark) -> DataFrame:
+    return ranked_coefficients(features, model.coefficients, spark)
+
+
 def fit_unpenalised(df: DataFrame, features: Sequence[str], offset: str | None = None, max_coef: float = 50.0):
     """Maximum-likelihood logistic with standard errors; separation shows as a diverged coefficient and is refused."""
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", featuresCol="features", maxIter=50, tol=1e-10)
@@ -188,7 +168,8 @@ def separation_omissions(df: DataFrame, binary: Sequence[str], y: str) -> list[t
 
     Each round is one aggregate over the remaining rows. Result: (round, column, reason, rows dropped).
     """
-    left, rows, out = list(binary), df.select(y, *binary).persist(), []
+    kept = df.select(y, *binary).persist()
+    left, rows, out = list(binary), kept, []
     round_no = 0
     while left:
         round_no += 1
@@ -215,6 +196,7 @@ def separation_omissions(df: DataFrame, binary: Sequence[str], y: str) -> list[t
             break
         out.append(found)
         left.remove(found[1])
+    kept.unpersist()
     return out
 
 
@@ -230,17 +212,14 @@ def power_candidates(max_degree: int = 2) -> list[tuple[float, ...]]:
 
 
 def power_deviances(df: DataFrame, variable: str, other: Sequence[str], candidates: Sequence[tuple[float, ...]]) -> DataFrame:
-    """Model deviance per power set of one variable next to the other features (linear: power 1)."""
-    df = df.persist()
+    """Model deviance per power set of one variable next to the other features (linear: power 1); all sets share the passes."""
     s = power_scaling(df, variable).first()
-    rows = []
-    for powers in candidates:
-        terms = scalars.power_terms(F.col(variable), powers, s["shift"], s["scale"])
-        names = [f"_fp{i}" for i in range(len(terms))]
-        data = df.withColumns(dict(zip(names, terms)))
-        model = fit_unpenalised(data, [*names, *other])
-        rows.append((variable, [float(p) for p in powers], len(powers), float(model.summary.deviance)))
-    df.unpersist()
+    terms = {powers: scalars.power_terms(F.col(variable), powers, s["shift"], s["scale"]) for powers in candidates}
+    names: dict[str, str] = {}  # equal terms of several sets are one column
+    columns = {powers: [names.setdefault(str(t), f"_fp{len(names)}") for t in ts] for powers, ts in terms.items()}
+    data = df.withColumns({names[str(t)]: t for ts in terms.values() for t in ts})
+    fits = logistic_fits(data, [*names.values(), *other], [[*columns[powers], *other] for powers in candidates])
+    rows = [(variable, [float(p) for p in powers], len(powers), fit[2]) for powers, fit in zip(candidates, fits, strict=True)]
     return df.sparkSession.createDataFrame(rows, "variable string, powers array<double>, degree int, deviance double")
 
 

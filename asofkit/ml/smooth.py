@@ -39,6 +39,7 @@ def smooth_calibration(df: DataFrame, *, n_knots: int = 4, n_grid: int = 50) ->
     counts = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
     knots = [math.log(q[f"q{i}"] / (1 - q[f"q{i}"])) for i in range(n_knots)]
     if len(set(knots)) < n_knots or counts[0] < 10 or counts[1] - counts[0] < 10:
+        rows.unpersist()
         return spark.createDataFrame([], schema)
     names = [f"t{i}" for i in range(n_knots - 1)]
     x = stats.logit(F.col("p"))
@@ -46,6 +47,7 @@ def smooth_calibration(df: DataFrame, *, n_knots: int = 4, n_grid: int = 50) ->
     model = fit_unpenalised(data, names, max_coef=math.inf)
     beta = [float(model.intercept), *[float(c) for c in model.coefficients]]
     info = _information(data, names, beta)
+    rows.unpersist()
     grid = spark.createDataFrame([(i, float(q[f"q{n_knots + i}"])) for i in range(n_grid)], "point int, p double")
     terms = [F.lit(1.0), *spline_terms(x, knots)]
     eta = sum((F.lit(b) * t for b, t in zip(beta[1:], terms[1:])), F.lit(beta[0]))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import hashing, stats
 from asofkit.functions.hashing import hash_uniform_sql
-from asofkit.ml import models, validate
+from asofkit.ml import models, paths, validate
 from asofkit.ml.smooth import smooth_calibration
 from asofkit.operators import catalog, evaluate, resample
-from asofkit.operators.design import standardise
 from asofkit.queries.evaluate_queries import with_newton
 from asofkit.queries.registry import Tables, query
 from asofkit.queries.scores import AP, AUROC, runs_sql, scored, with_scores
@@ -28,6 +27,12 @@ def fit_rows(t: Tables) -> DataFrame:
                     F.floor(hashing.hash_uniform(F.lit("fold"), "entity_id") * 3).cast("int").alias("fold"))
 
 
+def cv_rows(t: Tables) -> DataFrame:
+    """The rows with ten entity-grouped folds."""
+    return fit_rows(t).withColumn("fold", F.floor(hashing.hash_uniform(F.lit("fold"), "entity_id") * 10).cast("int"))
+
+
+FOLD_SQL = "SELECT CAST(floor(" + hash_uniform_sql("'fold|' || CAST(entity_id AS VARCHAR)") + " * 10) AS INT) AS fold, y, n30 AS f_month, n365 AS f_year, balance / 1000 AS f_balance, coalesce(mean_price, 0) / 100000 AS f_price FROM wide WHERE y IS NOT NULL"
 FIT_SQL = "fr AS (SELECT y, n30 AS f_month, n365 AS f_year, balance / 1000 AS f_balance, coalesce(mean_price, 0) / 100000 AS f_price FROM wide WHERE y IS NOT NULL)"
 
 
@@ -46,22 +51,42 @@ def _(t):
     return models.lambda_max(fit_rows(t), FEATURES, "y")
 
 
-@query("lasso_cv_coefficients", "M15 C35 M42", "feature:s coefficient:f4 rank:l odds_ratio:f4")
+@query("lasso_cv_coefficients", "M15 C35 M42", "feature:s coefficient:f4 rank:l odds_ratio:f4 lambda:f identified:b")
 def _(t):
-    model, _, _, _ = models.lasso_cv(fit_rows(t), FEATURES, folds=3, n_lambdas=4, ratio=0.05)
-    return models.coefficient_table(model, FEATURES, t.spark)
+    return models.path_coefficients(paths.penalised_path(cv_rows(t), FEATURES), t.spark)
 
 
-@query("fold_deviance_table", "C35 R06", "lambda:f mean_deviance:f4 se:f4 folds:l")
+@query("lasso_optimality", "M15", "feature:s residual:f4", "SELECT unnest(['(intercept)', " + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, 0.0 AS residual")
 def _(t):
-    z = standardise(fit_rows(t), FEATURES)
-    return models.deviance_table(models.fold_deviance(z, [f"{f}__z" for f in FEATURES], [0.05, 0.01], folds=3))
+    return models.optimality(cv_rows(t), paths.penalised_path(cv_rows(t), FEATURES))
 
 
-@query("elastic_net_cv", "M16", "feature:s coefficient:f4 rank:l odds_ratio:f4")
+@query("penalty_grid", "M15 P31", "step:l lambda:f8", with_wide(FIT_SQL + ", m AS (SELECT avg(y) AS my, " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES) + " FROM fr), top AS (SELECT greatest(" + ", ".join(
+    f"abs(sum((({f}) - m_{f}) / s_{f} * (y - my)) / count(*))" for f in FEATURES) + ") AS v FROM fr, m) SELECT step, v * pow(0.0001, step / 99.0) AS lambda FROM top, range(100) r(step)"))
 def _(t):
-    model, _, _, _ = models.lasso_cv(fit_rows(t), FEATURES, folds=3, n_lambdas=3, ratio=0.05, l1_ratios=(0.5, 1.0))
-    return models.coefficient_table(model, FEATURES, t.spark)
+    top = models.lambda_max(fit_rows(t), FEATURES, "y")
+    return top.select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("step"), "lambda_max").select("step", (F.col("lambda_max") * F.pow(F.lit(0.0001), F.col("step") / 99)).alias("lambda"))
+
+
+@query("training_fold_scale", "M15 C35", "fold:l feature:s n:l mean:f sd:f4", with_wide("fr AS (" + FOLD_SQL + "), k AS (SELECT DISTINCT fold AS f FROM fr) " + " UNION ALL ".join(
+    f"SELECT f AS fold, '{x}' AS feature, count(*) AS n, avg({x}) AS mean, stddev_pop({x}) AS sd FROM k JOIN fr ON fold <> f GROUP BY f" for x in FEATURES)))
+def _(t):
+    return paths.training_scale(paths.moments(cv_rows(t), FEATURES), FEATURES)
+
+
+@query("held_out_rows", "C35", "fold:l n:l", with_wide("fr AS (" + FOLD_SQL + ") SELECT fold, count(*) AS n FROM fr GROUP BY fold"))
+def _(t):
+    return paths.penalised_path(cv_rows(t), FEATURES, n_lambdas=1).cv_table(t.spark)
+
+
+@query("fold_deviance_table", "C35 R06", "l1_ratio:f lambda:f mean_deviance:f4 se:f4 folds:l")
+def _(t):
+    return models.deviance_table(paths.penalised_path(cv_rows(t), FEATURES).cv_table(t.spark))
+
+
+@query("elastic_net_cv", "M16", "feature:s coefficient:f4 rank:l odds_ratio:f4 l1_ratio:f lambda:f identified:b")
+def _(t):
+    return models.path_coefficients(paths.penalised_path(cv_rows(t), FEATURES, l1_ratios=(0.1, 0.5, 0.9, 1.0)), t.spark)
 
 
 @query("elastic_net_given", "M33", "feature:s coefficient:f4 rank:l odds_ratio:f4")
@@ -87,26 +112,26 @@ def _tree_scores(t: Tables, est, train: DataFrame, rows: DataFrame, keep=("y",))
     return by_split(models.score(model, filled, models.tree_columns(FEATURES), ["y", "split"]))
 
 
-@query("random_forest_scores", "M35 P30", "split:s n:l events:l")
+@query("random_forest_scores", "M35 P30", "split:s n:l events:l auroc:f4 ap:f4")
 def _(t):
     rows = fit_rows(t)
     return _tree_scores(t, models.random_forest(trees=10, depth=4), rows.where("split = 'train'"), rows)
 
 
-@query("gradient_boosting_scores", "M36", "split:s n:l events:l")
+@query("gradient_boosting_scores", "M36", "split:s n:l events:l auroc:f4 ap:f4")
 def _(t):
     rows = fit_rows(t)
     return _tree_scores(t, models.boosted_trees(rounds=5), rows.where("split = 'train'"), rows)
 
 
-@query("early_stopped_boosting", "M37", "split:s n:l events:l")
+@query("early_stopped_boosting", "M37", "split:s n:l events:l auroc:f4 ap:f4")
 def _(t):
     rows = fit_rows(t)
     train = rows.where("split <> 'test'").withColumn("stop_rows", F.col("split") == "validation")
     return _tree_scores(t, models.boosted_trees(rounds=8, validation="stop_rows"), train, rows, ("y", "stop_rows"))
 
 
-@query("grid_search", "M38 M30", "trial:l params:s place:l")
+@query("grid_search", "M38 M30", "trial:l params:s objective:f4 place:l")
 def _(t):
     rows = fit_rows(t).persist()
     train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
@@ -132,10 +157,14 @@ def _(t):
     return t.spark.createDataFrame([(r, c, n) for r, c, _, n in out], "round long, column_name string, rows_dropped long")
 
 
-@query("power_term_deviances", "M40 P24", "variable:s degree:l n_sets:l")
+@query("power_term_deviances", "M40 P24", "variable:s powers:s degree:l deviance:f2 chosen:b")
 def _(t):
-    dev = models.power_deviances(fit_rows(t), "f_balance", ["f_year"], [(1.0,), (0.5,), (0.0,)])
-    return dev.groupBy("variable", "degree").agg(F.count(F.lit(1)).alias("n_sets"))
+    rows = fit_rows(t)
+    dev = models.power_deviances(rows, "f_balance", ["f_year"], models.power_candidates())
+    without = paths.logistic_fits(rows, ["f_year"], [["f_year"]])[0][2]
+    chosen = models.closed_test(dev, without)
+    taken = F.lit(False) if chosen is None else F.col("powers") == F.array(*[F.lit(float(p)) for p in chosen])
+    return dev.withColumn("chosen", taken).withColumn("powers", F.array_join(F.col("powers").cast("array<string>"), " "))
 
 
 # ------------------------------------------------------------------ refit-based validation
@@ -199,18 +228,18 @@ def _(t):
     return catalog.relative_coefficients(c)
 
 
-@query("coefficient_stability", "R18 R19", "feature:s replicates:l selection_frequency:f")
+@query("coefficient_stability", "R18 R19", "feature:s replicates:l selection_frequency:f sign_consistency:f mean:f4 q025:f4 q975:f4 robust:b")
 def _(t):
-    coefs = validate.replicate_coefficients(fit_rows(t), FEATURES, "entity_id", 5, 3, lambda: models.penalised(0.005, 1.0, 50))
+    coefs = validate.replicate_coefficients(fit_rows(t), FEATURES, "entity_id", 5, 30, lambda: models.penalised(0.005, 1.0, 50))
     return resample.coefficient_stability(coefs)
 
 
-@query("optimism_correction", "R20", "metric:s replicates:l")
+@query("optimism_correction", "R20", "metric:s optimism:f4 replicates:l")
 def _(t):
-    return validate.optimism(fit_rows(t), logistic_score, "entity_id", 5, 2)
+    return validate.optimism(fit_rows(t), logistic_score, "entity_id", 5, 5)
 
 
-@query("leave_one_cluster_out", "R21 R22", "segment:s n:l events:l")
+@query("leave_one_cluster_out", "R21 R22", "segment:s n:l events:l auroc:f4 auroc_logit_se:f4 slope:f4 citl:f4 oe_ratio:f4 log_oe_se:f4")
 def _(t):
     return validate.leave_one_cluster_out(fit_rows(t), "segment", "entity_id", logistic_score)
 
@@ -224,12 +253,12 @@ def _(t):
     return validate.heterogeneity(scored(t), "priority")
 
 
-@query("learning_curve", "R25", "fraction:f rows:l")
+@query("learning_curve", "R25", "fraction:f rows:l auroc:f4")
 def _(t):
     rows = fit_rows(t)
     return validate.learning_curve(rows.where("split = 'train'"), rows.where("split = 'validation'"), "entity_id", [0.5, 1.0], 3, logistic_score)
 
 
-@query("smoothed_calibration", "M09", "point:l")
+@query("smoothed_calibration", "M09", "point:l predicted:f4 observed:f4 ci_low:f4 ci_high:f4")
 def _(t):
     return smooth_calibration(scored(t), n_grid=20)
