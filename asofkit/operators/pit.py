@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions import dates
+from asofkit.operators.contracts import require_clean
 
 ROW = ["entity_id", "index_date"]
 
@@ -106,6 +107,51 @@ class DerivationRules:
     outcome: OutcomeRules = field(default_factory=OutcomeRules)
 
 
+# ------------------------------------------------------------------ input checks
+def overlapping_intervals(intervals: DataFrame, order: Sequence[str] = ("start_date", "end_date")) -> DataFrame:
+    """Intervals with ``overlaps``: the one before, in order, is open or ends on or after this one's start."""
+    w = Window.partitionBy("entity_id").orderBy(*order)
+    prev = F.lag("end_date").over(w)
+    return intervals.withColumn("overlaps", (F.row_number().over(w) > 1) & (prev.isNull() | (F.col("start_date") <= prev)))
+
+
+PERSON_FACTS = ("birth_date", "sex", "death_date")
+
+
+def input_problems(tables: Mapping[str, DataFrame], index: DataFrame) -> DataFrame:
+    """(check_name, n) of everything that a derivation refuses: one row per check, 0 where all is well.
+
+    Index: NULL keys, repeated rows. Persons: NULL keys or starts, ends before starts, overlapping intervals, persons whose
+    facts vary between their intervals. Event tables: NULL keys or dates, records that are available before they were made.
+    """
+    persons = tables["persons"]
+    rows = index.groupBy("entity_id", "index_date").agg(F.count(F.lit(1)).alias("_n"))
+    facts = persons.groupBy("entity_id").agg(*[F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in PERSON_FACTS])
+    parts = [
+        rows.agg(F.coalesce(F.sum(F.when(F.col("entity_id").isNull() | F.col("index_date").isNull(), F.col("_n"))), F.lit(0)).alias("index_null_key"),
+                 F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("index_repeated")),
+        overlapping_intervals(persons).agg(
+            F.count_if(F.col("entity_id").isNull() | F.col("start_date").isNull()).alias("persons_null_key"),
+            F.count_if(F.col("end_date") < F.col("start_date")).alias("persons_end_before_start"), F.count_if("overlaps").alias("persons_overlapping")),
+        facts.agg(*[F.count_if(F.col(f) > 1).alias(f"persons_varying_{f}") for f in PERSON_FACTS]),
+    ]
+    for name, t in tables.items():
+        if name != "persons":
+            date = "record_date" if "record_date" in t.columns else "event_date"
+            checks = [F.count_if(F.col("entity_id").isNull() | F.col(date).isNull()).alias(f"{name}_null_key")]
+            if "available_date" in t.columns:
+                checks.append(F.count_if(F.col("available_date") < F.col(date)).alias(f"{name}_available_before_record"))
+            parts.append(t.agg(*checks))
+    each = lambda p: p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).cast("long").alias("n")) for c in p.columns])).alias("e")).select("e.*")
+    return reduce(DataFrame.unionByName, [each(p) for p in parts])
+
+
+def derive_checked(tables: Mapping[str, DataFrame], index: DataFrame, code_rules: DataFrame, code_lengths: Sequence[int], rules: DerivationRules) -> DataFrame:
+    """``derive`` that stops with the full list of input problems first."""
+    require_clean(input_problems(tables, index))
+    return derive(tables, index, code_rules, code_lengths, rules)
+
+
 # ------------------------------------------------------------------ rows
 def as_of_membership(index: DataFrame, persons: DataFrame) -> DataFrame:
     """LEFT join of index rows to intervals; the covering interval wins, else the earliest one with ``covers`` false.
@@ -119,7 +165,8 @@ def as_of_membership(index: DataFrame, persons: DataFrame) -> DataFrame:
         .withColumn("_covers", F.coalesce(covers, F.lit(False)))
         .groupBy(*ROW)
         .agg(F.max_by(F.struct("_known", "_covers", *attrs),
-                      F.struct(F.col("_covers"), -F.coalesce(F.unix_date("start_date"), F.lit(0)))).alias("m"))
+                      F.struct(F.col("_covers"), F.col("start_date").isNotNull(), -F.unix_date("start_date"), -F.coalesce(F.unix_date("end_date"), F.lit(2**30)),
+                               F.xxhash64(*attrs))).alias("m"))
         .select(*ROW, F.col("m._known").isNotNull().alias("has_person"), F.col("m._covers").alias("covers"),
                 *[F.col(f"m.{a}").alias(a) for a in attrs])
     )

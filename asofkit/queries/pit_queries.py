@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.operators import pit
@@ -161,14 +161,22 @@ def _(t):
     d = F.col("o_orderdate").cast("date")
     m = (t.orders.groupBy(F.col("o_custkey").alias("entity_id"), "o_orderstatus").agg(F.min(d).alias("start_date"), F.max(d).alias("m"))
          .withColumn("end_date", F.when(F.col("m") < F.lit("2001-06-01").cast("date"), F.col("m"))))
-    return (overlapping_intervals(m, ["start_date", "o_orderstatus"]).groupBy("entity_id")
+    return (pit.overlapping_intervals(m, ["start_date", "o_orderstatus"]).groupBy("entity_id")
             .agg(F.count(F.lit(1)).alias("intervals"), F.count_if("overlaps").alias("overlap_count")))
 
 
-def overlapping_intervals(m: DataFrame, order: list[str]) -> DataFrame:
-    w = Window.partitionBy("entity_id").orderBy(*order)
-    prev = F.lag("end_date").over(w)
-    return m.withColumn("overlaps", (F.row_number().over(w) > 1) & (prev.isNull() | (F.col("start_date") <= prev)))
+CHECK_SQL = """SELECT 'index_null_key' AS check_name, count_if(entity_id IS NULL OR index_date IS NULL) AS n FROM idx UNION ALL SELECT 'index_repeated', count(*) - (SELECT count(*) FROM (SELECT DISTINCT entity_id, index_date FROM idx)) FROM idx
+ UNION ALL SELECT 'persons_null_key', count_if(entity_id IS NULL OR start_date IS NULL) FROM persons UNION ALL SELECT 'persons_end_before_start', count_if(end_date < start_date) FROM persons
+ UNION ALL SELECT 'persons_overlapping', count_if(k > 1 AND (pe IS NULL OR start_date <= pe)) FROM (SELECT start_date, row_number() OVER w AS k, lag(end_date) OVER w AS pe FROM persons WINDOW w AS (PARTITION BY entity_id ORDER BY start_date, end_date NULLS FIRST))"""
+CHECK_SQL += "".join(f" UNION ALL SELECT 'persons_varying_{f}', count_if(n > 1) FROM (SELECT entity_id, count(DISTINCT coalesce(CAST({f} AS VARCHAR), '')) AS n FROM persons GROUP BY 1)" for f in pit.PERSON_FACTS)
+for _name, _date, _available in (("prescriptions", "record_date", True), ("conditions", "record_date", True), ("measurements", "record_date", True), ("lifestyle", "record_date", True), ("encounters", "event_date", False)):
+    CHECK_SQL += f" UNION ALL SELECT '{_name}_null_key', count_if(entity_id IS NULL OR {_date} IS NULL) FROM {_name}"
+    CHECK_SQL += f" UNION ALL SELECT '{_name}_available_before_record', coalesce(count_if(available_date < {_date}), 0) FROM {_name}" if _available else ""
+
+
+@query("derivation_input_problems", "A59", "check_name:s n:l", roles_sql(CHECK_SQL))
+def _(t):
+    return pit.input_problems(roles.event_tables(t), roles.index_table(t))
 
 
 DERIVED = ("entity_id:l index_date:d max_record_date:d outcome:l first_event_date:d age:f sex:s site:s item_count:l body_index:f "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import scalars
 from asofkit.operators import pit
+from asofkit.operators.contracts import ContractError
 
 D = dt.date
 IDX = D(2020, 3, 1)
@@ -181,3 +182,14 @@ def test_outcome_statuses_in_order(spark):
 
 def test_missing_status_stays_null(spark):
     assert [r.v for r in spark.createDataFrame([(None,), (2,)], "r int").select(pit.level_name(F.col("r"), pit.SMOKING_LEVELS).alias("v")).collect()] == [None, "current"]
+
+
+def test_input_problems_stop_the_derivation(spark):
+    d = lambda s: f"DATE'{s}'"
+    index = spark.sql(f"SELECT * FROM VALUES (1L, {d('2020-01-01')}), (1L, {d('2020-01-01')}), (CAST(NULL AS LONG), {d('2020-01-01')}) AS t(entity_id, index_date)")
+    persons = spark.sql(f"SELECT * FROM VALUES (1L, {d('1940-01-01')}, 'male', '1', CAST(NULL AS DATE), {d('2010-01-01')}, {d('2015-01-01')}), (1L, {d('1941-01-01')}, 'male', '1', NULL, {d('2014-01-01')}, {d('2013-01-01')}) AS t(entity_id, birth_date, sex, site, death_date, start_date, end_date)")
+    events = spark.sql(f"SELECT 1L AS entity_id, {d('2019-01-02')} AS record_date, {d('2019-01-01')} AS available_date")
+    found = {r.check_name: r.n for r in pit.input_problems({"persons": persons, "conditions": events}, index).collect()}
+    assert {k for k, n in found.items() if n} == {"index_null_key", "index_repeated", "persons_overlapping", "persons_end_before_start", "persons_varying_birth_date", "conditions_available_before_record"}
+    with pytest.raises(ContractError, match="index_repeated: 1.*persons_overlapping: 1"):
+        pit.derive_checked({"persons": persons, "conditions": events}, index, None, (), None)
