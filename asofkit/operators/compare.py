@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions import stats
 
 
 def same_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
@@ -48,10 +47,6 @@ def differing_columns(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Seq
     return t.agg(F.array(*items).alias("x")).select(F.explode("x").alias("e")).select("e.*")
 
 
-def aligned_outcomes(scores: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
-    """Frozen scores joined to outcomes read later; a check row tells whether every score found its outcome."""
-    return scores.join(outcomes, key)
-
 
 def alignment_check(scores: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
     a = scores.select(key, F.lit(True).alias("_a"))
@@ -157,10 +152,3 @@ def select_model(models: DataFrame, *, reference: str, min_ap_gain: float, max_l
 def trial_gain(increments: DataFrame, *, min_gain: float) -> DataFrame:
     """Plateau: the gain from one learning-curve fraction to the next is below ``min_gain`` or its interval includes 0."""
     return increments.withColumn("plateau", (F.col("gain") < min_gain) | (F.col("gain_low") <= 0))
-
-
-def rate_comparison(df: DataFrame, group: str, a, b, y: str) -> DataFrame:
-    """Difference of event rates of two groups."""
-    t = df.agg(*[F.count_if(F.col(group) == g).alias(f"n_{s}") for s, g in (("a", a), ("b", b))],
-               *[F.sum(F.when(F.col(group) == g, F.col(y)).otherwise(0)).alias(f"e_{s}") for s, g in (("a", a), ("b", b))])
-    return t.select("*", *stats.columns(stats.two_proportions(F.col("e_a"), F.col("n_a"), F.col("e_b"), F.col("n_b"))))

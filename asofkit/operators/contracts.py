@@ -149,11 +149,6 @@ def resolve_sentinels(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 # ------------------------------------------------------------------ validation
-def column_set(df: DataFrame, declared: Sequence[str]) -> tuple[list[str], list[str]]:
-    """(declared columns that are absent, columns that are not declared)."""
-    return sorted(set(declared) - set(df.columns)), sorted(set(df.columns) - set(declared))
-
-
 def validate_contract(df: DataFrame, contract: Contract, strict: Sequence[str] = ()) -> DataFrame:
     """NOT NULL, allowed lists, far dates and constants: one row per check with a level (problem in strict columns, else warning)."""
     parts: list[tuple[str, str, Column]] = []

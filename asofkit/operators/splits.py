@@ -65,12 +65,6 @@ def group_holdout(df: DataFrame, group: str, validation: Sequence, test: Sequenc
     return df.withColumn("split", F.when(F.col(group).isin(*test), "test").when(F.col(group).isin(*validation), "validation").otherwise("train"))
 
 
-def unknown_groups(df: DataFrame, group: str, listed: Sequence) -> DataFrame:
-    """Listed groups that have no row, and rows without a group; both must be empty."""
-    names = df.sparkSession.createDataFrame([(g,) for g in listed], df.select(group).schema)
-    return names.join(df.select(group).distinct(), group, "left_anti")
-
-
 def grouped_random_split(df: DataFrame, entity: str, validation: float, test: float, seed: int, *, y: str | None = "y") -> DataFrame:
     """Entities in hash order within outcome strata (entity maximum); the first parts are test and validation, sizes half up."""
     per = df.groupBy(entity).agg((F.max(y) if y else F.lit(0)).alias("_stratum")).withColumn("_u", hashing.hash_uniform(F.lit(str(seed)), F.col(entity)))

@@ -41,16 +41,6 @@ def extend_cohort(reference: DataFrame, excluded: DataFrame, entity: str, *, sal
     return reference.withColumn("origin", F.lit("reference")).unionByName(kept.withColumn("origin", F.lit("extension")), allowMissingColumns=True)
 
 
-def extension_counts(reference: DataFrame, excluded: DataFrame, extended: DataFrame, entity: str) -> DataFrame:
-    """Reconciliation: reference, excluded and extended rows, and entities that appear in both origins (0)."""
-    both = extended.groupBy(entity).agg(F.count_distinct("origin").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("entities_in_both"))
-    parts = [reference.agg(F.count(F.lit(1)).alias("n")).select(F.lit("reference").alias("what"), "n"), excluded.agg(F.count(F.lit(1)).alias("n")).select(F.lit("excluded").alias("what"), "n"),
-             extended.agg(F.count(F.lit(1)).alias("n")).select(F.lit("extended").alias("what"), "n"), both.select(F.lit("entities in both").alias("what"), F.col("entities_in_both").alias("n"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
 
 def blind_score(features: DataFrame, *, intercept: float, coefs: Mapping[str, float], entity: str, salt: str, cutoffs: DataFrame, earlier: DataFrame) -> DataFrame:
     """Scores of a new extract without its outcomes: hashed row key, risk, flag per frozen cut-off, seen-before flag."""

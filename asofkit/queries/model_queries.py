@@ -107,6 +107,7 @@ def by_split(rows: DataFrame) -> DataFrame:
 
 
 def _tree_scores(t: Tables, est, train: DataFrame, rows: DataFrame, keep=("y",)) -> DataFrame:
+    models.refuse_held_back(train, rows.where("split = 'test'"), ["row"])
     model = models.fit_trees(est, train, FEATURES, keep)
     filled = models.fill_for_trees(rows, FEATURES)
     return by_split(models.score(model, filled, models.tree_columns(FEATURES), ["y", "split"]))
