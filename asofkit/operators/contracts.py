@@ -269,6 +269,7 @@ def run_rules(df: DataFrame, rules: Sequence[Rule], min_cell: int = 1) -> DataFr
                     F.when(F.col("status") == "FINDING", order).otherwise(9).alias("severity_order")))
 
 
+# Fixed values of the rules: their ids, categories, severities and titles
 def contract_rules(contract: Contract, index: str) -> list[Rule]:
     """Rules that follow from the declarations alone: far and early dates, negative counts, lists, NOT NULL, sentinels."""
     out = []

@@ -297,17 +297,22 @@ def numeric_by_outcome(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
 
 
 def categorical_by_outcome(df: DataFrame, cols: Sequence[str], y: str, *, min_cell: int, max_levels: int = 25) -> DataFrame:
-    """Per level: rate with Wilson interval and ratio to the most frequent level; sparse and separated levels are flagged."""
+    """Per level: rate with Wilson interval and ratio to the most frequent level; sparse and separated levels are flagged.
+
+    The ``max_levels`` most frequent levels are listed; ``rows_left_out`` and ``levels_left_out`` say what a column has beyond them.
+    """
     counts = (unpivot(df, cols, [y], "string").groupBy("column_name", F.coalesce("value", F.lit("NULL")).alias("level"))
               .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events")))
-    ref = counts.groupBy("column_name").agg(F.max_by(F.struct("level", "n", "events"), F.struct("n", "level")).alias("ref"), F.sum("n").alias("rows"))
+    ref = counts.groupBy("column_name").agg(F.max_by(F.struct("level", "n", "events"), F.struct("n", "level")).alias("ref"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("levels"))
     t = counts.join(ref, "column_name")
     n, e = F.col("n"), F.col("events")
     pr = stats.prevalence_ratio(e, n, F.col("ref.events"), F.col("ref.n"))
     top = top_levels(t, max_levels)
     sep = F.when((e == 0) & (n >= min_cell), "no events").when((e == n) & (n >= min_cell), "only events").otherwise("")
+    listed = Window.partitionBy("column_name")  # max_levels rows
     return top.select("column_name", "level", (F.col("level") == F.col("ref.level")).alias("is_reference"), "n", "events", *stats.columns(stats.wilson(e, n)),
-                      *stats.columns(pr), ((n < min_cell) | (n / F.col("rows") < 0.005)).alias("sparse"), sep.alias("separation"))
+                      *stats.columns(pr), ((n < min_cell) | (n / F.col("rows") < 0.005)).alias("sparse"), sep.alias("separation"),
+                      (F.col("rows") - F.sum("n").over(listed)).alias("rows_left_out"), (F.col("levels") - F.count(F.lit(1)).over(listed)).alias("levels_left_out"))
 
 
 def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -61,6 +61,7 @@ def temporal_audit(df: DataFrame, date_cols: Mapping[str, str], index: str, *, e
     q = quantiles(cells, "off", [0.01, 0.05, 0.5, 0.95, 0.99], ["column_name"], weight="c").select(
         "column_name", *[F.col(f"q{i}").alias(n) for i, n in enumerate(("p01", "p05", "p50", "p95", "p99"))])
     timing = F.element_at(F.create_map(*[F.lit(x) for kv in date_cols.items() for x in kv]), F.col("column_name"))
+    # The names of the risk classes
     risk = (F.when(timing == "post_index", "POST_INDEX_BY_DESIGN").when(timing == "unknown", "TIMING_UNKNOWN").when(timing == "technical", "TECHNICAL_DATE")
             .when(F.col("eligible_on_or_after") > 0, "PROVEN_INDEX_DAY_OR_FUTURE_RECORDS").otherwise("CLEAN_IN_THIS_EXTRACT"))
     return s.join(q, "column_name", "left").withColumn("timing", timing).withColumn("risk", risk)

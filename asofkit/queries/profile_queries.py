@@ -217,12 +217,13 @@ def _(t):
     return profile.numeric_by_outcome(wide(t).where("y IS NOT NULL"), NUM2, "y")
 
 
-@query("categorical_by_outcome", "A29", "column_name:s level:s is_reference:b n:l events:l rate:f ci_low:f ci_high:f ratio:f ratio_low:f ratio_high:f sparse:b separation:s", with_wide(f"""{LAB}, lg AS ({long_sql('lab', ['segment', 'n_urgent', 'split'], 'y', 'VARCHAR')}),
+@query("categorical_by_outcome", "A29", "column_name:s level:s is_reference:b n:l events:l rate:f ci_low:f ci_high:f ratio:f ratio_low:f ratio_high:f sparse:b separation:s rows_left_out:l levels_left_out:l", with_wide(f"""{LAB}, lg AS ({long_sql('lab', ['segment', 'n_urgent', 'split'], 'y', 'VARCHAR')}),
 c AS (SELECT column_name, coalesce(value, 'NULL') AS level, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS events FROM lg GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, level) AS place, sum(n) OVER (PARTITION BY column_name) AS rows FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, level) AS place, sum(n) OVER (PARTITION BY column_name) AS rows, count(*) OVER (PARTITION BY column_name) AS levels FROM c),
 f AS (SELECT column_name, level AS ref, n AS rn, events AS re FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, level DESC) AS k FROM c) WHERE k = 1)
 SELECT r.column_name, level, level = ref AS is_reference, n, events, {WILSON.format(k='events', n='n')}, {pr_sql('events', 'n', 're', 'rn')}, n < 20 OR n / rows < 0.005 AS sparse,
- CASE WHEN events = 0 AND n >= 20 THEN 'no events' WHEN events = n AND n >= 20 THEN 'only events' ELSE '' END AS separation FROM r JOIN f USING (column_name) WHERE place <= 25"""))
+ CASE WHEN events = 0 AND n >= 20 THEN 'no events' WHEN events = n AND n >= 20 THEN 'only events' ELSE '' END AS separation,
+ rows - sum(n) OVER (PARTITION BY r.column_name) AS rows_left_out, levels - count(*) OVER (PARTITION BY r.column_name) AS levels_left_out FROM r JOIN f USING (column_name) WHERE place <= 25"""))
 def _(t):
     return profile.categorical_by_outcome(wide(t).where("y IS NOT NULL"), ["segment", "n_urgent", "split"], "y", min_cell=20)
 
