@@ -2,23 +2,18 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))  # the repository's top
 
+from asofkit.session import local_session  # noqa: E402
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
+    s = local_session("asofkit-tests", cpus=4, shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return s
@@ -26,12 +21,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def docs_of(spark):
-    """A documents table of (doc_id, text) pairs, with a column whose name clashes with results."""
+    """A documents table of (doc_id, text) pairs, with columns whose names clash with results."""
 
     def make(pairs):
         rows = [(k, t, "en", "s", len(t) if t is not None else None) for k, t in pairs]
-        from pyspark.sql import functions as F
-
         return spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit("x")).withColumn("n_tokens", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("spans", F.lit("y"))
 
     return make

@@ -216,11 +216,10 @@ def test_sharding(spark, docs_of, edge_docs):
     for s in range(8):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
-    text = dict.fromkeys(map(str, range(0)))
     for r in rows:
         assert r.grown_shard in (r.shard, 8) and r.law == "key"
     by = Counter((r.doc_id, r["size"], r.text_crc32) for r in rows)
-    assert by == Counter((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in cases) and not text
+    assert by == Counter((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in cases)
     assert len({r.shard for r in rows if r.doc_id == 7}) == 1
     assert sharding.assign_shards(edge_docs.limit(0)).collect() == []
 
@@ -245,5 +244,3 @@ def test_classifier_learns_and_holds_out(spark, docs_of, edge_docs):
     assert quality_classifier.score_texts(edge_docs, model).count() == 9
     none = quality_classifier.train(docs, lab.limit(0))
     assert {x.score for x in quality_classifier.score_texts(docs, none).collect()} == {0.5}
-    flipped = lab.withColumn("quality", (lab.doc_id % 3 == 1).cast("int") * 0 + lab.quality)
-    assert np.array_equal(quality_classifier.train(docs, flipped).weights, model.weights)
