@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from asofkit.functions import stats, suppress
 from asofkit.operators.evaluate import auroc_of_runs
 from asofkit.operators.ordering import prefix_sums, quantiles
+from asofkit.session import cut_lineage
 
 
 # ------------------------------------------------------------------ long form
@@ -87,14 +88,19 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, cols: Sequence[str], bases: Mapping[str, Column]) -> DataFrame:
     """Moments, quantiles, 3-IQR outliers, bias-corrected skewness and excess kurtosis per column and basis."""
     keys = ["basis", "column_name"]
-    long = unpivot(with_bases(df, bases), cols, ["basis"])
-    v = F.col("value")
-    moments = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("sd"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"),
-        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"))
-    # Counted values serve the quantiles and the tail counts, so the rows are read once more at most.
-    cells = long.where(v.isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    v, c = F.col("value"), F.col("_c")
+    # The rows are read once; everything follows from counted values.
+    cells = cut_lineage(unpivot(with_bases(df, bases), cols, ["basis"]).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c")))
+    basic = cells.groupBy(*keys).agg(
+        F.sum(c).alias("rows"), F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * c) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
+        F.sum(F.when(v == 0, c).otherwise(0)).alias("zeros"), F.sum(F.when(v < 0, c).otherwise(0)).alias("negatives"))
+    off = v - F.col("mean")
+    spread = cells.join(basic.select(*keys, "mean"), keys).groupBy(*keys).agg(*[F.sum(c * F.pow(off, k)).alias(f"_m{k}") for k in (2, 3, 4)])
+    size = F.col("n").cast("double")
+    shape = F.when(F.col("_m2") > 0, size)
+    moments = (basic.join(spread, keys).withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (size - 1))))
+               .withColumn("_g1", F.sqrt(shape) * F.col("_m3") / F.pow("_m2", F.lit(1.5))).withColumn("_g2", shape * F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3))
+    cells = cells.where(v.isNotNull())
     q = quantiles(cells, "value", [0.01, 0.25, 0.5, 0.75, 0.99], keys, weight="_c").select(
         *keys, *[F.col(f"q{i}").alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))])
     iqr = F.col("p75") - F.col("p25")
