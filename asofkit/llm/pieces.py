@@ -101,7 +101,7 @@ class PieceCoder:
         self.raw = [p.replace(MARK, " ").encode() if u else b"" for p, u in zip(source.pieces, source.usable, strict=True)]
         for b, i in enumerate(source.byte_ids):
             self.raw[i] = bytes([b])
-        self.by_run = Memo(lambda run: tuple(self.best_path(MARK + run)), 500_000)
+        self.by_run = Memo(lambda run: tuple(self.best_path(MARK + run)), 300_000)
 
     def best_path(self, text: str) -> list[int]:
         """Viterbi over all segmentations; on equal sums the longest first piece of those found first stays."""
