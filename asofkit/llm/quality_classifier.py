@@ -5,8 +5,9 @@ indicator is scaled by its class log-count ratio; a linear hinge-loss model on t
 scaled indicators is fitted by dual coordinate descent and mixed with its mean weight.
 A logistic curve through cross-fitted margins turns margins into scores.
 
-The fit uses a bounded sample of labelled rows, ``sample`` (default 10,000), those
-with the smallest hashes of their ids; beyond that the parameter has to be raised.
+The fit uses a bounded sample of labelled keys, ``sample`` (default 10,000), those
+with the smallest hashes; beyond that the parameter has to be raised. Of a key with
+several rows, the text with the smallest hash is used, so ``sample`` bounds the rows.
 Scoring reads all rows. Rows whose key's checksum modulo 3 is 1 are held out of the
 fit. Conflicting labels of a key are averaged, a tie counting as good; null labels are
 left out. Without labels of both classes the score is the share of good labels (0.5
@@ -154,13 +155,14 @@ def held_out(key) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fits on at most ``sample`` labelled rows that are not held out."""
+    """Fits on at most ``sample`` labelled keys that are not held out, one row of each."""
     known = labels.select(F.col(key), F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     marked = known.groupBy(key).agg((F.avg("label") >= 0.5).cast("int").alias("good"))
     chosen = checkpointed(marked.orderBy(F.xxhash64(key), key).limit(sample))  # at most `sample` pairs of numbers, so it may be broadcast
     texts = docs.select(key, F.col(text).cast("binary").alias("body")).join(F.broadcast(chosen), key)
-    rows = map_rows(texts.select(key, "good", "body"), lambda k, g, t: [(k, g, indicators(t).tobytes())], f"{key} {docs.schema[key].dataType.simpleString()}, good int, features binary")
-    got = sorted(((r[key], r["good"], bytes(r["features"])) for r in rows.toLocalIterator()))[:sample]
+    one = texts.groupBy(key).agg(F.min("good").alias("good"), F.min_by("body", F.xxhash64("body")).alias("body"))  # aggregated before the shuffle, so a key may hold any share of rows
+    rows = map_rows(one.select(key, "good", "body"), lambda k, g, t: [(k, g, indicators(t).tobytes())], f"{key} {docs.schema[key].dataType.simpleString()}, good int, features binary")
+    got = sorted((r[key], r["good"], bytes(r["features"])) for r in rows.toLocalIterator())
     return fit_model([np.frombuffer(x, np.int32) for _, _, x in got], [g for _, g, _ in got])
 
 

@@ -244,3 +244,13 @@ def test_classifier_learns_and_holds_out(spark, docs_of, edge_docs):
     assert quality_classifier.score_texts(edge_docs, model).count() == 9
     none = quality_classifier.train(docs, lab.limit(0))
     assert {x.score for x in quality_classifier.score_texts(docs, none).collect()} == {0.5}
+
+
+def test_classifier_fits_one_row_of_each_key(spark, docs_of, monkeypatch):
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    cases = [(free[0], f"same key {j}") for j in range(300)] + [(i, f"text of {i}" + " ##" * (i % 2)) for i in free[1:]]
+    labels = spark.createDataFrame([(i, i % 2) for i in free], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality_classifier, "fit_model", lambda rows, good: fitted.append((len(rows), list(good))))
+    quality_classifier.train(docs_of(cases), labels, sample=len(free))
+    assert fitted == [(len(free), [i % 2 for i in free])]  # not 40 copies of one key's label
