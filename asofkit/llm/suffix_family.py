@@ -14,8 +14,9 @@ ordered by the hash of their first 100 bytes, then by the hash of their block.
 * In a bucket every new array is merge-scanned against the levels there are: equal
   blocks are long matches, found at once; equal beginnings with different blocks are
   left open. Then it becomes a level, and levels of equal size class merge.
-* Open blocks are compared string by string. Their bytes are fetched from the texts of
-  only those documents that have any, one copy of each distinct block.
+* Open blocks are compared string by string, dealt by the hash of each string. Their
+  bytes are fetched from the texts of only those documents that have any, one copy of
+  each distinct block.
 
 Hashes have 64 bits; two blocks count as equal if both of their hashes agree. Null
 texts count as empty; texts under 200 bytes keep all bytes. Equal rows are documents of
@@ -41,7 +42,7 @@ CHUNK = 1 << 18  # strings of one text sampled at a time
 HELD = 300_000  # suffixes of one batch
 BUCKET_BYTES = 16 << 20
 VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-COMPARED = 2 << 20  # bytes of open blocks compared at a time, unless one beginning has more
+COMPARED = 400_000  # bytes of open blocks hashed at a time
 PLACE = np.uint64((1 << 20) - 1)
 
 SUFFIX = np.dtype([("key", "<u8"), ("block", "<u8"), ("row", "<i8"), ("first", "<i4"), ("more", "<i2"), ("found", "?"), ("open", "?")])
@@ -179,45 +180,102 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), pa.array(np.full(len(p), resolved))], names=["row", "first", "last", "key", "block", "resolved"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of open blocks that another block of the same beginning has too."""
-    held: list[tuple] = []
-    size, last = 0, None
+STRING = np.dtype([("value", "<u8"), ("row", "<i8"), ("place", "<i4")])  # place -1: its rows are marked already
+RANGE = np.dtype([("row", "<i8"), ("first", "<i4"), ("last", "<i4")])
+
+
+def packed_strings(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of open blocks (key, row, first, strings, bytes): one of each distinct string, and runs of those that occur twice here.
+
+    However many blocks share a string, one of it is left to be compared with other chunks of blocks.
+    """
+    keys, rows, firsts, counts, bodies = zip(*blocks, strict=True)
+    counts = np.array(counts)
+    sizes = counts + SPAN - 1
+    starts = np.cumsum(sizes) - sizes
+    a = np.frombuffer(b"".join(bodies), np.uint8)
+    c = running(a)
+    own = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    s = starts[own] + at
+    value = mixed(mixed((c[s + SPAN] - c[s]) * powers(len(a) + 1)[1][s]) ^ np.array(keys, np.int64).view(np.uint64)[own])
+    row, place = np.array(rows, np.int64)[own], (np.array(firsts, np.int64)[own] + at).astype(np.int32)
+    turn = np.argsort(value)
+    inorder = value[turn]
+    same = inorder[1:] == inorder[:-1]
+    twice = np.zeros(len(value), bool)
+    twice[turn[1:][same]] = twice[turn[:-1][same]] = True
+    e = np.empty(len(value), STRING)
+    e["value"], e["row"], e["place"] = value, row, np.where(twice, -1, place)
+    return e[np.sort(turn[np.r_[True, ~same]])], joined(row[twice], place[twice], place[twice])
+
+
+def joined(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ranges with neighbouring ranges of one row put together; they come in order."""
+    if not len(row):
+        return np.zeros(0, RANGE)
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)])
+    e = np.empty(len(starts), RANGE)
+    e["row"], e["first"], e["last"] = row[starts], first[starts], last[np.r_[starts[1:] - 1, len(row) - 1]]
+    return e
+
+
+def _strings(buckets: int):
+    """Per chunk of open blocks: its strings by bucket of their hash, packed, and one row of ranges."""
 
-    def compare() -> pa.RecordBatch:
-        keys, rows, firsts, counts, bodies = zip(*held, strict=True)
-        counts = np.array(counts)
-        sizes = counts + SPAN - 1
-        starts = np.cumsum(sizes) - sizes
-        a = np.frombuffer(b"".join(bodies), np.uint8)
-        c = running(a)
-        own = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-        s = starts[own] + at
-        value = mixed(mixed((c[s + SPAN] - c[s]) * powers(len(a) + 1)[1][s]) ^ np.array(keys, np.int64).view(np.uint64)[own])
-        turn = np.argsort(value)
-        inorder = value[turn]
-        same = inorder[1:] == inorder[:-1]
-        twice = np.zeros(len(value), bool)
-        twice[turn[1:][same]] = twice[turn[:-1][same]] = True
-        hit = np.flatnonzero(twice)
-        breaks = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)]) if len(hit) else hit
-        a0, a1 = hit[breaks], hit[np.r_[breaks[1:] - 1, len(hit) - 1]] if len(hit) else hit
-        row, first = np.array(rows, np.int64), np.array(firsts, np.int64)
-        arrays = (row[own[a0]], (first[own[a0]] + at[a0]).astype(np.int32), (first[own[a1]] + at[a1]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["row", "first", "last"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def pack() -> pa.RecordBatch:
+            every, ranges = packed_strings(held)
+            where = (every["value"] >> np.uint64(24)) % np.uint64(buckets)
+            turn = np.argsort(where, kind="stable")
+            every, where = every[turn], where[turn]
+            starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            numbers, parts = where[starts].astype(np.int32), [x.tobytes() for x in np.split(every, starts[1:])]
+            arrays = (np.r_[numbers, numbers[:1]], [*parts, ranges.tobytes()], [*[False] * len(parts), True])
+            return pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1], pa.binary()), pa.array(arrays[2])], names=["bucket", "packed", "ranges"])
+
+        for batch in batches:
+            for block in zip(*batch.columns, strict=True):
+                held.append(tuple(x.as_py() for x in block))
+                size += len(held[-1][-1])
+                if size > COMPARED:
+                    yield pack()
+                    held, size = [], 0
+        if held:
+            yield pack()
+
+    return run
 
+
+def _range_batches(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(e), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[at : at + 50_000][x])) for x in RANGE.names], names=list(RANGE.names))
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings that came from several chunks, and the ranges that came along."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for bucket, packed, ranges in zip(*batch.columns, strict=True):
+            if ranges.as_py():
+                yield from _range_batches(np.frombuffer(packed.as_buffer(), RANGE))
+            else:
+                held.setdefault(bucket.as_py(), []).append(np.frombuffer(packed.as_buffer(), STRING).copy())
+    for bucket in list(held):
+        e = np.concatenate(held.pop(bucket))
+        e = e[np.argsort(e["value"], kind="stable")]
+        same = e["value"][1:] == e["value"][:-1]
+        hit = e[(np.r_[False, same] | np.r_[same, False]) & (e["place"] >= 0)]
+        hit = hit[np.lexsort((hit["place"], hit["row"]))]
+        yield from _range_batches(joined(hit["row"], hit["place"], hit["place"]))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for value in zip(*batch.columns, strict=True):
-            key, row, first, count, body = (x.as_py() for x in value)
-            if size > COMPARED and key != last:
-                yield compare()
-                held, size = [], 0
-            last = key
-            held.append((key, row, first, count, body))
-            size += len(body)
-    if held:
-        yield compare()
+        yield from _range_batches(joined(*(batch.column(i).to_numpy() for i in range(3))))
 
 
 def repeated_ranges(source: DataFrame) -> DataFrame:
@@ -237,7 +295,10 @@ def repeated_ranges(source: DataFrame) -> DataFrame:
             yield b["key"], row, b["first"], b["last"] - b["first"] + 1, body[b["first"] : b["last"] + SPAN]
 
     contexts = map_rows(near.join(by_row, "row").select("row", "body", "blocks"), fetch, "key long, row long, first int, strings int, bytes binary")
-    compared = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "row long, first int, last int")
+    n_strings = undecided.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_strings * STRING.itemsize / BUCKET_BYTES) + 1)
+    strings = contexts.mapInArrow(_strings(4 * parts), "bucket int, packed binary, ranges boolean").repartition(parts, "bucket")
+    compared = strings.mapInArrow(_matched, "row long, first int, last int").repartition("row").sortWithinPartitions("row", "first").mapInArrow(_joined, "row long, first int, last int")
     return checkpointed(marked.where("resolved").select("row", "first", "last").union(compared))
 
 

@@ -86,3 +86,23 @@ def test_edges(spark, edge_docs):
     assert got[5, 300_000].n_removed == 300_000 and got[5, 300_000].n_spans == 1 and got[6, 300_000].n_removed == 300_000
     assert got[1, 0].n_removed == 0 and got[1, 0].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert sf.remove_repeats(edge_docs.limit(0)).collect() == []
+
+
+def test_hot_beginning_is_not_dealt_by_its_key(spark, docs_of, monkeypatch):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    footer = word(330)
+    cases = [word(r.randrange(20, 300)) + footer[r.randrange(20) :] + word(r.randrange(20, 300)) for _ in range(150)] + [word(400) for _ in range(30)]
+    plans = []
+    kept = sf.checkpointed
+    monkeypatch.setattr(sf, "checkpointed", lambda df: (plans.append(df._jdf.queryExecution().toString()), kept(df))[1])
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in sf.remove_repeats(docs_of(list(enumerate(cases)))).collect()}
+    assert got == dict(enumerate(brute(cases)))
+    assert plans and not any("hashpartitioning(key#" in p for p in plans)
+
+
+def test_chunk_leaves_one_of_a_string_that_many_blocks_share():
+    shared = bytes(range(7, 7 + sf.SPAN))
+    strings, ranges = sf.packed_strings([(5, row, 10, 2, bytes([row]) + shared) for row in range(150)])
+    assert sorted(strings["place"].tolist()) == [-1] + [10] * 150  # each block's own string, and the shared one once
+    assert [tuple(x) for x in ranges.tolist()] == [(row, 11, 11) for row in range(150)]
