@@ -8,7 +8,10 @@ anchor; they are found as maximal digit chains, which takes linear time.
 The base kinds equal leftmost non-overlapping matches of fixed patterns (email, ip,
 card, phone; see ``base_spans``). Added kinds, each after a cue and each validated:
 ``account`` (IBAN by its check number, US social security numbers by their ranges),
-``address`` (user information in a URL). Added spans never overlap a base span.
+``address`` (user information in a URL). Cues count in any mixture of cases, and a few
+linking words may stand between a cue and its number. Added spans never overlap a base
+span: where one would, its parts outside base spans are kept, those of user
+information under the kind ``user``.
 
 Offsets are code points, ends exclusive. A null or empty text has no spans. Repeated
 rows are searched alike. Extra columns are ignored by ``span_table`` and kept by
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from asofkit.llm.text import map_rows
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "address")
+ADDED = ("account", "address", "user")
 KINDS = BASE + ADDED
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -38,28 +41,35 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-SOCIAL = re.compile(r"[\s:#.]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-USER_INFO = re.compile(r"([^\s/@:<>\"']{1,256}:[^\s/@<>\"']{1,256})@[A-Za-z0-9]")
+LINK = r"(?:[\s:#.=(\"'-]{0,3}[^\W\d_]{1,12}(?!\w)){0,3}?[\s:#.=(\"'-]{0,3}"  # up to three words
+IBAN = re.compile(LINK + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+SOCIAL = re.compile(LINK + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+USER_INFO = re.compile(r"([^\s/@:<>\"']++:[^\s/@<>\"']++)@[A-Za-z0-9]")
 
 CUES = {"iban": IBAN, "ssn": SOCIAL, "social security number": SOCIAL}
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchors as written in lower, capitalised and upper case."""
+    """Anchors in lower case, as ``folded`` texts have them."""
     a = ahocorasick.Automaton()
     a.add_word("@", ("at", "@"))
     a.add_word("+", ("plus", "+"))
     for group, words in (("cue", CUES), ("scheme", SCHEMES)):
         for word in words:
-            for form in (word, word.capitalize(), word.upper()):
-                a.add_word(form, (group, word))
+            a.add_word(word, (group, word))
     a.make_automaton()
     return a
 
 
 ANCHORS = automaton()
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def folded(text: str) -> str:
+    """The text in lower case, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(LOWER)
 
 
 def luhn(digits: str) -> bool:
@@ -137,6 +147,17 @@ def user_info_at(text: str, end: int) -> tuple[int, int] | None:
     return m.span(1) if m else None
 
 
+def uncovered(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span outside ``taken`` spans, which are in order."""
+    out = []
+    for x, y in taken:
+        if y > a and x < b:
+            if x > a:
+                out.append((a, x))
+            a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
 def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """All spans by kind, each list in order and without overlaps."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -144,7 +165,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return found
     extra: list[tuple[int, int, str]] = []
     email_end = phone_end = 0
-    for last, (kind, word) in ANCHORS.iter(text):
+    for last, (kind, word) in ANCHORS.iter(folded(text)):
         if kind == "at":
             if last >= email_end and (span := email_at(text, last, email_end)):
                 found["email"].append(span)
@@ -164,12 +185,11 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     found["card"].extend(cards(text))
     if extra:
         taken = sorted(s for k in BASE for s in found[k])
-        reach, bounds = 0, []
-        for a, b in taken:
-            bounds.append((a, b))
+        reach = 0
         for a, b, kind in sorted(extra):
-            if a >= reach and not any(x < b and a < y for x, y in bounds):
-                found[kind].append((a, b))
+            if a >= reach:
+                left = uncovered(a, b, taken)
+                found["user" if kind == "address" and left != [(a, b)] else kind].extend(left)
                 reach = b
     return found
 

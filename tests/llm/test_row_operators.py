@@ -254,3 +254,18 @@ def test_classifier_fits_one_row_of_each_key(spark, docs_of, monkeypatch):
     monkeypatch.setattr(quality_classifier, "fit_model", lambda rows, good: fitted.append((len(rows), list(good))))
     quality_classifier.train(docs_of(cases), labels, sample=len(free))
     assert fitted == [(len(free), [i % 2 for i in free])]  # not 40 copies of one key's label
+
+
+def test_personal_data_in_usual_forms():
+    def added(t, kind):
+        return [t[a:b] for a, b in pii.find_spans(t)[kind]]
+
+    assert pii.mask("see https://user:secret@example.com/x") == "see https://[user][email]/x"
+    assert added("ssh://me:p!w@host.org", "user") == ["me:p!"]
+    for t in ("Social Security Number: 123-45-6789", "İ SSN is 123-45-6789", "ssn number: (123-45-6789)", "sSn of the person 123-45-6789"):
+        assert added(t, "account") == ["123-45-6789"], t
+    for t in ("IBAN number: DE89370400440532013000", "My Iban is DE89 3704 0044 0532 0130 00."):
+        assert len(added(t, "account")) == 1, t
+    assert added("ssn with four more words 123-45-6789", "account") == [] and added("ssn is 000-45-6789", "account") == []
+    assert added(f"http://{'u' * 400}:{'p' * 400}@host/", "address") == ["u" * 400 + ":" + "p" * 400]
+    assert not any(pii.find_spans("http://" + "a:" * 500_000).values())
