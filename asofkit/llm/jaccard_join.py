@@ -47,6 +47,7 @@ FREQUENT = 300_000  # elements in the order's frequent part (16 bytes each)
 PER_PART = 20_000  # summary entries of one chunk
 CHUNK = 2_000_000  # elements summarised at a time
 BUCKET_ENTRIES = 2_000_000
+LONG = 10_000  # entries of one block of a list, where links are listed
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -356,8 +357,8 @@ def _verified(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
     return full.mapInArrow(_checked, "a long, b long")
 
 
-def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: k, row (hash of the text), name of its set, n (its size) and root (None: in no link between sets)."""
+def _listed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their sets' names and sizes, the texts, and the entries of all lists with two sets or more."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     run, schema = _profile(kind)
@@ -371,7 +372,12 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET_ENTRIES + 1)
     bodies = source.select("body")
     lists = bodies.mapInArrow(_index(order, 4 * buckets), "bucket int, entries binary").repartition(buckets, "bucket").mapInArrow(_lists, LIVE)
-    lists = checkpointed(lists)
+    return rows, bodies, checkpointed(lists)
+
+
+def membership(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: k, row (hash of the text), name of its set, n (its size) and root (None: in no link between sets)."""
+    rows, bodies, lists = _listed(docs, key, text)
     asked = lists.where("lead IS NOT NULL").select("name", F.col("lead").alias("other")).union(lists.where("near IS NOT NULL").select("name", F.col("near").alias("other")))
     ordered = lambda p: p.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
     first = checkpointed(ordered(asked))
@@ -410,3 +416,24 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text")
     untouched = maybe.join(touched, same, "left_anti")
     once = maybe.join(touched.where("__stays"), same, "left_semi").dropDuplicates(["__h"])
     return clear.union(untouched).union(once).drop("__h")
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every link between different sets, once: class_a < class_b and the rows of each class (``join_table`` has each row's class_id).
+
+    Lists of over ``LONG`` entries are cut into blocks by the hash of the set, and each
+    pair of blocks is a key of its own in the join.
+    """
+    rows, bodies, lists = _listed(docs, key, text)
+    entries = lists.select("element", "name", "n", "at")
+    long = entries.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG).select("element", F.ceil(F.col("c") / LONG).cast("int").alias("blocks"))
+    dealt = entries.join(long, "element", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    x = dealt.select("element", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("name").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"))
+    y = dealt.select("element", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("name").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))
+    met = x.join(y, ["element", "i", "j"]).where("(i < j OR x < y) AND 9 * least(n_x - at_x, n_y - at_y) >= 4 * (n_x + n_y)")  # each two once; as in ``fits``
+    found = _verified(bodies, checkpointed(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    copies = rows.where("n > 0").groupBy("name").agg(F.count(F.lit(1)).alias("c"))
+    one = copies.select(F.col("name").alias("a"), F.col("c").alias("rows_a"))
+    two = copies.select(F.col("name").alias("b"), F.col("c").alias("rows_b"))
+    return found.join(one, "a").join(two, "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "rows_a", "rows_b")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 from asofkit.llm import decontaminate, jaccard_join
 from asofkit.llm.components import components
@@ -99,3 +100,23 @@ def test_connected_components(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_equal_all_pairs_of_different_sets(spark, docs_of, monkeypatch):
+    tails = [" ".join(f"w{g}x{i}" for i in range(80)) + "".join(f" t{g}y{c}z{i}" for i in range(2 * c)) for g in range(3) for c in range(12)]
+    texts = near_texts(3, groups=3, copies=5) + tails + tails[:2] + ["a b c d e", "a b c d e", "", None]
+    docs = docs_of(list(enumerate(texts)))
+    sets = [frozenset(shingles(t)) for t in texts]
+    names = {x.doc_id: x.class_id for x in jaccard_join.join_table(docs).collect()}
+    rows = Counter(names[i] for i, s in enumerate(sets) if s)
+    want = set()
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and s != sets[j] and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                a, b = sorted((names[i], names[j]))
+                want.add((a, b, rows[a], rows[b]))
+    assert len(want) > len(texts)  # more links than a tree of components needs
+    for size in (10_000, 3):
+        monkeypatch.setattr(jaccard_join, "LONG", size)
+        got = [tuple(x) for x in jaccard_join.links(docs).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
