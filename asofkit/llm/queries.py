@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import chat_format, decontaminate, jaccard_join, pieces, pii, quality_classifier, quality_rules, sharding, suffix_family, token_counts
+from asofkit.llm import chat_format, decontaminate, jaccard_join, line_dedup, pieces, pii, quality_classifier, quality_rules, sharding, suffix_family, token_counts
 from asofkit.llm.text import table
 
 
@@ -60,8 +60,12 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join_table(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, folder, "documents"), min_chars=1, min_docs=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_decontamination, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_decontamination, op10_jaccard_join, op13_line_dedup)
 }
 
 #: Control strings gain one character when escaped; 12 + 1 + 10 + 1 characters frame each turn.
@@ -109,4 +113,16 @@ low AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN low ON a = d.r
 """
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op9_decontamination": HITS_SQL, "op10_jaccard_join": LINKS_SQL}
+#: The characters in chr() are the ASCII white space that a key loses at its ends.
+LINES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+m AS (SELECT r, i, line, key IN (SELECT key FROM common) AS gone FROM k)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN
+  (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY r) USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op9_decontamination": HITS_SQL, "op10_jaccard_join": LINKS_SQL, "op13_line_dedup": LINES_SQL}
