@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import chat_format, decontaminate, jaccard_join, line_dedup, pieces, pii, quality_classifier, quality_rules, sharding, suffix_family, token_counts
+from asofkit.llm import chat_format, decontaminate, hard_negatives, jaccard_join, line_dedup, pieces, pii, product_codes, quality_classifier, quality_rules, sharding, suffix_family, token_counts
 from asofkit.llm.text import table
 
 
@@ -60,12 +60,21 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join_table(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return product_codes.code_table(table(spark, folder, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.negatives_table(table(spark, folder, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, folder, "documents"), min_chars=1, min_docs=10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_decontamination, op10_jaccard_join, op13_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_pii, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_decontamination, op10_jaccard_join,
+                             op11_vector_codes, op12_hard_negatives, op13_line_dedup)
 }
 
 #: Control strings gain one character when escaped; 12 + 1 + 10 + 1 characters frame each turn.
@@ -113,6 +122,46 @@ low AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN low ON a = d.r
 """
 
+WHOLE_SQL = "embedding IS NOT NULL AND len(embedding) > 0 AND len([z FOR z IN embedding IF z IS NULL OR NOT isfinite(z)]) = 0"
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Rounds of the codebooks one after another; floors of quotients stay in integers."""
+
+    def nearest(k: int) -> str:
+        return f"""far{k} AS (SELECT r, part, entry, sum((x.v - c.v) * (x.v - c.v)) AS e FROM x JOIN c{k} c USING (part, pos) GROUP BY r, part, entry),
+a{k} AS MATERIALIZED (SELECT r, part, entry, e FROM far{k} QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY e, entry) = 1)"""
+
+    steps = []
+    for k in range(rounds):
+        steps.append(nearest(k))
+        steps.append(f"""m{k} AS (SELECT part, entry, pos, sum(v) AS s, count(*) AS n FROM a{k} JOIN x USING (r, part) GROUP BY part, entry, pos),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), v) AS v FROM c{k} LEFT JOIN m{k} USING (part, entry, pos))""")
+    return f"""
+WITH whole AS (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(1024 * CAST(z AS DOUBLE)) AS BIGINT) FOR z IN embedding] AS ints FROM embeddings WHERE {WHOLE_SQL}),
+flat AS (SELECT r, unnest(ints) AS v, unnest(range(len(ints))) AS i, len(ints) // 4 AS d FROM whole),
+x AS MATERIALIZED (SELECT r, CAST(i // d AS INT) AS part, i % d AS pos, v FROM flat),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, ints) - 1 AS entry FROM whole QUALIFY entry < 256),
+c0 AS MATERIALIZED (SELECT part, entry, pos, v FROM x JOIN f USING (r)),
+{", ".join(steps)},
+{nearest(rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(e) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS digest FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM whole JOIN coded USING (r), book
+"""
+
+
+NEGATIVES_SQL = f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [CAST(floor(256 * CAST(z AS DOUBLE)) AS DOUBLE) FOR z IN embedding] AS v FROM embeddings WHERE label IS NOT NULL AND {WHOLE_SQL}),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+      FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 #: The characters in chr() are the ASCII white space that a key loses at its ends.
 LINES_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -125,4 +174,5 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN
           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY r) USING (r)
 """
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op9_decontamination": HITS_SQL, "op10_jaccard_join": LINKS_SQL, "op13_line_dedup": LINES_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op9_decontamination": HITS_SQL, "op10_jaccard_join": LINKS_SQL, "op11_vector_codes": codes_sql(),
+                           "op12_hard_negatives": NEGATIVES_SQL, "op13_line_dedup": LINES_SQL}
