@@ -3,9 +3,10 @@
 A turn is written as ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``. The
 written turn is parsed again; if the parser does not give back exactly the turn
 that went in, the conflicting part is escaped (one backslash more inside a control
-string; backslash and newline of a role) and tried again until it does. The parser
-always removes one level, so a text that holds escaped control strings itself
-conflicts too and gains a level.
+string; backslash, newline and control string of a role) and tried again until it
+does. The parser refuses a control string inside a role or a text, and always removes
+one level, so a text that holds escaped control strings itself conflicts too and gains
+a level. No role and no text thus holds a live control string once it is written.
 
 Turns are written row by row without a shuffle. Reading back streams the sorted
 rows of a partition through the parser with one running hash, so memory does not
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from asofkit.llm.text import map_rows
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
 ESCAPED = re.compile(r"<\\(\\*)\|(im_start|im_end)\|>")
-ROLE_ESCAPED = re.compile(r"\\(\\|n)")
+ROLE_ESCAPED = re.compile(r"\\(\\|n|\|)")
 
 
 def escape_text(text: str) -> str:
@@ -43,11 +45,12 @@ def unescape_text(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    return role.replace("\\", "\\\\").replace("\n", "\\n")
+    role = role.replace("\\", "\\\\").replace("\n", "\\n")
+    return role.replace(START, f"<\\{START[1:]}").replace(END, f"<\\{END[1:]}")
 
 
 def unescape_role(role: str) -> str:
-    return ROLE_ESCAPED.sub(lambda m: "\n" if m[1] == "n" else "\\", role)
+    return ROLE_ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
 class TurnParser:
@@ -65,7 +68,10 @@ class TurnParser:
                 return
             if not self.open.startswith(START) or self.open[end + len(END)] != "\n":
                 raise ValueError("the text does not follow the grammar")
-            yield unescape_role(self.open[len(START) : head]), unescape_text(self.open[head + 1 : end])
+            role, text = self.open[len(START) : head], self.open[head + 1 : end]
+            if START in role or END in role or START in text:
+                raise ValueError("a control string inside a turn")
+            yield unescape_role(role), unescape_text(text)
             self.open = self.open[end + len(END) + 1 :]
 
 
@@ -134,7 +140,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    arrow = pa.schema([("conv_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    arrow = pa.schema([("conv_id", to_arrow_type(formatted.schema["conv_id"].dataType)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "segment", "loss_start", "loss_end")
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
