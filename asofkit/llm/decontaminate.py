@@ -133,10 +133,10 @@ def hit_table(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without a benchmark window, with all their columns."""
-    hit = hit_table(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("__k"), F.col("row_hash").alias("__row")).distinct()
-    hit = checkpointed(hit.withColumn("__h", F.xxhash64("__k", "__row")))
-    hashed = docs.withColumn("__h", F.xxhash64(F.col(key), F.xxhash64(text)))
-    maybe, clear = bits.split(hashed, "__h", hit, "__h")
-    hit = hit.withColumnRenamed("__h", "__hit")
-    left = maybe.join(hit, (F.col("__h") == F.col("__hit")) & F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__row")), "left_anti")
-    return clear.union(left).drop("__h")
+    hit = hit_table(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("hit_key"), F.col("row_hash").alias("hit_row")).distinct()
+    hit = checkpointed(hit.withColumn("hit", F.xxhash64("hit_key", "hit_row")))
+    own, body = F.col("doc").getField(key), F.xxhash64(F.col("doc").getField(text))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))  # so that no column's name clashes
+    maybe, clear = bits.split(packed.withColumn("h", F.xxhash64(own, body)), "h", hit, "hit")
+    left = maybe.join(hit, (F.col("h") == F.col("hit")) & own.eqNullSafe(F.col("hit_key")) & (body == F.col("hit_row")), "left_anti")
+    return clear.union(left).select("doc.*")

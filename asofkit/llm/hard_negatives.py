@@ -202,7 +202,7 @@ def _found(rows: DataFrame, queries: DataFrame, books, groups: int, size: int, s
     left = rows.select(row_g.alias("g"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("q"), "id", "label", "vector", F.lit(None).cast("array<bigint>").alias("scores"))
     every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     right = queries.select(every.alias("g"), F.lit(True).alias("query"), "q", F.lit(None).cast("long").alias("id"), "label", "vector", "scores").select(columns)
-    dealt = left.select(columns).unionByName(right).repartition(groups, "g").sortWithinPartitions("g", "query")
+    dealt = left.select(columns).unionByName(right).repartitionById(groups, "g").sortWithinPartitions("g", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, parts, index = None, [], None

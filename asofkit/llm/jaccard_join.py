@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from asofkit.llm import bits
 from asofkit.llm.components import components
-from asofkit.llm.text import checkpointed, gram_hashes, map_rows, mixed, word_hashes
+from asofkit.llm.text import checkpointed, gram_hashes, look_up, map_rows, mixed, word_hashes
 
 SHINGLE = 5
 FREQUENT = 300_000  # elements in the order's frequent part (16 bytes each)
@@ -397,25 +397,26 @@ def join_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Per row: key, n_shingles, component_id (smallest key reachable by links) and class_id of its set."""
     rows = checkpointed(membership(docs, key, text))
     group = F.when(F.col("n") > 0, F.coalesce("root", "name"))
-    lowest = rows.where("n > 0").groupBy(group.alias("group")).agg(F.min("k").alias("component_id"))
-    r = rows.withColumn("group", group)
-    return r.join(lowest, "group", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.col("name").alias("class_id"))
+    lowest = checkpointed(rows.where("n > 0").groupBy(group.alias("group")).agg(F.min("k").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+    return look_up(rows.withColumn("group", group), "group", lowest, "rows").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.col("name").alias("class_id"))
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the row with the smallest key (null first; then the smallest text hash); rows without a set stay."""
     rows = checkpointed(membership(docs, key, text)).where("n > 0").withColumn("group", F.coalesce("root", "name"))
-    lowest = rows.groupBy("group").agg(F.min(F.struct("k", "row")).alias("m"))
-    seen = rows.groupBy("k", "row", "group").agg(F.count(F.lit(1)).alias("c")).join(lowest, "group")
+    seen = checkpointed(rows.groupBy("k", "row", "group").agg(F.count(F.lit(1)).alias("c")))
+    lowest = checkpointed(seen.groupBy("group").agg(F.min(F.struct("k", "row")).alias("m"), F.count(F.lit(1)).alias("rows")))
     stays = F.col("k").eqNullSafe(F.col("m.k")) & (F.col("row") == F.col("m.row"))
     # rows that go, and rows that stay once of several: all others pass without a join
-    touched = checkpointed(seen.where(~stays | (F.col("c") > 1)).select(F.xxhash64("k", "row").alias("__t"), F.col("k").alias("__k"), F.col("row").alias("__row"), stays.alias("__stays")))
-    hashed = docs.withColumn("__h", F.xxhash64(F.col(key), F.xxhash64(text)))
-    maybe, clear = bits.split(hashed, "__h", touched, "__t")
-    same = (F.col("__h") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__row"))
+    touched = look_up(seen, "group", lowest, "rows").where(~stays | (F.col("c") > 1))
+    touched = checkpointed(touched.select(F.xxhash64("k", "row").alias("t"), F.col("k").alias("t_key"), F.col("row").alias("t_row"), stays.alias("stays")))
+    hashed = docs.select(F.struct(*docs.columns).alias("doc"))  # so that no column's name clashes
+    own, body = F.col("doc").getField(key), F.xxhash64(F.col("doc").getField(text))
+    maybe, clear = bits.split(hashed.withColumn("h", F.xxhash64(own, body)), "h", touched, "t")
+    same = (F.col("h") == F.col("t")) & own.eqNullSafe(F.col("t_key")) & (body == F.col("t_row"))
     untouched = maybe.join(touched, same, "left_anti")
-    once = maybe.join(touched.where("__stays"), same, "left_semi").dropDuplicates(["__h"])
-    return clear.union(untouched).union(once).drop("__h")
+    once = maybe.join(touched.where("stays"), same, "left_semi").dropDuplicates(["h"])
+    return clear.union(untouched).union(once).select("doc.*")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,11 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.llm.exact_gemm import exact_product, floor_scaled, limb_bits, limbs
-from asofkit.llm.text import checkpointed
+from asofkit.llm.text import HEAVY, checkpointed, look_up
 from asofkit.llm.vectors import usable
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-HEAVY = 50_000
 
 
 class Codebooks:
@@ -155,18 +154,10 @@ def encode(df: DataFrame, books: Codebooks | None, carry: list[str], vector: str
 def with_label_error(coded: DataFrame, label: str = "label", heavy: int = HEAVY) -> DataFrame:
     """Adds ``label_error``, the error summed over the rows of one label (nulls together).
 
-    ``coded`` is read twice. A label with at least 1/heavy of the rows is broadcast (there are
-    ``heavy`` of them at most), the others, with fewer rows each, are joined.
+    ``coded`` is read three times.
     """
-    sums = checkpointed(coded.groupBy(F.col(label).alias("_l")).agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("_n")))
-    rows = sums.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    many = F.col("_n") * heavy >= rows
-    same = lambda t: F.col(label).eqNullSafe(t["_l"])
-    large, small = (sums.where(c).drop("_n") for c in (many, ~many))
-    common = coded.join(F.broadcast(large), same(large), "left")
-    found = F.col("label_error").isNotNull()  # errors are never null
-    rest = common.where(~found).select(*coded.columns)
-    return common.where(found).select(*coded.columns, "label_error").unionByName(rest.join(small, same(small)).select(*coded.columns, "label_error"))
+    sums = checkpointed(coded.groupBy(label).agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("_n")))
+    return look_up(coded, label, sums, "_n", heavy)
 
 
 def code_table(df: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:

@@ -77,7 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                              op11_vector_codes, op12_hard_negatives, op13_line_dedup)
 }
 
-#: Control strings gain one character when escaped; 12 + 1 + 10 + 1 characters frame each turn.
+#: Control strings gain one character when escaped; 12 + 1 + 10 + 1 characters frame each turn. A role is
+#: escaped if it holds a newline, a control string, or a backslash before a backslash, n or bar; each backslash, newline and control string then gains one.
 CHAT_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -87,7 +88,7 @@ conv AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-         sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|(im_start|im_end)\|>', '<\1\\|\2|>', 'g'))) AS formatted_chars
+         sum(24 + length(role) + CASE WHEN regexp_matches(role, '\n|\\[\\n|]|<\|(im_start|im_end)\|>') THEN len(regexp_extract_all(role, '[\n\\]|<\|(im_start|im_end)\|>')) ELSE 0 END + length(regexp_replace(text, '<(\\*)\|(im_start|im_end)\|>', '<\1\\|\2|>', 'g'))) AS formatted_chars
   FROM turns GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars

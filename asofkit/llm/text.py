@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from asofkit.session import cut_lineage as checkpointed
 from asofkit.session import shared_folder
 
-__all__ = ["Memo", "WHITE", "checkpointed", "gram_hashes", "keep_rows", "map_rows", "mixed", "powers", "shared_folder", "table", "word_hashes"]
+__all__ = ["Memo", "WHITE", "checkpointed", "gram_hashes", "keep_rows", "look_up", "map_rows", "mixed", "powers", "shared_folder", "table", "word_hashes"]
 
 
 class Memo(dict):
@@ -33,7 +35,8 @@ class Memo(dict):
 WHITE = b" \t\n\x0b\x0c\r"
 CHUNK = 1 << 20
 _IN_WORD = np.array([b not in WHITE for b in range(256)])
-_VALUES = np.where(_IN_WORD, np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0))
+LONG_WORD = 256  # bytes
+_ONES = np.uint64(2**64 - 1)
 _BASE = 0x9E3779B97F4A7C17
 _NEXT_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -55,22 +58,27 @@ def _hash_chunk(text: bytes) -> np.ndarray:
     inside = np.zeros(len(a) + 2, bool)
     inside[1:-1] = _IN_WORD[a]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = powers(len(a))
-    total = _VALUES[a]
-    total *= power[: len(a)]
-    np.cumsum(total, out=total)
-    at_end = total[ends - 1]
-    own = at_end.copy()
-    own[1:] -= at_end[:-1]
-    return own * inverse[starts]
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    blocks = np.ndarray(len(a) + 1, "<u8", text + bytes(8), strides=(1,))  # the 8 bytes from each place on
+    h = mixed(lengths.astype(np.uint64) * np.uint64(_BASE))
+    at, short = 0, np.flatnonzero(lengths <= LONG_WORD)
+    while len(short):
+        left = np.minimum(lengths[short] - at, 8).astype(np.uint64) * np.uint64(8)
+        h[short] = mixed(h[short] ^ (blocks[starts[short] + at] & (_ONES >> (np.uint64(64) - left))))
+        at += 8
+        short = short[lengths[short] > at]
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + lengths[i]], seed=_BASE)
+    return h
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     """64-bit hashes of the words of a text (runs of bytes other than ASCII white space), in order.
 
-    A word's hash is a polynomial in its bytes, so all words of a text are hashed at
-    once by a running sum; long texts are taken in chunks that end between words.
+    A word's bytes are taken in blocks of eight, and the hash is scrambled after each, for
+    all words of a text at once; so words of up to eight bytes and of one length never have
+    equal hashes, and others only by chance. Very long words go through a library hash. Long
+    texts are taken in chunks that end between words.
     """
     if not text:
         return np.zeros(0, np.uint64)
@@ -140,5 +148,25 @@ def keep_rows(df: DataFrame, column: str, keep: Callable[[bytes | str | None], b
     return df.mapInArrow(run, df.schema)
 
 
+HEAVY = 50_000
+
+
+def look_up(rows: DataFrame, key: str, listed: DataFrame, count: str, heavy: int = HEAVY) -> DataFrame:
+    """``rows`` with the columns of ``listed``, which has one row per value of ``key`` (null is a value); others get nulls.
+
+    ``count`` says how many rows have the value. Values with at least 1/heavy of all counted rows, at
+    most ``heavy`` values at any size, are broadcast; the others are joined, and none of them has many
+    rows. So no value needs a task of its own. Both sides are read twice: write them first if they are dear.
+    """
+    total = listed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    added = [c for c in listed.columns if c not in (key, count)]
+    many = F.col(count) * heavy >= total
+    side = lambda part, mark: part.select(F.col(key).alias("_of"), *added, F.lit(mark).alias("_heavy"))
+    same = F.col(key).eqNullSafe(F.col("_of"))
+    met = rows.join(F.broadcast(side(listed.where(many), True)), same, "left")
+    rest = met.where("_heavy IS NULL").select(*rows.columns).join(side(listed.where(~many), False), same, "left")
+    return met.where("_heavy").unionByName(rest).select(*rows.columns, *added)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

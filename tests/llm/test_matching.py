@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from asofkit.llm import decontaminate, jaccard_join
 from asofkit.llm.components import components
 from tests_llm_brute import bench_words, brute_components, brute_hits, shingles
@@ -37,6 +39,24 @@ def test_hits_equal_every_window_looked_for(spark, docs_of, edge_docs):
     assert not any(x.contaminated for x in decontaminate.hit_table(edge_docs, bench.limit(0)).collect())
 
 
+def test_words_equal_under_polynomial_hashes_differ(spark, docs_of):
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    docs = docs_of([(1, morse), (2, morse.translate(str.maketrans("ab", "ba")))])
+    assert sorted(x.component_id for x in jaccard_join.join_table(docs).collect()) == [1, 2]
+    got = decontaminate.hit_table(docs, spark.createDataFrame([(1, morse)], "item_id long, text string")).collect()
+    assert {x.doc_id: x.n_hit for x in got} == {1: 1, 2: 0}
+
+
+def test_columns_of_any_name_stay(spark, docs_of):
+    docs = docs_of([(i, "one two three four five six" if i < 3 else f"text {i} of its own words") for i in range(6)])
+    for name in ("__h", "__k", "__t", "__row", "__stays", "h", "t", "doc", "t_key", "hit", "hit_row", "stays"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = jaccard_join.one_per_component(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [0, 3, 4, 5]
+    clean = decontaminate.clean_documents(docs, spark.createDataFrame([(1, "one two three four five")], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(x.doc_id for x in clean.collect()) == [3, 4, 5]
+
+
 def near_texts(seed, groups=12, copies=9, length=60):
     r = random.Random(seed)
     out = []
