@@ -34,11 +34,6 @@ def hash_uniform(*parts: Column | str) -> Column:
     return hash_number(*parts) / F.lit(float(16**13))
 
 
-def fast_uniform(*parts: Column | str) -> Column:
-    """Uniform number from xxhash64: cheaper than SHA-256 where no other engine must agree."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2**53))
-
-
 def poisson_one(u: Column) -> Column:
     """Poisson(1) draw by inverting its distribution function."""
     chain = F.when(u < POISSON_CDF[0], 0)

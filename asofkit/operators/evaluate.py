@@ -150,7 +150,7 @@ def fit_calibration(df: DataFrame, keys: Sequence[str] = (), *, lp: str = "lp",
                                        F.sum(v), F.sum(v * x), F.sum(v * x * x), F.sum(ll)).collect()
         for r in sums:
             k = tuple(r[: len(keys)])
-            _newton(k, r[len(keys):], state, done, offset_only, tol, max_coef)
+            newton_step(k, r[len(keys):], state, done, offset_only, tol, max_coef)
     for k in state:
         done[k] = None
     data.unpersist()
@@ -159,7 +159,7 @@ def fit_calibration(df: DataFrame, keys: Sequence[str] = (), *, lp: str = "lp",
     return spark.createDataFrame(rows, out_schema)
 
 
-def _newton(k, sums, state, done, offset_only, tol, max_coef) -> None:
+def newton_step(k, sums, state, done, offset_only, tol, max_coef) -> None:
     g0, g1, h00, h01, h11, ll = sums
     s = state[k]
     a, b, best, scale, da, db = s

@@ -1,39 +1,34 @@
 """Bootstrap by hashed Poisson(1) weights.
 
 A cluster's weight in replicate ``b`` is a pure function of (seed, b, cluster): no
-random state, the same for every model and for every retry of a task. Rows are counted
-per (cluster, scores, outcome) before they are multiplied by the replicates.
+random state, the same for every model and for every retry of a task. All replicates of
+a row travel as one vector (``replicates``), so the number of replicates changes neither
+the rows that are shuffled nor the number of scans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions import stats
-from asofkit.functions.hashing import fast_uniform, hash_uniform, poisson_one
-from asofkit.operators import capacity
-from asofkit.operators.evaluate import (ap_of_runs, auroc_of_runs, calibration_measures, point_aggregates, ranking_metrics,
-                                        run_counts, score_runs)
-from asofkit.operators.ordering import range_count, value_bounds
+from asofkit.functions.hashing import poisson_one
+from asofkit.operators import replicates
+from asofkit.operators.evaluate import newton_step, point_aggregates, ranking_metrics
+from asofkit.operators.replicates import PER_DIGEST
 
 MIN_VALID_SHARE = 0.8
 
 
-def replicate_weight(cluster: str, seed: int, *, portable: bool = True) -> Column:
-    """Weight of a row's cluster in replicate column ``b``; ``portable`` uses SHA-256, else xxhash64."""
-    u = hash_uniform if portable else fast_uniform
-    return poisson_one(u(F.lit(str(seed)), F.col("b"), F.col(cluster)))
-
-
-def replicates(df: DataFrame, cluster: str, n_boot: int, seed: int, *, portable: bool = True) -> DataFrame:
-    """Counted rows x replicates with weight ``w`` > 0."""
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_cnt"))
-    out = (counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-           .withColumn("w", replicate_weight(cluster, seed, portable=portable) * F.col("_cnt")))
-    return out.where("w > 0").drop("_cnt")
+def replicate_weight(cluster: str, seed: int) -> Column:
+    """Weight of a row's cluster in replicate column ``b``: 32 bits of SHA-256, eight replicates to a digest."""
+    at = F.col("b").cast("int") - 1
+    text = F.concat_ws("|", F.lit(str(seed)), F.floor(at / PER_DIGEST).cast("string"), F.col(cluster).cast("string"))
+    digits = F.substring(F.sha2(text, 256), 1 + 8 * (at % PER_DIGEST), F.lit(8))
+    return poisson_one(F.conv(digits, 16, 10).cast("long") / F.lit(2.0**32))
 
 
 def resample_clusters(df: DataFrame, cluster: str, seed: int, b: int = 1) -> DataFrame:
@@ -54,21 +49,32 @@ def unpivot_models(df: DataFrame, models: Mapping[str, str], carry: Sequence[str
     return df.select(*carry, each.alias("_m")).select(*carry, "_m.model", "_m.p")
 
 
-def replicate_metrics(df: DataFrame, models: Mapping[str, str], cluster: str, n_boot: int, seed: int, *, portable: bool = True) -> DataFrame:
+def _table(spark: SparkSession, columns: Mapping[str, str], rows: list[tuple]) -> DataFrame:
+    """Result rows (replicates x keys) with NaN as NULL."""
+    clean = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in rows]
+    return spark.createDataFrame(clean, ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
+def _dealt(df: DataFrame, models: Mapping[str, str], carry: Sequence[str], cluster: str, tie: str | None = None) -> DataFrame:
+    long = unpivot_models(df, models, list(dict.fromkeys([cluster, "y", *carry, *([tie] if tie else [])])))
+    return replicates.deal(long, ["model", *carry], cluster, tie)
+
+
+def replicate_metrics(df: DataFrame, models: Mapping[str, str], cluster: str, n_boot: int, seed: int) -> DataFrame:
     """One row per (b, model): AUROC, AP, Brier, log loss, O/E; NULL in a single-class replicate."""
-    slim = df.select(cluster, "y", *models.values())
-    reps = replicates(slim, cluster, n_boot, seed, portable=portable)
-    cells = reps.groupBy("b", "y", *models.values()).agg(F.sum("w").alias("w"))
-    long = unpivot_models(cells, models, ["b", "y", "w"])
-    parts = point_aggregates(w=F.col("w"))
-    wanted = ("n", "events", "brier", "logloss", "oe_ratio")
-    points = long.groupBy("b", "model").agg(*[parts[k].alias(k) for k in wanted])
-    source = unpivot_models(slim, models, ["y"])
-    runs = score_runs(long, ["b", "model"], weight="w", bounds=value_bounds(source, "p", range_count(source)))
-    ranking = runs.groupBy("b", "model").agg(auroc_of_runs().alias("auroc"), ap_of_runs().alias("ap"))
-    both = points.join(ranking, ["b", "model"])
-    valid = (F.col("events") > 0) & (F.col("events") < F.col("n"))
-    return both.select("b", "model", *[F.when(valid, F.col(c)).alias(c) for c in ("auroc", "ap", "brier", "logloss", "oe_ratio")])
+    dealt = _dealt(df, models, [], cluster)
+    linked = replicates.chains(dealt, ["model"], n_boot, seed)
+    ranks = replicates.ranking(dealt, ["model"], linked, n_boot, seed)
+    rows = []
+    for key, chain in linked.items():
+        events, others = chain.totals
+        with np.errstate(divide="ignore", invalid="ignore"):
+            brier, logloss, predicted = chain.points / np.array([events + others, events + others, np.ones(n_boot)])
+            values = np.stack([*ranks[key], brier, logloss, events / predicted])
+        values[:, (events == 0) | (others == 0)] = np.nan
+        rows += [(b + 1, *key, *column) for b, column in enumerate(values.T.tolist())]
+    names = ("auroc", "ap", "brier", "logloss", "oe_ratio")
+    return _table(df.sparkSession, {"b": "long", "model": "string", **dict.fromkeys(names, "double")}, rows)
 
 
 def percentile_ci(values: DataFrame, metrics: Sequence[str], keys: Sequence[str], n_boot: int, alpha: float = 0.05) -> DataFrame:
@@ -110,51 +116,117 @@ def paired_difference(df: DataFrame, a: str, b: str, cluster: str, n_boot: int,
 
 def operating_replicates(df: DataFrame, models: Mapping[str, str], targets: Sequence[float], cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Per (b, model, target): share flagged and false-alert share at the highest threshold reaching the target."""
-    reps = replicates(df.select(cluster, "y", *models.values()), cluster, n_boot, seed)
-    cells = reps.groupBy("b", "y", *models.values()).agg(F.sum("w").alias("w"))
-    runs = run_counts(score_runs(unpivot_models(cells, models, ["b", "y", "w"]), ["b", "model"], weight="w"))
-    at = F.struct("p", "tp", "fp")
-    row = runs.groupBy("b", "model").agg(
-        *[F.max(F.when(stats.ratio(F.col("cum_pos"), F.col("tot_pos")) >= t - 1e-12, at)).alias(f"_t{i}") for i, t in enumerate(targets)],
-        (F.max("tot_pos") + F.max("tot_neg")).alias("_n"))
-    each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("target"), F.col(f"_t{i}").alias("at")) for i, t in enumerate(targets)]))
-    flagged = F.col("e.at.tp") + F.col("e.at.fp")
-    return row.select("b", "model", "_n", each.alias("e")).select(
-        "b", "model", "e.target", stats.ratio(flagged, F.col("_n")).alias("flagged_share"), stats.ratio(F.col("e.at.fp"), flagged).alias("false_alert_share"))
+    dealt = _dealt(df, models, [], cluster)
+    linked = replicates.chains(dealt, ["model"], n_boot, seed)
+    found = replicates.first_reaching(dealt, ["model"], linked, targets, n_boot, seed)
+    rows = []
+    for key, chain in linked.items():
+        n = chain.totals.sum(axis=0)
+        for i, t in enumerate(targets):
+            tp, fp = found[key][2 * i], found[key][2 * i + 1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shares = np.stack([(tp + fp) / n, fp / (tp + fp)])
+            rows += [(b + 1, *key, float(t), *own) for b, own in enumerate(shares.T.tolist())]
+    return _table(df.sparkSession, {"b": "long", "model": "string", "target": "double", "flagged_share": "double", "false_alert_share": "double"}, rows)
 
 
 def capture_replicates(df: DataFrame, models: Mapping[str, str], fraction: float, tie: str, cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Per (b, model): events captured by the ceil(fraction * N_b) highest resampled copies and the share captured."""
-    reps = replicates(df.select(cluster, tie, "y", *models.values()), cluster, n_boot, seed)
-    totals = reps.groupBy("b").agg(F.sum("w").alias("_n"), F.sum(F.col("w") * F.col("y")).alias("events"))
-    long = unpivot_models(reps, models, ["b", tie, "y", "w"])
-    cuts = totals.select("b", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), F.lit(fraction).alias("cut"),
-                         capacity.top_count(fraction, F.col("_n")).alias("k"))
-    source = unpivot_models(df, models, [tie, "y"])
-    hits = capacity.top_k_events(long, cuts, ["b", "model"], tie, weight="w", source=source)
-    return hits.join(totals, "b").select("b", "model", "k", F.col("tp").cast("long").alias("tp"), stats.ratio(F.col("tp"), F.col("events")).alias("capture"))
+    dealt = _dealt(df, models, [], cluster, tie)
+    linked = replicates.chains(dealt, ["model"], n_boot, seed)
+    sizes = {key: np.maximum(1, np.ceil(fraction * chain.totals.sum(axis=0))) for key, chain in linked.items()}
+    hits = replicates.top_events(dealt, ["model"], linked, sizes, n_boot, seed)
+    rows = []
+    for key, chain in linked.items():
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = hits[key] / chain.totals[0]
+        rows += [(b + 1, *key, int(k), int(tp), float(x)) for b, (k, tp, x) in enumerate(zip(sizes[key], hits[key], share, strict=True))]
+    return _table(df.sparkSession, {"b": "long", "model": "string", "k": "long", "tp": "long", "capture": "double"}, rows)
+
+
+def largest_remainders(sizes: np.ndarray, total: int) -> np.ndarray:
+    """``total`` split over the folds (rows, lowest fold first) of each replicate (columns) in proportion to their sizes; never more than a fold's size."""
+    grand = np.maximum(sizes.sum(axis=0), 1)
+    base, rest = total * sizes // grand, total * sizes % grand
+    place = np.argsort(np.argsort(-rest, axis=0, kind="stable"), axis=0, kind="stable")
+    return np.minimum(base + (place < total - base.sum(axis=0)), sizes)
 
 
 def capacity_bootstrap(df: DataFrame, models: Mapping[str, str], permille: int, tie: str, cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Captured events per (b, model) when the capacity is re-allocated over the resampled fold sizes and re-selected inside folds."""
-    slim = df.select(cluster, tie, "fold", "y", *models.values())
-    total = df.agg(capacity.n_selected(F.lit(permille), F.count(F.lit(1)))).scalar()
-    reps = replicates(slim, cluster, n_boot, seed)
-    sizes = reps.groupBy("b", "fold").agg(F.sum("w").alias("size"))
-    alloc = capacity.allocate(sizes, total, ["b"])
-    cuts = alloc.select("b", "fold", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), F.lit(permille).alias("cut"), "k")
-    long = unpivot_models(reps, models, ["b", "fold", tie, "y", "w"])
-    source = unpivot_models(df, models, [tie, "y"])
-    hits = capacity.top_k_events(long, cuts, ["b", "fold", "model"], tie, weight="w", source=source)
-    return hits.groupBy("b", "model").agg(F.sum("tp").cast("long").alias("tp"), F.sum("k").alias("selected"))
-
-
-def calibration_bootstrap(df: DataFrame, cluster: str, n_boot: int, seed: int) -> DataFrame:
-    """Slope, intercept, calibration-in-the-large, O/E and Brier per replicate (weights in every Newton sum)."""
-    reps = replicates(df.select(cluster, "y", "p"), cluster, n_boot, seed).groupBy("b", "y", "p").agg(F.sum("w").alias("w"))
-    parts = point_aggregates(w=F.col("w"))
-    points = reps.groupBy("b").agg(*[parts[k].alias(k) for k in ("oe_ratio", "brier", "brier_skill")])
-    return points.join(calibration_measures(reps, ["b"], weight="w"), "b")
+    total = (2 * permille * df.count() + 1000) // 2000  # half up, as in capacity.n_selected
+    dealt = _dealt(df, models, ["fold"], cluster, tie)
+    linked = replicates.chains(dealt, ["model", "fold"], n_boot, seed)
+    sizes = {}
+    for m in models:
+        folds = sorted((k for k in linked if k[0] == m), key=lambda k: (k[1] is not None, k[1]))
+        if folds:
+            split = largest_remainders(np.stack([linked[k].totals.sum(axis=0) for k in folds]).astype(np.int64), total)
+            sizes |= dict(zip(folds, split, strict=True))
+    hits = replicates.top_events(dealt, ["model", "fold"], linked, sizes, n_boot, seed)
+    rows = []
+    for m in {k[0] for k in linked}:
+        tp, k = (sum(t[x] for x in linked if x[0] == m) for t in (hits, sizes))
+        rows += [(b + 1, m, int(x), int(y)) for b, (x, y) in enumerate(zip(tp, k, strict=True))]
+    return _table(df.sparkSession, {"b": "long", "model": "string", "tp": "long", "selected": "long"}, rows)
+
+
+def _newton_terms(state: np.ndarray):
+    """Per replicate and fit (full, offset only): the two gradients, three second derivatives and the log likelihood."""
+
+    def terms(columns: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+        y, x = columns[0][:, None], columns[1][:, None]
+        out = []
+        for a, b in state:
+            eta = a + b * x
+            mu = 1 / (1 + np.exp(-eta))
+            v, g = w * mu * (1 - mu), w * (y - mu)
+            ll = w * (y * eta - np.logaddexp(0, eta))
+            out += [g.sum(0), (g * x).sum(0), v.sum(0), (v * x).sum(0), (v * x * x).sum(0), ll.sum(0)]
+        return np.stack(out)
+
+    return terms
+
+
+def calibration_bootstrap(df: DataFrame, cluster: str, n_boot: int, seed: int, max_iter: int = 50, tol: float = 1e-10, max_coef: float = 50.0) -> DataFrame:
+    """Slope, intercept, calibration-in-the-large, O/E and Brier per replicate.
+
+    Each Newton step of all replicates is one scan without a shuffle of rows; undefined fits are NULL.
+    """
+    p, y = F.col("p"), F.col("y")
+    lp = stats.logit(p)
+
+    def first(columns, w):
+        y, x, p = columns
+        return np.stack([w.sum(0), y @ w, x @ w, p @ w, ((p - y) ** 2) @ w])
+
+    n, events, sum_lp, sum_p, square = replicates.weighted_sums(df, cluster, [y, lp, p], n_boot, seed, first)
+    state, done = {}, {}
+    for b in range(n_boot):
+        for fit in (0, 1):
+            if 0 < events[b] < n[b]:
+                start = np.log(events[b] / (n[b] - events[b]))
+                state[b, fit] = [start - (sum_lp[b] / n[b] if fit else 0.0), 1.0 if fit else 0.0, -np.inf, 1.0, 0.0, 0.0]
+            else:
+                done[b, fit] = None
+    for _ in range(max_iter):
+        if not state:
+            break
+        now = np.zeros((2, 2, n_boot))
+        for (b, fit), s in state.items():
+            now[fit, :, b] = s[:2]
+        sums = replicates.weighted_sums(df, cluster, [y, lp], n_boot, seed, _newton_terms(now))
+        for b, fit in list(state):
+            newton_step((b, fit), sums[6 * fit : 6 * fit + 6, b].tolist(), state, done, bool(fit), tol, max_coef)
+    rows = []
+    for b in range(n_boot):
+        full, large = done.get((b, 0)), done.get((b, 1))
+        ratio = lambda x, z: float(x / z) if z else None
+        prevalence, brier = ratio(events[b], n[b]), ratio(square[b], n[b])
+        skill = 1 - brier / (prevalence * (1 - prevalence)) if prevalence and prevalence < 1 else None
+        rows.append((b + 1, full and full[1], full and full[0], large and large[0], ratio(events[b], sum_p[b]), brier, skill))
+    names = ("slope", "intercept", "citl", "oe_ratio", "brier", "brier_skill")
+    return _table(df.sparkSession, {"b": "long", **dict.fromkeys(names, "double")}, [tuple(None if v is None else v if i == 0 else float(v) for i, v in enumerate(r)) for r in rows])
 
 
 def coefficient_stability(coefs: DataFrame, *, selected_share: float = 0.8, sign_share: float = 0.9) -> DataFrame:

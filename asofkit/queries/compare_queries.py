@@ -11,7 +11,7 @@ from asofkit.operators import capacity, compare, contracts, evaluate, resample,
 from asofkit.plans import cohorts
 from asofkit.queries.evaluate_queries import FOLD_SQL, MODELS_SQL, models_long
 from asofkit.queries.registry import Tables, query
-from asofkit.queries.resample_queries import PLAN, REP_SQL, TSPLIT_SQL
+from asofkit.queries.resample_queries import B, PLAN, REP_SQL, SEED, TSPLIT_SQL
 from asofkit.queries.scores import AP, AUROC, runs_sql, scored, with_scores
 from asofkit.queries.wide import raw_text, RAW_SQL, wide, with_wide
 from asofkit.sources import tables
@@ -220,7 +220,7 @@ od AS (SELECT z.auroc - x.auroc AS auroc, z.ap - x.ap AS ap, z.brier - x.brier A
 dl AS (UNPIVOT d ON auroc, ap, brier, logloss INTO NAME metric VALUE v), oo AS (UNPIVOT od ON auroc, ap, brier, logloss INTO NAME metric VALUE estimate)
 SELECT 'history' AS removed, metric, any_value(estimate) AS estimate, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM dl JOIN oo USING (metric) GROUP BY 2"""))
 def _(t):
-    return cohorts.leave_one_out(scored(t), "p", {"history": "p_ref"}, "entity_id", 8, 2024)
+    return cohorts.leave_one_out(scored(t), "p", {"history": "p_ref"}, "entity_id", B, SEED)
 
 
 @query("pairwise_run_facts", "C29", "kind:s rows_a:l rows_b:l shared:l events:l", with_scores("""
@@ -319,8 +319,8 @@ def _(t):
 @query("interval_change_verdict", "P49 C12", "metric:s verdict:s", None)
 def _(t):
     s = scored(t)
-    a = resample.metric_intervals(s.where("year >= 1999"), {"m": "p"}, "entity_id", 8, 1)
-    b = resample.metric_intervals(s.where("year < 1999"), {"m": "p"}, "entity_id", 8, 1)
+    a = resample.metric_intervals(s.where("year >= 1999"), {"m": "p"}, "entity_id", B, 1)
+    b = resample.metric_intervals(s.where("year < 1999"), {"m": "p"}, "entity_id", B, 1)
     return cohorts.development_change(a, b)
 
 

@@ -10,9 +10,9 @@ from asofkit.operators import evaluate, resample, splits
 from asofkit.queries.registry import query
 from asofkit.queries.scores import AP, AUROC, runs_sql, scored, with_scores
 
-B, SEED = 8, 2024
+B, SEED = 200, 2024
 MODELS = {"a": "p_ref", "b": "p"}
-U_BOOT = hash_uniform_sql(f"'{SEED}|' || CAST(b AS VARCHAR) || '|' || CAST(entity_id AS VARCHAR)")
+U_BOOT = f"CAST('0x' || substr(sha256('{SEED}|' || CAST((b - 1) // 8 AS VARCHAR) || '|' || CAST(entity_id AS VARCHAR)), 1 + 8 * ((b - 1) % 8), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
 DRAW_SQL = f"""draws AS (SELECT entity_id, b, {poisson_one_sql('u')} AS w FROM (SELECT entity_id, b, {U_BOOT} AS u FROM (SELECT DISTINCT entity_id FROM scored), (SELECT unnest(generate_series(1, {B})) AS b))),
 reps AS (SELECT s.*, d.b, d.w FROM scored s JOIN draws d ON s.entity_id = d.entity_id WHERE w > 0),
 rlong AS (SELECT b, w, y, row_key, fold, 'a' AS model, p_ref AS p FROM reps UNION ALL SELECT b, w, y, row_key, fold, 'b', p FROM reps)"""
