@@ -13,8 +13,12 @@ Canonical tables
                    code, position, code_system
 
 Every feature is one or two grouped aggregates over the usable pairs, so partial
-aggregation runs before each shuffle and an entity with very many records never
-has to fit into one task.
+aggregation runs before each shuffle. The join of index rows to records has two levels:
+entities with many records are found by a sketch, their records are dealt to pieces by a
+hash of the whole record, and their index rows are copied to every piece. The join is on
+(entity, piece), so an entity with any share of the records never has to fit into one task,
+and each aggregate above it combines inside its piece before it is shuffled. The first and
+last index date, two numbers, become date bounds on the records' scan.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import dates
 from asofkit.operators.contracts import require_clean
+from asofkit.session import cut_lineage
 
 ROW = ["entity_id", "index_date"]
 
@@ -152,6 +157,61 @@ def derive_checked(tables: Mapping[str, DataFrame], index: DataFrame, code_rules
     return derive(tables, index, code_rules, code_lengths, rules)
 
 
+# ------------------------------------------------------------------ joins by entity
+HOT = 1000  # an entity with at least 1/HOT of the records is dealt to pieces of that size, so there are HOT such entities at most
+SKETCH = 10_000  # counters of the frequent-items sketch; it names every entity with more than 1.4/SKETCH of the records
+
+
+def hot_entities(*tables: DataFrame, share: int = HOT) -> DataFrame:
+    """(entity_id, _pieces) of the entities that hold many of the tables' records, by one pass with a sketch and no shuffle."""
+    keys = reduce(DataFrame.unionByName, [t.select("entity_id") for t in tables]).where("entity_id IS NOT NULL")
+    found = keys.agg(F.expr(f"approx_top_k(entity_id, {share}, {SKETCH})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    rows = [(r["item"], -(-r["count"] * share // found["n"])) for r in found["top"] or () if r["count"] * share >= found["n"]]
+    return keys.sparkSession.createDataFrame(rows, f"entity_id {keys.schema['entity_id'].dataType.simpleString()}, _pieces long")
+
+
+def entity_join(rows: DataFrame, records: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``records`` by entity, pieces of hot entities in different tasks.
+
+    Pairs of one row may come from several tasks, so what is made of them must be aggregated once more; with
+    ``how`` "left", a row may also have a pair without a record beside its real ones.
+    """
+    pieces = F.coalesce("_pieces", F.lit(1))
+    few = F.broadcast(hot)  # HOT rows at most
+    left = rows.join(few, "entity_id", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("_pieces")
+    right = records.join(few, "entity_id", "left").withColumn("_piece", F.pmod(F.xxhash64(*records.columns), pieces)).drop("_pieces")
+    return left.join(right, ["entity_id", "_piece"], how).drop("_piece")
+
+
+def prepared_rows(rows: DataFrame) -> DataFrame:
+    """Index rows written once, for all the tables they are joined to."""
+    return cut_lineage(rows)
+
+
+def oldest_window(windows: Sequence[WindowRule]) -> Column | None:
+    """Start of the longest look-back window as a function of ``index_date``; None where one of them is complete history."""
+    starts = []
+    for w in windows:
+        if w.lookback_years is None and w.lookback_days is None:
+            return None
+        starts.append(dates.window_start("index_date", years=w.lookback_years, days=w.lookback_days))
+    return F.least(*starts) if len(starts) > 1 else starts[0]
+
+
+def within(records: DataFrame, rows: DataFrame, *, since: Column | None = None, until: Column | None = None, date_column: str = "record_date") -> DataFrame:
+    """Records that any row can use: from the first row's ``since`` to before (with ``until``: up to) the last row's date.
+
+    The bounds are literals, so they reach the scan of a table that is stored by date.
+    """
+    until_ = F.col("index_date") if until is None else until
+    first, last = rows.agg(F.min(F.lit(None).cast("date") if since is None else since), F.max(until_)).first()
+    if last is None:
+        return records.where(F.lit(False))
+    day = F.col(date_column)
+    kept = records.where(day < F.lit(last) if until is None else day <= F.lit(last))
+    return kept if first is None else kept.where(day >= F.lit(first))
+
+
 # ------------------------------------------------------------------ rows
 def as_of_membership(index: DataFrame, persons: DataFrame) -> DataFrame:
     """LEFT join of index rows to intervals; the covering interval wins, else the earliest one with ``covers`` false.
@@ -161,11 +221,11 @@ def as_of_membership(index: DataFrame, persons: DataFrame) -> DataFrame:
     attrs = [c for c in persons.columns if c != "entity_id"]
     covers = dates.covers("start_date", "end_date", "index_date")
     return (
-        index.join(persons.withColumn("_known", F.lit(True)), "entity_id", "left")
+        entity_join(index, persons.withColumn("_known", F.lit(True)), hot_entities(persons), "left")
         .withColumn("_covers", F.coalesce(covers, F.lit(False)))
         .groupBy(*ROW)
         .agg(F.max_by(F.struct("_known", "_covers", *attrs),
-                      F.struct(F.col("_covers"), F.col("start_date").isNotNull(), -F.unix_date("start_date"), -F.coalesce(F.unix_date("end_date"), F.lit(2**30)),
+                      F.struct(F.col("_covers"), F.col("_known").isNotNull(), F.col("start_date").isNotNull(), -F.unix_date("start_date"), -F.coalesce(F.unix_date("end_date"), F.lit(2**30)),
                                F.xxhash64(*attrs))).alias("m"))
         .select(*ROW, F.col("m._known").isNotNull().alias("has_person"), F.col("m._covers").alias("covers"),
                 *[F.col(f"m.{a}").alias(a) for a in attrs])
@@ -199,10 +259,10 @@ def eligible_rows(index: DataFrame, persons: DataFrame, age_min: float) -> DataF
 
 
 # ------------------------------------------------------------------ records
-def record_pairs(rows: DataFrame, records: DataFrame, *, declared: bool = True, lag_days: int = 0) -> DataFrame:
+def record_pairs(rows: DataFrame, records: DataFrame, *, declared: bool = True, lag_days: int = 0, hot: DataFrame | None = None) -> DataFrame:
     """Index rows x records of the same entity with the first reason a record may not be used (NULL = usable)."""
     keep = [c for c in ("birth_date", "sex") if c in rows.columns]
-    pairs = rows.select(*ROW, *keep).join(records, "entity_id")
+    pairs = entity_join(rows.select(*ROW, *keep), records, hot_entities(records) if hot is None else hot)
     on_after = F.col("record_date") >= F.col("index_date")
     late = F.coalesce(F.col("available_date") >= F.col("index_date"), F.lit(False))
     reason = F.when(on_after, "record_on_or_after_index")
@@ -211,9 +271,14 @@ def record_pairs(rows: DataFrame, records: DataFrame, *, declared: bool = True,
     return pairs.withColumn("reject_reason", reason.when(late, "available_on_or_after_index"))
 
 
-def usable_records(rows: DataFrame, records: DataFrame, *, declared: bool = True, lag_days: int = 0) -> DataFrame:
-    """The pairs a feature may read. The same conditions, as join predicates: no rejected pair leaves the join."""
-    return record_pairs(rows, records, declared=declared, lag_days=lag_days).where("reject_reason IS NULL").drop("reject_reason")
+def usable_records(rows: DataFrame, records: DataFrame, *, declared: bool = True, lag_days: int = 0, since: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """The pairs a feature may read. The same conditions, as join predicates: no rejected pair leaves the join.
+
+    ``since`` (a date as a function of ``index_date``) says that older records are of no use to the caller. ``rows`` are read twice.
+    """
+    near = within(records, rows, since=since)
+    pairs = record_pairs(rows, near, declared=declared, lag_days=lag_days, hot=hot).where("reject_reason IS NULL").drop("reject_reason")
+    return pairs if since is None else pairs.where(F.col("record_date") >= since)
 
 
 def rejection_counts(pairs: Mapping[str, DataFrame]) -> DataFrame:
@@ -414,11 +479,12 @@ def longest_prefix(codes: DataFrame, code: str, rules: DataFrame, lengths: Seque
     return codes.join(best, code)
 
 
-def outcome_pairs(rows: DataFrame, encounters: DataFrame, rules: OutcomeRules) -> DataFrame:
+def outcome_pairs(rows: DataFrame, encounters: DataFrame, rules: OutcomeRules, hot: DataFrame | None = None) -> DataFrame:
     """Encounters of the row's entity with index <= event <= window end."""
     end = dates.window_end("index_date", years=rules.years, days=rules.days)
-    return (rows.select(*ROW).withColumn("window_end", end).join(encounters, "entity_id")
-            .where(F.col("event_date").between(F.col("index_date"), F.col("window_end"))))
+    near = within(encounters, rows, since=F.col("index_date"), until=end, date_column="event_date")
+    pairs = entity_join(rows.select(*ROW).withColumn("window_end", end), near, hot_entities(near) if hot is None else hot)
+    return pairs.where(F.col("event_date").between(F.col("index_date"), F.col("window_end")))
 
 
 def outcome_status(pairs: DataFrame, rules: OutcomeRules) -> DataFrame:
@@ -455,17 +521,19 @@ def derive(tables: Mapping[str, DataFrame], index: DataFrame, code_rules: DataFr
            rules: DerivationRules) -> DataFrame:
     """All parts joined on the row key: keys, latest evidence date, outcome, predictors, follow-up end.
 
-    Each event table is joined to the rows once and reduced in one chain of aggregates that gives all
-    its features together with the latest date it used. The parts are then joined on the row key they
-    are already partitioned by.
+    Eligible rows are written once. Each event table is joined to them once and reduced in one chain of
+    aggregates that gives all its features together with the latest date it used. The parts are then
+    joined on the row key they are already partitioned by.
     """
-    rows = eligible_rows(index, tables["persons"], rules.age_min)
+    rows = prepared_rows(eligible_rows(index, tables["persons"], rules.age_min))
+    hot = hot_entities(*[t for name, t in tables.items() if name != "persons"])
+    since = {"prescriptions": dates.window_start("index_date", days=rules.item_window_days), "conditions": oldest_window(rules.windows)}
 
     def pairs(name: str) -> DataFrame:
-        return usable_records(rows, tables[name], declared=name not in rules.undeclared, lag_days=rules.lag_days)
+        return usable_records(rows, tables[name], declared=name not in rules.undeclared, lag_days=rules.lag_days, since=since.get(name), hot=hot)
 
     meas = pairs("measurements")
-    enc = longest_prefix(outcome_pairs(rows, tables["encounters"], rules.outcome), "code", code_rules, code_lengths)
+    enc = longest_prefix(outcome_pairs(rows, tables["encounters"], rules.outcome, hot), "code", code_rules, code_lengths)
     parts = [
         _condition_part(pairs("conditions"), rules), _prescription_part(pairs("prescriptions"), rules), _measurement_part(meas, rules),
         _matched_index(body_window(meas, rules), rules), _lifestyle_part(pairs("lifestyle"), rules), first_event(outcome_status(enc, rules.outcome)),

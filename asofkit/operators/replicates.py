@@ -307,7 +307,10 @@ def top_events(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain]
 
 
 def weighted_sums(df: DataFrame, cluster: str, columns: Sequence[Column], n_boot: int, seed: int, terms: Callable[[list[np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all rows of ``terms(columns, weights)`` (terms x replicates), without any order: one scan, added by Spark."""
+    """Sum over all rows of ``terms(columns, weights)`` (terms x replicates), without any order: one scan, added by Spark.
+
+    ``terms`` adds up over rows and weights, so rows of a batch that agree in all columns are put together first.
+    """
 
     count = len(columns)
 
@@ -316,8 +319,12 @@ def weighted_sums(df: DataFrame, cluster: str, columns: Sequence[Column], n_boot
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(at, CHUNK)
-                w = weight_matrix(b.column(0), seed, n_boot)
-                own = terms([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(count)], w)
+                x = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(count)])
+                order = np.lexsort(x)
+                x = x[:, order]
+                first = np.flatnonzero(np.r_[True, (x[:, 1:] != x[:, :-1]).any(axis=0)])
+                w = np.add.reduceat(weight_matrix(b.column(0), seed, n_boot)[order], first, axis=0)
+                own = terms(list(x[:, first]), w)
                 total = own if total is None else total + own
         if total is not None:
             yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])

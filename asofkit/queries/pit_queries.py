@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.functions import dates
 from asofkit.operators import pit
 from asofkit.queries import roles
 from asofkit.queries.registry import Tables, query
@@ -14,11 +15,16 @@ RULES = roles.RULES
 
 
 def elig(t: Tables) -> DataFrame:
-    return pit.eligible_rows(roles.index_table(t), roles.persons(t), RULES.age_min)
+    return pit.prepared_rows(pit.eligible_rows(roles.index_table(t), roles.persons(t), RULES.age_min))
 
 
-def usable(t: Tables, name: str) -> DataFrame:
-    return pit.usable_records(elig(t), getattr(roles, name)(t), declared=name not in RULES.undeclared, lag_days=RULES.lag_days)
+def usable(t: Tables, name: str, rows: DataFrame | None = None, start: Column | None = None) -> DataFrame:
+    rows = elig(t) if rows is None else rows
+    return pit.usable_records(rows, getattr(roles, name)(t), declared=name not in RULES.undeclared, lag_days=RULES.lag_days, since=start)
+
+
+def since(*, years: int | None = None, days: int | None = None) -> Column:
+    return dates.window_start("index_date", years=years, days=days)
 
 
 @query("asof_membership", "J01", "entity_id:l index_date:d start_date:d end_date:d site:s covers:b has_person:b",
@@ -56,26 +62,28 @@ def _(t):
 @query("distinct_items_120d", "A01 P08", "entity_id:l index_date:d item_count:l",
        roles_sql("SELECT entity_id, index_date, coalesce(item_count, 0) AS item_count FROM elig LEFT JOIN items USING (entity_id, index_date)"))
 def _(t):
-    counts = pit.distinct_items(usable(t, "prescriptions"), window_days=120, excluded_chapters=RULES.excluded_chapters)
-    return elig(t).join(counts, pit.ROW, "left").select(*pit.ROW, F.coalesce("item_count", F.lit(0)).alias("item_count"))
+    rows = elig(t)
+    used = usable(t, "prescriptions", rows, since(days=120))
+    counts = pit.distinct_items(used, window_days=120, excluded_chapters=RULES.excluded_chapters)
+    return rows.join(counts, pit.ROW, "left").select(*pit.ROW, F.coalesce("item_count", F.lit(0)).alias("item_count"))
 
 
 @query("latest_day_mean", "W02", "entity_id:l index_date:d recorded:f",
        roles_sql("SELECT entity_id, index_date, recorded FROM rec_bmi"))
 def _(t):
-    win = pit.body_window(usable(t, "measurements"), RULES)
+    win = pit.body_window(usable(t, "measurements", start=since(years=RULES.body_window_years)), RULES)
     return pit.latest_day_mean(win.where((F.col("kind") == "bmi") & F.col("value").between(10.0, 80.0)), "value", "recorded")
 
 
 @query("nearest_match", "J03 W04", "entity_id:l index_date:d record_date:d value:f match_date:d match_value:f",
        roles_sql("SELECT entity_id, index_date, record_date, value, match_date, match_value FROM matched"))
 def _(t):
-    return pit.nearest_match(pit.body_window(usable(t, "measurements"), RULES), "weight_kg", "height_m", 30)
+    return pit.nearest_match(pit.body_window(usable(t, "measurements", start=since(years=RULES.body_window_years)), RULES), "weight_kg", "height_m", 30)
 
 
 @query("body_index", "J03 W02 W04", "entity_id:l index_date:d body_index:f", roles_sql("SELECT entity_id, index_date, body_index FROM body"))
 def _(t):
-    return pit.body_index(usable(t, "measurements"), RULES)
+    return pit.body_index(usable(t, "measurements", start=since(years=RULES.body_window_years)), RULES)
 
 
 @query("latest_status_by_precedence", "W03", "entity_id:l index_date:d smoking_status:s",
@@ -87,7 +95,7 @@ def _(t):
 @query("highest_level_in_window", "W05", "entity_id:l index_date:d alcohol_level:s",
        roles_sql("SELECT entity_id, index_date, alcohol_level FROM alc"))
 def _(t):
-    return pit.highest_level(usable(t, "lifestyle"), RULES.alcohol_window_years)
+    return pit.highest_level(usable(t, "lifestyle", start=since(years=RULES.alcohol_window_years)), RULES.alcohol_window_years)
 
 
 @query("same_day_anti_join", "J04", "entity_id:l index_date:d record_date:d units:f", roles_sql("""
@@ -111,14 +119,16 @@ def _(t):
 @query("evidence_pivot", "A03 C02", "entity_id:l index_date:d alpha:l beta:l gamma:l delta:l pressure:l anaemia:l",
        roles_sql("SELECT * FROM binaries"))
 def _(t):
-    return pit.pivot_evidence(pit.evidence(usable(t, "conditions"), usable(t, "measurements"), RULES), RULES.windows)
+    rows = elig(t)
+    return pit.pivot_evidence(pit.evidence(usable(t, "conditions", rows), usable(t, "measurements", rows), RULES), RULES.windows)
 
 
 @query("latest_evidence_date", "A02", "entity_id:l index_date:d max_record_date:d", roles_sql("""
 SELECT entity_id, index_date, max(record_date) AS max_record_date FROM (SELECT entity_id, index_date, record_date FROM itemwin UNION ALL SELECT entity_id, index_date, record_date FROM smokewin) GROUP BY ALL"""))
 def _(t):
-    rx = usable(t, "prescriptions").where(pit.drug_in_window(120, RULES.excluded_chapters))
-    return pit.latest_evidence([rx, usable(t, "lifestyle").where("kind = 'smoking'")])
+    rows = elig(t)
+    rx = usable(t, "prescriptions", rows, since(days=120)).where(pit.drug_in_window(120, RULES.excluded_chapters))
+    return pit.latest_evidence([rx, usable(t, "lifestyle", rows).where("kind = 'smoking'")])
 
 
 @query("longest_prefix_match", "J06 P20", "code:s prefix:s code_status:s n:l", roles_sql("""
@@ -128,8 +138,8 @@ def _(t):
     return hit.groupBy("code", "prefix", "code_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def statused(t: Tables) -> DataFrame:
-    pairs = pit.outcome_pairs(elig(t), roles.encounters(t), RULES.outcome)
+def statused(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    pairs = pit.outcome_pairs(elig(t) if rows is None else rows, roles.encounters(t), RULES.outcome)
     return pit.outcome_status(pit.longest_prefix(pairs, "code", roles.code_rules(t), roles.CODE_LENGTHS), RULES.outcome)
 
 
@@ -143,7 +153,8 @@ def _(t):
 @query("first_event", "A06", "entity_id:l index_date:d first_event_date:d outcome:l", roles_sql("""
 SELECT entity_id, index_date, first_event_date, CAST(first_event_date IS NOT NULL AS INTEGER) AS outcome FROM elig LEFT JOIN first_ev USING (entity_id, index_date)"""))
 def _(t):
-    return elig(t).join(pit.first_event(statused(t)), pit.ROW, "left").withColumn("outcome", F.col("first_event_date").isNotNull().cast("int"))
+    rows = elig(t)
+    return rows.join(pit.first_event(statused(t, rows)), pit.ROW, "left").withColumn("outcome", F.col("first_event_date").isNotNull().cast("int"))
 
 
 @query("outcome_audit", "A07", "code_system:s code_block:s kind:s code_status:s encounter_type:s admission_method:s position:s status:s n_records:l", roles_sql("""
