@@ -40,16 +40,17 @@ def normalise_cell(raw: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.trim(_c(raw)), r"^([+-]?\d+)\.0+$", "$1"), F.lit(""))
 
 
-# Fixed values of a shape
-SHAPE_DIGIT, SHAPE_LETTER, SHAPE_MORE, SHAPE_BLANK = "9", "a", "…", "(blank)"
-SHAPE_RUN, SHAPE_LENGTH = 3, 24
+# Fixed values of a shape: what digits and letters become, how runs of letters and long shapes are cut.
+SHAPE_DIGITS, SHAPE_LETTERS = "[0-9]", "[A-Za-z\u0590-\u05ff]"
+SHAPE_DIGIT, SHAPE_LETTER, SHAPE_LONG_RUN, SHAPE_RUN, SHAPE_BLANK = "9", "a", "a{4,}", "aaa…", "(blank)"
+SHAPE_LENGTH = 24
 
 
 def text_shape(raw: Column | str) -> Column:
-    """Shape of a text: each digit as SHAPE_DIGIT, each Latin or Hebrew letter as SHAPE_LETTER, long letter runs and long shapes cut."""
-    cut = SHAPE_LETTER * SHAPE_RUN + SHAPE_MORE
-    runs = F.regexp_replace(F.trim(_c(raw)), f"[A-Za-z\\x{{590}}-\\x{{5FF}}]{{{SHAPE_RUN + 1},}}", cut)
-    shape = F.left(F.regexp_replace(F.regexp_replace(runs, f"[A-Za-z\\x{{590}}-\\x{{5FF}}]", SHAPE_LETTER), "[0-9]", SHAPE_DIGIT), F.lit(SHAPE_LENGTH))
+    """Shape of a text: digits and Latin or Hebrew letters by their signs, long letter runs and long shapes cut."""
+    shape = F.regexp_replace(F.trim(_c(raw)), SHAPE_DIGITS, SHAPE_DIGIT)
+    shape = F.regexp_replace(shape, SHAPE_LETTERS, SHAPE_LETTER)
+    shape = F.left(F.regexp_replace(shape, SHAPE_LONG_RUN, SHAPE_RUN), F.lit(SHAPE_LENGTH))
     return F.when(F.length(shape) > 0, shape).otherwise(SHAPE_BLANK)
 
 

@@ -116,20 +116,20 @@ def _tree_scores(t: Tables, est, train: DataFrame, rows: DataFrame, keep=("y",))
 @query("random_forest_scores", "M35 P30", "split:s n:l events:l auroc:f4 ap:f4")
 def _(t):
     rows = fit_rows(t)
-    return _tree_scores(t, models.random_forest(trees=10, depth=4), rows.where("split = 'train'"), rows)
+    return _tree_scores(t, models.random_forest(), rows.where("split = 'train'"), rows)
 
 
 @query("gradient_boosting_scores", "M36", "split:s n:l events:l auroc:f4 ap:f4")
 def _(t):
     rows = fit_rows(t)
-    return _tree_scores(t, models.boosted_trees(rounds=5), rows.where("split = 'train'"), rows)
+    return _tree_scores(t, models.boosted_trees(), rows.where("split = 'train'"), rows)
 
 
 @query("early_stopped_boosting", "M37", "split:s n:l events:l auroc:f4 ap:f4")
 def _(t):
     rows = fit_rows(t)
     train = rows.where("split <> 'test'").withColumn("stop_rows", F.col("split") == "validation")
-    return _tree_scores(t, models.boosted_trees(rounds=8, validation="stop_rows"), train, rows, ("y", "stop_rows"))
+    return _tree_scores(t, models.boosted_trees(validation="stop_rows"), train, rows, ("y", "stop_rows"))
 
 
 @query("grid_search", "M38 M30", "trial:l params:s objective:f4 place:l")
