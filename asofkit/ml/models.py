@@ -5,6 +5,7 @@ The driver loops only over independent fits or over iterations of a distributed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
@@ -211,16 +212,20 @@ def power_candidates(max_degree: int = 2) -> list[tuple[float, ...]]:
     return one + (two if max_degree >= 2 else [])
 
 
-def power_deviances(df: DataFrame, variable: str, other: Sequence[str], candidates: Sequence[tuple[float, ...]]) -> DataFrame:
+def power_deviances(df: DataFrame, variable: str, other: Sequence[str], candidates: Sequence[tuple[float, ...]], scaling=None) -> dict[tuple[float, ...], float]:
     """Model deviance per power set of one variable next to the other features (linear: power 1); all sets share the passes."""
-    s = power_scaling(df, variable).first()
+    s = scaling or power_scaling(df, variable).first()
     terms = {powers: scalars.power_terms(F.col(variable), powers, s["shift"], s["scale"]) for powers in candidates}
     names: dict[str, str] = {}  # equal terms of several sets are one column
     columns = {powers: [names.setdefault(str(t), f"_fp{len(names)}") for t in ts] for powers, ts in terms.items()}
     data = df.withColumns({names[str(t)]: t for ts in terms.values() for t in ts})
     fits = logistic_fits(data, [*names.values(), *other], [[*columns[powers], *other] for powers in candidates])
-    rows = [(variable, [float(p) for p in powers], len(powers), fit[2]) for powers, fit in zip(candidates, fits, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "variable string, powers array<double>, degree int, deviance double")
+    return {powers: fit[2] for powers, fit in zip(candidates, fits, strict=True)}
+
+
+def deviance_rows(variable: str, deviances: Mapping[tuple[float, ...], float], spark) -> DataFrame:
+    rows = [(variable, [float(p) for p in powers], len(powers), d) for powers, d in deviances.items()]
+    return spark.createDataFrame(rows, "variable string, powers array<double>, degree int, deviance double")
 
 
 def closed_test(table: DataFrame, null_deviance: float, alpha: float = 0.05) -> tuple[float, ...] | None:
@@ -244,5 +249,77 @@ def closed_test(table: DataFrame, null_deviance: float, alpha: float = 0.05) ->
     return tuple(best2["powers"])
 
 
+LINEAR = (1.0,)
+
+
+def chi_square_tail(x: float, freedom: int) -> float:
+    """P(chi-square > x) for 1, 2 or 3 degrees of freedom."""
+    x = max(x, 0.0)
+    two_sided = math.erfc(math.sqrt(x / 2))
+    return {1: two_sided, 2: math.exp(-x / 2), 3: two_sided + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)}[freedom]
+
+
+def tested_form(deviance: Mapping[tuple[float, ...], float], alpha: float = 0.05) -> dict:
+    """Closed test of one variable that stays in: linear, else the best one-term, else the best two-term set.
+
+    Two terms against linear on 3 degrees of freedom, then against one term on 2; without two-term sets one term
+    against linear on 1. Ties go to the first set in the order of ``POWERS``.
+    """
+    best = {d: min((p for p in deviance if len(p) == d), key=deviance.get, default=None) for d in (1, 2)}
+    one, two, line = best[1], best[2], deviance[LINEAR]
+    if two is None:
+        curved, simpler = chi_square_tail(line - deviance[one], 1), None
+        form = one if curved < alpha else LINEAR
+    else:
+        curved, simpler = chi_square_tail(line - deviance[two], 3), chi_square_tail(deviance[one] - deviance[two], 2)
+        form = LINEAR if curved >= alpha else one if simpler >= alpha else two
+    return {"form": form, "p_nonlinear": curved, "p_simplify": simpler, "deviance_linear": line, "deviance_one": deviance[one], "deviance_two": None if two is None else deviance[two]}
+
+
+def select_power_forms(df: DataFrame, variables: Sequence[str], other: Sequence[str] = (), *, max_degree: int = 2, alpha: float = 0.05, max_cycles: int = 5) -> DataFrame:
+    """Power forms of several variables by backfitting; one row per variable.
+
+    All variables stay in the model. They are taken in the order of what dropping each from the
+    all-linear model costs (dearest first, ties by name). A cycle tests every variable given the
+    present forms of the others and the ``other`` features; cycles go on until one changes nothing
+    (``converged``) or ``max_cycles``. All candidates of a variable share the passes of one fit
+    (``logistic_fits``), and a variable whose surroundings have not moved since its last test keeps
+    its result. ``df`` has y (0/1); values are not NULL.
+    """
+    if not variables or max_cycles < 1 or max_degree not in (1, 2) or not 0 < alpha < 1:
+        raise ContractError("power forms need variables, a cycle or more, degree 1 or 2 and alpha within (0, 1)")
+    if df.where(F.greatest(F.col("y").isNull(), *[F.col(c).isNull() for c in (*variables, *other)])).limit(1).count():
+        raise ContractError("a row has a NULL outcome or feature")
+    df = df.select("y", *variables, *other).persist()  # every fit reads it
+    try:
+        names = sorted(variables)
+        features = [*names, *other]
+        whole, *less = [fit[2] for fit in logistic_fits(df, features, [features, *[[f for f in features if f != v] for v in names]])]
+        cost = {v: max(d - whole, 0.0) for v, d in zip(names, less, strict=True)}
+        order = sorted(names, key=lambda v: (-cost[v], v))
+        scaling = {v: power_scaling(df, v).first() for v in order}
+        forms, tested, met = dict.fromkeys(order, LINEAR), {}, {}
+        converged, cycle = False, 0
+        while not converged and cycle < max_cycles:
+            cycle, converged = cycle + 1, True
+            for v in order:
+                around = tuple(forms[u] for u in order if u != v)
+                if met.get(v) != around:
+                    terms = {f"_{u}{i}": c for u in order if u != v for i, c in enumerate(_form(u, forms[u], scaling[u]))}
+                    table = power_deviances(df.withColumns(terms), v, [*terms, *other], power_candidates(max_degree), scaling[v])
+                    tested[v], met[v] = tested_form(table, alpha), around
+                if tested[v]["form"] != forms[v]:
+                    forms[v], converged = tested[v]["form"], False
+    finally:
+        df.unpersist()
+    rows = [(v, [float(p) for p in forms[v]], *((0.0, 1.0) if forms[v] == LINEAR else (float(scaling[v]["shift"]), float(scaling[v]["scale"]))), i + 1, cost[v],
+             *[tested[v][k] for k in ("deviance_linear", "deviance_one", "deviance_two", "p_nonlinear", "p_simplify")], cycle, converged) for i, v in enumerate(order)]
+    return df.sparkSession.createDataFrame(rows, "variable string, powers array<double>, shift double, scale double, place int, drop_cost double, deviance_linear double, deviance_one double, deviance_two double, p_nonlinear double, p_simplify double, cycles int, converged boolean")
+
+
+def _form(variable: str, powers: tuple[float, ...], scaling) -> list[Column]:
+    return [F.col(variable).cast("double")] if powers == LINEAR else scalars.power_terms(F.col(variable), powers, scaling["shift"], scaling["scale"])
+
+
 def risk_column(intercept: float, coefs: Mapping[str, float]) -> Column:
     return stats.expit(scalars.linear_predictor(intercept, coefs))

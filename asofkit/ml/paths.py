@@ -9,7 +9,7 @@ standard deviations, which follow from the totals by subtraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from asofkit.operators.contracts import ContractError
 
 ZERO_SPREAD = 1e-12
+BARRED = 1e300  # penalty of a feature outside a model's set
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,14 @@ class Path:
     converged: np.ndarray
     passes: int
 
+    def _all_converged(self) -> None:
+        """Held-out deviances are not given out while a fold's fit has not converged."""
+        if not self.converged[:-1].all():
+            raise ContractError("the fit of a fold did not converge; raise max_passes")
+
     def cv_table(self, spark) -> DataFrame:
         """(l1_ratio, lambda, fold, n, deviance) of every held-out fold."""
+        self._all_converged()
         rows = [(float(a), float(self.lambdas[i, j]), f, int(self.held_out[f]), float(self.deviance[f, i, j])) for i, a in enumerate(self.l1_ratios) for j in range(self.lambdas.shape[1]) for f in range(len(self.held_out))]
         return spark.createDataFrame(rows, "l1_ratio double, lambda double, fold int, n long, deviance double")
 
@@ -52,6 +59,7 @@ class Path:
 
         It is identified when at least ``confirm`` smaller penalties are worse by the relative ``tolerance``.
         """
+        self._all_converged()
         mean = self.deviance.mean(axis=0)
         i = int(np.argmin(mean.min(axis=1)))
         j = int(np.argmin(mean[i]))
@@ -66,8 +74,9 @@ class Path:
 
 
 def moments(df: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:
-    """Per fold: rows, events and the sums and squares of every feature."""
-    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"), *[F.sum(f).alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features])
+    """Per fold: rows, events, rows with a NULL, and the sums and squares of every feature."""
+    gap = F.count_if(F.greatest(F.col(y).isNull(), *[F.col(f).isNull() for f in features]))
+    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"), gap.alias("gaps"), *[F.sum(f).alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features])
 
 
 def training_scale(table: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -88,10 +97,12 @@ def penalty_grid(top: float, n: int = 100, ratio: float = 1e-4) -> np.ndarray:
     return top * ratio ** (np.arange(n) / max(1, n - 1))
 
 
-def _pass(df: DataFrame, folds: int, raw: np.ndarray, held_out: bool) -> np.ndarray:
-    """Sums over the rows for coefficients ``raw`` (fold, model, 1 + features), by fold and place.
+def _pass(df: DataFrame, without: Sequence[Sequence[int]], raw: np.ndarray, held_out: int = 0) -> np.ndarray:
+    """Sums over the rows for coefficients ``raw`` (group, model, 1 + features).
 
-    Places hold gradient, upper triangle of the curvature, deviance; with ``held_out`` the deviance of the fold's own rows only.
+    Group g trains on the rows whose fold is not in ``without[g]``. By group: gradient, upper
+    triangle of the curvature, deviance. With ``held_out`` (the number of folds) instead the
+    deviance of the rows in each fold that the group goes without: (group, fold, model).
     """
     shared = df.sparkSession.sparkContext.broadcast(raw)
     q = raw.shape[2]
@@ -102,40 +113,45 @@ def _pass(df: DataFrame, folds: int, raw: np.ndarray, held_out: bool) -> np.ndar
         for b in batches:
             fold, y = b["fold"].to_numpy(), b["y"].to_numpy(float)
             x = np.column_stack([np.ones(len(b)), np.array(b["x"].tolist(), float).reshape(len(b), q - 1)])
-            for f in range(folds + (not held_out)):
-                mine = fold == f if held_out else fold != f
-                xs, ys = x[mine], y[mine, None]
-                if not len(xs):
-                    continue
-                eta = np.clip(xs @ shared.value[f].T, -30, 30)
-                deviance = 2 * (np.logaddexp(0, eta) - ys * eta).sum(axis=0)
-                if held_out:
-                    part = deviance
-                else:
-                    p = 1 / (1 + np.exp(-eta))
-                    curvature = (p * (1 - p)).T @ (xs[:, upper[0]] * xs[:, upper[1]])
-                    part = np.concatenate([((p - ys).T @ xs).ravel(), curvature.ravel(), deviance])
-                sums[f] = sums.get(f, 0.0) + part
+            crossed = x[:, upper[0]] * x[:, upper[1]]
+            for g, gone in enumerate(without):
+                for f in gone if held_out else (-1,):
+                    mine = fold == f if held_out else ~np.isin(fold, gone)
+                    if not mine.any():
+                        continue
+                    xs, ys = x[mine], y[mine, None]
+                    eta = np.clip(xs @ shared.value[g].T, -30, 30)
+                    part = 2 * (np.logaddexp(0, eta) - ys * eta).sum(axis=0)
+                    if not held_out:
+                        p = 1 / (1 + np.exp(-eta))
+                        part = np.concatenate([((p - ys).T @ xs).ravel(), ((p * (1 - p)).T @ crossed[mine]).ravel(), part])
+                    at = g * held_out + f if held_out else g
+                    sums[at] = sums.get(at, 0.0) + part
         for f, s in sums.items():
             yield pd.DataFrame({"f": f, "place": np.arange(len(s)), "v": s})
 
     rows = df.mapInPandas(add, "f int, place int, v double").groupBy("f", "place").agg(F.sum("v").alias("v")).toPandas()
     shared.unpersist()
-    size = raw.shape[1] * (1 if held_out else q + len(upper[0]) + 1)
-    out = np.zeros((raw.shape[0], size))
+    if held_out:
+        out = np.zeros((len(without) * held_out, raw.shape[1]))
+    else:
+        out = np.zeros((len(without), raw.shape[1] * (q + len(upper[0]) + 1)))
     out[rows["f"], rows["place"]] = rows["v"]
-    return out
+    return out.reshape(len(without), held_out, -1) if held_out else out
 
 
 def _solve(start: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """Coordinate descent on each model's penalised quadratic, all models at once; place 0 is the unpenalised intercept."""
+    """Coordinate descent on each model's penalised quadratic, all models at once; place 0 is the unpenalised intercept.
+
+    ``l1`` and ``l2`` are by model and feature.
+    """
     b, g = start.copy(), gradient.copy()
     for _ in range(2000):
         moved = 0.0
         for j in range(b.shape[-1]):
             h = curvature[..., j, j]
             pull = h * b[..., j] - g[..., j]
-            new = np.where(h > 0, pull / np.maximum(h, 1e-300), 0.0) if j == 0 else np.where(h > ZERO_SPREAD, np.sign(pull) * np.maximum(np.abs(pull) - l1, 0) / np.maximum(h + l2, 1e-300), 0.0)
+            new = np.where(h > 0, pull / np.maximum(h, 1e-300), 0.0) if j == 0 else np.where(h > ZERO_SPREAD, np.sign(pull) * np.maximum(np.abs(pull) - l1[..., j - 1], 0) / np.maximum(h + l2[..., j - 1], 1e-300), 0.0)
             step = new - b[..., j]
             g += curvature[..., j] * step[..., None]
             b[..., j] = new
@@ -145,15 +161,38 @@ def _solve(start: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: n
     return b
 
 
-def penalised_path(df: DataFrame, features: Sequence[str], *, folds: int = 10, n_lambdas: int = 100, ratio: float = 1e-4, l1_ratios: Sequence[float] = (1.0,), max_passes: int = 60, tolerance: float = 1e-7) -> Path:
-    """Fits all folds, mixings and penalties. ``df``: y (0/1), fold (0..folds-1) and numeric features."""
-    features = tuple(features)
+@dataclass(frozen=True)
+class _Fits:
+    """Models by (group, feature set, mixing, penalty). ``held``: mean deviance by (group, fold, ...)."""
+
+    beta: np.ndarray
+    intercept: np.ndarray
+    raw: np.ndarray
+    mean: np.ndarray
+    sd: np.ndarray
+    lambdas: np.ndarray
+    held: np.ndarray
+    count: np.ndarray
+    converged: np.ndarray
+    passes: int
+
+
+def _fit(df: DataFrame, features: tuple[str, ...], without: Sequence[Sequence[int]], grid_of: Sequence[int], used: np.ndarray, *, folds: int, n_lambdas: int, ratio: float, l1_ratios: Sequence[float], max_passes: int, tolerance: float) -> _Fits:
+    """All groups, feature sets, mixings and penalties in shared passes.
+
+    ``without``: folds that each group does not train on; ``grid_of``: the group whose rows set a
+    group's penalties; ``used`` (set, feature): features that a set may use.
+    """
     stats = {r["fold"]: r for r in moments(df, features).collect()}  # one row per fold
+    if not set(stats) <= set(range(folds)):
+        raise ContractError("a row has no fold, or one out of range")
+    if any(r["gaps"] for r in stats.values()):
+        raise ContractError("a row has a NULL outcome or feature")
     row = lambda f, k: np.array([float(stats[f][f"{k}_{x}"]) for x in features]) if f in stats else np.zeros(len(features))
     count = np.array([stats[f]["n"] if f in stats else 0 for f in range(folds)])
     events = np.array([float(stats[f]["events"]) if f in stats else 0.0 for f in range(folds)])
     s, q = np.array([row(f, "s") for f in range(folds)]), np.array([row(f, "q") for f in range(folds)])
-    train = lambda v: np.concatenate([v.sum(axis=0) - v, v.sum(axis=0)[None]])
+    train = lambda v: np.array([v.sum(axis=0) - v[list(gone)].sum(axis=0) for gone in without])
     n, e = train(count).astype(float), train(events)
     if (e <= 0).any() or (e >= n).any():
         raise ContractError("a training fold has one outcome only")
@@ -163,33 +202,36 @@ def penalised_path(df: DataFrame, features: Sequence[str], *, folds: int = 10, n
     sd = np.where(flat, 1.0, sd)
     data = df.select("fold", F.col("y").cast("double").alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).persist()
     try:
-        models, width = len(l1_ratios) * n_lambdas, len(features) + 1
-        to_raw = np.zeros((folds + 1, width, width))  # standardised to raw coefficients
+        groups, shape = len(without), (len(used), len(l1_ratios), n_lambdas)
+        models, width = int(np.prod(shape)), len(features) + 1
+        to_raw = np.zeros((groups, width, width))  # standardised to raw coefficients
         to_raw[:, 0, 0] = 1
         to_raw[:, 0, 1:] = -mean / sd
         to_raw[:, np.arange(1, width), np.arange(1, width)] = np.where(flat, 0.0, 1 / sd)
         upper = np.triu_indices(width)
-        b = np.zeros((folds + 1, models, width))
+        b = np.zeros((groups, models, width))
         b[..., 0] = np.log(e / (n - e))[:, None]
 
         def sums(at: np.ndarray):
             raw = np.einsum("fij,fmj->fmi", to_raw, at)
-            got = _pass(data, folds, raw, held_out=False)
+            got = _pass(data, without, raw)
             cut = np.cumsum([models * width, models * len(upper[0])])
             g, h, d = np.split(got, cut, axis=1)
-            full = np.zeros((folds + 1, models, width, width))
-            full[..., upper[0], upper[1]] = full[..., upper[1], upper[0]] = h.reshape(folds + 1, models, -1)
-            gradient = np.einsum("fji,fmj->fmi", to_raw, g.reshape(folds + 1, models, width)) / n[:, None, None]
+            full = np.zeros((groups, models, width, width))
+            full[..., upper[0], upper[1]] = full[..., upper[1], upper[0]] = h.reshape(groups, models, -1)
+            gradient = np.einsum("fji,fmj->fmi", to_raw, g.reshape(groups, models, width)) / n[:, None, None]
             return gradient, np.einsum("fji,fmjk,fkl->fmil", to_raw, full, to_raw) / n[:, None, None, None], d / n[:, None]
 
         gradient, curvature, deviance = sums(b)
-        top = float(np.abs(gradient[-1, 0, 1:]).max())
-        lambdas = np.array([penalty_grid(top / max(a, 1e-3), n_lambdas, ratio) for a in l1_ratios])
-        l1 = (lambdas * np.array(l1_ratios)[:, None]).ravel()[None]
-        l2 = (lambdas * (1 - np.array(l1_ratios))[:, None]).ravel()[None]
-        worth = lambda at, d: d / 2 + l1 * np.abs(at[..., 1:]).sum(-1) + l2 / 2 * (at[..., 1:] ** 2).sum(-1)
+        top = np.where(used, np.abs(gradient[list(grid_of), :1, 1:]), 0.0).max(axis=-1)  # group, set
+        lambdas = np.array([[[penalty_grid(t / max(a, 1e-3), n_lambdas, ratio) for a in l1_ratios] for t in row] for row in top])
+        mixing = np.array(l1_ratios)[:, None]
+        by_feature = lambda v: np.broadcast_to(v[..., None], (groups, *shape, width - 1))
+        l1 = np.where(used[None, :, None, None, :], by_feature(lambdas * mixing), BARRED).reshape(groups, models, -1)
+        l2 = by_feature(lambdas * (1 - mixing)).reshape(groups, models, -1)
+        worth = lambda at, d: d / 2 + (l1 * np.abs(at[..., 1:])).sum(-1) + (l2 / 2 * at[..., 1:] ** 2).sum(-1)
         value, passes = worth(b, deviance), 1
-        converged = np.zeros((folds + 1, models), bool)
+        converged = np.zeros((groups, models), bool)
         while not converged.all() and passes < max_passes:
             new = _solve(b, gradient, curvature, l1, l2)
             moved = np.abs(new - b).max(axis=-1)
@@ -203,11 +245,77 @@ def penalised_path(df: DataFrame, features: Sequence[str], *, folds: int = 10, n
             b, gradient, curvature, value = new, g2, c2, worth(new, d2)
             converged = moved < tolerance
         raw = np.einsum("fij,fmj->fmi", to_raw, b)
-        held = _pass(data, folds, raw[:folds], held_out=True) / np.maximum(count, 1)[:, None]
+        held = _pass(data, without, raw, held_out=folds) / np.maximum(count, 1)[:, None]
     finally:
         data.unpersist()
-    shape = (len(l1_ratios), n_lambdas)
-    return Path(features, np.array(l1_ratios, float), lambdas, b[..., 1:].reshape(folds + 1, *shape, -1), b[..., 0].reshape(folds + 1, *shape), mean, sd, held.reshape(folds, *shape), count, converged.reshape(folds + 1, *shape), passes)
+    of = lambda v: v.reshape(groups, *shape, *v.shape[2:])
+    return _Fits(of(b[..., 1:]), of(b[..., 0]), of(raw), mean, sd, lambdas, held.reshape(groups, folds, *shape), count, of(converged), passes)
+
+
+def penalised_path(df: DataFrame, features: Sequence[str], *, folds: int = 10, n_lambdas: int = 100, ratio: float = 1e-4, l1_ratios: Sequence[float] = (1.0,), max_passes: int = 60, tolerance: float = 1e-7) -> Path:
+    """Fits all folds, mixings and penalties. ``df``: y (0/1), fold (0..folds-1) and numeric features."""
+    features = tuple(features)
+    without = [*[(f,) for f in range(folds)], ()]
+    fits = _fit(df, features, without, [folds] * (folds + 1), np.ones((1, len(features)), bool), folds=folds, n_lambdas=n_lambdas, ratio=ratio, l1_ratios=l1_ratios, max_passes=max_passes, tolerance=tolerance)
+    held = fits.held[np.arange(folds), np.arange(folds), 0]
+    return Path(features, np.array(l1_ratios, float), fits.lambdas[-1, 0], fits.beta[:, 0], fits.intercept[:, 0], fits.mean, fits.sd, held, fits.count, fits.converged[:, 0], fits.passes)
+
+
+@dataclass(frozen=True)
+class Nested:
+    """One model per (feature set, outer fold), fitted and tuned without the fold's rows."""
+
+    features: tuple[str, ...]
+    sets: tuple[str, ...]
+    l1_ratio: np.ndarray  # set, fold
+    lam: np.ndarray
+    coefficients: np.ndarray  # set, fold, intercept and features as given
+    passes: int
+
+    def out_of_fold(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``p_<set>``: each row's event probability under the model of its own outer fold."""
+        out = df
+        for name, models in zip(self.sets, self.coefficients, strict=True):
+            own = F.element_at(F.array(*[F.array(*[F.lit(float(c)) for c in m]) for m in models]), F.col("fold") + 1)
+            eta = own[0]
+            for i, f in enumerate(self.features):
+                eta = eta + own[i + 1] * F.col(f)
+            out = out.withColumn(f"p_{name}", 1 / (1 + F.exp(-eta)))
+        return out
+
+    def choices(self, spark) -> DataFrame:
+        """(set, fold, l1_ratio, lambda, selected): what each outer fold chose, and how many coefficients are not 0."""
+        rows = [(s, f, float(self.l1_ratio[k, f]), float(self.lam[k, f]), int((np.abs(self.coefficients[k, f, 1:]) > ZERO_SPREAD).sum())) for k, s in enumerate(self.sets) for f in range(self.lam.shape[1])]
+        return spark.createDataFrame(rows, "set string, fold int, l1_ratio double, lambda double, selected int")
+
+
+def nested_path(df: DataFrame, features: Sequence[str], *, folds: int = 5, sets: Mapping[str, Sequence[str]] | None = None, n_lambdas: int = 50, ratio: float = 1e-3, l1_ratios: Sequence[float] = (1.0,), max_passes: int = 200, tolerance: float = 1e-7) -> Nested:
+    """Nested cross-validation: outer fold k is predicted by a model tuned and fitted on the other folds only.
+
+    The inner folds of k are the other outer folds, so the inner model (k, j) trains without k and j.
+    Standardisation and penalties of k, its inner models' included, come from the rows outside k.
+    All outer and inner models of all feature ``sets`` share every pass over the rows. ``df``: y (0/1),
+    fold (0..folds-1; rows of an entity in one fold) and numeric features. Complete or refused: a row
+    without a fold, a training part with one outcome or a fit that does not converge stops the job.
+    """
+    if folds < 3:
+        raise ContractError("nested cross-validation takes three folds or more")
+    features = tuple(features)
+    sets = dict(sets or {"all": features})
+    if any(not own or not set(own) <= set(features) for own in sets.values()):
+        raise ContractError("a feature set is empty or names an unknown feature")
+    used = np.array([[f in own for f in features] for own in sets.values()])
+    inner = [(k, j) for k in range(folds) for j in range(folds) if j != k]
+    fits = _fit(df, features, [*[(k,) for k in range(folds)], *inner], [*range(folds), *[k for k, _ in inner]], used, folds=folds, n_lambdas=n_lambdas, ratio=ratio, l1_ratios=l1_ratios, max_passes=max_passes, tolerance=tolerance)
+    if not fits.converged.all():
+        raise ContractError("a fit did not converge")
+    l1_ratio, lam, chosen = np.zeros((len(sets), folds)), np.zeros((len(sets), folds)), np.zeros((len(sets), folds, len(features) + 1))
+    for k in range(folds):
+        error = np.mean([fits.held[folds + i, j] for i, (own, j) in enumerate(inner) if own == k], axis=0)  # set, mixing, penalty
+        for s in range(len(sets)):
+            i, at = np.unravel_index(np.argmin(error[s]), error[s].shape)
+            l1_ratio[s, k], lam[s, k], chosen[s, k] = l1_ratios[i], fits.lambdas[k, s, i, at], fits.raw[k, s, i, at]
+    return Nested(features, tuple(sets), l1_ratio, lam, chosen, fits.passes)
 
 
 def logistic_fits(df: DataFrame, features: Sequence[str], subsets: Sequence[Sequence[str]], *, y: str = "y", max_passes: int = 50, tolerance: float = 1e-8) -> list[tuple[float, dict[str, float], float]]:
@@ -231,7 +339,7 @@ def logistic_fits(df: DataFrame, features: Sequence[str], subsets: Sequence[Sequ
         b[:, 0] = np.log(facts["m"] / (1 - facts["m"]))
 
         def sums(at: np.ndarray):
-            got = _pass(data, 0, (at @ to_raw.T)[None], held_out=False)[0]
+            got = _pass(data, [()], (at @ to_raw.T)[None])[0]
             g, h, d = np.split(got, np.cumsum([at.size, len(subsets) * len(upper[0])]))
             full = np.zeros((len(subsets), width, width))
             full[:, upper[0], upper[1]] = full[:, upper[1], upper[0]] = h.reshape(len(subsets), -1)

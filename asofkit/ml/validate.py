@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions.hashing import hash_uniform
+from asofkit.ml import paths
 from asofkit.ml.models import assemble
+from asofkit.operators.contracts import ContractError
 from asofkit.operators.evaluate import calibration_measures, delong, point_metrics, ranking_metrics
 from asofkit.operators.ordering import even_bounds, range_count, rank_spread, value_bounds
-from asofkit.operators.resample import replicate_weight
+from asofkit.operators.resample import paired_differences, replicate_weight
 from asofkit.operators.splits import nested_fraction
 
 FitScore = Callable[[DataFrame, DataFrame], DataFrame]
@@ -118,3 +120,55 @@ def learning_curve(train: DataFrame, validation: DataFrame, entity: str, fractio
     train.unpersist()
     validation.unpersist()
     return train.sparkSession.createDataFrame(rows, "fraction double, rows long, auroc double")
+
+
+def refit_ablation(df: DataFrame, features: Sequence[str], domains: Mapping[str, Sequence[str]], cluster: str, n_boot: int, seed: int, **nested) -> DataFrame:
+    """Per removed domain and metric: full minus ablated, with a paired interval.
+
+    The full model and one model without each domain are tuned and refitted in every outer fold
+    (``paths.nested_path``, shared passes), and compared on the pooled out-of-fold predictions.
+    """
+    sets = {"full": tuple(features), **{d: tuple(f for f in features if f not in set(gone)) for d, gone in domains.items()}}
+    if len(sets) != len(domains) + 1:
+        raise ContractError("a domain is named full")
+    rows = paths.nested_path(df, features, sets=sets, **nested).out_of_fold(df)
+    out = paired_differences(rows, "p_full", {d: f"p_{d}" for d in domains}, cluster, n_boot, seed)
+    return out.withColumnRenamed("model", "removed")
+
+
+def assembled(rows: DataFrame, p: str, key: str, entity: str) -> DataFrame:
+    """Per outer fold: rows, predictions, distinct keys, rows its model trained on, and entities that its model has met.
+
+    A complete assembly has n = predicted = keys and meets no entity.
+    """
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    shared = rows.groupBy(entity).agg(F.collect_set("fold").alias("folds")).where(F.size("folds") > 1).select(F.explode("folds").alias("fold"))
+    met = shared.groupBy("fold").agg(F.count(F.lit(1)).alias("entities_seen"))
+    own = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count(p).alias("predicted"), F.count_distinct(key).alias("keys")).withColumn("trained_on", total - F.col("n"))
+    return own.join(met, "fold", "left").withColumn("entities_seen", F.coalesce("entities_seen", F.lit(0)))
+
+
+def nested_residuals(rows: DataFrame, nested: paths.Nested, which: int = 0) -> DataFrame:
+    """(fold, feature, residual): how far each outer fold's model is from its optimality conditions, computed from the rows outside the fold."""
+    folds = nested.lam.shape[1]
+    out = lambda c, k: F.avg(F.when(F.col("fold") != k, c))
+    scale = rows.agg(*[F.struct(*[s for f in nested.features for s in (out(F.col(f), k).alias(f"m_{f}"), F.stddev_pop(F.when(F.col("fold") != k, F.col(f))).alias(f"s_{f}"))]).alias(f"_{k}") for k in range(folds)]).first()
+    sums = []
+    for k in range(folds):
+        c = nested.coefficients[which, k]
+        eta = F.lit(float(c[0]))
+        for f, b in zip(nested.features, c[1:], strict=True):
+            eta = eta + F.lit(float(b)) * F.col(f)
+        r = 1 / (1 + F.exp(-eta)) - F.col("y")
+        sums.append(F.struct(out(r, k).alias("(intercept)"), *[out(r * (F.col(f) - scale[f"_{k}"][f"m_{f}"]) / scale[f"_{k}"][f"s_{f}"], k).alias(f) for f in nested.features]).alias(f"_{k}"))
+    g = rows.agg(*sums).first()
+    found = []
+    for k in range(folds):
+        lam, a = nested.lam[which, k], nested.l1_ratio[which, k]
+        found.append((k, "(intercept)", abs(g[f"_{k}"]["(intercept)"])))
+        for f, b in zip(nested.features, nested.coefficients[which, k, 1:], strict=True):
+            b = b * scale[f"_{k}"][f"s_{f}"]
+            slope = g[f"_{k}"][f] + lam * (1 - a) * b
+            residual = max(abs(slope) - lam * a, 0.0) if abs(b) < paths.ZERO_SPREAD else abs(slope + lam * a * (1 if b > 0 else -1))
+            found.append((k, f, float(residual)))
+    return rows.sparkSession.createDataFrame(found, "fold int, feature string, residual double")

@@ -114,6 +114,19 @@ def paired_difference(df: DataFrame, a: str, b: str, cluster: str, n_boot: int,
     return percentile_ci(diff, metrics, [], n_boot).join(points, "metric")
 
 
+def paired_differences(df: DataFrame, base: str, others: Mapping[str, str], cluster: str, n_boot: int, seed: int) -> DataFrame:
+    """Metric differences base - other for several score columns at once: every replicate weighs all of them alike."""
+    metrics = ("auroc", "ap", "brier", "logloss")
+    models = {"": base, **others}
+    reps = replicate_metrics(df, models, cluster, n_boot, seed)
+    whole = reps.where("model = ''").select("b", *[F.col(m).alias(f"_{m}") for m in metrics])
+    diff = reps.where("model <> ''").join(whole, "b").select("b", "model", *[(F.col(f"_{m}") - F.col(m)).alias(m) for m in metrics])
+    points = _points(df, models, metrics)
+    own = points.where("model = ''").select("metric", F.col("estimate").alias("_whole"))
+    points = points.where("model <> ''").join(own, "metric").select("model", "metric", (F.col("_whole") - F.col("estimate")).alias("estimate"))
+    return percentile_ci(diff, metrics, ["model"], n_boot).join(points, ["model", "metric"])
+
+
 def operating_replicates(df: DataFrame, models: Mapping[str, str], targets: Sequence[float], cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Per (b, model, target): share flagged and false-alert share at the highest threshold reaching the target."""
     dealt = _dealt(df, models, [], cluster)

@@ -161,14 +161,56 @@ def _(t):
 @query("power_term_deviances", "M40 P24", "variable:s powers:s degree:l deviance:f2 chosen:b")
 def _(t):
     rows = fit_rows(t)
-    dev = models.power_deviances(rows, "f_balance", ["f_year"], models.power_candidates())
+    dev = models.deviance_rows("f_balance", models.power_deviances(rows, "f_balance", ["f_year"], models.power_candidates()), t.spark)
     without = paths.logistic_fits(rows, ["f_year"], [["f_year"]])[0][2]
     chosen = models.closed_test(dev, without)
     taken = F.lit(False) if chosen is None else F.col("powers") == F.array(*[F.lit(float(p)) for p in chosen])
     return dev.withColumn("chosen", taken).withColumn("powers", F.array_join(F.col("powers").cast("array<string>"), " "))
 
 
+@query("power_form_selection", "M40", "variable:s powers:s shift:f4 scale:f place:l p_nonlinear:f4 p_simplify:f4 cycles:l converged:b")
+def _(t):
+    out = models.select_power_forms(fit_rows(t), ["f_balance", "f_year"], ["f_month", "f_price"])
+    return out.withColumn("powers", F.array_join(F.col("powers").cast("array<string>"), " "))
+
+
 # ------------------------------------------------------------------ refit-based validation
+OUTER = 5
+DOMAINS = {"records": ["f_month", "f_year"], "balance": ["f_balance"], "price": ["f_price"]}
+
+
+def outer_rows(t: Tables) -> DataFrame:
+    """The rows with five entity-grouped outer folds."""
+    return fit_rows(t).withColumn("fold", F.floor(hashing.hash_uniform(F.lit("outer"), "entity_id") * OUTER).cast("int"))
+
+
+OUTER_SQL = "fr AS (SELECT entity_id, concat_ws('|', entity_id, index_date) AS row_key, y, CAST(floor(" + hash_uniform_sql("'outer|' || CAST(entity_id AS VARCHAR)") + f" * {OUTER}) AS INT) AS fold FROM wide WHERE y IS NOT NULL)"
+
+
+@query("nested_out_of_fold", "R27", "fold:l n:l predicted:l keys:l trained_on:l entities_seen:l", with_wide(OUTER_SQL + """,
+s AS (SELECT a.fold, count(DISTINCT a.entity_id) AS c FROM fr a JOIN fr b ON a.entity_id = b.entity_id AND a.fold <> b.fold GROUP BY 1)
+SELECT fr.fold, count(*) AS n, count(*) AS predicted, count(DISTINCT row_key) AS keys, (SELECT count(*) FROM fr) - count(*) AS trained_on, coalesce(any_value(s.c), 0) AS entities_seen FROM fr LEFT JOIN s ON fr.fold = s.fold GROUP BY 1"""))
+def _(t):
+    rows = outer_rows(t)
+    return validate.assembled(paths.nested_path(rows, FEATURES, folds=OUTER).out_of_fold(rows), "p_all", "row", "entity_id")
+
+
+@query("nested_optimality", "R27", "fold:l feature:s residual:f4", f"SELECT fold, unnest(['(intercept)', {', '.join(f"'{f}'" for f in FEATURES)}]) AS feature, 0.0 AS residual FROM range({OUTER}) r(fold)")
+def _(t):
+    rows = outer_rows(t)
+    return validate.nested_residuals(rows, paths.nested_path(rows, FEATURES, folds=OUTER))
+
+
+@query("nested_choices", "R27", "set:s fold:l l1_ratio:f lambda:f4 selected:l")
+def _(t):
+    return paths.nested_path(outer_rows(t), FEATURES, folds=OUTER, l1_ratios=(0.5, 1.0)).choices(t.spark)
+
+
+@query("refit_ablation", "C21", "removed:s metric:s n_valid:l estimate:f4 ci_low:f4 ci_high:f4 share_above_0:f4")
+def _(t):
+    return validate.refit_ablation(outer_rows(t), FEATURES, DOMAINS, "entity_id", 200, 11, folds=OUTER)
+
+
 def _perm_sql(feature: str) -> str:
     u = hash_uniform_sql(f"'7|1|{feature}|' || CAST(row_key AS VARCHAR)")
     other = "p_ref" if feature == "p" else "p"
