@@ -8,6 +8,9 @@ A logistic curve through cross-fitted margins turns margins into scores.
 The fit uses a bounded sample of labelled keys, ``sample`` (default 10,000), those
 with the smallest hashes; beyond that the parameter has to be raised. Of a key with
 several rows, the text with the smallest hash is used, so ``sample`` bounds the rows.
+``most_features`` (default 20 million) bounds the features of all sampled texts together,
+hence the driver's memory (4 bytes a feature) however long texts are: keys are taken by
+hash up to the first one that no longer fits. A text has at most 2^18 features.
 Scoring reads all rows. Rows whose key's checksum modulo 3 is 1 are held out of the
 fit. Conflicting labels of a key are averaged, a tie counting as good; null labels are
 left out. Without labels of both classes the score is the share of good labels (0.5
@@ -82,20 +85,22 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
     """L2-regularised squared hinge loss, one dual variable at a time; the bias is a constant feature."""
-    w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    values = [scale[x].astype(np.float64) for x in rows]
+    w, bias, alpha, scale = np.zeros(len(scale)), 0.0, np.zeros(len(rows)), scale.astype(np.float64)
     weight = np.where(y > 0, (y < 0).mean(), (y > 0).mean()) * 2 * c  # both classes count alike
     diagonal = 0.5 / weight
-    curve = np.array([v @ v + 1 for v in values]) + diagonal
+    squares = scale * scale
+    curve = np.array([squares[x].sum() + 1 for x in rows]) + diagonal
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
         for i in order.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1 + diagonal[i] * alpha[i]
+            x = rows[i]
+            values = scale[x]  # looked up anew, so that rows hold their feature numbers only
+            gradient = y[i] * (w[x] @ values + bias) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - gradient / curve[i], 0.0)
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[x] += step * values
                 bias += step
                 largest = max(largest, abs(step))
                 alpha[i] = new
@@ -154,15 +159,24 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fits on at most ``sample`` labelled keys that are not held out, one row of each."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_features: int = 20_000_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """Fits on at most ``sample`` labelled keys that are not held out, one row of each, ``most_features`` features in all."""
+    if most_features < 1 << BITS:
+        raise ValueError("most_features is below the features that one text may have")
     known = labels.select(F.col(key), F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     marked = known.groupBy(key).agg((F.avg("label") >= 0.5).cast("int").alias("good"))
     chosen = checkpointed(marked.orderBy(F.xxhash64(key), key).limit(sample))  # at most `sample` pairs of numbers, so it may be broadcast
     texts = docs.select(key, F.col(text).cast("binary").alias("body")).join(F.broadcast(chosen), key)
     one = texts.groupBy(key).agg(F.min("good").alias("good"), F.min_by("body", F.xxhash64("body")).alias("body"))  # aggregated before the shuffle, so a key may hold any share of rows
     rows = map_rows(one.select(key, "good", "body"), lambda k, g, t: [(k, g, indicators(t).tobytes())], f"{key} {docs.schema[key].dataType.simpleString()}, good int, features binary")
-    got = sorted((r[key], r["good"], bytes(r["features"])) for r in rows.toLocalIterator())
+    rows = checkpointed(rows.withColumn("turn", F.xxhash64(key)))
+    total, fits = 0, rows
+    for turn, n in sorted((r["turn"], r["n"]) for r in rows.select("turn", (F.length("features") / 4).cast("long").alias("n")).collect()):  # `sample` pairs at most
+        total += n
+        if total > most_features:
+            fits = rows.where(F.col("turn") < turn)
+            break
+    got = sorted((r[key], r["good"], bytes(r["features"])) for r in fits.toLocalIterator())
     return fit_model([np.frombuffer(x, np.int32) for _, _, x in got], [g for _, g, _ in got])
 
 
