@@ -48,6 +48,7 @@ PER_PART = 20_000  # summary entries of one chunk
 CHUNK = 2_000_000  # elements summarised at a time
 BUCKET_ENTRIES = 2_000_000
 LONG = 10_000  # entries of one block of a list, where links are listed
+HELD_PAIRS = 1_000_000  # pairs of a part that a task gathers before it passes them on
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -260,7 +261,10 @@ def _asked(e: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All fitting pairs of a list whose components differ and that the list did not ask for, each once per part."""
+    """All fitting pairs of a list whose components differ and that the list did not ask for.
+
+    Pairs leave in batches of some ``HELD_PAIRS``, each pair once per batch, so memory follows the list and not its pairs.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -273,8 +277,12 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longest = np.arange(len(run)) - first_fitting(run, c["n"])  # entries before each that its size allows
     out, size = [], 0
 
-    def unique() -> np.ndarray:
-        return np.unique(np.concatenate(out), axis=0)
+    def packed() -> Iterator[pa.RecordBatch]:
+        found = np.concatenate(out)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        found = found[np.r_[True, (found[1:] != found[:-1]).any(axis=1)]]
+        for at in range(0, len(found), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 50_000, i])) for i in (0, 1)], names=["a", "b"])
 
     active, step = np.arange(len(run)), 0
     while True:
@@ -292,13 +300,11 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             out.append(np.stack([c["name"][i], c["name"][j]], axis=1))
             size += len(i)
-            if size > 4_000_000:
-                out = [unique()]
-                size = len(out[0]) // 2
+            if size >= HELD_PAIRS:
+                yield from packed()
+                out, size = [], 0
     if out:
-        pairs = unique()
-        for at in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + 50_000, i])) for i in (0, 1)], names=["a", "b"])
+        yield from packed()
 
 
 def _packed(needed_bits):

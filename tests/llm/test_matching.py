@@ -4,6 +4,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from asofkit.llm import decontaminate, jaccard_join
@@ -140,3 +143,15 @@ def test_links_equal_all_pairs_of_different_sets(spark, docs_of, monkeypatch):
         monkeypatch.setattr(jaccard_join, "LONG", size)
         got = [tuple(x) for x in jaccard_join.links(docs).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("held", [1, 50, 10**6])
+def test_a_list_passes_its_open_pairs_on_in_batches(monkeypatch, held):
+    n = 60
+    monkeypatch.setattr(jaccard_join, "HELD_PAIRS", held)
+    names = np.arange(100, 100 + n)
+    columns = {"element": np.full(n, 7), "name": names, "n": np.full(n, 50), "at": np.zeros(n, int), "lead": np.r_[names[1], np.full(n - 1, names[0])], "near": names - 1, "root": names}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
+    got = [(a, b) for r in jaccard_join._open_pairs(iter([batch.slice(0, 25), batch.slice(25)])) for a, b in zip(*(c.to_pylist() for c in r.columns), strict=True)]
+    want = {(a, b) for a in names.tolist() for b in names.tolist() if a < b and a != 100 and b != a + 1}
+    assert set(got) == want and len(got) == len(want)
