@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions import stats
+from asofkit.operators.grouped_fit import fit_by_key
 from asofkit.operators.ordering import prefix_sums, quantiles, rank_rows
 
 
@@ -112,51 +113,11 @@ def performance_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------------ calibration by Newton steps
 def fit_calibration(df: DataFrame, keys: Sequence[str] = (), *, lp: str = "lp", weight: str | None = None, offset_only: bool = False,
                     max_iter: int = 50, tol: float = 1e-10, max_coef: float = 50.0) -> DataFrame:
-    """Maximum-likelihood ``logit P(y) = a + b*lp`` per key; with ``offset_only`` b is fixed at 1.
+    """Maximum-likelihood ``logit P(y) = a + b*lp`` per key; with ``offset_only`` b is fixed at 1 (``grouped_fit.fit_by_key``).
 
-    Each Newton step is one grouped aggregate of six sums over the data; the driver holds only
-    two numbers per key. Undefined fits (one class, separation, singular information) are NULL.
+    Undefined fits are NULL; ``fit_status`` says why.
     """
-    spark = df.sparkSession
-    keys = list(keys)
-    data = df.select(*keys, F.col("y").cast("double").alias("_y"), F.col(lp).alias("_x"),
-                     (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")).persist()
-    start = data.groupBy(*keys).agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_y")), F.sum(F.col("_w") * F.col("_x"))).collect()
-    state: dict[tuple, list[float]] = {}
-    done: dict[tuple, tuple | None] = {}
-    for r in start:
-        k, (n, e, sx) = tuple(r[: len(keys)]), r[len(keys):]
-        if not n or e <= 0 or e >= n:
-            done[k] = None
-        else:
-            state[k] = [math.log(e / (n - e)) - (sx / n if offset_only else 0.0), 1.0 if offset_only else 0.0, -math.inf, 1.0, 0.0, 0.0]
-    key_fields = [f.simpleString().replace(":", " ", 1) for f in data.select(*keys).schema.fields]
-    schema = ", ".join([*key_fields, "_a double", "_b double"]) if keys else "_a double, _b double"
-    for _ in range(max_iter):
-        if not state:
-            break
-        if keys:
-            coefs = spark.createDataFrame([(*k, s[0], s[1]) for k, s in state.items()], schema)
-            step = data.join(coefs, keys)
-        else:
-            (a, b) = next(iter(state.values()))[:2]
-            step = data.withColumn("_a", F.lit(a)).withColumn("_b", F.lit(b))
-        eta = F.col("_a") + F.col("_b") * F.col("_x")
-        mu = stats.expit(eta)
-        w, x = F.col("_w"), F.col("_x")
-        v = w * mu * (1 - mu)
-        ll = w * (F.col("_y") * eta - (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))))
-        sums = step.groupBy(*keys).agg(F.sum(w * (F.col("_y") - mu)), F.sum(w * (F.col("_y") - mu) * x),
-                                       F.sum(v), F.sum(v * x), F.sum(v * x * x), F.sum(ll)).collect()
-        for r in sums:
-            k = tuple(r[: len(keys)])
-            newton_step(k, r[len(keys):], state, done, offset_only, tol, max_coef)
-    for k in state:
-        done[k] = None
-    data.unpersist()
-    rows = [(*k, *(v or (None, None, None, None))) for k, v in done.items()]
-    out_schema = ", ".join([*key_fields, "intercept double", "slope double", "intercept_se double", "slope_se double"])
-    return spark.createDataFrame(rows, out_schema)
+    return fit_by_key(df, keys, lp=lp, weight=weight, offset_only=[offset_only], max_iter=max_iter, tol=tol, max_coef=max_coef).drop("offset_only")
 
 
 def newton_step(k, sums, state, done, offset_only, tol, max_coef) -> None:
@@ -204,11 +165,12 @@ def side_by_side(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def calibration_measures(df: DataFrame, keys: Sequence[str] = (), *, p: str = "p", weight: str | None = None) -> DataFrame:
-    """Slope and intercept, and calibration-in-the-large, per key."""
-    lp = df.withColumn("lp", stats.logit(F.col(p)))
-    full = fit_calibration(lp, keys, weight=weight)
-    large = fit_calibration(lp, keys, weight=weight, offset_only=True).select(*keys, F.col("intercept").alias("citl"), F.col("intercept_se").alias("citl_se"))
-    return side_by_side([full, large], keys)
+    """Slope and intercept, and calibration-in-the-large, per key, both fits in shared steps; ``fit_status`` is the first fit's."""
+    fits = fit_by_key(df.withColumn("lp", stats.logit(F.col(p))), keys, weight=weight, offset_only=[False, True])
+    large = F.col("offset_only")
+    parts = {c: F.when(~large, F.col(c)) for c in ("intercept", "slope", "intercept_se", "slope_se", "fit_status")}
+    parts |= {"citl": F.when(large, F.col("intercept")), "citl_se": F.when(large, F.col("intercept_se"))}
+    return fits.groupBy(*keys).agg(*[F.max(c).alias(n) for n, c in parts.items()])
 
 
 def metric_bundle(df: DataFrame, keys: Sequence[str] = (), *, p: str = "p") -> DataFrame:

@@ -84,6 +84,23 @@ def _(t):
     return evaluate.calibration_measures(scored(t))
 
 
+KEYED_NEWTON_SQL = """
+cal AS (SELECT priority, year, y, ln(p) - ln(1 - p) AS lp FROM scored),
+it AS (SELECT 0 AS k, priority, year, ln(avg(y) / (1 - avg(y))) AS a, CAST(0.0 AS DOUBLE) AS b, ln(avg(y) / (1 - avg(y))) - avg(lp) AS c, CAST(0.0 AS DOUBLE) AS va, CAST(0.0 AS DOUBLE) AS vb FROM cal GROUP BY ALL HAVING min(y) < max(y)
+ UNION ALL SELECT k + 1, priority, year, a + (h11 * g0 - h01 * g1) / det, b + (h00 * g1 - h01 * g0) / det, c + o0 / oh, h11 / det, h00 / det FROM
+  (SELECT *, h00 * h11 - h01 * h01 AS det FROM
+   (SELECT k, it.priority, it.year, a, b, c, sum(y - mu) AS g0, sum((y - mu) * lp) AS g1, sum(mu * (1 - mu)) AS h00, sum(mu * (1 - mu) * lp) AS h01, sum(mu * (1 - mu) * lp * lp) AS h11, sum(y - nu) AS o0, sum(nu * (1 - nu)) AS oh FROM
+    (SELECT it.*, cal.y, lp, 1 / (1 + exp(-(a + b * lp))) AS mu, 1 / (1 + exp(-(c + lp))) AS nu FROM it JOIN cal ON it.priority = cal.priority AND it.year = cal.year WHERE k < 15) AS it GROUP BY ALL))),
+groups AS (SELECT DISTINCT priority, year FROM cal)
+SELECT g.priority, g.year, CASE WHEN it.a IS NULL THEN 'one_class' ELSE 'converged' END AS fit_status, it.a AS intercept, b AS slope, sqrt(va) AS intercept_se, sqrt(vb) AS slope_se, c AS citl
+FROM groups g LEFT JOIN it ON it.priority = g.priority AND it.year = g.year AND it.k = 15"""
+
+
+@query("calibration_by_key", "M05 M11 M41", "priority:s year:l fit_status:s intercept:f slope:f intercept_se:f slope_se:f citl:f", with_scores(KEYED_NEWTON_SQL).replace("WITH", "WITH RECURSIVE", 1))
+def _(t):
+    return evaluate.calibration_measures(scored(t), ["priority", "year"])
+
+
 @query("metric_bundle", "M11 M12", POINTS + " auroc:f ap:f intercept:f slope:f citl:f", with_newton(", " + runs_sql("scored") + f"""
 SELECT pm.*, rm.*, a AS intercept, b AS slope, citl FROM (SELECT {POINTS_SQL} FROM scored) pm, (SELECT {AUROC} AS auroc, {AP} AS ap FROM runs) rm, fin, fin0"""))
 def _(t):
