@@ -288,6 +288,58 @@ def rejection_counts(pairs: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def derivation_counters(rows: DataFrame, tables: Mapping[str, DataFrame], rules: DerivationRules) -> DataFrame:
+    """(table_name, counter, n): what became of every pair of an eligible row and a record of its entity, each counted once.
+
+    First the reasons for which a record may not be used at all, then ``not_declared`` (no rule reads this feature, kind or item),
+    ``outside_window`` (no window of its rules reaches it), ``value_unusable`` (out of range or no known level), else ``used``: the
+    pairs that the features and ``max_record_date`` of ``derive`` come from. Counters of a table add up to its pairs.
+    One join and one small aggregate a table. Records of the outcome are counted by ``outcome_audit``.
+    """
+    labels = {"conditions": _condition_tests, "prescriptions": _prescription_tests, "measurements": _measurement_tests, "lifestyle": _lifestyle_tests}
+    hot = hot_entities(*[tables[name] for name in labels])
+    parts = []
+    for name, tests in labels.items():
+        pairs = record_pairs(rows, tables[name], declared=name not in rules.undeclared, lag_days=rules.lag_days, hot=hot)
+        known, inside, sound = (F.coalesce(c, F.lit(False)) for c in tests(rules))
+        found = F.coalesce("reject_reason", first_match([~known, ~inside, ~sound], ["not_declared", "outside_window", "value_unusable"]), F.lit("used"))
+        parts.append(pairs.groupBy(found.alias("counter")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "counter", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _any_of(tests: Sequence[Column]) -> Column:
+    return reduce(lambda x, y: x | y, tests, F.lit(False))
+
+
+def _condition_tests(rules: DerivationRules) -> tuple[Column, Column, Column]:
+    """Whether a rule reads the record, whether a window of such a rule reaches it, and whether its value is usable."""
+    return F.col("feature").isin(*[w.feature for w in rules.windows]), _any_of([(F.col("feature") == w.feature) & w.inside() for w in rules.windows]), F.lit(True)
+
+
+def _prescription_tests(rules: DerivationRules) -> tuple[Column, Column, Column]:
+    counted = F.col("is_drug")
+    if rules.excluded_chapters:
+        counted = counted & ~F.col("chapter").isin(*rules.excluded_chapters)
+    return counted, F.col("record_date") >= dates.window_start("index_date", days=rules.item_window_days), F.lit(True)
+
+
+def _measurement_tests(rules: DerivationRules) -> tuple[Column, Column, Column]:
+    by_name = {w.feature: w for w in rules.windows}
+    kind = F.col("kind")
+    reads = [(kind.isin("bmi", "weight_kg", "height_m"), F.col("record_date") >= dates.window_start("index_date", years=rules.body_window_years))]
+    reads += [(kind.isin(*sorted({k for k, _, _ in r.criteria})), by_name[r.feature].inside()) for r in rules.readings]
+    reads += [(kind == r.kind, by_name[r.feature].inside()) for r in rules.sex_cuts]
+    sound = F.col("value").isNotNull() & ((kind != "bmi") | F.col("value").between(*rules.body_range))
+    return _any_of([k for k, _ in reads]), _any_of([k & i for k, i in reads]), sound
+
+
+def _lifestyle_tests(rules: DerivationRules) -> tuple[Column, Column, Column]:
+    kind = F.col("kind")
+    inside = (kind == "smoking") | (F.col("record_date") >= dates.window_start("index_date", years=rules.alcohol_window_years))
+    sound = F.when(kind == "smoking", F.col("value").isin(*SMOKING_LEVELS)).when(kind == "alcohol", F.col("value").isin(*ALCOHOL_LEVELS)).otherwise(F.col("units").isNotNull())
+    return kind.isin("smoking", "alcohol", "alcohol_units_week"), inside, sound
+
+
 def latest_evidence(used: Sequence[DataFrame]) -> DataFrame:
     """Latest record date per row over every record that entered a derivation."""
     return (reduce(DataFrame.unionByName, [u.select(*ROW, "record_date") for u in used])

@@ -53,6 +53,24 @@ def _(t):
         "lifestyle": pit.record_pairs(rows, roles.lifestyle(t), declared=False, lag_days=RULES.lag_days)})
 
 
+_LATE = "CASE WHEN record_date >= index_date THEN 'record_on_or_after_index' WHEN available_date >= index_date THEN 'available_on_or_after_index'"
+
+
+@query("derivation_counters", "A05 J02", "table_name:s counter:s n:l", roles_sql(f"""
+SELECT table_name, counter, count(*) AS n FROM (
+ SELECT 'conditions' AS table_name, {_LATE} WHEN feature NOT IN ('alpha', 'beta', 'gamma', 'delta') THEN 'not_declared'
+  WHEN (feature = 'beta' AND record_date < CAST(index_date - INTERVAL 1 YEAR AS DATE)) OR (feature = 'gamma' AND record_date < index_date - 400) OR (feature = 'delta' AND (record_date - birth_date) / 365.25 < 70) THEN 'outside_window' ELSE 'used' END AS counter
+  FROM elig JOIN conditions USING (entity_id)
+ UNION ALL SELECT 'prescriptions', {_LATE} WHEN NOT is_drug OR chapter IN (3, 7) THEN 'not_declared' WHEN record_date < index_date - 120 THEN 'outside_window' ELSE 'used' END FROM elig JOIN prescriptions USING (entity_id)
+ UNION ALL SELECT 'measurements', {_LATE} WHEN kind <> 'hb_g_dl' AND record_date < CAST(index_date - INTERVAL 2 YEAR AS DATE) THEN 'outside_window'
+  WHEN kind = 'bmi' AND value NOT BETWEEN 10 AND 80 THEN 'value_unusable' ELSE 'used' END FROM elig JOIN measurements USING (entity_id)
+ UNION ALL SELECT 'lifestyle', CASE WHEN record_date >= index_date THEN 'record_on_or_after_index' WHEN record_date >= index_date - 14 THEN 'within_unknown_availability_lag'
+  WHEN kind <> 'smoking' AND record_date < CAST(index_date - INTERVAL 3 YEAR AS DATE) THEN 'outside_window' ELSE 'used' END FROM elig JOIN lifestyle USING (entity_id)
+) GROUP BY ALL"""))
+def _(t):
+    return pit.derivation_counters(elig(t), roles.event_tables(t), RULES)
+
+
 @query("usable_record_counts", "J02", "entity_id:l index_date:d records:l latest:d",
        roles_sql("SELECT entity_id, index_date, count(*) AS records, max(record_date) AS latest FROM rx GROUP BY ALL"))
 def _(t):

@@ -193,3 +193,26 @@ def test_input_problems_stop_the_derivation(spark):
     assert {k for k, n in found.items() if n} == {"index_null_key", "index_repeated", "persons_overlapping", "persons_end_before_start", "persons_varying_birth_date", "conditions_available_before_record"}
     with pytest.raises(ContractError, match="index_repeated: 1.*persons_overlapping: 1"):
         pit.derive_checked({"persons": persons, "conditions": events}, index, None, (), None)
+
+
+def test_counters_name_the_fate_of_every_pair(spark):
+    rules = pit.DerivationRules(item_window_days=120, excluded_chapters=(3,), body_window_years=2, alcohol_window_years=3, undeclared=frozenset({"lifestyle"}), lag_days=14,
+                                windows=(pit.WindowRule("alpha", lookback_days=30), pit.WindowRule("pressure", lookback_days=50)),
+                                readings=(pit.ReadingRule("pressure", 1, (("sbp", ">=", 150.0),)),))
+    tables = {
+        "conditions": frame(spark, [(1, f, day(o), day(a)) for f, o, a in (("alpha", -30, -30), ("alpha", -31, -31), ("other", -1, -1), ("alpha", 0, 0), ("alpha", -3, 0), (None, -3, -3))],
+                            "entity_id long, feature string, record_date date, available_date date"),
+        "prescriptions": frame(spark, [(1, 7, c, d, day(o), day(o)) for c, d, o in ((1, True, -120), (1, True, -121), (3, True, -1), (1, False, -1), (1, None, -1))],
+                               "entity_id long, item long, chapter int, is_drug boolean, record_date date, available_date date"),
+        "measurements": meas(spark, [("bmi", 25, -10), ("bmi", 9.9, -10), ("bmi", 25, -800), ("sbp", 100, -50), ("sbp", 160, -51), ("pulse", 60, -1), ("weight_kg", 70, 1)]),
+        "lifestyle": frame(spark, [(1, k, v, u, day(o), None) for k, v, u, o in (("smoking", "never", None, -4000), ("smoking", "?", None, -20), ("alcohol", "zero", None, -2000),
+                           ("alcohol_units_week", None, None, -20), ("alcohol_units_week", None, 3.0, -20), ("smoking", "ex", None, -14), ("diet", "x", None, -20))],
+                           "entity_id long, kind string, value string, units double, record_date date, available_date date"),
+    }
+    got = {(r.table_name, r.counter): r.n for r in pit.derivation_counters(row_df(spark), tables, rules).collect()}
+    assert got == {
+        ("conditions", "used"): 1, ("conditions", "outside_window"): 1, ("conditions", "not_declared"): 2, ("conditions", "record_on_or_after_index"): 1, ("conditions", "available_on_or_after_index"): 1,
+        ("prescriptions", "used"): 1, ("prescriptions", "outside_window"): 1, ("prescriptions", "not_declared"): 3,
+        ("measurements", "used"): 2, ("measurements", "value_unusable"): 1, ("measurements", "outside_window"): 2, ("measurements", "not_declared"): 1, ("measurements", "record_on_or_after_index"): 1,
+        ("lifestyle", "used"): 2, ("lifestyle", "value_unusable"): 2, ("lifestyle", "outside_window"): 1, ("lifestyle", "not_declared"): 1, ("lifestyle", "within_unknown_availability_lag"): 1,
+    }
