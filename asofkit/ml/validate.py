@@ -61,10 +61,12 @@ def replicate_coefficients(df: DataFrame, features: Sequence[str], cluster: str,
     """Coefficients of a weighted refit per replicate: (replicate, feature, coefficient)."""
     rows = []
     df = df.persist()
-    for b in range(1, n_boot + 1):
-        model = make().setWeightCol("w").fit(assemble(weighted_resample(df, cluster, seed, b), features, ["y", "w"]))
-        rows += [(b, f, float(c)) for f, c in zip(features, model.coefficients)]
-    df.unpersist()
+    try:
+        for b in range(1, n_boot + 1):
+            model = make().setWeightCol("w").fit(assemble(weighted_resample(df, cluster, seed, b), features, ["y", "w"]))
+            rows += [(b, f, float(c)) for f, c in zip(features, model.coefficients)]
+    finally:
+        df.unpersist()
     return df.sparkSession.createDataFrame(rows, "replicate int, feature string, coefficient double")
 
 
@@ -72,12 +74,14 @@ def optimism(df: DataFrame, fit_score: FitScore, cluster: str, seed: int, n_boot
     """Mean of (metric on the resample - metric on the original rows) over refits, per metric."""
     rows = []
     df = df.persist()
-    for b in range(1, n_boot + 1):
-        boot = weighted_resample(df, cluster, seed, b)
-        own = _metrics(fit_score(boot, boot), weight="w")
-        orig = _metrics(fit_score(boot, df))
-        rows += [(b, m, float(own[m] - orig[m])) for m in ("auroc", "brier")]
-    df.unpersist()
+    try:
+        for b in range(1, n_boot + 1):
+            boot = weighted_resample(df, cluster, seed, b)
+            own = _metrics(fit_score(boot, boot), weight="w")
+            orig = _metrics(fit_score(boot, df))
+            rows += [(b, m, float(own[m] - orig[m])) for m in ("auroc", "brier")]
+    finally:
+        df.unpersist()
     t = df.sparkSession.createDataFrame(rows, "replicate int, metric string, optimism double")
     return t.groupBy("metric").agg(F.avg("optimism").alias("optimism"), F.count(F.lit(1)).alias("replicates"))
 
@@ -112,13 +116,17 @@ def learning_curve(train: DataFrame, validation: DataFrame, entity: str, fractio
     """Validation AUROC after refitting on nested stratified entity subsets."""
     rows = []
     train, validation = train.persist(), validation.persist()
-    for f in fractions:
-        part = nested_fraction(train, entity, f, seed).persist()
-        m = _metrics(fit_score(part, validation))
-        rows.append((float(f), part.count(), float(m["auroc"])))
-        part.unpersist()
-    train.unpersist()
-    validation.unpersist()
+    try:
+        for f in fractions:
+            part = nested_fraction(train, entity, f, seed).persist()
+            try:
+                m = _metrics(fit_score(part, validation))
+                rows.append((float(f), part.count(), float(m["auroc"])))
+            finally:
+                part.unpersist()
+    finally:
+        train.unpersist()
+        validation.unpersist()
     return train.sparkSession.createDataFrame(rows, "fraction double, rows long, auroc double")
 
 
