@@ -24,11 +24,11 @@ def manifest(df: DataFrame, *, entity: str, index: str, y: str, versions: Mappin
 def write_dataset(df: DataFrame, path: str, *, entity: str, index: str, y: str, versions: Mapping[str, str]) -> None:
     """Immutable write: version columns added, one folder per index date, manifest next to the data; an existing target is refused.
 
-    Rows of an index date are dealt to several tasks by entity, so a date may hold any share of them.
+    Rows are gathered by index date; adaptive execution splits a date by its size, so it may hold any share of them.
     The manifest is computed from the written files, so it describes what a reader will find.
     """
     out = df.withColumns({k: F.lit(v) for k, v in versions.items()})
-    out.repartition(index, F.pmod(F.xxhash64(entity), F.lit(16))).write.partitionBy(index).mode("errorifexists").parquet(f"{path}/data")
+    out.hint("rebalance", index).write.partitionBy(index).mode("errorifexists").parquet(f"{path}/data")
     written = df.sparkSession.read.schema(out.schema).parquet(f"{path}/data")
     manifest(written, entity=entity, index=index, y=y, versions=versions).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
