@@ -1,8 +1,8 @@
 """Bootstrap replicates as vectors: rows are shuffled once, whatever the number of replicates.
 
-A cluster's weights in all replicates are one vector, a pure function of (seed, cluster),
-so they are made where they are needed and never shuffled. Rows are dealt once into
-ranges of (keys, falling score, tie), sorted and written. A first scan gives every range's
+A cluster's weights in all replicates are one vector, a pure function of (seed, cluster).
+Rows are dealt once into ranges of (keys, falling score, tie), sorted, and written with their
+vector, half a byte a weight; so vectors are never shuffled and each is made once. A first scan gives every range's
 weighted totals and the totals of its first and last score; chained over the few ranges
 they say what lies above each range, and which of its scores began in an earlier one, so a
 score may hold any share of the rows. A second scan carries vectors of running sums
@@ -14,16 +14,17 @@ Scores and outcomes must not be NULL. A NULL cluster is one cluster.
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from asofkit.functions.hashing import POISSON_CDF
 from asofkit.session import cut_lineage
@@ -32,42 +33,81 @@ PER_DIGEST = 8  # draws of 32 bits out of one SHA-256
 CHUNK = 4096  # rows whose weight vectors are held at once
 MOST_RANGES = 2048
 REMEMBERED = 50_000  # clusters whose vectors a worker keeps
+#: Smallest draws of weight 1, 2, ... among the whole numbers below 2^32 (12 of them, so a weight takes four bits).
+STEPS = np.array([math.ceil(c * 2.0**32) for c in POISSON_CDF if c * 2.0**32 <= 2**32 - 1], np.uint32)
 _known: dict[tuple, np.ndarray] = {}
 
 
+def draw_weights(clusters: Sequence[str | None], seed: int, n_boot: int) -> np.ndarray:
+    """Poisson(1) weights of clusters (rows) in replicates 1..n_boot."""
+    heads = [f"{seed}|{i}".encode() for i in range(-(-n_boot // PER_DIGEST))]
+    tails = [b"" if c is None else f"|{c}".encode() for c in clusters]
+    raw = b"".join([sha256(head + tail).digest() for tail in tails for head in heads])
+    u = np.frombuffer(raw, ">u4").reshape(len(clusters), -1)[:, :n_boot].astype(np.uint32)
+    weights = np.zeros(u.shape, np.uint8)
+    for step in STEPS:
+        weights += u >= step
+    return weights
+
+
 def weight_vector(cluster: str | None, seed: int, n_boot: int) -> np.ndarray:
     """Poisson(1) weights of a cluster in replicates 1..n_boot."""
-    name = (cluster, seed, n_boot)
-    found = _known.get(name)
-    if found is None:
-        tail = "" if cluster is None else f"|{cluster}"
-        raw = b"".join(hashlib.sha256(f"{seed}|{i}{tail}".encode()).digest() for i in range(-(-n_boot // PER_DIGEST)))
-        u = np.frombuffer(raw, ">u4")[:n_boot] / 2.0**32
-        if len(_known) >= REMEMBERED:
+    return weight_table([cluster], seed, n_boot)[0]
+
+
+def weight_table(clusters: Sequence[str | None], seed: int, n_boot: int) -> np.ndarray:
+    """``draw_weights`` through a store of the clusters that this worker met lately."""
+    new = [c for c in clusters if (c, seed, n_boot) not in _known]
+    if new:
+        if len(_known) + len(new) > REMEMBERED:
             _known.clear()
-        found = _known[name] = np.searchsorted(POISSON_CDF, u, side="right").astype(np.uint8)
-    return found
+            new = list(clusters)
+        _known.update(zip([(c, seed, n_boot) for c in new], draw_weights(new, seed, n_boot), strict=True))
+    return np.stack([_known[c, seed, n_boot] for c in clusters])
 
 
 def weight_matrix(clusters: pa.Array, seed: int, n_boot: int) -> np.ndarray:
     """Weights, rows x replicates."""
     coded = clusters.dictionary_encode()
     names = [*coded.dictionary.to_pylist(), None]
-    table = np.stack([weight_vector(c, seed, n_boot) for c in names])
-    return table[coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)].astype(np.float64)
+    return weight_table(names, seed, n_boot)[coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)]
+
 
+def _pack(weights: np.ndarray) -> pa.Array:
+    """Rows of weights as binary values, two weights to a byte."""
+    even = np.pad(weights, ((0, 0), (0, weights.shape[1] % 2)))
+    packed = np.ascontiguousarray(even[:, ::2] | even[:, 1::2] << 4)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(packed)]).cast(pa.binary())
 
-def deal(df: DataFrame, keys: Sequence[str], cluster: str, tie: str | None = None) -> DataFrame:
-    """Rows as (keys, p, tie, y, cluster, part): written once, sorted by keys, falling p and tie; ``part`` numbers the ranges in that order."""
+
+def _unpack(packed: pa.Array, n_boot: int) -> np.ndarray:
+    width = -(-n_boot // 2)
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), width)
+    return np.stack([raw & 15, raw >> 4], axis=2).reshape(len(packed), 2 * width)[:, :n_boot]
+
+
+def deal(df: DataFrame, keys: Sequence[str], cluster: str, n_boot: int, seed: int, tie: str | None = None) -> DataFrame:
+    """Rows as (keys, p, y, w, part): written once, sorted by keys, falling p and tie; ``part`` numbers the ranges in that order.
+
+    Weights are drawn where the rows are written, so no scan draws them again.
+    """
     n = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = F.col(tie) if tie else F.monotonically_increasing_id()  # without a tie-break any order does
     rows = df.select(*keys, F.col("p").cast("double").alias("p"), order.alias("_tie"), F.col("y").cast("double").alias("y"), F.col(cluster).cast("string").alias("_cluster"))
     by = [*keys, F.col("p").desc(), "_tie"]
     sorted_rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_tie")
-    return cut_lineage(sorted_rows.withColumn("_part", F.spark_partition_id()))
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _pack(weight_matrix(b.columns[-1], seed, n_boot))], names=[*b.schema.names[:-1], "_w"])
 
-def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int, seed: int, n_boot: int) -> Iterator[tuple]:
+    schema = StructType([*sorted_rows.schema.fields[:-1], StructField("_w", BinaryType())])
+    return cut_lineage(sorted_rows.mapInArrow(draw, schema).withColumn("_part", F.spark_partition_id()))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int, n_boot: int) -> Iterator[tuple]:
     """(part, key, p, y, weights) with one key each, CHUNK rows at most."""
     for whole in batches:
         names = [whole.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for i in range(n_keys)]
@@ -80,10 +120,30 @@ def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int, seed: int, n_boot: i
                 b = whole.slice(at, min(CHUNK, end - at))
                 key = tuple(b.column(i)[0].as_py() for i in range(n_keys))
                 p, y = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("p", "y"))
-                w = weight_matrix(b.column(b.schema.get_field_index("_cluster")), seed, n_boot)
+                w = _unpack(b.column(b.schema.get_field_index("_w")), n_boot)
                 yield b.column(b.schema.get_field_index("_part"))[0].as_py(), key, p, y, w
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places where a run of rows that agree in all columns begins."""
+    change = np.zeros(len(columns[0]) - 1, bool)
+    for x in columns:
+        change |= x[1:] != x[:-1]
+    return np.flatnonzero(np.r_[True, change])
+
+
+def _added(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weights (small whole numbers) added up per run."""
+    return np.add.reduceat(w, first, axis=0, dtype=np.int32)
+
+
+def _runs(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in their order, and the weights of events and of others by score: (2, scores, replicates)."""
+    first = _starts(p)
+    events = _added(w * (y == 1)[:, None], first)
+    return p[first], np.stack([events, _added(w, first) - events]).astype(np.float64)
+
+
 def _scan(dealt: DataFrame, keys: Sequence[str], fields: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]) -> list:
     """One result row per (range, key), each with vectors over the replicates."""
     kinds = ", ".join(f"k{i} {dealt.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
@@ -125,7 +185,8 @@ class Chain:
 
     @property
     def points(self) -> np.ndarray:
-        return sum(r.points for r in self.ranges.values())
+        """Added without rounding on the way."""
+        return np.array([[math.fsum(x) for x in zip(*rows, strict=True)] for rows in zip(*[r.points for r in self.ranges.values()], strict=True)])
 
     def link(self) -> None:
         above = begun = before = np.zeros_like(next(iter(self.ranges.values())).totals)
@@ -145,7 +206,7 @@ class Chain:
             previous = r
 
 
-def chains(dealt: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> dict[tuple, Chain]:
+def chains(dealt: DataFrame, keys: Sequence[str], n_boot: int) -> dict[tuple, Chain]:
     """First scan: totals of every range, chained per key."""
 
     def run(batches):
@@ -153,9 +214,9 @@ def chains(dealt: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> dic
 
         def row():
             part, key, s = state
-            return (part, *key, s.first, s.last, np.concatenate([s.totals, s.first_totals, s.last_totals, s.points]).tolist())
+            return (part, *key, s.first, s.last, np.concatenate([s.totals, s.first_totals, s.last_totals, s.points]).astype(np.float64).tolist())
 
-        for part, key, p, y, w in _chunks(batches, len(keys), seed, n_boot):
+        for part, key, p, y, w in _chunks(batches, len(keys), n_boot):
             if state is not None and state[1] != key:
                 yield row()
                 state = None
@@ -163,14 +224,18 @@ def chains(dealt: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> dic
                 zero = np.zeros((2, n_boot))
                 state = (part, key, Range(p[0], p[0], zero, zero, zero, np.zeros((3, n_boot))))
             s = state[2]
-            both = lambda at: np.stack([w[at & (y == 1)].sum(axis=0), w[at & (y != 1)].sum(axis=0)])  # noqa: B023, E731
-            tail = both(p == p[-1])
+            scores, sums = _runs(p, y, w)
+            at = lambda score: sums[:, scores == score].sum(axis=1)  # noqa: B023, E731
+            tail = at(p[-1])
             s.last_totals = s.last_totals + tail if s.last == p[-1] else tail
             s.last = p[-1]
-            s.totals = s.totals + both(np.ones(len(p), bool))
-            s.first_totals = s.first_totals + both(p == s.first)
-            q = np.clip(p, 1e-15, 1 - 1e-15)
-            s.points = s.points + np.stack([(p - y) ** 2, -(y * np.log(q) + (1 - y) * np.log(1 - q)), p]) @ w
+            s.totals = s.totals + sums.sum(axis=1)
+            s.first_totals = s.first_totals + at(s.first)
+            order = np.lexsort((y, p))
+            first = _starts(p[order], y[order])
+            u, v = p[order][first], y[order][first]
+            q = np.clip(u, 1e-15, 1 - 1e-15)
+            s.points = s.points + np.stack([(u - v) ** 2, -(v * np.log(q) + (1 - v) * np.log(1 - q)), u]).astype(np.longdouble) @ _added(w[order], first).astype(np.longdouble)
         if state is not None:
             yield row()
 
@@ -184,7 +249,7 @@ def chains(dealt: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> dic
     return out
 
 
-def _groups(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n_boot: int, seed: int, start: Callable, rows: int) -> dict[tuple, np.ndarray]:
+def _groups(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n_boot: int, start: Callable, rows: int) -> dict[tuple, np.ndarray]:
     """Second scan by score. ``start(key, range, totals)`` gives a function (scores, events, others, running events, running others) -> None and its result array."""
     sent = dealt.sparkSession.sparkContext.broadcast({k: (c.totals, {n: (r.above, r.begun, r.goes_on) for n, r in c.ranges.items()}) for k, c in linked.items()})  # ranges x replicates
 
@@ -201,7 +266,7 @@ def _groups(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n
                 flush(np.array([state["score"]]), state["open"][:, None])
             return (state["part"], *state["key"], state["out"].tolist())
 
-        for part, key, p, y, w in _chunks(batches, len(keys), seed, n_boot):
+        for part, key, p, y, w in _chunks(batches, len(keys), n_boot):
             if state is not None and state["key"] != key:
                 yield close()
                 state = None
@@ -210,9 +275,7 @@ def _groups(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n
                 above, begun, goes_on = ranges[part]
                 add, out = start(above, totals)
                 state = {"part": part, "key": key, "above": above, "open": begun, "score": p[0], "goes_on": goes_on, "add": add, "out": out}
-            first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            sums = np.stack([np.add.reduceat(w * (y == 1)[:, None], first, axis=0), np.add.reduceat(w * (y != 1)[:, None], first, axis=0)])
-            scores = p[first]
+            scores, sums = _runs(p, y, w)
             if scores[0] == state["score"]:
                 sums[:, 0] += state["open"]
             else:
@@ -230,7 +293,7 @@ def _groups(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n
     return total
 
 
-def ranking(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n_boot: int, seed: int) -> dict[tuple, np.ndarray]:
+def ranking(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n_boot: int) -> dict[tuple, np.ndarray]:
     """Per key: concordance (ties half) and step-wise average precision over the replicates; NaN with one class."""
 
     def start(above, totals):
@@ -244,7 +307,7 @@ def ranking(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n
 
         return add, out
 
-    found = _groups(dealt, keys, linked, n_boot, seed, start, 2)
+    found = _groups(dealt, keys, linked, n_boot, start, 2)
     for k, v in found.items():
         events, others = linked[k].totals
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -253,7 +316,7 @@ def ranking(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], n
     return found
 
 
-def first_reaching(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], targets: Sequence[float], n_boot: int, seed: int) -> dict[tuple, np.ndarray]:
+def first_reaching(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], targets: Sequence[float], n_boot: int) -> dict[tuple, np.ndarray]:
     """Per key: events and others at or above the highest score whose share of events reaches each target (rows 2i, 2i + 1); NaN without events."""
 
     def start(above, totals):
@@ -273,29 +336,33 @@ def first_reaching(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Ch
 
         return add, out
 
-    found = _groups(dealt, keys, linked, n_boot, seed, start, 2 * len(targets))
+    found = _groups(dealt, keys, linked, n_boot, start, 2 * len(targets))
     for k, v in found.items():
         v[:, linked[k].totals[0] == 0] = np.nan
     return found
 
 
-def top_events(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], sizes: dict[tuple, np.ndarray], n_boot: int, seed: int) -> dict[tuple, np.ndarray]:
+def top_events(dealt: DataFrame, keys: Sequence[str], linked: dict[tuple, Chain], sizes: dict[tuple, np.ndarray], n_boot: int) -> dict[tuple, np.ndarray]:
     """Per key: events among the first ``sizes[key]`` copies by (falling p, tie) in each replicate."""
     sent = dealt.sparkSession.sparkContext.broadcast({k: (sizes[k], {n: r.rows_before for n, r in c.ranges.items()}) for k, c in linked.items()})  # ranges x replicates
 
     def run(batches):
         state = None
-        for part, key, p, y, w in _chunks(batches, len(keys), seed, n_boot):
+        for part, key, p, y, w in _chunks(batches, len(keys), n_boot):
             if state is not None and state[1] != key:
                 yield (state[0], *state[1], [state[3].tolist()])
                 state = None
             if state is None:
                 k, before = sent.value[key]
                 state = [part, key, k - before[part], np.zeros(n_boot)]
-            running = np.cumsum(w, axis=0)
-            taken = np.clip(state[2] - (running - w), 0, w)
-            state[3] += (taken * (y == 1)[:, None]).sum(axis=0)
-            state[2] = state[2] - running[-1]
+            left, whole = state[2], w.sum(axis=0, dtype=np.int64)
+            state[3] += (w[y == 1]).sum(axis=0, dtype=np.int64) * (left >= whole)
+            cut = np.flatnonzero((left > 0) & (left < whole))  # replicates that end within these rows
+            if len(cut):
+                own = w[:, cut].astype(np.float64)
+                taken = np.clip(left[cut] - (np.cumsum(own, axis=0) - own), 0, own)
+                state[3][cut] += taken[y == 1].sum(axis=0)
+            state[2] = left - whole
         if state is not None:
             yield (state[0], *state[1], [state[3].tolist()])
 
@@ -323,7 +390,7 @@ def weighted_sums(df: DataFrame, cluster: str, columns: Sequence[Column], n_boot
                 order = np.lexsort(x)
                 x = x[:, order]
                 first = np.flatnonzero(np.r_[True, (x[:, 1:] != x[:, :-1]).any(axis=0)])
-                w = np.add.reduceat(weight_matrix(b.column(0), seed, n_boot)[order], first, axis=0)
+                w = np.add.reduceat(weight_matrix(b.column(0), seed, n_boot)[order], first, axis=0, dtype=np.float64)
                 own = terms(list(x[:, first]), w)
                 total = own if total is None else total + own
         if total is not None:

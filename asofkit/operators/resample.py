@@ -55,16 +55,16 @@ def _table(spark: SparkSession, columns: Mapping[str, str], rows: list[tuple]) -
     return spark.createDataFrame(clean, ", ".join(f"{c} {t}" for c, t in columns.items()))
 
 
-def _dealt(df: DataFrame, models: Mapping[str, str], carry: Sequence[str], cluster: str, tie: str | None = None) -> DataFrame:
+def _dealt(df: DataFrame, models: Mapping[str, str], carry: Sequence[str], cluster: str, n_boot: int, seed: int, tie: str | None = None) -> DataFrame:
     long = unpivot_models(df, models, list(dict.fromkeys([cluster, "y", *carry, *([tie] if tie else [])])))
-    return replicates.deal(long, ["model", *carry], cluster, tie)
+    return replicates.deal(long, ["model", *carry], cluster, n_boot, seed, tie)
 
 
 def replicate_metrics(df: DataFrame, models: Mapping[str, str], cluster: str, n_boot: int, seed: int) -> DataFrame:
     """One row per (b, model): AUROC, AP, Brier, log loss, O/E; NULL in a single-class replicate."""
-    dealt = _dealt(df, models, [], cluster)
-    linked = replicates.chains(dealt, ["model"], n_boot, seed)
-    ranks = replicates.ranking(dealt, ["model"], linked, n_boot, seed)
+    dealt = _dealt(df, models, [], cluster, n_boot, seed)
+    linked = replicates.chains(dealt, ["model"], n_boot)
+    ranks = replicates.ranking(dealt, ["model"], linked, n_boot)
     rows = []
     for key, chain in linked.items():
         events, others = chain.totals
@@ -129,9 +129,9 @@ def paired_differences(df: DataFrame, base: str, others: Mapping[str, str], clus
 
 def operating_replicates(df: DataFrame, models: Mapping[str, str], targets: Sequence[float], cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Per (b, model, target): share flagged and false-alert share at the highest threshold reaching the target."""
-    dealt = _dealt(df, models, [], cluster)
-    linked = replicates.chains(dealt, ["model"], n_boot, seed)
-    found = replicates.first_reaching(dealt, ["model"], linked, targets, n_boot, seed)
+    dealt = _dealt(df, models, [], cluster, n_boot, seed)
+    linked = replicates.chains(dealt, ["model"], n_boot)
+    found = replicates.first_reaching(dealt, ["model"], linked, targets, n_boot)
     rows = []
     for key, chain in linked.items():
         n = chain.totals.sum(axis=0)
@@ -145,10 +145,10 @@ def operating_replicates(df: DataFrame, models: Mapping[str, str], targets: Sequ
 
 def capture_replicates(df: DataFrame, models: Mapping[str, str], fraction: float, tie: str, cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Per (b, model): events captured by the ceil(fraction * N_b) highest resampled copies and the share captured."""
-    dealt = _dealt(df, models, [], cluster, tie)
-    linked = replicates.chains(dealt, ["model"], n_boot, seed)
+    dealt = _dealt(df, models, [], cluster, n_boot, seed, tie)
+    linked = replicates.chains(dealt, ["model"], n_boot)
     sizes = {key: np.maximum(1, np.ceil(fraction * chain.totals.sum(axis=0))) for key, chain in linked.items()}
-    hits = replicates.top_events(dealt, ["model"], linked, sizes, n_boot, seed)
+    hits = replicates.top_events(dealt, ["model"], linked, sizes, n_boot)
     rows = []
     for key, chain in linked.items():
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -168,15 +168,15 @@ def largest_remainders(sizes: np.ndarray, total: int) -> np.ndarray:
 def capacity_bootstrap(df: DataFrame, models: Mapping[str, str], permille: int, tie: str, cluster: str, n_boot: int, seed: int) -> DataFrame:
     """Captured events per (b, model) when the capacity is re-allocated over the resampled fold sizes and re-selected inside folds."""
     total = (2 * permille * df.count() + 1000) // 2000  # half up, as in capacity.n_selected
-    dealt = _dealt(df, models, ["fold"], cluster, tie)
-    linked = replicates.chains(dealt, ["model", "fold"], n_boot, seed)
+    dealt = _dealt(df, models, ["fold"], cluster, n_boot, seed, tie)
+    linked = replicates.chains(dealt, ["model", "fold"], n_boot)
     sizes = {}
     for m in models:
         folds = sorted((k for k in linked if k[0] == m), key=lambda k: (k[1] is not None, k[1]))
         if folds:
             split = largest_remainders(np.stack([linked[k].totals.sum(axis=0) for k in folds]).astype(np.int64), total)
             sizes |= dict(zip(folds, split, strict=True))
-    hits = replicates.top_events(dealt, ["model", "fold"], linked, sizes, n_boot, seed)
+    hits = replicates.top_events(dealt, ["model", "fold"], linked, sizes, n_boot)
     rows = []
     for m in {k[0] for k in linked}:
         tp, k = (sum(t[x] for x in linked if x[0] == m) for t in (hits, sizes))

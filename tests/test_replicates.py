@@ -126,3 +126,14 @@ def _stages(spark):
     sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
     return [found.apply(i) for i in range(found.size())]
+
+
+def test_dealt_rows_carry_their_weights(spark):
+    df = spark.createDataFrame([("m", 0.1 * i, i % 2, None if i == 3 else f"c{i % 4}", i) for i in range(9)], "model string, p double, y int, c string, k long")
+    dealt = replicates.deal(df, ["model"], "c", 9, 5, "k")
+    rows = dealt.toArrow()
+    packed = rows.column("_w").combine_chunks()
+    order = [round(10 * p) for p in rows.column("p").to_pylist()]
+    assert "_cluster" not in dealt.columns and order == list(range(8, -1, -1))
+    expected = [replicates.draw_weights([None if i == 3 else f"c{i % 4}"], 5, 9)[0].tolist() for i in order]
+    assert replicates._unpack(packed, 9).tolist() == expected
