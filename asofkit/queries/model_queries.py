@@ -15,16 +15,17 @@ from asofkit.queries.evaluate_queries import with_newton
 from asofkit.queries.registry import Tables, query
 from asofkit.queries.scores import AP, AUROC, runs_sql, scored, with_scores
 from asofkit.queries.wide import wide, with_wide
+from asofkit.session import cut_lineage
 
 FEATURES = ["f_month", "f_year", "f_balance", "f_price"]
 
 
 def fit_rows(t: Tables) -> DataFrame:
-    """Labelled rows with double features and an entity-grouped fold."""
+    """Labelled rows with double features and an entity-grouped fold, written once: fits and scores read them many times."""
     w = wide(t).where("y IS NOT NULL")
-    return w.select("entity_id", "segment", "split", F.concat_ws("|", "entity_id", "index_date").alias("row"), F.col("y").cast("double").alias("y"), F.col("n30").cast("double").alias("f_month"),
+    return cut_lineage(w.select("entity_id", "segment", "split", F.concat_ws("|", "entity_id", "index_date").alias("row"), F.col("y").cast("double").alias("y"), F.col("n30").cast("double").alias("f_month"),
                     F.col("n365").cast("double").alias("f_year"), (F.col("balance") / 1000).alias("f_balance"), (F.coalesce("mean_price", F.lit(0.0)) / 100000).alias("f_price"),
-                    F.floor(hashing.hash_uniform(F.lit("fold"), "entity_id") * 3).cast("int").alias("fold"))
+                    F.floor(hashing.hash_uniform(F.lit("fold"), "entity_id") * 3).cast("int").alias("fold")))
 
 
 def cv_rows(t: Tables) -> DataFrame:
@@ -58,7 +59,8 @@ def _(t):
 
 @query("lasso_optimality", "M15", "feature:s residual:f4", "SELECT unnest(['(intercept)', " + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, 0.0 AS residual")
 def _(t):
-    return models.optimality(cv_rows(t), paths.penalised_path(cv_rows(t), FEATURES))
+    rows = cv_rows(t)
+    return models.optimality(rows, paths.penalised_path(rows, FEATURES))
 
 
 @query("penalty_grid", "M15 P31", "step:l lambda:f8", with_wide(FIT_SQL + ", m AS (SELECT avg(y) AS my, " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES) + " FROM fr), top AS (SELECT greatest(" + ", ".join(
