@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from asofkit.operators.contracts import ContractError
 
 ZERO_SPREAD = 1e-12
 BARRED = 1e300  # penalty of a feature outside a model's set
+CHUNK = 1 << 16  # rows x models that a task works on at once
 
 
 @dataclass(frozen=True)
@@ -97,47 +98,81 @@ def penalty_grid(top: float, n: int = 100, ratio: float = 1e-4) -> np.ndarray:
     return top * ratio ** (np.arange(n) / max(1, n - 1))
 
 
-def _pass(df: DataFrame, without: Sequence[Sequence[int]], raw: np.ndarray, held_out: int = 0) -> np.ndarray:
+def _pass(df: DataFrame, without: Sequence[Sequence[int]], raw: np.ndarray, held_out: int = 0, *, open_: np.ndarray | None = None, used: np.ndarray | None = None) -> np.ndarray:
     """Sums over the rows for coefficients ``raw`` (group, model, 1 + features).
 
     Group g trains on the rows whose fold is not in ``without[g]``. By group: gradient, upper
     triangle of the curvature, deviance. With ``held_out`` (the number of folds) instead the
     deviance of the rows in each fold that the group goes without: (group, fold, model).
+    ``open_`` (group, model) leaves other models at 0; ``used`` (model, 1 + features) says which
+    features a model has, where most have few: other places of its curvature stay 0.
     """
-    shared = df.sparkSession.sparkContext.broadcast(raw)
-    q = raw.shape[2]
+    groups, models, q = raw.shape
+    open_ = np.ones((groups, models), bool) if open_ is None else open_
     upper = np.triu_indices(q)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = np.zeros((q, q), int)
+    place[upper] = np.arange(len(upper[0]))
+    shared = df.sparkSession.sparkContext.broadcast((raw, open_))
+
+    def places(g: int) -> np.ndarray:
+        """Where a group's sums stand among those of all its models."""
+        at = np.flatnonzero(open_[g])
+        curved = [m * len(upper[0]) + (np.arange(len(upper[0])) if used is None else _pairs(used[m], place)) for m in at]
+        return np.concatenate([(at[:, None] * q + np.arange(q)).ravel(), models * q + np.concatenate(curved), models * (q + len(upper[0])) + at])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, open_ = shared.value
+        step = max(256, CHUNK // models)
         sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            fold, y = b["fold"].to_numpy(), b["y"].to_numpy(float)
-            x = np.column_stack([np.ones(len(b)), np.array(b["x"].tolist(), float).reshape(len(b), q - 1)])
-            crossed = x[:, upper[0]] * x[:, upper[1]]
-            for g, gone in enumerate(without):
-                for f in gone if held_out else (-1,):
-                    mine = fold == f if held_out else ~np.isin(fold, gone)
-                    if not mine.any():
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
+                fold, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                x = np.column_stack([np.ones(len(y)), b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(y), q - 1)])
+                crossed = x[:, upper[0]] * x[:, upper[1]] if used is None and not held_out else None
+                for g, gone in enumerate(without):
+                    mine_of = open_[g]
+                    if not mine_of.any():
                         continue
-                    xs, ys = x[mine], y[mine, None]
-                    eta = np.clip(xs @ shared.value[g].T, -30, 30)
-                    part = 2 * (np.logaddexp(0, eta) - ys * eta).sum(axis=0)
-                    if not held_out:
-                        p = 1 / (1 + np.exp(-eta))
-                        part = np.concatenate([((p - ys).T @ xs).ravel(), ((p * (1 - p)).T @ crossed[mine]).ravel(), part])
-                    at = g * held_out + f if held_out else g
-                    sums[at] = sums.get(at, 0.0) + part
+                    for f in gone if held_out else (-1,):
+                        mine = fold == f if held_out else ~np.isin(fold, gone)
+                        if not mine.any():
+                            continue
+                        xs, ys = x[mine], y[mine, None]
+                        eta = np.clip(xs @ raw[g][mine_of].T, -30, 30)
+                        e = np.exp(-np.abs(eta))
+                        d = 1 / (1 + e)
+                        part = 2 * (np.maximum(eta, 0) - np.log(d) - ys * eta).sum(axis=0)
+                        if not held_out:
+                            v, r = e * d * d, np.where(eta >= 0, d, e * d) - ys
+                            if used is None:
+                                curved = (v.T @ crossed[mine]).ravel()
+                            else:
+                                curved = np.concatenate([_curvature(xs[:, used[m]], v[:, i]) for i, m in enumerate(np.flatnonzero(mine_of))])
+                            part = np.concatenate([(r.T @ xs).ravel(), curved, part])
+                        at = g * held_out + f if held_out else g
+                        sums[at] = sums.get(at, 0.0) + part
         for f, s in sums.items():
-            yield pd.DataFrame({"f": f, "place": np.arange(len(s)), "v": s})
+            yield pa.record_batch({"f": np.full(len(s), f, np.int32), "place": (np.arange(len(s)) if held_out else places(f)).astype(np.int32), "v": s})
 
-    rows = df.mapInPandas(add, "f int, place int, v double").groupBy("f", "place").agg(F.sum("v").alias("v")).toPandas()
+    rows = df.mapInArrow(add, "f int, place int, v double").groupBy("f", "place").agg(F.sum("v").alias("v")).toPandas()
     shared.unpersist()
     if held_out:
-        out = np.zeros((len(without) * held_out, raw.shape[1]))
+        out = np.zeros((groups * held_out, models))
     else:
-        out = np.zeros((len(without), raw.shape[1] * (q + len(upper[0]) + 1)))
+        out = np.zeros((groups, models * (q + len(upper[0]) + 1)))
     out[rows["f"], rows["place"]] = rows["v"]
-    return out.reshape(len(without), held_out, -1) if held_out else out
+    return out.reshape(groups, held_out, -1) if held_out else out
+
+
+def _pairs(used: np.ndarray, place: np.ndarray) -> np.ndarray:
+    own = np.flatnonzero(used)
+    i, j = np.triu_indices(len(own))
+    return place[own[i], own[j]]
+
+
+def _curvature(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return ((x * v[:, None]).T @ x)[np.triu_indices(x.shape[1])]
 
 
 def _solve(start: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
@@ -212,9 +247,9 @@ def _fit(df: DataFrame, features: tuple[str, ...], without: Sequence[Sequence[in
         b = np.zeros((groups, models, width))
         b[..., 0] = np.log(e / (n - e))[:, None]
 
-        def sums(at: np.ndarray):
+        def sums(at: np.ndarray, open_: np.ndarray | None = None):
             raw = np.einsum("fij,fmj->fmi", to_raw, at)
-            got = _pass(data, without, raw)
+            got = _pass(data, without, raw, open_=open_)
             cut = np.cumsum([models * width, models * len(upper[0])])
             g, h, d = np.split(got, cut, axis=1)
             full = np.zeros((groups, models, width, width))
@@ -233,16 +268,17 @@ def _fit(df: DataFrame, features: tuple[str, ...], without: Sequence[Sequence[in
         value, passes = worth(b, deviance), 1
         converged = np.zeros((groups, models), bool)
         while not converged.all() and passes < max_passes:
-            new = _solve(b, gradient, curvature, l1, l2)
+            going = ~converged  # a model that has converged stays where it is and is not summed again
+            new = np.where(going[..., None], _solve(b, gradient, curvature, l1, l2), b)
             moved = np.abs(new - b).max(axis=-1)
             for _ in range(20):  # shorter steps where the objective would rise
-                g2, c2, d2 = sums(new)
+                g2, c2, d2 = (np.where(going[(..., *[None] * (x.ndim - 2))], x, kept) for x, kept in zip(sums(new, going), (gradient, curvature, deviance), strict=True))
                 passes += 1
                 higher = worth(new, d2) > value + 1e-12 * np.abs(value) + 1e-15
                 if not higher.any() or (moved[higher] < tolerance).all():
                     break
                 new = np.where(higher[..., None], (new + b) / 2, new)
-            b, gradient, curvature, value = new, g2, c2, worth(new, d2)
+            b, gradient, curvature, deviance, value = new, g2, c2, d2, worth(new, d2)
             converged = moved < tolerance
         raw = np.einsum("fij,fmj->fmi", to_raw, b)
         held = _pass(data, without, raw, held_out=folds) / np.maximum(count, 1)[:, None]
@@ -339,7 +375,7 @@ def logistic_fits(df: DataFrame, features: Sequence[str], subsets: Sequence[Sequ
         b[:, 0] = np.log(facts["m"] / (1 - facts["m"]))
 
         def sums(at: np.ndarray):
-            got = _pass(data, [()], (at @ to_raw.T)[None])[0]
+            got = _pass(data, [()], (at @ to_raw.T)[None], used=used)[0]
             g, h, d = np.split(got, np.cumsum([at.size, len(subsets) * len(upper[0])]))
             full = np.zeros((len(subsets), width, width))
             full[:, upper[0], upper[1]] = full[:, upper[1], upper[0]] = h.reshape(len(subsets), -1)
