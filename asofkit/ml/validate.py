@@ -57,16 +57,25 @@ def weighted_resample(df: DataFrame, cluster: str, seed: int, b: int) -> DataFra
     return df.withColumn("b", F.lit(b)).withColumn("w", replicate_weight(cluster, seed).cast("double")).where("w > 0").drop("b")
 
 
+ROWS_A_PART = 1_000_000
+
+
+def in_few_parts(kept: DataFrame) -> DataFrame:
+    """Cached rows in as many parts as there are cores, more where a part would exceed ``ROWS_A_PART``: every pass of every fit sends one result a part to the driver."""
+    return kept.coalesce(max(kept.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // ROWS_A_PART)))
+
+
 def replicate_coefficients(df: DataFrame, features: Sequence[str], cluster: str, seed: int, n_boot: int, make: Callable[[], object]) -> DataFrame:
     """Coefficients of a weighted refit per replicate: (replicate, feature, coefficient)."""
     rows = []
-    df = df.persist()
+    kept = df.select(cluster, "y", *features).persist()
     try:
+        few = in_few_parts(kept)
         for b in range(1, n_boot + 1):
-            model = make().setWeightCol("w").fit(assemble(weighted_resample(df, cluster, seed, b), features, ["y", "w"]))
+            model = make().setWeightCol("w").fit(assemble(weighted_resample(few, cluster, seed, b), features, ["y", "w"]))
             rows += [(b, f, float(c)) for f, c in zip(features, model.coefficients)]
     finally:
-        df.unpersist()
+        kept.unpersist()
     return df.sparkSession.createDataFrame(rows, "replicate int, feature string, coefficient double")
 
 
