@@ -72,3 +72,17 @@ def test_no_single_task_window_over_rows(spark):
     for line in plan.splitlines():
         if "windowspecdefinition(_tie_range" in line or "windowspecdefinition(p" in line:
             assert "_range" in line or "p#" in line
+
+
+def test_range_search_runs_once_a_row(spark):
+    """No filter or join condition repeats the search for a row's range, and the aggregate below it is shared."""
+    df = spark.createDataFrame(rows(60, 4), "id long, k string, p double, y long")
+    ranked = ordering.rank_spread(df, "id", "id", ["k"])
+    runs = ordering.prefix_sums(df.select("k", F.round(F.col("p") * 2, 3).alias("p")), "p", {"n": F.lit(1)}, ["k"], bounds=ordering.value_bounds(df, "p", 64))
+    for out in (ranked, runs):
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("lambda" in line for line in plan)
+        assert not [line for line in plan if ("Filter" in line or "Join" in line) and "lambda" in line]
+    hashed = ordering.rank_spread(df.withColumn("u", F.col("id") / 60), "u", "id", ["k"], bounds=ordering.even_bounds(df))
+    assert "lambda" not in hashed._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.rn for r in hashed.collect()} == {r.id: r.rn for r in ranked.collect()}
