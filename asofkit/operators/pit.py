@@ -183,6 +183,29 @@ def entity_join(rows: DataFrame, records: DataFrame, hot: DataFrame, how: str =
     return left.join(right, ["entity_id", "_piece"], how).drop("_piece")
 
 
+FILTER_BITS = 24  # places of the entity filter: 2 MB, however many entities there are
+
+
+def of_entities(records: Mapping[str, DataFrame], rows: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The records without most of those that have no row to meet, and their hot entities.
+
+    A filter of fixed size over the rows' entities; what passes by chance finds no row in the join. As a condition on the entity alone it
+    moves down to the scan that has it, so such records are not shuffled, neither for a join that makes the record nor for the one with
+    the rows. ``rows`` are read once more; the driver sees 2^(FILTER_BITS - 6) words at most.
+    """
+    place = F.pmod(F.xxhash64("entity_id"), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))
+    words = [0] * (1 << (FILTER_BITS - 6))
+    for r in rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toLocalIterator():
+        words[r["w"]] = r["b"]
+    kept = rows.sparkSession.createDataFrame([(words,)], "words array<long>").scalar()
+    word = F.get(kept, F.shiftright(place, 6).cast("int"))
+    listed = F.call_function("shiftright", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    same = rows.schema["entity_id"].dataType
+    met = {name: t.where(listed) if t.schema["entity_id"].dataType == same else t for name, t in records.items()}
+    return met, hot_entities(*met.values())
+
+
 def prepared_rows(rows: DataFrame) -> DataFrame:
     """Index rows written once, for all the tables they are joined to."""
     return cut_lineage(rows)
@@ -262,7 +285,10 @@ def eligible_rows(index: DataFrame, persons: DataFrame, age_min: float) -> DataF
 def record_pairs(rows: DataFrame, records: DataFrame, *, declared: bool = True, lag_days: int = 0, hot: DataFrame | None = None) -> DataFrame:
     """Index rows x records of the same entity with the first reason a record may not be used (NULL = usable)."""
     keep = [c for c in ("birth_date", "sex") if c in rows.columns]
-    pairs = entity_join(rows.select(*ROW, *keep), records, hot_entities(records) if hot is None else hot)
+    if hot is None:
+        found, hot = of_entities({"records": records}, rows)
+        records = found["records"]
+    pairs = entity_join(rows.select(*ROW, *keep), records, hot)
     on_after = F.col("record_date") >= F.col("index_date")
     late = F.coalesce(F.col("available_date") >= F.col("index_date"), F.lit(False))
     reason = F.when(on_after, "record_on_or_after_index")
@@ -297,10 +323,10 @@ def derivation_counters(rows: DataFrame, tables: Mapping[str, DataFrame], rules:
     One join and one small aggregate a table. Records of the outcome are counted by ``outcome_audit``.
     """
     labels = {"conditions": _condition_tests, "prescriptions": _prescription_tests, "measurements": _measurement_tests, "lifestyle": _lifestyle_tests}
-    hot = hot_entities(*[tables[name] for name in labels])
+    met, hot = of_entities({name: tables[name] for name in labels}, rows)
     parts = []
     for name, tests in labels.items():
-        pairs = record_pairs(rows, tables[name], declared=name not in rules.undeclared, lag_days=rules.lag_days, hot=hot)
+        pairs = record_pairs(rows, met[name], declared=name not in rules.undeclared, lag_days=rules.lag_days, hot=hot)
         known, inside, sound = (F.coalesce(c, F.lit(False)) for c in tests(rules))
         found = F.coalesce("reject_reason", first_match([~known, ~inside, ~sound], ["not_declared", "outside_window", "value_unusable"]), F.lit("used"))
         parts.append(pairs.groupBy(found.alias("counter")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "counter", "n"))
@@ -535,7 +561,10 @@ def outcome_pairs(rows: DataFrame, encounters: DataFrame, rules: OutcomeRules, h
     """Encounters of the row's entity with index <= event <= window end."""
     end = dates.window_end("index_date", years=rules.years, days=rules.days)
     near = within(encounters, rows, since=F.col("index_date"), until=end, date_column="event_date")
-    pairs = entity_join(rows.select(*ROW).withColumn("window_end", end), near, hot_entities(near) if hot is None else hot)
+    if hot is None:
+        found, hot = of_entities({"encounters": near}, rows)
+        near = found["encounters"]
+    pairs = entity_join(rows.select(*ROW).withColumn("window_end", end), near, hot)
     return pairs.where(F.col("event_date").between(F.col("index_date"), F.col("window_end")))
 
 
@@ -578,14 +607,14 @@ def derive(tables: Mapping[str, DataFrame], index: DataFrame, code_rules: DataFr
     joined on the row key they are already partitioned by.
     """
     rows = prepared_rows(eligible_rows(index, tables["persons"], rules.age_min))
-    hot = hot_entities(*[t for name, t in tables.items() if name != "persons"])
+    met, hot = of_entities({name: t for name, t in tables.items() if name != "persons"}, rows)
     since = {"prescriptions": dates.window_start("index_date", days=rules.item_window_days), "conditions": oldest_window(rules.windows)}
 
     def pairs(name: str) -> DataFrame:
-        return usable_records(rows, tables[name], declared=name not in rules.undeclared, lag_days=rules.lag_days, since=since.get(name), hot=hot)
+        return usable_records(rows, met[name], declared=name not in rules.undeclared, lag_days=rules.lag_days, since=since.get(name), hot=hot)
 
     meas = pairs("measurements")
-    enc = longest_prefix(outcome_pairs(rows, tables["encounters"], rules.outcome, hot), "code", code_rules, code_lengths)
+    enc = longest_prefix(outcome_pairs(rows, met["encounters"], rules.outcome, hot), "code", code_rules, code_lengths)
     parts = [
         _condition_part(pairs("conditions"), rules), _prescription_part(pairs("prescriptions"), rules), _measurement_part(meas, rules),
         _matched_index(body_window(meas, rules), rules), _lifestyle_part(pairs("lifestyle"), rules), first_event(outcome_status(enc, rules.outcome)),

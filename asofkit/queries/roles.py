@@ -5,7 +5,7 @@ Both sides state the same mapping; whole tables are read, nothing is sampled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.operators.pit import DerivationRules, OutcomeRules, ReadingRule, SexCutRule, WindowRule
@@ -55,14 +55,17 @@ def persons(t: Tables) -> DataFrame:
     return c.join(intervals(t), "entity_id")
 
 
-def order_lines(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("od", F.col("o_orderdate").cast("date")).withColumn("sd", F.col("l_shipdate").cast("date"))
+def order_lines(t: Tables, *columns: Column) -> DataFrame:
+    """Lines with their order; ``columns`` of a line are made before the join, so that it moves no more than them."""
+    lines = t.lineitem.withColumn("sd", F.col("l_shipdate").cast("date"))
+    lines = lines.select("l_orderkey", *columns) if columns else lines
+    return lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("od", F.col("o_orderdate").cast("date"))
 
 
 def prescriptions(t: Tables) -> DataFrame:
-    return order_lines(t).select(
-        F.col("o_custkey").alias("entity_id"), F.col("l_partkey").alias("item"), (F.col("l_suppkey") % 20).alias("chapter"),
-        (F.col("l_linestatus") == "O").alias("is_drug"), F.col("od").alias("record_date"), F.greatest("od", "sd").alias("available_date"))
+    lines = order_lines(t, F.col("l_partkey").alias("item"), (F.col("l_suppkey") % 20).alias("chapter"), (F.col("l_linestatus") == "O").alias("is_drug"), F.col("sd"))
+    return lines.select(
+        F.col("o_custkey").alias("entity_id"), "item", "chapter", "is_drug", F.col("od").alias("record_date"), F.greatest("od", "sd").alias("available_date"))
 
 
 def conditions(t: Tables) -> DataFrame:
@@ -80,7 +83,8 @@ def measurements(t: Tables) -> DataFrame:
     value = (F.when(k == "RF", 40 + q * 2).when(k == "AF", 1.4 + q / 100).when(k == "NF", 8 + q * 2)
              .when(k == "RO", 100 + q * 2).when(k == "AO", 50 + q).otherwise(9 + q / 8))
     rec = F.date_add("od", F.col("l_linenumber"))
-    return order_lines(t).select(F.col("o_custkey").alias("entity_id"), kind.alias("kind"), value.alias("value"),
+    lines = order_lines(t, F.col("l_linenumber"), kind.alias("kind"), value.alias("value"))
+    return lines.select(F.col("o_custkey").alias("entity_id"), "kind", "value",
                                  rec.alias("record_date"), rec.alias("available_date"))
 
 

@@ -85,3 +85,24 @@ def test_plan_combines_before_the_shuffle_and_prunes_by_date(spark, tables, tmp_
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_records_without_a_row_are_not_shuffled(spark, tmp_path):
+    """The rows' entities reach the side of a record that has the entity, below the join that makes the record."""
+    spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 10).alias("entity_id"), F.expr("if(id % 8 = 0, NULL, DATE '2019-12-01')").alias("record_date")).write.parquet(f"{tmp_path}/heads")
+    spark.range(120).select((F.col("id") % 40).alias("k"), (F.col("id") % 7).alias("item"), F.lit(None).cast("date").alias("available_date")).write.parquet(f"{tmp_path}/lines")
+    records = spark.read.parquet(f"{tmp_path}/lines").join(spark.read.parquet(f"{tmp_path}/heads"), "k").select("entity_id", "item", "record_date", "available_date")
+    rows = spark.createDataFrame([(e, D(2020, 1, d)) for e in (2, 3, None, 77) for d in (1, 9)], "entity_id long, index_date date")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        pairs = pit.record_pairs(rows, records)
+        plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+        made = next(i for i, line in enumerate(plan) if "SortMergeJoin [k" in line)
+        assert any("Filter" in line and "ubquery" in line for line in plan[made + 1:]) and "lambda" not in "".join(plan)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = rows.join(records, "entity_id")
+    assert sorted(map(str, pairs.drop("reject_reason").collect())) == sorted(map(str, want.select(*pairs.drop("reject_reason").columns).collect())) and want.count() == 48
